@@ -1 +1,194 @@
-"""Registered queries (see telespark.catalog)."""
+"""Registered trace queries (O-24, O-46..O-49, O-56, O-64, O-65, O-68, O-69, O-71, Q-2, Q-3, Q-7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .catalog import register, r6
+from .operators import spans as S
+from .operators.joins import interval_join
+from .operators.quantiles import exact_percentiles
+from .plans import traces as T
+from .plans import scoring
+from .plans.oracle_views import with_views
+from .sources import views as V
+
+# fixed window for the trace queries: the span time domain of the fixture
+TRACE_WINDOW = (788918400000000, 1000000000000000)   # 1995-01-01 .. 2001-09-09
+
+
+def _selfs(spark, sf_dir):
+    return S.self_time(V.spans(spark, sf_dir))
+
+
+@register("fold_traces", with_views("folded") + "SELECT * FROM folded")
+def q_fold_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.fold_traces(_selfs(spark, sf_dir))
+
+
+@register("trace_service_self", with_views("selfs") + """
+SELECT trace_id, service, CAST(sum(self_us) AS BIGINT) AS self_us, count(*) AS spans
+FROM selfs GROUP BY 1, 2""")
+def q_trace_service_self(spark, sf_dir):
+    return S.trace_service_self(_selfs(spark, sf_dir))
+
+
+@register("trace_duration_stats", with_views("folded") + """
+SELECT count(*) AS traces,
+  round(quantile_cont(duration_us / 1000.0, 0.5), 6) AS p50_ms,
+  round(quantile_cont(duration_us / 1000.0, 0.95), 6) AS p95_ms,
+  round(max(duration_us) / 1000.0, 6) AS max_ms
+FROM folded""")
+def q_trace_duration_stats(spark, sf_dir):
+    f = S.fold_traces(_selfs(spark, sf_dir)).select((F.col("duration_us") / 1000.0).alias("ms"))
+    p = exact_percentiles(f, [], "ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    agg = f.agg(F.count(F.lit(1)).alias("traces"), F.max("ms").alias("max_ms"))
+    return agg.crossJoin(p).select("traces", r6("p50_ms").alias("p50_ms"),
+                                   r6("p95_ms").alias("p95_ms"), r6("max_ms").alias("max_ms"))
+
+
+_S0, _S1 = TRACE_WINDOW
+
+
+@register("sample_traces", with_views("folded") + f"""
+SELECT trace_id, slice, start_us, duration_us, spans, errors FROM (
+  SELECT *, row_number() OVER (PARTITION BY slice ORDER BY start_us DESC, trace_id) AS rn FROM (
+    SELECT *, CAST(least(2, floor((start_us - {_S0}) * 3 / {_S1 - _S0})) AS INTEGER) AS slice
+    FROM folded WHERE start_us >= {_S0} AND start_us < {_S1} AND root_service = 'gateway') a) b
+WHERE rn <= 6""")
+def q_sample_traces(spark, sf_dir):
+    f = S.fold_traces(_selfs(spark, sf_dir))
+    return S.sample_traces(f, _S0, _S1, 20, "gateway").select(
+        "trace_id", "slice", "start_us", "duration_us", "spans", "errors")
+
+
+@register("trace_top", with_views("folded") + """
+SELECT trace_id, duration_us, spans, errors, self_us_by_service FROM folded
+ORDER BY duration_us DESC, trace_id LIMIT 20""")
+def q_trace_top(spark, sf_dir):
+    f = S.fold_traces(_selfs(spark, sf_dir))
+    return S.top_traces(f, 20).select("trace_id", "duration_us", "spans", "errors", "self_us_by_service")
+
+
+@register("span_offsets", with_views("selfs") + """
+SELECT s.trace_id, s.span_id, s.start_us - o.origin_us AS offset_us FROM selfs s
+JOIN (SELECT trace_id, arg_min(start_us, (parent_id IS NOT NULL, start_us)) AS origin_us
+      FROM selfs GROUP BY 1) o ON o.trace_id = s.trace_id""")
+def q_span_offsets(spark, sf_dir):
+    return S.span_offsets(_selfs(spark, sf_dir)).select("trace_id", "span_id", "offset_us")
+
+
+@register("span_cap", with_views("spans") + """
+SELECT trace_id, span_id, max(rn) OVER (PARTITION BY trace_id) > 60 AS truncated FROM (
+  SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_us, span_id) AS rn
+  FROM spans) x QUALIFY rn <= 60""")
+def q_span_cap(spark, sf_dir):
+    return S.cap_spans(V.spans(spark, sf_dir), 60).select("trace_id", "span_id", "truncated")
+
+
+_TREE_SQL = with_views("selfs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ranked AS (
+  SELECT s.*, s.start_us - o.origin_us AS offset_us,
+    row_number() OVER (PARTITION BY s.trace_id, s.parent_id ORDER BY s.start_us, s.span_id) AS rk
+  FROM selfs s JOIN (SELECT trace_id, arg_min(start_us, (parent_id IS NOT NULL, start_us)) AS origin_us
+                     FROM selfs GROUP BY 1) o ON o.trace_id = s.trace_id),
+tree AS (
+  SELECT trace_id, span_id, 0 AS depth, lpad(CAST(rk AS VARCHAR), 8, '0') AS path, offset_us,
+    duration_us, self_us, service, status
+  FROM ranked WHERE parent_id IS NULL
+  UNION ALL
+  SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '.' || lpad(CAST(c.rk AS VARCHAR), 8, '0'),
+    c.offset_us, c.duration_us, c.self_us, c.service, c.status
+  FROM ranked c JOIN tree t ON c.trace_id = t.trace_id AND c.parent_id = t.span_id)
+SELECT * FROM tree"""
+
+
+@register("trace_tree", _TREE_SQL)
+def q_trace_tree(spark, sf_dir):
+    return T.trace_tree(V.spans(spark, sf_dir)).select(
+        "trace_id", "span_id", "depth", "path", "offset_us", "duration_us", "self_us", "service", "status")
+
+
+# --- traces against incident windows (span time domain) ---------------------------
+
+_IN_WINDOW = """traced AS (
+  SELECT i.incident_id, f.* FROM folded f JOIN span_incidents i
+  ON f.start_us BETWEEN i.start_us AND i.end_us WHERE f.root_service = 'gateway')"""
+
+
+@register("evidence_index", with_views("folded", "span_incidents") + ", " + _IN_WINDOW + """
+SELECT incident_id, 'gateway' AS root_service, count(*) AS traces, CAST(sum(spans) AS BIGINT) AS spans
+FROM traced GROUP BY incident_id""")
+def q_evidence_index(spark, sf_dir):
+    f = S.fold_traces(_selfs(spark, sf_dir))
+    return scoring.evidence_index(f, V.span_incidents(spark), "gateway")
+
+
+@register("dominance", with_views("selfs", "folded", "span_incidents") + ", " + _IN_WINDOW + """,
+per AS (
+  SELECT t.incident_id, s.service, sum(s.self_us) AS self_us
+  FROM traced t JOIN selfs s ON s.trace_id = t.trace_id GROUP BY 1, 2),
+shares AS (
+  SELECT incident_id, service, 100.0 * self_us / sum(self_us) OVER (PARTITION BY incident_id) AS pct,
+    row_number() OVER (PARTITION BY incident_id ORDER BY self_us DESC, service) AS rk FROM per),
+top AS (SELECT incident_id, service AS top_service, pct AS top_pct FROM shares WHERE rk = 1),
+n AS (SELECT incident_id, count(*) AS traces FROM traced GROUP BY 1)
+SELECT i.incident_id, i.fault_type, i.service, n.traces, top.top_service, round(top.top_pct, 6) AS top_pct,
+  i.fault_type = 'latency' AS asserted,
+  CASE WHEN i.fault_type <> 'latency' THEN 'info'
+       WHEN top.top_service = i.service AND top.top_pct >= 85.0 THEN 'ok' ELSE 'FAIL' END AS verdict
+FROM span_incidents i JOIN n ON n.incident_id = i.incident_id JOIN top ON top.incident_id = i.incident_id""")
+def q_dominance(spark, sf_dir):
+    selfs = _selfs(spark, sf_dir)
+    out = scoring.verify_dominance(selfs, V.span_incidents(spark), V.span_incidents(spark), "gateway")
+    return out.where(F.col("verdict") != "ORPHAN").select(
+        "incident_id", "fault_type", "service", "traces", "top_service", r6("top_pct").alias("top_pct"),
+        "asserted", "verdict")
+
+
+@register("payload_reduction", with_views("folded", "span_incidents", "selfs") + ", " + _IN_WINDOW + """,
+raw AS (
+  SELECT t.incident_id, sum(strlen(
+    '{"traceID":"' || CAST(s.trace_id AS VARCHAR) || '","spanID":"' || CAST(s.span_id AS VARCHAR)
+    || '","operationName":"' || s.service || '","startTime":' || CAST(s.start_us AS VARCHAR)
+    || ',"duration":' || CAST(s.duration_us AS VARCHAR) || ',"references":['
+    || coalesce('{"refType":"CHILD_OF","spanID":"' || CAST(s.parent_span_id AS VARCHAR) || '"}', '')
+    || '],"tags":[{"key":"http.response.status_code","value":' || CAST(s.status AS VARCHAR) || '}]}')) AS raw_bytes
+  FROM traced t JOIN selfs s ON s.trace_id = t.trace_id GROUP BY 1),
+served AS (
+  SELECT incident_id, sum(strlen(
+    '{"trace_id":"' || CAST(trace_id AS VARCHAR) || '","duration_us":' || CAST(duration_us AS VARCHAR)
+    || ',"spans":' || CAST(spans AS VARCHAR) || ',"errors":' || CAST(errors AS VARCHAR)
+    || ',"self_us":"' || self_us_by_service || '"}')) AS served_bytes
+  FROM traced GROUP BY 1)
+SELECT r.incident_id, CAST(r.raw_bytes AS BIGINT) AS raw_bytes, CAST(s.served_bytes AS BIGINT) AS served_bytes,
+  round(r.raw_bytes / s.served_bytes, 6) AS reduction,
+  CAST(r.raw_bytes // 4 AS BIGINT) AS raw_tokens, CAST(s.served_bytes // 4 AS BIGINT) AS served_tokens
+FROM raw r JOIN served s ON s.incident_id = r.incident_id""")
+def q_payload_reduction(spark, sf_dir):
+    selfs = _selfs(spark, sf_dir)
+    f = S.fold_traces(selfs)
+    out = scoring.payload_reduction(selfs, f, V.span_incidents(spark), "gateway")
+    return out.select("incident_id", "raw_bytes", "served_bytes", r6("reduction").alias("reduction"),
+                      "raw_tokens", "served_tokens")
+
+
+@register("query_traces_summary", None)
+def q_query_traces_summary(spark, sf_dir):
+    res = T.query_traces(V.spans(spark, sf_dir), "gateway", _S0, _S1, limit=20)
+    return res["summary"]
+
+
+@register("query_traces_self_time", with_views("folded", "selfs") + f""",
+sample AS (
+  SELECT trace_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY slice ORDER BY start_us DESC, trace_id) AS rn FROM (
+      SELECT *, least(2, floor((start_us - {_S0}) * 3 / {_S1 - _S0})) AS slice
+      FROM folded WHERE start_us >= {_S0} AND start_us < {_S1} AND root_service = 'gateway') a) b
+  WHERE rn <= 6),
+per AS (SELECT service, sum(self_us) AS total_us FROM selfs WHERE trace_id IN (SELECT trace_id FROM sample) GROUP BY 1)
+SELECT service, CAST(total_us AS BIGINT) AS total_us, round(100.0 * total_us / sum(total_us) OVER (), 6) AS pct FROM per""")
+def q_query_traces_self_time(spark, sf_dir):
+    res = T.query_traces(V.spans(spark, sf_dir), "gateway", _S0, _S1, limit=20)
+    return res["self_time"].select("service", "total_us", r6("pct").alias("pct"))

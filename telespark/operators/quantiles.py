@@ -40,62 +40,50 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
     keys = list(keys)
     v = F.col(value).cast("double")
     vals = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # 1. distinct values with multiplicity (the only shuffle of full size)
     counts = (vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
               .withColumn("_b", _log_bucket(F.col("_v"))))
-    per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    # 2. per-bucket counts and their running sum: tiny
     order = Window.partitionBy(*keys).orderBy("_b")
-    per_bucket = (per_bucket
-                  .withColumn("_before", F.coalesce(F.sum("_bc").over(
-                      order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                  .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*keys))))
-
+    pb = (counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+          .withColumn("_before", F.coalesce(F.sum("_bc").over(
+              order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+          .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*keys))))
+    # 3. the wanted positions that fall in each bucket (a filter, no join)
     fr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(f)).alias("f"))
                    for name, f in fractions.items()])
-    totals = per_bucket.select(*keys, "_n").dropDuplicates(keys)
-    t = totals.select(*keys, "_n", F.explode(fr).alias("_q")).select(
-        *keys, "_n", F.col("_q.name").alias("_name"), F.col("_q.f").alias("_f"))
+    q = pb.select(*keys, "_b", "_bc", "_before", "_n", F.explode(fr).alias("_q"))
     if method == "linear":
-        rank = (F.col("_n") - 1).cast("double") * F.col("_f")
-        t = t.select(*keys, "_name", rank.alias("_rank"))
-        t = t.select(*keys, "_name", "_rank",
-                     F.explode(F.array(F.floor("_rank"), F.ceil("_rank"))).cast("bigint").alias("_pos"))
+        rank = (F.col("_n") - 1).cast("double") * F.col("_q.f")
+        q = q.select(*keys, "_b", "_bc", "_before", F.col("_q.name").alias("_name"), rank.alias("_rank"))
+        q = q.select("*", F.explode(F.array_distinct(F.array(
+            F.floor("_rank").cast("bigint"), F.ceil("_rank").cast("bigint")))).alias("_pos"))
     else:
-        pos = F.least(F.col("_n") - 1, F.floor(F.col("_n").cast("double") * F.col("_f")))
-        t = t.select(*keys, "_name", F.lit(None).cast("double").alias("_rank"),
-                     pos.cast("bigint").alias("_pos"))
-    t = t.dropDuplicates(keys + ["_name", "_pos"])
-
-    # which bucket holds each wanted position (small x small)
-    pb = per_bucket.select(*keys, "_b", "_bc", "_before")
-    cond = [t[k].eqNullSafe(pb[k]) for k in keys] + [
-        (t["_pos"] >= pb["_before"]), (t["_pos"] < pb["_before"] + pb["_bc"])]
-    located = t.join(pb, cond).select(*[t[k] for k in keys], "_name", "_rank", "_pos", "_b", "_before")
-
-    # rank the distinct values of the selected buckets only
-    wanted = located.select(*keys, "_b").dropDuplicates()
-    sel = counts.join(wanted, keys + ["_b"], "left_semi") if keys else counts.join(wanted, ["_b"], "left_semi")
-    wb = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sel.withColumn("_cum", F.sum("_c").over(wb))
-    cond2 = [located[k].eqNullSafe(ranked[k]) for k in keys] + [
-        located["_b"] == ranked["_b"],
-        (located["_pos"] - located["_before"]) >= ranked["_cum"] - ranked["_c"],
-        (located["_pos"] - located["_before"]) < ranked["_cum"]]
-    at = located.join(ranked, cond2).select(*[located[k] for k in keys], "_name", "_rank",
-                                             "_pos", ranked["_v"])
-
-    if method == "linear":
-        lo = F.min_by("_v", "_pos")
-        hi = F.max_by("_v", "_pos")
-        per_name = at.groupBy(*keys, "_name").agg(
-            lo.alias("_lo"), hi.alias("_hi"), F.first("_rank").alias("_rank"))
-        val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))
-        per_name = per_name.select(*keys, "_name", val.alias("_val"))
-    else:
-        per_name = at.select(*keys, "_name", F.col("_v").alias("_val"))
-
-    out = per_name.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_val"))).alias(name) for name in fractions])
-    return out
+        pos = F.least(F.col("_n") - 1, F.floor(F.col("_n").cast("double") * F.col("_q.f")))
+        q = q.select(*keys, "_b", "_bc", "_before", F.col("_q.name").alias("_name"),
+                     F.lit(None).cast("double").alias("_rank"), pos.cast("bigint").alias("_pos"))
+    located = q.where((F.col("_pos") >= F.col("_before"))
+                      & (F.col("_pos") < F.col("_before") + F.col("_bc"))).drop("_bc")
+    # 4. rank only the distinct values of the located buckets
+    sel = counts.join(located, keys + ["_b"])
+    w = (Window.partitionBy(*keys, "_b", "_name", "_pos").orderBy("_v")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.sum("_c").over(w)
+    inner = F.col("_pos") - F.col("_before")
+    at = (sel.withColumn("_cum", cum)
+          .where((inner >= F.col("_cum") - F.col("_c")) & (inner < F.col("_cum"))))
+    # 5. one row per group: interpolate between the neighbouring positions
+    aggs = []
+    for name in fractions:
+        pick = F.col("_name") == name
+        lo = F.min(F.when(pick, F.struct("_pos", "_v")))["_v"]
+        if method == "linear":
+            hi = F.max(F.when(pick, F.struct("_pos", "_v")))["_v"]
+            r = F.max(F.when(pick, F.col("_rank")))
+            aggs.append((lo + (hi - lo) * (r - F.floor(r))).alias(name))
+        else:
+            aggs.append(lo.alias(name))
+    return at.groupBy(*keys).agg(*aggs)
 
 
 def bounded_median(col) -> Column:
