@@ -136,3 +136,18 @@ def with_views(*names: str) -> str:
     for n in names:
         add(n)
     return "WITH " + ",\n".join(bodies[n] for n in order) + "\n"
+
+# application-route predicate in DuckDB (fully anchored, missing route passes)
+APP = "NOT regexp_full_match(coalesce(route, ''), '/health|/chaos.*')"
+
+
+def nearest_sql(table: str, keys: str, value: str, fractions: dict) -> str:
+    """sorted[min(n-1, floor(n*f))] per key group, as SQL over `table`."""
+    cols = ", ".join(
+        f"max(CASE WHEN rn - 1 = least(n - 1, CAST(floor(n * CAST({f!r} AS DOUBLE)) AS BIGINT)) THEN {value} END) AS {name}"
+        for name, f in fractions.items())
+    part = f"PARTITION BY {keys}" if keys else ""
+    sel = f"{keys}, " if keys else ""
+    grp = f"GROUP BY {keys}" if keys else ""
+    return f"""SELECT {sel}{cols} FROM (
+  SELECT *, row_number() OVER ({part} ORDER BY {value}) AS rn, count(*) OVER ({part}) AS n FROM {table}) z {grp}"""
