@@ -93,30 +93,36 @@ def cumulative_buckets(bucket_obs: DataFrame, keys, le: str = "le", n: str = "n"
     return bucket_obs.withColumn("cum", F.sum(n).over(w))
 
 
-def histogram_quantile(cum: DataFrame, keys, q: float, le: str = "le", cum_col: str = "cum") -> DataFrame:
+def histogram_quantile(cum: DataFrame, keys, qs, le: str = "le", cum_col: str = "cum") -> DataFrame:
     """Prometheus histogram_quantile over cumulative `le` buckets (the +Inf bucket
-    holds the total).
+    holds the total), for several quantiles in one pass.
 
-    rank = q * total; the first bucket with cum >= rank holds it; linear
-    interpolation inside it from the previous bound (0 for the first bucket); in
-    the +Inf bucket the answer is the highest finite bound; total 0 -> no value.
+    `qs` is a float or a dict name -> q. rank = q * total; the first bucket with
+    cum >= rank holds it; linear interpolation inside it from the previous bound
+    (0 for the first bucket); in the +Inf bucket the answer is the highest finite
+    bound; total 0 -> no value. Windows here run over <= #bounds rows per group.
     """
     keys = list(keys)
+    if not isinstance(qs, dict):
+        qs = {"quantile": float(qs)}
     w = Window.partitionBy(*keys).orderBy(le)
     c = (cum.withColumn("_prev_cum", F.coalesce(F.lag(cum_col).over(w), F.lit(0)))
          .withColumn("_prev_le", F.lag(le).over(w))
-         .withColumn("_total", F.max(cum_col).over(Window.partitionBy(*keys)))
-         .withColumn("_rank", F.lit(float(q)) * F.col("_total")))
+         .withColumn("_total", F.max(cum_col).over(Window.partitionBy(*keys))))
+    qarr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in qs.items()])
+    c = c.select("*", F.explode(qarr).alias("_q")).withColumn("_rank", F.col("_q.q") * F.col("_total"))
     hit = c.where((F.col("_total") > 0) & (F.col(cum_col) >= F.col("_rank")))
-    first = hit.groupBy(*keys).agg(F.min_by(F.struct(le, "_prev_le", "_prev_cum", cum_col, "_rank"), le).alias("_h"))
+    first = hit.groupBy(*keys, F.col("_q.name").alias("_name")).agg(
+        F.min_by(F.struct(le, "_prev_le", "_prev_cum", cum_col, "_rank"), le).alias("_h"))
     h = lambda f: F.col("_h")[f]
-    start = F.when(h("_prev_le").isNull() & (h(le) > 0), F.lit(0.0)).otherwise(h("_prev_le"))
+    start = F.when(h("_prev_le").isNull(), F.lit(0.0)).otherwise(h("_prev_le"))
     inside = start + (h(le) - start) * ((h("_rank") - h("_prev_cum")) / (h(cum_col) - h("_prev_cum")))
-    val = (F.when(F.isnan(h(le)) | (h(le) == float("inf")), h("_prev_le"))
+    val = (F.when(h(le) == float("inf"), h("_prev_le"))
            .when(h("_prev_le").isNull() & (h(le) <= 0), h(le))
            .when(h(cum_col) == h("_prev_cum"), h(le))
            .otherwise(inside))
-    return first.select(*keys, val.alias("quantile"))
+    per = first.select(*keys, "_name", val.alias("_val"))
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in qs])
 
 
 def gauge_at(samples: DataFrame, keys, at_us: int, lookback_us: int = 300 * 1000000) -> DataFrame:

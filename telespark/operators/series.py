@@ -31,7 +31,9 @@ def assign_steps(df: DataFrame, start_us: int, end_us: int, step_us: int, range_
     lo = F.greatest(F.lit(0), F.ceil(rel / F.lit(step_us)).cast("bigint"))
     hi = F.least(F.lit(k_max), F.ceil((rel + F.lit(range_us)) / F.lit(step_us)).cast("bigint") - 1)
     pre = df.where((F.col(ts) > F.lit(start_us - range_us)) & (F.col(ts) <= F.lit(end_us)))
-    out = pre.withColumn("_k", F.explode(F.sequence(lo, hi)))  # empty when lo > hi
+    # sequence(lo, hi) counts down when lo > hi, so guard it: no step holds the row
+    ks = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    out = pre.withColumn("_k", F.explode(ks))
     return out.withColumn("step_us", F.lit(start_us) + F.col("_k") * F.lit(step_us)).drop("_k")
 
 

@@ -67,10 +67,10 @@ COUNTERS = """counters AS (
   FROM f)"""
 
 
-def bucket_counts_sql(source="requests", step_us=3600000000):
+def bucket_counts_sql(source="requests", step_us=3600000000, start_us=1704067200000000):
     le = " ".join(f"WHEN duration_ms <= {b!r} THEN CAST({b!r} AS DOUBLE)" for b in BUCKET_BOUNDS_MS)
     return f"""bucket_counts AS (
-  SELECT service, route, CAST(floor(ts_us / {step_us}) * {step_us} AS BIGINT) AS step_us,
+  SELECT service, route, {start_us} + CAST(ceil((ts_us - {start_us}) / {step_us}) AS BIGINT) * {step_us} AS step_us,
     CASE {le} ELSE CAST('Infinity' AS DOUBLE) END AS le, count(*) AS n
   FROM {source} GROUP BY 1, 2, 3, 4)"""
 
@@ -119,13 +119,36 @@ FOLD = """folded AS (
   ON s.trace_id = t.trace_id)"""
 
 
+POOL_GAUGE = """pool_gauge AS (
+  WITH u AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, least(count(*), 10) AS used
+             FROM requests WHERE service = 'inventory' GROUP BY 1)
+  SELECT 'inventory-pool' AS pool_name, 'used' AS state, 1704067200000000 + (h + 1) * 3600000000 AS ts_us,
+    CAST(used AS DOUBLE) AS value FROM u
+  UNION ALL
+  SELECT 'inventory-pool', 'idle', 1704067200000000 + (h + 1) * 3600000000, CAST(10 - used AS DOUBLE) FROM u)"""
+
+PIPELINE = """pipeline_counters AS (
+  WITH p AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, count(*) AS accepted,
+               count(*) FILTER (WHERE NOT (route LIKE '/chaos%' OR route = '/health')) AS sent,
+               count(*) FILTER (WHERE route LIKE '/chaos%' OR route = '/health') AS refused
+             FROM requests GROUP BY 1),
+  l AS (SELECT h, 'otelcol_receiver_accepted_spans' AS name, accepted AS n FROM p
+        UNION ALL SELECT h, 'otelcol_exporter_sent_spans', sent FROM p
+        UNION ALL SELECT h, 'otelcol_receiver_refused_spans', refused FROM p)
+  SELECT name, 1704067200000000 + (h + 1) * 3600000000 AS ts_us,
+    CAST(sum(n) OVER (PARTITION BY name ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
+  FROM l)"""
+
+
 def with_views(*names: str) -> str:
     """`WITH` prefix holding the named views (dependencies included, in order)."""
     deps = {"requests_faulted": ["requests"], "counters": ["requests"],
-            "selfs": ["spans"], "folded": ["spans", "selfs"]}
+            "selfs": ["spans"], "folded": ["spans", "selfs"], "pool_gauge": ["requests"],
+            "pipeline_counters": ["requests"], "bucket_counts": ["requests"]}
     bodies = {"requests": REQUESTS, "requests_faulted": REQUESTS_FAULTED, "spans": SPANS,
               "counters": COUNTERS, "incidents": INCIDENTS, "span_incidents": SPAN_INCIDENTS,
-              "checks": CHECKS, "selfs": SELF_TIME, "folded": FOLD}
+              "checks": CHECKS, "selfs": SELF_TIME, "folded": FOLD, "pool_gauge": POOL_GAUGE,
+              "pipeline_counters": PIPELINE, "bucket_counts": bucket_counts_sql()}
     order = []
 
     def add(n):

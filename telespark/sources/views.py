@@ -181,7 +181,7 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_counts(requests_df: DataFrame, step_us: int = HOUR_US,
-                  bounds=BUCKET_BOUNDS_MS) -> DataFrame:
+                  bounds=BUCKET_BOUNDS_MS, start_us: int = EPOCH_2024_US) -> DataFrame:
     """Histogram observations per (service, route, step, le), NOT cumulative in le.
 
     Each request lands in exactly one bucket (the smallest bound >= its duration,
@@ -193,8 +193,46 @@ def bucket_counts(requests_df: DataFrame, step_us: int = HOUR_US,
         cond = F.col("duration_ms") <= F.lit(float(b))
         le = F.when(cond, F.lit(float(b))) if le is None else le.when(cond, F.lit(float(b)))
     le = le.otherwise(F.lit(float("inf")))
+    # right-closed steps (t - step, t], like every other series
+    step = F.lit(start_us) + F.ceil((F.col("ts_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint") * F.lit(step_us)
     return (requests_df
-            .groupBy("service", "route",
-                     (F.floor(F.col("ts_us") / step_us) * step_us).cast("bigint").alias("step_us"),
-                     le.alias("le"))
+            .groupBy("service", "route", step.alias("step_us"), le.alias("le"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+POOL_SIZE = 10
+
+
+def pool_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection-pool gauge of inventory, scraped at every hour end: `used` is the
+    number of inventory requests in that hour capped at the pool size, `idle` the
+    rest. pool_name, state, ts_us, value (DOUBLE)."""
+    r = requests(spark, sf_dir).where(F.col("service") == "inventory")
+    hour = F.floor((F.col("ts_us") - EPOCH_2024_US) / HOUR_US).cast("bigint")
+    used = r.groupBy(hour.alias("h")).agg(F.least(F.count(F.lit(1)), F.lit(POOL_SIZE)).alias("used"))
+    st = F.explode(F.array(F.struct(F.lit("used").alias("state"), F.col("used").alias("v")),
+                           F.struct(F.lit("idle").alias("state"), (F.lit(POOL_SIZE) - F.col("used")).alias("v"))))
+    return used.select(F.lit("inventory-pool").alias("pool_name"),
+                       (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
+                       st.alias("s")).select("pool_name", F.col("s.state").alias("state"), "ts_us",
+                                             F.col("s.v").cast("double").alias("value"))
+
+
+def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collector counters scraped hourly (cumulative, from each series' first hour):
+    accepted = every request's span, sent = those exported (not control traffic),
+    refused = control-plane spans. name, ts_us, value (DOUBLE)."""
+    r = requests(spark, sf_dir)
+    hour = F.floor((F.col("ts_us") - EPOCH_2024_US) / HOUR_US).cast("bigint")
+    control = F.col("route").like("/chaos%") | (F.col("route") == "/health")
+    per = r.groupBy(hour.alias("h")).agg(
+        F.count(F.lit(1)).alias("accepted"), F.count_if(~control).alias("sent"),
+        F.count_if(control).alias("refused"))
+    long = per.select("h", F.explode(F.array(
+        F.struct(F.lit("otelcol_receiver_accepted_spans").alias("name"), F.col("accepted").alias("n")),
+        F.struct(F.lit("otelcol_exporter_sent_spans").alias("name"), F.col("sent").alias("n")),
+        F.struct(F.lit("otelcol_receiver_refused_spans").alias("name"), F.col("refused").alias("n")))).alias("x"))
+    long = long.select("h", F.col("x.name").alias("name"), F.col("x.n").alias("n"))
+    w = Window.partitionBy("name").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    return long.select("name", (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
+                       F.sum("n").over(w).cast("double").alias("value"))
