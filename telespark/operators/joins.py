@@ -31,12 +31,17 @@ def guarded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
 def interval_join(rows: DataFrame, intervals: DataFrame, ts: str = "ts_us",
                   start: str = "start_us", end: str = "end_us",
                   bucket_us: int = 86400 * 1000000, how: str = "inner",
-                  salt: int = 8, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """rows x intervals where intervals.start <= rows.ts <= intervals.end.
+                  salt: int = 8, max_broadcast_rows: int = BROADCAST_MAX_ROWS, on=()) -> DataFrame:
+    """rows x intervals where intervals.start <= rows.ts <= intervals.end (and the
+    `on` columns are equal; they appear once in the output).
 
-    Column names of the two sides must be disjoint except for nothing: the caller
-    renames first. `how` is 'inner' or 'left' (rows kept without a match).
+    Other column names of the two sides must be disjoint: the caller renames
+    first. `how` is 'inner' or 'left' (rows kept without a match).
     """
+    on = list(on)
+    if on:
+        intervals = intervals.select(*[F.col(k).alias(f"_on_{k}") for k in on],
+                                     *[c for c in intervals.columns if c not in on])
     b = F.floor(F.col(ts) / bucket_us).cast("bigint")
     iv = intervals.withColumn("_bk", F.explode(F.sequence(
         F.floor(F.col(start) / bucket_us).cast("bigint"),
@@ -45,8 +50,10 @@ def interval_join(rows: DataFrame, intervals: DataFrame, ts: str = "ts_us",
     if small:
         left = rows.withColumn("_bk", b)
         cond = (left["_bk"] == iv_b["_bk"]) & left[ts].between(iv_b[start], iv_b[end])
+        for k in on:
+            cond = cond & (left[k] == iv_b[f"_on_{k}"])
         out = left.join(iv_b, cond, how)
-        return out.drop(left["_bk"]).drop(iv_b["_bk"])
+        return out.drop(left["_bk"]).drop(iv_b["_bk"]).drop(*[f"_on_{k}" for k in on])
     # shuffle path: split each bucket over `salt` tasks; intervals replicated per salt
     # deterministic salt (a retried task must route every row the same way)
     left = rows.withColumn("_bk", b).withColumn(
@@ -54,5 +61,68 @@ def interval_join(rows: DataFrame, intervals: DataFrame, ts: str = "ts_us",
     iv_s = iv.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     cond = ((left["_bk"] == iv_s["_bk"]) & (left["_salt"] == iv_s["_salt"])
             & left[ts].between(iv_s[start], iv_s[end]))
+    for k in on:
+        cond = cond & (left[k] == iv_s[f"_on_{k}"])
     out = left.join(iv_s, cond, how)
-    return out.drop(left["_bk"]).drop(iv_s["_bk"]).drop(left["_salt"]).drop(iv_s["_salt"])
+    return (out.drop(left["_bk"]).drop(iv_s["_bk"]).drop(left["_salt"]).drop(iv_s["_salt"])
+            .drop(*[f"_on_{k}" for k in on]))
+
+
+def join_single_rows(*frames: DataFrame) -> DataFrame:
+    """Side-by-side join of one-row aggregates (equi-join on a constant key)."""
+    out = frames[0].withColumn("_one", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
+def nearest_rows(rows: DataFrame, anchors: DataFrame, n: int, direction: str = "before",
+                 ts: str = "ts_us", tie: str = "request_id", at: str = "at_us",
+                 hist_us: int = 3600 * 1000000, on=()) -> DataFrame:
+    """For every anchor instant, the `n` rows closest to it on one side
+    ('before': ts <= at, newest first; 'after': ts > at, oldest first).
+
+    No window runs over raw rows: a histogram of rows per `hist_us` bucket (bounded
+    by the time span) tells, per anchor, how far to look to hold >= n rows; only
+    rows inside that bound are joined to the anchor (bucketed interval join) and
+    ranked (WindowGroupLimit keeps n per anchor). Output: rows + anchor columns + `rank`.
+    """
+    on = list(on)
+    hb = F.floor(F.col(ts) / hist_us).cast("bigint")
+    hist = rows.groupBy(*on, hb.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    anc_h = F.floor(F.col(at) / hist_us).cast("bigint")
+    anchors_b, _ = guarded_broadcast(anchors)
+    if direction == "before":
+        cond = F.col("_h") < anc_h
+        order = F.col("_h").desc()
+    elif direction == "after":
+        cond = F.col("_h") > anc_h
+        order = F.col("_h").asc()
+    else:
+        raise ValueError("direction must be 'before' or 'after'")
+    hist_a = hist.select(*[F.col(k).alias(f"_hk_{k}") for k in on], "_h", "_c")
+    for k in on:
+        cond = cond & (F.col(f"_hk_{k}") == F.col(k))
+    cand = hist_a.join(anchors_b, cond)
+    part = [at] + on
+    from pyspark.sql import Window
+    run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_cum", F.sum("_c").over(run))
+    if direction == "before":
+        b = cand.groupBy(*part).agg(F.max(F.when(F.col("_cum") >= n, F.col("_h"))).alias("_x"),
+                                    F.min("_h").alias("_y"))
+        bound = b.select(*part, (F.coalesce("_x", "_y") * hist_us).alias("_from"))
+        win = anchors.join(bound, part, "left").withColumn(
+            "_from", F.coalesce("_from", F.floor(F.col(at) / hist_us) * hist_us)).withColumn("_to", F.col(at))
+    else:
+        b = cand.groupBy(*part).agg(F.min(F.when(F.col("_cum") >= n, F.col("_h"))).alias("_x"),
+                                    F.max("_h").alias("_y"))
+        bound = b.select(*part, ((F.coalesce("_x", "_y") + 1) * hist_us - 1).alias("_to"))
+        win = anchors.join(bound, part, "left").withColumn(
+            "_to", F.coalesce("_to", (F.floor(F.col(at) / hist_us) + 1) * hist_us - 1)).withColumn(
+            "_from", F.col(at) + 1)
+    picked = interval_join(rows, win, ts, "_from", "_to", 24 * hist_us, on=on)
+    key = [F.col(ts).desc(), F.col(tie).desc()] if direction == "before" else [F.col(ts), F.col(tie)]
+    w = Window.partitionBy(*part).orderBy(*key)
+    return (picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .drop("_from", "_to"))

@@ -17,24 +17,30 @@ def n_steps(start_us: int, end_us: int, step_us: int) -> int:
     return int((end_us - start_us) // step_us)
 
 
-def assign_steps(df: DataFrame, start_us: int, end_us: int, step_us: int, range_us: int,
-                 ts: str = "ts_us") -> DataFrame:
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def assign_steps(df: DataFrame, start_us, end_us, step_us, range_us, ts: str = "ts_us") -> DataFrame:
     """Adds `step_us` (the evaluation instant) for every step whose range holds the row.
 
     A row at ts belongs to steps k with t_k - range < ts <= t_k, i.e.
     k in [ceil((ts-start)/step), ceil((ts-start+range)/step) - 1], clipped to
-    [0, K]. Fan-out is range/step per row (bounded by the caller's sizing), and the
-    following aggregation is an equi-grouping instead of a range join.
+    [0, K], K = (end-start) div step. Fan-out is range/step per row (bounded by
+    the caller's sizing), and the following aggregation is an equi-grouping
+    instead of a range join. The bounds may be ints or per-row Columns (e.g. one
+    window per incident after a join).
     """
-    k_max = n_steps(start_us, end_us, step_us)
-    rel = F.col(ts) - F.lit(start_us)
-    lo = F.greatest(F.lit(0), F.ceil(rel / F.lit(step_us)).cast("bigint"))
-    hi = F.least(F.lit(k_max), F.ceil((rel + F.lit(range_us)) / F.lit(step_us)).cast("bigint") - 1)
-    pre = df.where((F.col(ts) > F.lit(start_us - range_us)) & (F.col(ts) <= F.lit(end_us)))
+    start, end, step, rng = _lit(start_us), _lit(end_us), _lit(step_us), _lit(range_us)
+    k_max = F.floor((end - start) / step).cast("bigint")
+    rel = F.col(ts) - start
+    lo = F.greatest(F.lit(0).cast("bigint"), F.ceil(rel / step).cast("bigint"))
+    hi = F.least(k_max, F.ceil((rel + rng) / step).cast("bigint") - 1)
+    pre = df.where((F.col(ts) > start - rng) & (F.col(ts) <= end))
     # sequence(lo, hi) counts down when lo > hi, so guard it: no step holds the row
     ks = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
     out = pre.withColumn("_k", F.explode(ks))
-    return out.withColumn("step_us", F.lit(start_us) + F.col("_k") * F.lit(step_us)).drop("_k")
+    return out.withColumn("step_us", start + F.col("_k") * step).drop("_k")
 
 
 def tumbling_step(ts: str, start_us: int, step_us: int) -> Column:

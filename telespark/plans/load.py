@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import TRAILING_OBSERVATIONS
-from ..operators.joins import guarded_broadcast, interval_join
+from ..operators.joins import nearest_rows
 from ..operators.quantiles import exact_percentiles
 
 HOUR_US = 3600 * 1000000
@@ -17,10 +17,8 @@ def trailing_percentiles(requests: DataFrame, instants, n: int = TRAILING_OBSERV
                          fractions=None, method: str = "nearest") -> DataFrame:
     """p50/p95/p99 over the last `n` requests (by ts, then request_id) at each instant.
 
-    No window over the raw rows: an hourly histogram (rows per hour, bounded by the
-    time span) gives, per instant, the earliest hour that still holds >= n requests
-    before it; only requests from that hour up to the instant are joined to the
-    instant, and the newest n per instant are kept (WindowGroupLimit).
+    No window over the raw rows: see `nearest_rows` (hourly histogram -> bounded
+    look-back per instant -> top n per instant).
     """
     fractions = fractions or {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     spark = requests.sparkSession
@@ -29,19 +27,5 @@ def trailing_percentiles(requests: DataFrame, instants, n: int = TRAILING_OBSERV
     else:
         inst = spark.createDataFrame([(int(t),) for t in instants],
                                      T.StructType([T.StructField("at_us", T.LongType(), False)]))
-    hour = F.floor(F.col("ts_us") / HOUR_US).cast("bigint")
-    hourly = requests.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    inst_b, _ = guarded_broadcast(inst)
-    # complete hours strictly before the instant's hour, newest first: running count
-    cand = hourly.join(inst_b, F.col("h") < F.floor(F.col("at_us") / HOUR_US))
-    back = Window.partitionBy("at_us").orderBy(F.col("h").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("c").over(back))
-    bound = cand.groupBy("at_us").agg(
-        F.max(F.when(F.col("_cum") >= n, F.col("h"))).alias("_h_enough"), F.min("h").alias("_h_min"))
-    bound = bound.select("at_us", (F.coalesce("_h_enough", "_h_min") * HOUR_US).alias("from_us"))
-    bound = inst.join(bound, "at_us", "left").withColumn(
-        "from_us", F.coalesce("from_us", F.floor(F.col("at_us") / HOUR_US) * HOUR_US))
-    rows = interval_join(requests, bound, "ts_us", "from_us", "at_us", 24 * HOUR_US)
-    w = Window.partitionBy("at_us").orderBy(F.col("ts_us").desc(), F.col("request_id").desc())
-    last = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    last = nearest_rows(requests, inst, n, "before")
     return exact_percentiles(last, ["at_us"], "duration_ms", fractions, method)

@@ -106,3 +106,249 @@ def payload_reduction(selfs: DataFrame, folded: DataFrame, incidents: DataFrame,
                     (F.col("raw_bytes") / F.col("served_bytes")).alias("reduction"),
                     F.floor(F.col("raw_bytes") / 4).cast("bigint").alias("raw_tokens"),
                     F.floor(F.col("served_bytes") / 4).cast("bigint").alias("served_tokens")))
+
+
+# ---------------------------------------------------------------------------
+# Q-5 signal verdicts
+# ---------------------------------------------------------------------------
+
+from ..config import (RECOVERY_FACTOR, RECOVERY_FLOOR_MS, RECOVERY_PROBES,  # noqa: E402
+                      REPLAY_TOLERANCE_POINTS, SETTLE_MARGIN_S, SETTLE_MAX_S)
+from ..functions.predicates import app_routes, is_5xx, is_ok  # noqa: E402
+from ..functions.scalars import fault_metric, id_suffix  # noqa: E402
+from ..operators import requests as R  # noqa: E402
+from ..operators import series as SR  # noqa: E402
+from ..operators.joins import join_single_rows, nearest_rows  # noqa: E402
+from ..operators.quantiles import bounded_median, exact_percentiles  # noqa: E402
+
+US = 1_000_000
+
+
+def settle_us(start: str = "start_us", end: str = "end_us"):
+    """min(45 s, max(0, duration - 30 s)) in µs."""
+    return F.least(F.lit(int(SETTLE_MAX_S * US)),
+                   F.greatest(F.lit(0), F.col(end) - F.col(start) - F.lit(int(SETTLE_MARGIN_S * US))))
+
+
+def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int, range_us: int) -> DataFrame:
+    """Long table metric, service, step_us, value for the checked metrics:
+    p95 (exact, ms), error_ratio (%), request_rate (/s), application routes only."""
+    st = SR.assign_steps(R.application(requests), start_us, end_us, step_us, range_us)
+    p95 = exact_percentiles(st, ["service", "step_us"], "duration_ms", {"value": 0.95})
+    red = R.with_rates(R.red_counts(st, ["service", "step_us"]), range_us / US)
+    long = red.select("service", "step_us", F.explode(F.array(
+        F.struct(F.lit("error_ratio").alias("metric"), F.col("error_ratio").alias("value")),
+        F.struct(F.lit("request_rate").alias("metric"), F.col("request_rate").alias("value")))).alias("m"))
+    long = long.select(F.col("m.metric").alias("metric"), "service", "step_us", F.col("m.value").alias("value"))
+    return long.unionByName(p95.select(F.lit("p95").alias("metric"), "service", "step_us", "value"))
+
+
+def verify_signals(points: DataFrame, incidents: DataFrame, checks: DataFrame,
+                   baseline_start_us: int, baseline_end_us: int) -> DataFrame:
+    """Per incident x check: baseline median vs the extreme during the incident.
+
+    rise: YES when max - before >= min_delta, else NO; fall: before - min; flat:
+    the worst excursion |v - before| <= tolerance -> FLAT, else MOVED; no baseline
+    or no during sample -> NO DATA. `during` skips the settle time at the start.
+    The baseline is one aggregate per (metric, service) over the run's quiet window.
+    """
+    base = (points.where(F.col("step_us").between(baseline_start_us, baseline_end_us))
+            .groupBy("metric", "service").agg(bounded_median("value").alias("before")))
+    inc = incidents.select("incident_id", F.col("service").alias("inc_service"), "fault_type",
+                           "start_us", "end_us")
+    cw = (checks.join(inc, "incident_id")
+          .withColumn("from_us", F.col("start_us") + settle_us()).withColumnRenamed("end_us", "to_us")
+          .drop("start_us"))
+    win = cw.select("incident_id", "name", "metric", "service", "from_us", "to_us")
+    during = interval_join(points.where(F.col("value").isNotNull()), win, "step_us", "from_us", "to_us",
+                           DAY_US, on=["metric", "service"])
+    during = during.join(base, ["metric", "service"], "left")
+    dev = F.when(F.col("before").isNotNull(), F.abs(F.col("value") - F.col("before"))).otherwise(F.col("value"))
+    agg = during.groupBy("incident_id", "name").agg(
+        F.count(F.lit(1)).alias("samples"), F.max("value").alias("_max"), F.min("value").alias("_min"),
+        F.max_by("value", F.struct(dev, -F.col("step_us"))).alias("_worst"))
+    out = (cw.join(base, ["metric", "service"], "left").join(agg, ["incident_id", "name"], "left")
+           .withColumn("samples", F.coalesce("samples", F.lit(0))))
+    during_v = (F.when(F.col("expect") == "rise", F.col("_max"))
+                .when(F.col("expect") == "fall", F.col("_min")).otherwise(F.col("_worst")))
+    out = out.withColumn("during", during_v)
+    verdict = (F.when(F.col("before").isNull() | F.col("during").isNull(), "NO DATA")
+               .when(F.col("expect") == "rise",
+                     F.when(F.col("during") - F.col("before") >= F.col("min_delta"), "YES").otherwise("NO"))
+               .when(F.col("expect") == "fall",
+                     F.when(F.col("before") - F.col("during") >= F.col("min_delta"), "YES").otherwise("NO"))
+               .otherwise(F.when(F.abs(F.col("during") - F.col("before")) <= F.col("tolerance"), "FLAT")
+                          .otherwise("MOVED")))
+    return out.select(id_suffix("incident_id").alias("incident"), F.col("inc_service").alias("service"),
+                      F.col("fault_type").alias("fault"), F.col("name").alias("metric"), "expect",
+                      "before", "during", "samples", "unit", verdict.alias("verdict"))
+
+
+def format_signals(rows: DataFrame) -> DataFrame:
+    """Markdown table lines (3 decimals, 'n/a' for null); a small report."""
+    from ..functions.scalars import format_value
+    return rows.select(F.concat_ws(" | ", F.lit("|"), "incident", "service", "fault", "metric", "expect",
+                                   format_value("before"), format_value("during"), "unit",
+                                   F.col("samples").cast("string"),
+                                   F.concat(F.lit("**"), F.col("verdict"), F.lit("**")), F.lit("|"))
+                       .alias("line"))
+
+
+# ---------------------------------------------------------------------------
+# O-54 / O-55 observed counts, Q-6 replay
+# ---------------------------------------------------------------------------
+
+def incident_observed(requests: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Per incident, on its service's application routes inside [start, end]:
+    requests_seen, requests_delayed (every request of a latency fault),
+    requests_failed (5xx) and failed_pct = 100*failed/seen (null when none seen)."""
+    win = incidents.select("incident_id", "service", "fault_type",
+                           F.col("start_us").alias("w_start"), F.col("end_us").alias("w_end"))
+    j = interval_join(R.application(requests), win, "ts_us", "w_start", "w_end", DAY_US, on=["service"])
+    g = j.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("requests_seen"),
+        F.count_if(F.col("fault_type") == "latency").alias("requests_delayed"),
+        F.count_if(is_5xx("status")).alias("requests_failed"))
+    g = incidents.select("incident_id").join(g, "incident_id", "left").fillna(
+        0, ["requests_seen", "requests_delayed", "requests_failed"])
+    return g.withColumn("failed_pct", F.when(F.col("requests_seen") > 0,
+                                             100.0 * F.col("requests_failed") / F.col("requests_seen")))
+
+
+def replay(requests: DataFrame, labels: DataFrame, as_of_us: int, retention_hours: float,
+           gauges: DataFrame | None = None, tolerance: float = REPLAY_TOLERANCE_POINTS) -> DataFrame:
+    """Ground-truth replay: query each labelled window (confirmed bounds preferred)
+    for the metric its fault should move, the way the metric query would.
+
+    EXPIRED: window ends before the retention horizon; a start before it is
+    clamped. EMPTY: no sample of the selected series in the window. For
+    error_ratio the measured max over the dense points (each over the rate
+    window) is compared to the labelled failed % (+- tolerance): MATCH / MISMATCH;
+    other metrics are 'reported'. All labels are scored in one plan.
+    """
+    horizon = as_of_us - int(retention_hours * 3600 * US)
+    cs = "confirmed_start_us" if "confirmed_start_us" in labels.columns else "start_us"
+    ce = "confirmed_end_us" if "confirmed_end_us" in labels.columns else "end_us"
+    lab = (labels.withColumn("metric", fault_metric("fault_type"))
+           .withColumn("w_start", F.coalesce(F.col(cs), F.col("start_us")))
+           .withColumn("w_end", F.coalesce(F.col(ce), F.col("end_us")))
+           .withColumn("expired", F.col("w_end") < F.lit(horizon))
+           .withColumn("clamped", ~F.col("expired") & (F.col("w_start") < F.lit(horizon)))
+           .withColumn("w_start", F.greatest(F.col("w_start"), F.lit(horizon))))
+    dur_s = (F.col("w_end") - F.col("w_start")) / US
+    rate_s = F.greatest(F.lit(2.0), F.bround(F.greatest(F.lit(30.0), F.least(F.lit(300.0), dur_s / 4.0)) / 15.0)) * 15
+    fetch_s = F.greatest(F.lit(15), F.floor(dur_s / 600 / 15 + 1).cast("bigint") * 15)
+    lab = (lab.withColumn("rate_window_s", rate_s.cast("bigint"))
+           .withColumn("fetch_step_s", fetch_s.cast("bigint")))
+    live = lab.where(~F.col("expired"))
+    # dense error-ratio points per label, all labels at once
+    win = live.where(F.col("metric") == "error_ratio").select(
+        "incident_id", "service", "w_start", "w_end", "rate_window_s", "fetch_step_s",
+        (F.col("w_start") - F.col("rate_window_s") * US + 1).alias("_from"))
+    rows = interval_join(R.application(requests), win, "ts_us", "_from", "w_end", DAY_US, on=["service"])
+    st = SR.assign_steps(rows, F.col("w_start"), F.col("w_end"), F.col("fetch_step_s") * US,
+                         F.col("rate_window_s") * US)
+    per_step = st.groupBy("incident_id", "step_us").agg(F.count(F.lit(1)).alias("n"),
+                                                         F.count_if(is_5xx("status")).alias("e"))
+    ratio = per_step.groupBy("incident_id").agg(
+        F.max(100.0 * F.col("e") / F.col("n")).alias("measured_max"),
+        F.sum("e").alias("_errors"))
+    # emptiness of the selected series inside the window (non-error metrics)
+    sel_win = live.select("incident_id", "service", "metric", "w_start", "w_end")
+    seen = interval_join(R.application(requests).select("service", "ts_us"), sel_win, "ts_us",
+                         "w_start", "w_end", DAY_US, on=["service"]).groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("_rows"))
+    out = lab.join(ratio, "incident_id", "left").join(seen, "incident_id", "left")
+    if gauges is not None:
+        gw = live.where(F.col("metric") == "db_pool").select("incident_id", "w_start", "w_end")
+        g = interval_join(gauges.select("ts_us"), gw, "ts_us", "w_start", "w_end", DAY_US)
+        out = out.join(g.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_gauge_rows")), "incident_id", "left")
+    else:
+        out = out.withColumn("_gauge_rows", F.lit(None).cast("bigint"))
+    has_data = (F.when(F.col("metric") == "error_ratio", F.coalesce(F.col("_errors"), F.lit(0)) > 0)
+                .when(F.col("metric") == "db_pool", F.coalesce(F.col("_gauge_rows"), F.lit(0)) > 0)
+                .otherwise(F.coalesce(F.col("_rows"), F.lit(0)) > 0))
+    status = F.when(F.col("expired"), "EXPIRED").when(~has_data, "EMPTY").otherwise("ok")
+    labelled = (F.when(F.col("requests_seen") > 0, 100.0 * F.col("requests_failed") / F.col("requests_seen"))
+                if "requests_seen" in labels.columns else F.lit(None).cast("double"))
+    out = out.withColumn("status", status).withColumn("labelled_pct", labelled)
+    verdict = (F.when(F.col("status") != "ok", F.col("status"))
+               .when((F.col("metric") == "error_ratio") & F.col("labelled_pct").isNotNull(),
+                     F.when(F.abs(F.col("measured_max") - F.col("labelled_pct")) <= tolerance, "MATCH")
+                     .otherwise("MISMATCH"))
+               .otherwise("reported"))
+    return out.select("incident_id", "fault_type", "service", "metric", "status", "clamped",
+                      F.col("w_start").alias("window_start_us"), F.col("w_end").alias("window_end_us"),
+                      "rate_window_s", "fetch_step_s", "labelled_pct",
+                      F.when(F.col("status") == "ok", F.col("measured_max")).alias("measured_max"),
+                      verdict.alias("verdict"),
+                      F.when(F.col("expired"), F.lit(horizon)).alias("oldest_available_us"))
+
+
+# ---------------------------------------------------------------------------
+# Q-8 recovery
+# ---------------------------------------------------------------------------
+
+def verify_recovery(requests: DataFrame, incidents: DataFrame, baseline_start_us: int,
+                    baseline_end_us: int, probes: int = RECOVERY_PROBES,
+                    front_door: str = "gateway") -> DataFrame:
+    """After each incident: the next `probes` front-door requests must all succeed
+    and their nearest-index p95 must be <= max(400 ms, 4 x baseline p95), and no
+    other incident may still be active at the end ("inert")."""
+    door = R.application(requests).where(F.col("service") == front_door)
+    base = exact_percentiles(door.where(F.col("ts_us").between(baseline_start_us, baseline_end_us)),
+                             [], "duration_ms", {"baseline_p95_ms": 0.95}, "nearest")
+    anchors = incidents.select("incident_id", F.col("end_us").alias("at_us"))
+    got = nearest_rows(door, anchors, probes, "after")
+    p95 = exact_percentiles(got, ["incident_id"], "duration_ms", {"probe_p95_ms": 0.95}, "nearest")
+    agg = got.groupBy("incident_id", "at_us").agg(
+        F.count(F.lit(1)).alias("probes"),
+        F.count_if(~is_ok("status")).alias("probe_failures"),
+        ((F.max("ts_us") - F.col("at_us")) / US).alias("recovery_s"))
+    # still active: another incident covering this one's end
+    ends = incidents.select(F.col("incident_id").alias("_self"), F.col("end_us").alias("_end"))
+    wins = incidents.select(F.col("incident_id").alias("_other"), F.col("start_us").alias("_s"),
+                            F.col("end_us").alias("_e"))
+    busy = (interval_join(ends, wins, "_end", "_s", "_e", DAY_US).where(F.col("_self") != F.col("_other"))
+            .select(F.col("_self").alias("incident_id")).distinct().withColumn("_busy", F.lit(True)))
+    out = (incidents.select("incident_id").join(agg, "incident_id", "left").join(p95, "incident_id", "left")
+           .join(busy, "incident_id", "left"))
+    out = join_single_rows(out, base)
+    ceiling = F.greatest(F.lit(RECOVERY_FLOOR_MS), F.lit(RECOVERY_FACTOR) * F.col("baseline_p95_ms"))
+    inert = ~F.coalesce(F.col("_busy"), F.lit(False))
+    recovered = (inert & (F.coalesce("probe_failures", F.lit(0)) == 0)
+                 & F.coalesce(F.col("probe_p95_ms") <= ceiling, F.lit(False)))
+    return out.select("incident_id", F.coalesce("probes", F.lit(0)).alias("probes"),
+                      F.coalesce("probe_failures", F.lit(0)).alias("probe_failures"),
+                      "probe_p95_ms", ceiling.alias("probe_ceiling_ms"), inert.alias("inert"),
+                      recovered.alias("recovered"), "recovery_s")
+
+
+# ---------------------------------------------------------------------------
+# O-10 annotations, Q-9 annotated series
+# ---------------------------------------------------------------------------
+
+def annotations(incidents: DataFrame) -> DataFrame:
+    """Region annotations: time_ms, time_end_ms, tags ['chaos', service, fault], text."""
+    params = F.to_json("params") if "params" in incidents.columns else F.lit("{}")
+    return incidents.select(
+        "incident_id",
+        F.floor(F.col("start_us") / 1000).cast("bigint").alias("time_ms"),
+        F.floor(F.col("end_us") / 1000).cast("bigint").alias("time_end_ms"),
+        F.array(F.lit("chaos"), F.col("service"), F.col("fault_type")).alias("tags"),
+        F.concat(F.col("incident_id"), F.lit(" - "), F.col("fault_type"), F.lit(" on "),
+                 F.col("service"), F.lit(" "), params).alias("text"))
+
+
+def annotate(points: DataFrame, incidents: DataFrame, required_tags=("chaos",),
+             ts: str = "step_us") -> DataFrame:
+    """Each point with the ids of the incidents covering it whose tags include all
+    `required_tags` ('id1,id2', '' when none)."""
+    ann = annotations(incidents)
+    req = F.array(*[F.lit(t) for t in required_tags])
+    ann = ann.where(F.size(F.array_except(req, F.col("tags"))) == 0).select(
+        F.col("incident_id").alias("_inc"), (F.col("time_ms") * 1000).alias("_a_start"),
+        (F.col("time_end_ms") * 1000).alias("_a_end"))
+    j = interval_join(points, ann, ts, "_a_start", "_a_end", DAY_US, how="left")
+    keys = [c for c in points.columns]
+    return j.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_inc")), ",").alias("incidents"))
