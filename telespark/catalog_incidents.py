@@ -58,14 +58,18 @@ def q_incident_observed(spark, sf_dir):
                     r6("failed_pct").alias("failed_pct"))
 
 
-@register("signal_verdicts", with_views("requests_faulted", "incidents", "checks") + f""",
+@register("signal_verdicts", with_views("requests_faulted", "incidents", "checks", "pool_gauge") + f""",
 st AS (SELECT service, duration_ms, status, {S0} + CAST(ceil((ts_us - {S0}) / {DAY}) AS BIGINT) * {DAY} AS step_us
        FROM requests_faulted WHERE {APP} AND ts_us > {S0 - DAY} AND ts_us <= {E0}),
 pts AS (
   SELECT 'p95' AS metric, service, step_us, quantile_cont(duration_ms, 0.95) AS value FROM st GROUP BY 2, 3
   UNION ALL SELECT 'error_ratio', service, step_us,
     100.0 * count(*) FILTER (WHERE status BETWEEN 500 AND 599) / count(*) FROM st GROUP BY 2, 3
-  UNION ALL SELECT 'request_rate', service, step_us, count(*) / 86400.0 FROM st GROUP BY 2, 3),
+  UNION ALL SELECT 'request_rate', service, step_us, count(*) / 86400.0 FROM st GROUP BY 2, 3
+  UNION ALL SELECT 'pool_' || state, 'inventory', t, sum(value) FROM (
+    SELECT s.t, g.pool_name, g.state, arg_max(g.value, g.ts_us) AS value
+    FROM (SELECT {S0} + r.range * {DAY} AS t FROM range(0, 31) r) s
+    JOIN pool_gauge g ON g.ts_us > s.t - 300000000 AND g.ts_us <= s.t GROUP BY 1, 2, 3) gg GROUP BY 1, 2, 3),
 base AS (SELECT metric, service, median(value) AS before FROM pts WHERE step_us BETWEEN {BS} AND {BE} GROUP BY 1, 2),
 cw AS (SELECT c.*, i.service AS inc_service, i.fault_type,
          i.start_us + least(45000000, greatest(0, i.end_us - i.start_us - 30000000)) AS from_us, i.end_us AS to_us
@@ -90,7 +94,8 @@ FROM o""")
 def q_signal_verdicts(spark, sf_dir):
     """Daily points (p95, error ratio, request rate) of the faulted requests, baseline
     median vs the extreme during each incident, one verdict per check."""
-    pts = SC.signal_points(V.requests_faulted(spark, sf_dir), S0, E0, DAY, DAY)
+    pts = SC.signal_points(V.requests_faulted(spark, sf_dir), S0, E0, DAY, DAY,
+                           gauges=V.pool_gauge(spark, sf_dir))
     v = SC.verify_signals(pts, V.incidents(spark), V.checks(spark), BS, BE)
     return v.select("incident", "service", "fault", "metric", "expect", r6("before").alias("before"),
                     r6("during").alias("during"), "samples", "unit", "verdict")

@@ -120,12 +120,15 @@ FOLD = """folded AS (
 
 
 POOL_GAUGE = """pool_gauge AS (
-  WITH u AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, least(count(*), 10) AS used
-             FROM requests WHERE service = 'inventory' GROUP BY 1)
-  SELECT 'inventory-pool' AS pool_name, 'used' AS state, 1704067200000000 + (h + 1) * 3600000000 AS ts_us,
-    CAST(used AS DOUBLE) AS value FROM u
+  WITH c AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, count(*) AS n
+             FROM requests WHERE service = 'inventory' GROUP BY 1),
+  u AS (SELECT 1704067200000000 + (g.range + 1) * 3600000000 AS ts_us,
+          least(coalesce(c.n, 0) + CASE WHEN 1704067200000000 + (g.range + 1) * 3600000000
+                BETWEEN 1705276800000000 AND 1705449600000000 THEN 9 ELSE 0 END, 10) AS used
+        FROM range(0, 720) g LEFT JOIN c ON c.h = g.range)
+  SELECT 'inventory-pool' AS pool_name, 'used' AS state, ts_us, CAST(used AS DOUBLE) AS value FROM u
   UNION ALL
-  SELECT 'inventory-pool', 'idle', 1704067200000000 + (h + 1) * 3600000000, CAST(10 - used AS DOUBLE) FROM u)"""
+  SELECT 'inventory-pool', 'idle', ts_us, CAST(10 - used AS DOUBLE) FROM u)"""
 
 PIPELINE = """pipeline_counters AS (
   WITH p AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, count(*) AS accepted,

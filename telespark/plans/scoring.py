@@ -130,9 +130,12 @@ def settle_us(start: str = "start_us", end: str = "end_us"):
                    F.greatest(F.lit(0), F.col(end) - F.col(start) - F.lit(int(SETTLE_MARGIN_S * US))))
 
 
-def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int, range_us: int) -> DataFrame:
+def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int, range_us: int,
+                  gauges: DataFrame | None = None, gauge_service: str = "inventory",
+                  lookback_us: int = 300 * US) -> DataFrame:
     """Long table metric, service, step_us, value for the checked metrics:
-    p95 (exact, ms), error_ratio (%), request_rate (/s), application routes only."""
+    p95 (exact, ms), error_ratio (%), request_rate (/s), application routes only;
+    with `gauges` also pool_<state> = `sum by (state)` of the latest sample per step."""
     st = SR.assign_steps(R.application(requests), start_us, end_us, step_us, range_us)
     p95 = exact_percentiles(st, ["service", "step_us"], "duration_ms", {"value": 0.95})
     red = R.with_rates(R.red_counts(st, ["service", "step_us"]), range_us / US)
@@ -140,7 +143,14 @@ def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int,
         F.struct(F.lit("error_ratio").alias("metric"), F.col("error_ratio").alias("value")),
         F.struct(F.lit("request_rate").alias("metric"), F.col("request_rate").alias("value")))).alias("m"))
     long = long.select(F.col("m.metric").alias("metric"), "service", "step_us", F.col("m.value").alias("value"))
-    return long.unionByName(p95.select(F.lit("p95").alias("metric"), "service", "step_us", "value"))
+    out = long.unionByName(p95.select(F.lit("p95").alias("metric"), "service", "step_us", "value"))
+    if gauges is not None:
+        from ..operators.counters import gauge_series
+        g = gauge_series(gauges, ["pool_name", "state"], start_us, end_us, step_us, lookback_us)
+        g = g.groupBy("state", "step_us").agg(F.sum("value").alias("value"))
+        out = out.unionByName(g.select(F.concat(F.lit("pool_"), F.col("state")).alias("metric"),
+                                       F.lit(gauge_service).alias("service"), "step_us", "value"))
+    return out
 
 
 def verify_signals(points: DataFrame, incidents: DataFrame, checks: DataFrame,

@@ -52,7 +52,8 @@ CHECK_ROWS = (
     ("run-fx/i1", "p95 gateway (propagated)", "p95", "gateway", "rise", 150.0, None, "ms"),
     ("run-fx/i2", "5xx ratio orders", "error_ratio", "orders", "rise", 5.0, None, "%"),
     ("run-fx/i2", "5xx ratio gateway (cascade)", "error_ratio", "gateway", "rise", 5.0, None, "%"),
-    ("run-fx/i3", "requests inventory", "request_rate", "inventory", "rise", 0.0001, None, "req/s"),
+    ("run-fx/i3", "hikari used", "pool_used", "inventory", "rise", 5.0, None, "conns"),
+    ("run-fx/i3", "hikari idle", "pool_idle", "inventory", "fall", 1.0, None, "conns"),
     ("run-fx/i3", "p95 inventory (expected FLAT)", "p95", "inventory", "flat", None, 100.0, "ms"),
     ("run-fx/i4", "p95 gateway", "p95", "gateway", "rise", 100.0, None, "ms"),
     ("run-fx/i4", "p95 inventory (expected FLAT)", "p95", "inventory", "flat", None, 100.0, "ms"),
@@ -201,21 +202,27 @@ def bucket_counts(requests_df: DataFrame, step_us: int = HOUR_US,
 
 
 POOL_SIZE = 10
+POOL_HOLD = 9          # connections held by the pool-exhaustion fault (i3)
 
 
 def pool_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connection-pool gauge of inventory, scraped at every hour end: `used` is the
-    number of inventory requests in that hour capped at the pool size, `idle` the
+    """Connection-pool gauge of inventory, scraped at every hour end of the 30-day
+    grid: `used` = inventory requests in that hour plus the 9 connections held while
+    the pool-exhaustion fault (i3) is active, capped at the pool size; `idle` = the
     rest. pool_name, state, ts_us, value (DOUBLE)."""
     r = requests(spark, sf_dir).where(F.col("service") == "inventory")
     hour = F.floor((F.col("ts_us") - EPOCH_2024_US) / HOUR_US).cast("bigint")
-    used = r.groupBy(hour.alias("h")).agg(F.least(F.count(F.lit(1)), F.lit(POOL_SIZE)).alias("used"))
+    per = r.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(COUNTER_HOURS).select(F.col("id").alias("h"))
+    i3 = INCIDENT_ROWS[2]
+    ts = F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US
+    held = F.when(ts.between(i3[3], i3[4]), F.lit(POOL_HOLD)).otherwise(F.lit(0))
+    used = grid.join(per, "h", "left").select(
+        ts.alias("ts_us"), F.least(F.coalesce("n", F.lit(0)) + held, F.lit(POOL_SIZE)).alias("used"))
     st = F.explode(F.array(F.struct(F.lit("used").alias("state"), F.col("used").alias("v")),
                            F.struct(F.lit("idle").alias("state"), (F.lit(POOL_SIZE) - F.col("used")).alias("v"))))
-    return used.select(F.lit("inventory-pool").alias("pool_name"),
-                       (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
-                       st.alias("s")).select("pool_name", F.col("s.state").alias("state"), "ts_us",
-                                             F.col("s.v").cast("double").alias("value"))
+    return used.select(F.lit("inventory-pool").alias("pool_name"), "ts_us", st.alias("s")).select(
+        "pool_name", F.col("s.state").alias("state"), "ts_us", F.col("s.v").cast("double").alias("value"))
 
 
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
