@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import register, r6
 from .operators import spans as S
-from .operators.joins import interval_join
+from .operators.joins import interval_join, join_single_rows
 from .operators.quantiles import exact_percentiles
 from .plans import traces as T
 from .plans import scoring
@@ -44,7 +44,7 @@ def q_trace_duration_stats(spark, sf_dir):
     f = S.fold_traces(_selfs(spark, sf_dir)).select((F.col("duration_us") / 1000.0).alias("ms"))
     p = exact_percentiles(f, [], "ms", {"p50_ms": 0.5, "p95_ms": 0.95})
     agg = f.agg(F.count(F.lit(1)).alias("traces"), F.max("ms").alias("max_ms"))
-    return agg.crossJoin(p).select("traces", r6("p50_ms").alias("p50_ms"),
+    return join_single_rows(agg, p).select("traces", r6("p50_ms").alias("p50_ms"),
                                    r6("p95_ms").alias("p95_ms"), r6("max_ms").alias("max_ms"))
 
 
@@ -174,10 +174,21 @@ def q_payload_reduction(spark, sf_dir):
                       "raw_tokens", "served_tokens")
 
 
-@register("query_traces_summary", None)
+@register("query_traces_summary", with_views("folded") + f""",
+sample AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY slice ORDER BY start_us DESC, trace_id) AS rn FROM (
+      SELECT *, least(2, floor((start_us - {_S0}) * 3 / {_S1 - _S0})) AS slice
+      FROM folded WHERE start_us >= {_S0} AND start_us < {_S1} AND root_service = 'gateway') a) b
+  WHERE rn <= 6)
+SELECT count(*) AS sampled, count(*) AS returned, round(max(duration_us / 1000.0), 6) AS max_ms,
+  round(quantile_cont(duration_us / 1000.0, 0.5), 6) AS p50_ms,
+  round(quantile_cont(duration_us / 1000.0, 0.95), 6) AS p95_ms
+FROM sample""")
 def q_query_traces_summary(spark, sf_dir):
     res = T.query_traces(V.spans(spark, sf_dir), "gateway", _S0, _S1, limit=20)
-    return res["summary"]
+    return res["summary"].select("sampled", "returned", r6("max_ms").alias("max_ms"),
+                                 r6("p50_ms").alias("p50_ms"), r6("p95_ms").alias("p95_ms"))
 
 
 @register("query_traces_self_time", with_views("folded", "selfs") + f""",

@@ -51,16 +51,23 @@ def metric_points(requests: DataFrame, metric: str, win: Window, service: str =
         s = C.gauge_series(g, ["pool_name", "state"], win.start_us, win.end_us, fetch_us)
         return s.groupBy(F.col("state").alias("service"), "step_us").agg(F.sum("value").alias("value"))
     r = service_selector(R.application(requests), service)
+    if metric == "error_rate":
+        r = r.where(is_5xx("status"))
     st = SR.assign_steps(r, win.start_us, win.end_us, fetch_us, rate_us)
     rate_s = rate_us / US
+    # dense grid: every step of every series that has samples in range, as the
+    # store returns it (rates 0 on quiet steps, undefined quantiles/ratios null)
+    present = st.select("service").distinct()
+    grid = SR.step_grid(requests.sparkSession, present, win.start_us, win.end_us, fetch_us)
     if metric == "latency":
         b = st.groupBy("service", "step_us", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
         cum = C.cumulative_buckets(b, ["service", "step_us"])
         q = C.histogram_quantile(cum, ["service", "step_us"], {"value": percentile / 100.0})
-        return q
+        return grid.join(q, ["service", "step_us"], "left")
     g = st.groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("n"),
                                              F.count_if(is_5xx("status")).alias("e"))
-    value = {"request_rate": F.col("n") / rate_s, "error_rate": F.col("e") / rate_s,
+    g = grid.join(g, ["service", "step_us"], "left").fillna(0, ["n", "e"])
+    value = {"request_rate": F.col("n") / rate_s, "error_rate": F.col("n") / rate_s,
              "error_ratio": F.when(F.col("n") > 0, 100.0 * F.col("e") / F.col("n"))}[metric]
     return g.select("service", "step_us", value.alias("value"))
 

@@ -177,3 +177,26 @@ def nearest_sql(table: str, keys: str, value: str, fractions: dict) -> str:
     grp = f"GROUP BY {keys}" if keys else ""
     return f"""SELECT {sel}{cols} FROM (
   SELECT *, row_number() OVER ({part} ORDER BY {value}) AS rn, count(*) OVER ({part}) AS n FROM {table}) z {grp}"""
+
+
+def hq_ctes(name: str, src: str, group: str, qs: dict) -> str:
+    """CTEs ending in `{name}` (group..., qname, val): Prometheus histogram_quantile
+    over `src` (group..., le, n) with non-cumulative per-bucket counts."""
+    gq = ", ".join(f"h.{g.strip()}" for g in group.split(","))
+    qv = ", ".join(f"('{n}', CAST({q!r} AS DOUBLE))" for n, q in qs.items())
+    return f"""{name}_c AS (SELECT {group}, le, sum(n) OVER (PARTITION BY {group} ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM {src}),
+{name}_h AS (SELECT {group}, le, cum, coalesce(lag(cum) OVER w, 0) AS prev_cum, lag(le) OVER w AS prev_le,
+        max(cum) OVER (PARTITION BY {group}) AS total FROM {name}_c WINDOW w AS (PARTITION BY {group} ORDER BY le)),
+{name}_q AS (SELECT * FROM (VALUES {qv}) t(qname, q)),
+{name}_hit AS (SELECT h.*, qq.qname, qq.q * h.total AS rnk,
+          row_number() OVER (PARTITION BY {gq}, qq.qname ORDER BY h.le) AS rk
+        FROM {name}_h h JOIN {name}_q qq ON h.cum >= qq.q * h.total WHERE h.total > 0),
+{name} AS (SELECT {group}, qname, CASE WHEN le = CAST('Infinity' AS DOUBLE) THEN prev_le
+          WHEN prev_le IS NULL AND le <= 0 THEN le WHEN cum = prev_cum THEN le
+          ELSE coalesce(prev_le, 0.0) + (le - coalesce(prev_le, 0.0)) * ((rnk - prev_cum) / (cum - prev_cum)) END AS val
+      FROM {name}_hit WHERE rk = 1)"""
+
+
+def le_case(col: str = "duration_ms") -> str:
+    return "CASE " + " ".join(f"WHEN {col} <= {b!r} THEN CAST({b!r} AS DOUBLE)" for b in BUCKET_BOUNDS_MS) \
+        + " ELSE CAST('Infinity' AS DOUBLE) END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import OLDEST_GRID_S, REPORTING_LOOKBACK_S, SERVICES
 from ..functions.predicates import app_routes, is_5xx
 from ..operators import series as SR
+from ..operators.joins import join_single_rows
 
 US = 1_000_000
 _ERROR_METRICS = ("error_rate", "error_ratio")
@@ -89,7 +90,7 @@ def telemetry_status(df: DataFrame, spark, as_of_us: int, retention_hours: float
     rep_l = rep.agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("reporting"))
     mis_l = missing.agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("not_reporting"))
     old = oldest_queryable(df, as_of_us, retention_hours)
-    out = rep_l.crossJoin(mis_l).crossJoin(old)   # three single-row aggregates
+    out = join_single_rows(rep_l, mis_l, old)   # three single-row aggregates
     return out.withColumn("status", F.when(F.col("oldest_us").isNull(), "degraded").otherwise("ok"))
 
 

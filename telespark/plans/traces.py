@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TRACES, MAX_TRACES, SERVICES
 from ..operators import spans as S
+from ..operators.joins import join_single_rows
 from ..operators.quantiles import exact_percentiles
 from ..session import ensure_checkpoint_dir
 
@@ -37,10 +38,12 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
                               .otherwise(F.lit(0.0)))
     ms = kept.select((F.col("duration_us") / 1000.0).alias("duration_ms"))
     pct = exact_percentiles(ms, [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    counts = sample.agg(F.count(F.lit(1)).alias("sampled")).crossJoin(
-        kept.agg(F.count(F.lit(1)).alias("returned"),
-                 F.max(F.col("duration_us") / 1000.0).alias("max_ms")))
-    summary = counts.join(pct, how="left") if pct.columns else counts
+    counts = join_single_rows(sample.agg(F.count(F.lit(1)).alias("sampled")),
+                              kept.agg(F.count(F.lit(1)).alias("returned"),
+                                       F.max(F.col("duration_us") / 1000.0).alias("max_ms")))
+    # percentiles of an empty sample produce no row: keep the counts row anyway
+    summary = (counts.withColumn("_one", F.lit(1))
+               .join(pct.withColumn("_one", F.lit(1)), "_one", "left").drop("_one"))
     traces = S.top_traces(kept, limit)
     return {"summary": summary, "self_time": self_tbl, "traces": traces}
 
