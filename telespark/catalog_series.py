@@ -11,7 +11,7 @@ from .functions.predicates import app_routes, is_5xx, label_eq
 from .operators import counters as C
 from .operators import requests as R
 from .operators import series as SR
-from .plans.oracle_views import APP, with_views
+from .plans.oracle_views import APP, hq_ctes, le_case, with_views
 from .sources import views as V
 
 S0 = V.EPOCH_2024_US
@@ -213,3 +213,52 @@ def q_pipeline_loss(spark, sf_dir):
                                    for n, a in ((_ACC, "acc"), (_SENT, "sent"), (_REF, "ref"))])
     return p.select("step_us", r9("acc").alias("accepted_rate"), r9("sent").alias("sent_rate"),
                     r9("ref").alias("refused_rate"), r9(F.col("acc") - F.col("sent")).alias("loss_rate"))
+
+
+_LE_COLS = ", ".join(f"count(*) FILTER (WHERE duration_ms <= {b!r}) AS le_{str(b).replace('.', '_')}"
+                     for b in V.BUCKET_BOUNDS_MS)
+
+
+@register("red_rollup", with_views("requests") + f"""
+SELECT (ts_us // {HOUR}) * {HOUR} AS window_start_us, (ts_us // {HOUR}) * {HOUR} + {HOUR} AS window_end_us,
+  service, count(*) AS requests, count(*) FILTER (WHERE status BETWEEN 500 AND 599) AS errors_5xx, {_LE_COLS}
+FROM requests WHERE {APP} GROUP BY 1, 2, 3""")
+def q_red_rollup(spark, sf_dir):
+    """Batch twin of the streaming RED rollup (event-time tumbling windows of 1 h)."""
+    from .streaming.red import red_rollup, with_event_time
+    return red_rollup(with_event_time(V.requests(spark, sf_dir)), "1 hour")
+
+
+@register("dashboard_panels", with_views("requests", "pool_gauge", "pipeline_counters") + f""",
+steps AS (SELECT {S0} + r.range * {HOUR} AS t FROM range(0, {(E0 - S0) // HOUR + 1}) r),
+st AS (SELECT *, {S0} + CAST(ceil((ts_us - {S0}) / {HOUR}) AS BIGINT) * {HOUR} AS step_us FROM requests
+       WHERE ts_us > {S0 - HOUR} AND ts_us <= {E0}),
+cnt AS (SELECT service, step_us, count(*) AS n FROM st WHERE {APP} GROUP BY 1, 2),
+grid AS (SELECT p.service, s.t AS step_us FROM (SELECT DISTINCT service FROM cnt) p, steps s),
+rate AS (SELECT 'request_rate' AS panel, g.service AS series, g.step_us, coalesce(c.n, 0) / 3600.0 AS value
+         FROM grid g LEFT JOIN cnt c ON c.service = g.service AND c.step_us = g.step_us),
+hb AS (SELECT service, step_us, {le_case()} AS le, count(*) AS n FROM st WHERE {APP} GROUP BY 1, 2, 3),
+""" + hq_ctes("pq", "hb", "service, step_us", {"value": 0.95}) + f""",
+p95 AS (SELECT 'p95_ms' AS panel, service AS series, step_us, val AS value FROM pq),
+errs AS (SELECT 'errors_5xx' AS panel, service AS series, step_us, count(*) / 3600.0 AS value FROM st
+         WHERE coalesce(route, '') NOT LIKE '/chaos%' AND status BETWEEN 500 AND 599 GROUP BY 1, 2, 3),
+pool AS (SELECT 'pool' AS panel, state AS series, t AS step_us, sum(value) AS value FROM (
+           SELECT s.t, g.pool_name, g.state, arg_max(g.value, g.ts_us) AS value FROM steps s
+           JOIN pool_gauge g ON g.ts_us > s.t - 300000000 AND g.ts_us <= s.t
+           WHERE g.pool_name = 'inventory-pool' GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3),
+d AS (SELECT name, ts_us, CASE WHEN lag(value) OVER w IS NULL THEN 0.0 WHEN value >= lag(value) OVER w
+        THEN value - lag(value) OVER w ELSE value END AS delta
+      FROM pipeline_counters WINDOW w AS (PARTITION BY name ORDER BY ts_us)),
+pipe AS (SELECT 'pipeline' AS panel, name AS series, {S0} + CAST(ceil((ts_us - {S0}) / {HOUR}) AS BIGINT) * {HOUR} AS step_us,
+           sum(delta) / 3600.0 AS value FROM d WHERE ts_us > {S0 - HOUR} AND ts_us <= {E0} GROUP BY 1, 2, 3),
+allp AS (SELECT * FROM rate UNION ALL SELECT * FROM p95 UNION ALL SELECT * FROM errs
+         UNION ALL SELECT * FROM pool UNION ALL SELECT * FROM pipe)
+SELECT panel, series, round(arg_max(value, step_us), 9) AS last, round(avg(value), 9) AS mean,
+  round(max(value), 9) AS max
+FROM allp WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2""")
+def q_dashboard_panels(spark, sf_dir):
+    """Five panels (request rate, p95, 5xx, pool, pipeline) at hourly steps."""
+    from .plans.dashboard import dashboard_panels
+    d = dashboard_panels(V.requests(spark, sf_dir), S0, E0, HOUR,
+                         pool_gauge=V.pool_gauge(spark, sf_dir), pipeline=V.pipeline_counters(spark, sf_dir))
+    return d.select("panel", "series", r9("last").alias("last"), r9("mean").alias("mean"), r9("max").alias("max"))
