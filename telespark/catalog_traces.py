@@ -19,7 +19,7 @@ TRACE_WINDOW = (788918400000000, 1000000000000000)   # 1995-01-01 .. 2001-09-09
 
 
 def _selfs(spark, sf_dir):
-    return S.self_time(V.spans(spark, sf_dir))
+    return S.self_time(V.spans_table(spark, sf_dir))
 
 
 @register("fold_traces", with_views("folded") + "SELECT * FROM folded")
@@ -84,7 +84,7 @@ SELECT trace_id, span_id, max(rn) OVER (PARTITION BY trace_id) > 60 AS truncated
   SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_us, span_id) AS rn
   FROM spans) x QUALIFY rn <= 60""")
 def q_span_cap(spark, sf_dir):
-    return S.cap_spans(V.spans(spark, sf_dir), 60).select("trace_id", "span_id", "truncated")
+    return S.cap_spans(V.spans_table(spark, sf_dir), 60).select("trace_id", "span_id", "truncated")
 
 
 _TREE_SQL = with_views("selfs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -106,7 +106,7 @@ SELECT * FROM tree"""
 
 @register("trace_tree", _TREE_SQL)
 def q_trace_tree(spark, sf_dir):
-    return T.trace_tree(V.spans(spark, sf_dir)).select(
+    return T.trace_tree(V.spans_table(spark, sf_dir)).select(
         "trace_id", "span_id", "depth", "path", "offset_us", "duration_us", "self_us", "service", "status")
 
 
@@ -186,7 +186,7 @@ SELECT count(*) AS sampled, count(*) AS returned, round(max(duration_us / 1000.0
   round(quantile_cont(duration_us / 1000.0, 0.95), 6) AS p95_ms
 FROM sample""")
 def q_query_traces_summary(spark, sf_dir):
-    res = T.query_traces(V.spans(spark, sf_dir), "gateway", _S0, _S1, limit=20)
+    res = T.query_traces(V.spans_table(spark, sf_dir), "gateway", _S0, _S1, limit=20)
     return res["summary"].select("sampled", "returned", r6("max_ms").alias("max_ms"),
                                  r6("p50_ms").alias("p50_ms"), r6("p95_ms").alias("p95_ms"))
 
@@ -201,5 +201,5 @@ sample AS (
 per AS (SELECT service, sum(self_us) AS total_us FROM selfs WHERE trace_id IN (SELECT trace_id FROM sample) GROUP BY 1)
 SELECT service, CAST(total_us AS BIGINT) AS total_us, round(100.0 * total_us / sum(total_us) OVER (), 6) AS pct FROM per""")
 def q_query_traces_self_time(spark, sf_dir):
-    res = T.query_traces(V.spans(spark, sf_dir), "gateway", _S0, _S1, limit=20)
+    res = T.query_traces(V.spans_table(spark, sf_dir), "gateway", _S0, _S1, limit=20)
     return res["self_time"].select("service", "total_us", r6("pct").alias("pct"))

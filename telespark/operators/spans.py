@@ -36,9 +36,15 @@ def resolve_parents(spans: DataFrame) -> DataFrame:
     return j.withColumn("parent_id", F.col("_p")).drop("_t", "_p")
 
 
-def child_coverage(resolved: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
-    """(trace_id, span_id, covered_us): union length of each parent's children."""
-    c = (resolved.where(F.col("parent_id").isNotNull())
+def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    """(trace_id, span_id, covered_us): union length of each parent's children.
+
+    Grouped on the referenced parent id directly: children of a parent that is not
+    in the trace produce a coverage row that later attaches to no span, so no
+    parent resolution is needed here.
+    """
+    c = (spans.where(F.col("parent_span_id").isNotNull())
+         .withColumnRenamed("parent_span_id", "parent_id")
          .select("trace_id", "parent_id", "span_id", "start_us",
                  (F.col("start_us") + F.col("duration_us")).alias("end_us"),
                  F.floor(F.col("start_us") / chunk_us).cast("bigint").alias("chunk")))
@@ -61,7 +67,7 @@ def child_coverage(resolved: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
 def self_time(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
     """spans + parent_id, covered_us, self_us, is_error."""
     r = resolve_parents(spans)
-    cov = child_coverage(r, chunk_us)
+    cov = child_coverage(spans, chunk_us)
     out = r.join(cov, ["trace_id", "span_id"], "left")
     return (out.withColumn("covered_us", F.coalesce("covered_us", F.lit(0)).cast("bigint"))
             .withColumn("self_us", F.greatest(F.lit(0), F.col("duration_us") - F.col("covered_us")))
@@ -78,27 +84,32 @@ def self_time_by_service(selfs: DataFrame) -> DataFrame:
 
 def fold_traces(selfs: DataFrame) -> DataFrame:
     """One row per trace: root span, start, duration, span count, errors, root
-    status and service, and self-time per service as 'service=us;...' (by name)."""
+    status and service, and self-time per service as 'service=us;...' (by name).
+
+    One aggregation chain: (trace, service) partials carry the service's root
+    candidate, then (trace) picks the root and assembles the per-service list
+    (at most one entry per service)."""
     root_key = F.struct(F.col("parent_id").isNotNull().alias("_has_parent"),
-                        F.col("start_us"), F.col("span_id"))
-    root = F.struct("span_id", "service", "start_us", "duration_us", "status",
-                    *([F.col("operation")] if "operation" in selfs.columns else []))
-    per_trace = selfs.groupBy("trace_id").agg(
-        F.min_by(root, root_key).alias("_root"),
-        F.count(F.lit(1)).alias("spans"),
-        F.count_if(F.col("is_error")).alias("errors"))
-    per_svc = selfs.groupBy("trace_id", "service").agg(F.sum("self_us").alias("s"))
-    per_svc = per_svc.groupBy("trace_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("service", "s"))),
-        lambda x: F.concat(x["service"], F.lit("="), x["s"].cast("string"))), ";").alias("self_us_by_service"))
-    return per_trace.join(per_svc, "trace_id").select(
+                        F.col("start_us").alias("_s"), F.col("span_id").alias("_i"))
+    root = F.struct(root_key.alias("k"), F.struct(
+        "span_id", "service", "start_us", "duration_us", "status",
+        *([F.col("operation")] if "operation" in selfs.columns else [])).alias("v"))
+    per_svc = selfs.groupBy("trace_id", "service").agg(
+        F.min(root).alias("_root"), F.sum("self_us").alias("s"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_error")).alias("e"))
+    per_trace = per_svc.groupBy("trace_id").agg(
+        F.min("_root").alias("_root"), F.sum("n").alias("spans"), F.sum("e").alias("errors"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("service", "s"))),
+                                 lambda x: F.concat(x["service"], F.lit("="), x["s"].cast("string"))),
+                     ";").alias("self_us_by_service"))
+    return per_trace.select(
         "trace_id",
-        F.col("_root.span_id").alias("root_span_id"),
-        F.col("_root.service").alias("root_service"),
-        F.col("_root.start_us").alias("start_us"),
-        F.col("_root.duration_us").alias("duration_us"),
+        F.col("_root.v.span_id").alias("root_span_id"),
+        F.col("_root.v.service").alias("root_service"),
+        F.col("_root.v.start_us").alias("start_us"),
+        F.col("_root.v.duration_us").alias("duration_us"),
         "spans", "errors",
-        F.col("_root.status").alias("root_status"),
+        F.col("_root.v.status").alias("root_status"),
         "self_us_by_service")
 
 

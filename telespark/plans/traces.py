@@ -61,23 +61,26 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
     selfs = S.self_time(spans)
     if trace_ids is not None:
         selfs = selfs.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    selfs = S.span_offsets(selfs)
-    # start points: parentless spans; traces with none use their earliest span
-    has_root = selfs.where(F.col("parent_id").isNull()).select("trace_id").distinct()
-    fallback = (selfs.join(has_root, "trace_id", "left_anti")
-                .groupBy("trace_id").agg(F.min_by("span_id", F.struct("start_us", "span_id")).alias("span_id"))
-                .withColumn("_fallback", F.lit(True)))
-    base = selfs.join(fallback, ["trace_id", "span_id"], "left")
-    base = base.withColumn("_start", F.col("parent_id").isNull() | F.coalesce("_fallback", F.lit(False)))
+    # one per-trace aggregate: origin (earliest root, else earliest span), whether a
+    # parentless span exists, and the earliest span as the fallback start point
+    key = F.struct(F.col("parent_id").isNotNull(), F.col("start_us"))
+    per = selfs.groupBy("trace_id").agg(
+        F.min_by("start_us", key).alias("origin_us"),
+        F.max(F.col("parent_id").isNull()).alias("_has_root"),
+        F.min_by("span_id", F.struct("start_us", "span_id")).alias("_earliest"))
+    base = (selfs.join(per, "trace_id")
+            .withColumn("offset_us", F.col("start_us") - F.col("origin_us"))
+            .withColumn("_start", F.col("parent_id").isNull()
+                        | (~F.col("_has_root") & (F.col("span_id") == F.col("_earliest")))))
     sib = Window.partitionBy("trace_id", F.when(F.col("_start"), F.lit(None)).otherwise(F.col("parent_id"))) \
         .orderBy("start_us", "span_id")
-    base = base.withColumn("_rank", F.row_number().over(sib))
+    base = base.withColumn("_rank", F.row_number().over(sib)).persist()
     cols = ["trace_id", "span_id", "offset_us", "duration_us", "self_us", "service", "status"]
     pad = lambda c: F.lpad(F.col(c).cast("string"), PATH_WIDTH, "0")
     level = (base.where(F.col("_start"))
              .select(*cols, F.lit(0).alias("depth"), pad("_rank").alias("path"),
                      F.array(F.col("span_id")).alias("_anc")))
-    children = base.where(~F.col("_start")).select(*cols, "parent_id", "_rank").persist()
+    children = base.where(~F.col("_start")).select(*cols, "parent_id", "_rank")
     ensure_checkpoint_dir(spans.sparkSession)
     level = level.checkpoint()           # reliable checkpoint: survives executor loss
     levels = [level.drop("_anc")]
@@ -96,7 +99,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
             break
         levels.append(nxt.drop("_anc"))
         level = nxt
-    children.unpersist()
+    base.unpersist()
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -243,3 +243,20 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("name").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     return long.select("name", (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
                        F.sum("n").over(w).cast("double").alias("value"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that several branches of a plan read.
+
+    A reliable checkpoint into `spark.checkpoint.dir` (shared storage on a cluster,
+    so it survives executor loss); without it, every branch of a self-join would
+    recompute the derivation.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span view, materialized once (see `materialize`)."""
+    return materialize(spans(spark, sf_dir))
