@@ -39,8 +39,8 @@ def read_incidents(spark: SparkSession, path: str, run: str | None = None,
     """Labels with an explicit schema; blank lines are skipped by the reader,
     malformed lines land in `_corrupt_record` (PERMISSIVE) or fail (FAILFAST).
     Adds epoch-µs bounds (null when a timestamp has no zone) and observed counts."""
-    schema = LABEL_SCHEMA.add(T.StructField("_corrupt_record", T.StringType())) \
-        if mode == "PERMISSIVE" else LABEL_SCHEMA
+    schema = (T.StructType(LABEL_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+              if mode == "PERMISSIVE" else LABEL_SCHEMA)
     df = (spark.read.schema(schema).option("mode", mode)
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     if run is not None:

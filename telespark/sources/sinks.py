@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 def existing_incidents(spark: SparkSession, path: str, run_id: str) -> list:
     """Incident partitions already exported for this run (directory listing only)."""
-    run_dir = f"{path.rstrip('/')}/run_id={run_id}"
+    run_dir = f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}"
     if not _path_exists(spark, run_dir):
         return []
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(run_dir)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
+    return sorted(unquote(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
                   if st.isDirectory() and st.getPath().getName().startswith("incident_id="))
 
 

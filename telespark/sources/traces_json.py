@@ -48,14 +48,15 @@ def flatten_traces(docs: DataFrame) -> DataFrame:
              .withColumn("error", ~err.isin("", "false", "0", "null"))
              .withColumn("route", F.col("tags")["http.route"]))
     # parent: first CHILD_OF reference whose span exists in this trace (join on ids)
-    refs = spans.select("trace_id", F.col("span_id").alias("_child"),
-                        F.posexplode("_refs").alias("_pos", "_r")).where(F.col("_r.refType") == "CHILD_OF")
-    ids = spans.select("trace_id", F.col("span_id").alias("_pid"))
-    hit = refs.join(ids, (refs["trace_id"] == ids["trace_id"]) & (refs["_r.spanID"] == ids["_pid"])) \
-        .drop(ids["trace_id"])
-    first = hit.groupBy("trace_id", "_child").agg(F.min_by("_pid", "_pos").alias("parent_span_id"))
-    out = spans.join(first, (spans["trace_id"] == first["trace_id"]) & (spans["span_id"] == first["_child"]), "left") \
-        .drop(first["trace_id"]).drop("_child")
+    refs = (spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_child"),
+                         F.posexplode("_refs").alias("_pos", "_r"))
+            .where(F.col("_r.refType") == "CHILD_OF")
+            .select("_t", "_child", "_pos", F.col("_r.spanID").alias("_ref")))
+    ids = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_ref"))
+    first = (refs.join(ids, ["_t", "_ref"])
+             .groupBy("_t", "_child").agg(F.min_by("_ref", "_pos").alias("parent_span_id"))
+             .withColumnRenamed("_t", "trace_id").withColumnRenamed("_child", "span_id"))
+    out = spans.join(first, ["trace_id", "span_id"], "left")
     return out.drop("_refs", "_tags")
 
 

@@ -64,29 +64,40 @@ _STATE_SCHEMA = T.StructType([T.StructField("last_seen_us", T.LongType())])
 
 def silent_services_stream(stream: DataFrame, silence: str = "5 minutes",
                            watermark: str = "1 minute", silence_us: int = 300 * 1000000) -> DataFrame:
-    """Emit (service, last_seen_us, silent_after_us) once a service has sent nothing
-    for `silence` of event time: per-service state holding the last event time and
-    an event-time timeout. State is one row per service (bounded by the label set).
+    """Emit (service, last_seen_us, silent_after_us) for every stretch in which a
+    service sent nothing for longer than `silence` of event time.
+
+    Per-service state holds the last event time (one row per service, bounded by
+    the label set). A gap inside arriving data is reported when the data arrives;
+    a trailing silence is reported by the event-time timeout once the watermark
+    passes last_seen + silence. Either way the output does not depend on how the
+    stream was cut into micro-batches.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    def rows(service, lasts):
+        return pd.DataFrame({"service": [service] * len(lasts),
+                             "last_seen_us": pd.Series(lasts, dtype="int64"),
+                             "silent_after_us": pd.Series([x + silence_us for x in lasts], dtype="int64")})
+
     def step(key, pdfs, state):
         (service,) = key
         if state.hasTimedOut:
-            last = state.get[0]
+            last = int(state.get[0])
             state.remove()
-            yield pd.DataFrame({"service": [service], "last_seen_us": [last],
-                                "silent_after_us": [last + silence_us]})
+            yield rows(service, [last])
             return
-        latest = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            m = int(pdf["ts_us"].max())
-            latest = m if latest is None else max(latest, m)
-        state.update((latest,))
-        state.setTimeoutTimestamp(latest // 1000 + silence_us // 1000)
-        yield pd.DataFrame({"service": [], "last_seen_us": [], "silent_after_us": []}).astype(
-            {"service": "object", "last_seen_us": "int64", "silent_after_us": "int64"})
+        times = sorted(int(t) for pdf in pdfs for t in pdf["ts_us"])
+        prev = int(state.get[0]) if state.exists else None
+        gaps = []
+        for t in times:
+            if prev is not None and t - prev > silence_us:
+                gaps.append(prev)
+            prev = t if prev is None else max(prev, t)
+        state.update((prev,))
+        state.setTimeoutTimestamp(prev // 1000 + silence_us // 1000)
+        yield rows(service, gaps)
 
     ev = with_event_time(stream).withWatermark("ts", watermark).select("service", "ts_us", "ts")
     return ev.groupBy("service").applyInPandasWithState(
