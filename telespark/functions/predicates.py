@@ -65,3 +65,14 @@ def label_eq(df: DataFrame, **labels) -> DataFrame:
     for key, value in labels.items():
         df = df.filter(F.col(key) == F.lit(value))
     return df
+
+
+def in_window(df: DataFrame, start_us: int, end_us: int, ts: str = "ts_us") -> DataFrame:
+    """Absolute window, inclusive at both ends (a plain range predicate, pushed to
+    the parquet scan when `ts` is a stored column)."""
+    return df.where(F.col(ts).between(F.lit(start_us), F.lit(end_us)))
+
+
+def retain(df: DataFrame, as_of_us: int, retention_hours: float, ts: str = "ts_us") -> DataFrame:
+    """Rows inside the store's retention horizon [as_of - retention, as_of]."""
+    return in_window(df, as_of_us - int(retention_hours * 3600 * 1_000_000), as_of_us, ts)

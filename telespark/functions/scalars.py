@@ -45,3 +45,10 @@ def expected_signal(checks_col) -> Column:
 def format_value(col, digits: int = 3) -> Column:
     """Fixed decimals, 'n/a' for null (report rendering)."""
     return F.coalesce(F.format_number(_c(col), digits), F.lit("n/a"))
+
+
+def round_half_even(col, digits: int = 1) -> Column:
+    """Presentation rounding, half to even (Python's `round`); NaN -> null.
+    Aggregations keep integer microseconds and round only at the end."""
+    c = _c(col)
+    return F.when(~F.isnan(c), F.bround(c, digits))

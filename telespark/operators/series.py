@@ -100,3 +100,13 @@ def last_non_null(points: DataFrame, keys, ts: str = "step_us", value: str = "va
     nn = points.where(F.col(value).isNotNull() & ~F.isnan(value))
     return nn.groupBy(*keys).agg(F.max_by(value, ts).alias("last"), F.avg(value).alias("mean"),
                                  F.max(value).alias("max"))
+
+
+def ratio_series(numerator: DataFrame, denominator: DataFrame, keys, scale: float = 100.0) -> DataFrame:
+    """`scale * num / den` matched one-to-one on `keys` (e.g. service, step_us):
+    an inner join, so a step without a numerator series yields no row; a zero
+    denominator yields null."""
+    n = numerator.select(*keys, F.col("value").alias("_num"))
+    d = denominator.select(*keys, F.col("value").alias("_den"))
+    return n.join(d, list(keys)).select(
+        *keys, F.when(F.col("_den") != 0, F.lit(scale) * F.col("_num") / F.col("_den")).alias("value"))

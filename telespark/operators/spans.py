@@ -142,19 +142,24 @@ def filter_traces(folded: DataFrame, min_duration_ms=None, errors_only: bool = F
 
 
 def sample_traces(folded: DataFrame, start_us: int, end_us: int, limit: int,
-                  service: str | None = None, membership: str = "root") -> DataFrame:
+                  service: str | None = None, membership: str = "root",
+                  members: DataFrame | None = None) -> DataFrame:
     """Stratified sample: the window is cut into 3 half-open slices and the newest
     max(1, limit // 3) traces of each slice are kept (ties by trace_id).
 
     `membership='root'` keeps traces whose root service is `service`; 'any' keeps
-    traces with at least one span of it (needs `services` array column)."""
+    traces listed in `members` (see `traces_touching`), a semi-join."""
     per = max(1, int(limit) // SUBWINDOWS)
     t = folded.where(F.col("start_us") >= start_us).where(F.col("start_us") < end_us)
     if service is not None:
         if membership == "root":
             t = t.where(F.col("root_service") == service)
+        elif membership == "any":
+            if members is None:
+                raise ValueError("membership='any' needs `members` (trace ids with a span of the service)")
+            t = t.join(members.select("trace_id"), "trace_id", "left_semi")
         else:
-            t = t.where(F.col("self_us_by_service").contains(service + "="))
+            raise ValueError("membership must be 'root' or 'any'")
     length = end_us - start_us
     sl = F.least(F.lit(SUBWINDOWS - 1), F.floor((F.col("start_us") - F.lit(start_us)) * SUBWINDOWS / F.lit(length)))
     t = t.withColumn("slice", sl.cast("int"))
@@ -176,3 +181,14 @@ def span_offsets(selfs: DataFrame) -> DataFrame:
     origin = selfs.groupBy("trace_id").agg(F.min_by("start_us", key).alias("origin_us"))
     return (selfs.join(origin, "trace_id")
             .withColumn("offset_us", F.col("start_us") - F.col("origin_us")))
+
+
+def distinct_spans(spans: DataFrame) -> DataFrame:
+    """One row per (trace_id, span_id): the same trace fetched twice (overlapping
+    exports or sub-windows) counts once."""
+    return spans.dropDuplicates(["trace_id", "span_id"])
+
+
+def traces_touching(spans: DataFrame, service: str) -> DataFrame:
+    """trace_id of every trace with at least one span of `service`."""
+    return spans.where(F.col("service") == service).select("trace_id").distinct()

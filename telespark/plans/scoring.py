@@ -130,6 +130,16 @@ def settle_us(start: str = "start_us", end: str = "end_us"):
                    F.greatest(F.lit(0), F.col(end) - F.col(start) - F.lit(int(SETTLE_MARGIN_S * US))))
 
 
+def baseline_windows(runs: DataFrame, incidents: DataFrame, edge_s: float = 15.0) -> DataFrame:
+    """One quiet window per run (not per incident): from run start + 15 s to the
+    first incident's start - 15 s. runs: run_id, started_us; incidents carry run_id."""
+    first = incidents.groupBy("run_id").agg(F.min("start_us").alias("_first"))
+    e = int(edge_s * US)
+    return (runs.join(first, "run_id", "left")
+            .select("run_id", (F.col("started_us") + e).alias("baseline_start_us"),
+                    (F.col("_first") - e).alias("baseline_end_us")))
+
+
 def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int, range_us: int,
                   gauges: DataFrame | None = None, gauge_service: str = "inventory",
                   lookback_us: int = 300 * US) -> DataFrame:
