@@ -90,15 +90,14 @@ def q_span_cap(spark, sf_dir):
 _TREE_SQL = with_views("selfs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
 ranked AS (
   SELECT s.*, s.start_us - o.origin_us AS offset_us,
-    row_number() OVER (PARTITION BY s.trace_id, s.parent_id ORDER BY s.start_us, s.span_id) AS rk
+    lpad(CAST(s.start_us AS VARCHAR), 17, '0') || ':' || lpad(CAST(s.span_id AS VARCHAR), 20, '0') AS comp
   FROM selfs s JOIN (SELECT trace_id, arg_min(start_us, (parent_id IS NOT NULL, start_us)) AS origin_us
                      FROM selfs GROUP BY 1) o ON o.trace_id = s.trace_id),
 tree AS (
-  SELECT trace_id, span_id, 0 AS depth, lpad(CAST(rk AS VARCHAR), 8, '0') AS path, offset_us,
-    duration_us, self_us, service, status
+  SELECT trace_id, span_id, 0 AS depth, comp AS path, offset_us, duration_us, self_us, service, status
   FROM ranked WHERE parent_id IS NULL
   UNION ALL
-  SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '.' || lpad(CAST(c.rk AS VARCHAR), 8, '0'),
+  SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '/' || c.comp,
     c.offset_us, c.duration_us, c.self_us, c.service, c.status
   FROM ranked c JOIN tree t ON c.trace_id = t.trace_id AND c.parent_id = t.span_id)
 SELECT * FROM tree"""

@@ -78,51 +78,67 @@ def join_single_rows(*frames: DataFrame) -> DataFrame:
 
 def nearest_rows(rows: DataFrame, anchors: DataFrame, n: int, direction: str = "before",
                  ts: str = "ts_us", tie: str = "request_id", at: str = "at_us",
-                 hist_us: int = 3600 * 1000000, on=()) -> DataFrame:
+                 hist_us: int = 60 * 1000000, on=()) -> DataFrame:
     """For every anchor instant, the `n` rows closest to it on one side
     ('before': ts <= at, newest first; 'after': ts > at, oldest first).
 
-    No window runs over raw rows: a histogram of rows per `hist_us` bucket (bounded
-    by the time span) tells, per anchor, how far to look to hold >= n rows; only
-    rows inside that bound are joined to the anchor (bucketed interval join) and
-    ranked (WindowGroupLimit keeps n per anchor). Output: rows + anchor columns + `rank`.
+    No window runs over raw rows. A histogram of rows per `hist_us` bucket (its
+    size is bounded by the time span, not the data) and its running count give,
+    by an as-of lookup per anchor, the bucket range that holds >= n rows next to
+    the anchor; only rows in that range are joined to the anchor (bucketed
+    interval join) and the exact top n is taken with a salted two-level ranking.
+    Output: rows + anchor columns + `rank`.
     """
-    on = list(on)
-    hb = F.floor(F.col(ts) / hist_us).cast("bigint")
-    hist = rows.groupBy(*on, hb.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-    anc_h = F.floor(F.col(at) / hist_us).cast("bigint")
-    anchors_b, _ = guarded_broadcast(anchors)
-    if direction == "before":
-        cond = F.col("_h") < anc_h
-        order = F.col("_h").desc()
-    elif direction == "after":
-        cond = F.col("_h") > anc_h
-        order = F.col("_h").asc()
-    else:
-        raise ValueError("direction must be 'before' or 'after'")
-    hist_a = hist.select(*[F.col(k).alias(f"_hk_{k}") for k in on], "_h", "_c")
-    for k in on:
-        cond = cond & (F.col(f"_hk_{k}") == F.col(k))
-    cand = hist_a.join(anchors_b, cond)
-    part = [at] + on
     from pyspark.sql import Window
-    run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("_c").over(run))
+    from .topn import top_n_per_group
+    if direction not in ("before", "after"):
+        raise ValueError("direction must be 'before' or 'after'")
+    on = list(on)
+    hist = (rows.groupBy(*on, F.floor(F.col(ts) / hist_us).cast("bigint").alias("_h"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*on).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum", F.sum("_c").over(w))     # rows in buckets <= _h
+    span = hist.groupBy(*on).agg(F.min("_h").alias("_hmin"), F.max("_h").alias("_hmax"))
+    anc = anchors.select("*", F.floor(F.col(at) / hist_us).cast("bigint").alias("_ha"))
+    # as-of 1: cum of the last bucket before (or at) the anchor's own bucket
+    edge = F.col("_ha") - 1 if direction == "before" else F.col("_ha")
+    a1 = anc.select(*on, at, edge.alias("_key"), F.lit(1).alias("_kind"),
+                    F.lit(None).cast("bigint").alias("_hv"), F.lit(None).cast("bigint").alias("_cv"))
+    h1 = hist.select(*on, F.lit(None).cast("bigint").alias(at), F.col("_h").alias("_key"),
+                     F.lit(0).alias("_kind"), F.col("_h").alias("_hv"), F.col("_cum").alias("_cv"))
+    u = a1.unionByName(h1)
+    w1 = Window.partitionBy(*on).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    base = (u.withColumn("_base", F.coalesce(F.last("_cv", ignorenulls=True).over(w1), F.lit(0)))
+            .where(F.col("_kind") == 1).select(*on, at, "_base"))
+    # as-of 2: the bucket where the running count crosses base -/+ n
     if direction == "before":
-        b = cand.groupBy(*part).agg(F.max(F.when(F.col("_cum") >= n, F.col("_h"))).alias("_x"),
-                                    F.min("_h").alias("_y"))
-        bound = b.select(*part, (F.coalesce("_x", "_y") * hist_us).alias("_from"))
-        win = anchors.join(bound, part, "left").withColumn(
-            "_from", F.coalesce("_from", F.floor(F.col(at) / hist_us) * hist_us)).withColumn("_to", F.col(at))
+        tgt = base.select(*on, at, (F.col("_base") - n).alias("_key"), F.lit(1).alias("_kind"),
+                          F.lit(None).cast("bigint").alias("_hv"))
+        hh = hist.select(*on, F.lit(None).cast("bigint").alias(at), F.col("_cum").alias("_key"),
+                         F.lit(0).alias("_kind"), F.col("_h").alias("_hv"))
+        w2 = Window.partitionBy(*on).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        b = (tgt.unionByName(hh).withColumn("_b", F.last("_hv", ignorenulls=True).over(w2))
+             .where(F.col("_kind") == 1).select(*on, at, "_b"))
+        b = b.join(span, on, "left") if on else b.join(span.withColumn("_one", F.lit(1)), how="left")             if False else (b.join(span, on, "left") if on else _join_one(b, span))
+        win = b.select(*on, at, F.when(F.col("_b").isNull(), F.col("_hmin") * hist_us)
+                       .otherwise((F.col("_b") + 1) * hist_us).alias("_from"), F.col(at).alias("_to"))
     else:
-        b = cand.groupBy(*part).agg(F.min(F.when(F.col("_cum") >= n, F.col("_h"))).alias("_x"),
-                                    F.max("_h").alias("_y"))
-        bound = b.select(*part, ((F.coalesce("_x", "_y") + 1) * hist_us - 1).alias("_to"))
-        win = anchors.join(bound, part, "left").withColumn(
-            "_to", F.coalesce("_to", (F.floor(F.col(at) / hist_us) + 1) * hist_us - 1)).withColumn(
-            "_from", F.col(at) + 1)
-    picked = interval_join(rows, win, ts, "_from", "_to", 24 * hist_us, on=on)
+        tgt = base.select(*on, at, (F.col("_base") + n).alias("_key"), F.lit(0).alias("_kind"),
+                          F.lit(None).cast("bigint").alias("_hv"))
+        hh = hist.select(*on, F.lit(None).cast("bigint").alias(at), F.col("_cum").alias("_key"),
+                         F.lit(1).alias("_kind"), F.col("_h").alias("_hv"))
+        w2 = Window.partitionBy(*on).orderBy("_key", "_kind").rowsBetween(0, Window.unboundedFollowing)
+        b = (tgt.unionByName(hh).withColumn("_b", F.first("_hv", ignorenulls=True).over(w2))
+             .where(F.col("_kind") == 0).select(*on, at, "_b"))
+        b = b.join(span, on, "left") if on else _join_one(b, span)
+        win = b.select(*on, at, (F.col(at) + 1).alias("_from"),
+                       (F.coalesce(F.col("_b"), F.col("_hmax")) * hist_us + hist_us - 1).alias("_to"))
+    win = anchors.join(win, [at] + on, "left")
+    picked = interval_join(rows, win, ts, "_from", "_to", 24 * 3600 * 1000000, on=on)
     key = [F.col(ts).desc(), F.col(tie).desc()] if direction == "before" else [F.col(ts), F.col(tie)]
-    w = Window.partitionBy(*part).orderBy(*key)
-    return (picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .drop("_from", "_to"))
+    return top_n_per_group(picked, [at] + on, key, n).drop("_from", "_to")
+
+
+def _join_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a x b where b has exactly one row (equi-join on a constant key)."""
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")

@@ -11,7 +11,8 @@ from ..operators.joins import join_single_rows
 from ..operators.quantiles import exact_percentiles
 from ..session import ensure_checkpoint_dir
 
-PATH_WIDTH = 8          # digits per sibling rank in the preorder path
+START_WIDTH = 17        # digits of start_us in a path component
+ID_WIDTH = 20           # characters of span_id in a path component
 MAX_DEPTH = 256         # cycle / runaway guard
 
 
@@ -54,7 +55,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
     """Preorder rows for many traces at once.
 
     trace_id, span_id, depth, path, offset_us, duration_us, self_us, service, status
-    `path` sorts in preorder: sibling ranks by (start_us, span_id), zero padded.
+    `path` sorts in preorder: one zero-padded (start_us, span_id) component per level.
     Spans unreachable from a root (cycles) are left out; a trace without any
     parentless span is walked from its earliest span. Built level by level with
     equi-joins on (trace_id, parent_id); the loop runs once per tree level.
@@ -73,15 +74,16 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
             .withColumn("offset_us", F.col("start_us") - F.col("origin_us"))
             .withColumn("_start", F.col("parent_id").isNull()
                         | (~F.col("_has_root") & (F.col("span_id") == F.col("_earliest")))))
-    sib = Window.partitionBy("trace_id", F.when(F.col("_start"), F.lit(None)).otherwise(F.col("parent_id"))) \
-        .orderBy("start_us", "span_id")
-    base = base.withColumn("_rank", F.row_number().over(sib)).persist()
+    # path component = zero-padded (start_us, span_id): sorts siblings exactly like
+    # a rank would, without a window over one parent's children
+    base = base.withColumn("_comp", F.concat(
+        F.lpad(F.col("start_us").cast("string"), START_WIDTH, "0"), F.lit(":"),
+        F.lpad(F.col("span_id").cast("string"), ID_WIDTH, "0"))).persist()
     cols = ["trace_id", "span_id", "offset_us", "duration_us", "self_us", "service", "status"]
-    pad = lambda c: F.lpad(F.col(c).cast("string"), PATH_WIDTH, "0")
     level = (base.where(F.col("_start"))
-             .select(*cols, F.lit(0).alias("depth"), pad("_rank").alias("path"),
+             .select(*cols, F.lit(0).alias("depth"), F.col("_comp").alias("path"),
                      F.array(F.col("span_id")).alias("_anc")))
-    children = base.where(~F.col("_start")).select(*cols, "parent_id", "_rank")
+    children = base.where(~F.col("_start")).select(*cols, "parent_id", "_comp")
     ensure_checkpoint_dir(spans.sparkSession)
     level = level.checkpoint()           # reliable checkpoint: survives executor loss
     levels = [level.drop("_anc")]
@@ -92,7 +94,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
                                           "_anc"), ["trace_id", "parent_id"])
                .where(~F.array_contains("_anc", F.col("span_id")))
                .select(*cols, (F.col("_pd") + 1).alias("depth"),
-                       F.concat(F.col("_pp"), F.lit("."), pad("_rank")).alias("path"),
+                       F.concat(F.col("_pp"), F.lit("/"), F.col("_comp")).alias("path"),
                        F.concat(F.col("_anc"), F.array(F.col("span_id"))).alias("_anc")))
         depth += 1
         nxt = nxt.checkpoint()

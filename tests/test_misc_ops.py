@@ -58,3 +58,31 @@ def test_baseline_and_run_meta(spark):
     meta = run_meta(spark, "r1", 1_000_000_000, 2_800_000_000, b.baseline_start_us, b.baseline_end_us, inc, sig).first()
     assert meta.incidents == ["r1/i1", "r1/i2"] and meta.started == "1970-01-01T00:16:40Z"
     assert meta.signals[0].verdict == "YES"
+
+
+def test_nearest_rows_brute_force(spark):
+    import random
+    from telespark.operators.joins import nearest_rows
+    rng = random.Random(9)
+    ts = [rng.choice([rng.randint(0, 5_000_000_000), 1_000_000_000]) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "request_id bigint, ts_us bigint")
+    anchors_l = [-5, 1_000_000_000, 2_500_000_000, 6_000_000_000]
+    anchors = spark.createDataFrame([(a,) for a in anchors_l], "at_us bigint")
+    for direction in ("before", "after"):
+        got = {}
+        for r in nearest_rows(rows, anchors, 7, direction, hist_us=100_000_000).collect():
+            got.setdefault(r.at_us, []).append((r.rank, r.request_id))
+        for a in anchors_l:
+            if direction == "before":
+                cand = sorted(((t, i) for i, t in enumerate(ts) if t <= a), reverse=True)[:7]
+            else:
+                cand = sorted((t, i) for i, t in enumerate(ts) if t > a)[:7]
+            want = [(k + 1, i) for k, (_, i) in enumerate(cand)]
+            assert sorted(got.get(a, [])) == want, (direction, a)
+
+
+def test_top_n_per_group(spark):
+    from telespark.operators.topn import top_n_per_group
+    df = spark.createDataFrame([(g, v) for g in range(3) for v in range(100)], "g int, v int")
+    got = top_n_per_group(df, ["g"], [F.col("v").desc()], 5, salt=7).collect()
+    assert sorted((r.g, r.v, r.rank) for r in got) == sorted((g, 99 - k, k + 1) for g in range(3) for k in range(5))
