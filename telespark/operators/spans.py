@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_SPANS_PER_TRACE, SUBWINDOWS
 from ..functions.predicates import is_error_span
+from .topn import top_n_per_group
 
 CHUNK_US = 1_000_000  # level-1 scan chunk: children starting in the same second
 
@@ -122,14 +123,12 @@ def trace_service_self(selfs: DataFrame) -> DataFrame:
 def cap_spans(spans: DataFrame, cap: int = MAX_SPANS_PER_TRACE) -> DataFrame:
     """Earliest `cap` spans per trace by (start_us, span_id), with `truncated`.
 
-    row_number <= cap is planned with a WindowGroupLimit below the shuffle."""
-    w = Window.partitionBy("trace_id").orderBy("start_us", "span_id")
-    ranked = spans.withColumn("_rn", F.row_number().over(w))
-    kept = ranked.where(F.col("_rn") <= cap).drop("_rn")
-    over = (ranked.where(F.col("_rn") == cap + 1).select("trace_id")
-            .withColumn("truncated", F.lit(True)))
-    return (kept.join(over, "trace_id", "left")
-            .withColumn("truncated", F.coalesce("truncated", F.lit(False))))
+    The top cap+1 per trace are taken with the salted two-level ranking (a huge
+    trace is spread over many tasks); the (cap+1)-th only marks truncation."""
+    ranked = top_n_per_group(spans, ["trace_id"], [F.col("start_us"), F.col("span_id")], cap + 1,
+                             rank_col="_rn")
+    trunc = F.max(F.col("_rn")).over(Window.partitionBy("trace_id")) > cap   # <= cap+1 rows per trace
+    return ranked.withColumn("truncated", trunc).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def filter_traces(folded: DataFrame, min_duration_ms=None, errors_only: bool = False) -> DataFrame:
@@ -163,8 +162,9 @@ def sample_traces(folded: DataFrame, start_us: int, end_us: int, limit: int,
     length = end_us - start_us
     sl = F.least(F.lit(SUBWINDOWS - 1), F.floor((F.col("start_us") - F.lit(start_us)) * SUBWINDOWS / F.lit(length)))
     t = t.withColumn("slice", sl.cast("int"))
-    w = Window.partitionBy("slice").orderBy(F.col("start_us").desc(), F.col("trace_id"))
-    return t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per).drop("_rn")
+    # three slices are three hot keys: salted two-level top-N
+    return top_n_per_group(t, ["slice"], [F.col("start_us").desc(), F.col("trace_id")], per,
+                           rank_col="_rn").drop("_rn")
 
 
 def top_traces(folded: DataFrame, limit: int) -> DataFrame:
