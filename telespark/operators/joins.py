@@ -127,13 +127,18 @@ def nearest_rows(rows: DataFrame, anchors: DataFrame, n: int, direction: str = "
                           F.lit(None).cast("bigint").alias("_hv"))
         hh = hist.select(*on, F.lit(None).cast("bigint").alias(at), F.col("_cum").alias("_key"),
                          F.lit(1).alias("_kind"), F.col("_h").alias("_hv"))
-        w2 = Window.partitionBy(*on).orderBy("_key", "_kind").rowsBetween(0, Window.unboundedFollowing)
-        b = (tgt.unionByName(hh).withColumn("_b", F.first("_hv", ignorenulls=True).over(w2))
+        # first bucket with cum >= target: a running frame over descending keys (a
+        # frame to "unbounded following" would be re-evaluated per row)
+        w2 = (Window.partitionBy(*on).orderBy(F.col("_key").desc(), F.col("_kind").desc())
+              .rowsBetween(Window.unboundedPreceding, 0))
+        b = (tgt.unionByName(hh).withColumn("_b", F.last("_hv", ignorenulls=True).over(w2))
              .where(F.col("_kind") == 0).select(*on, at, "_b"))
         b = b.join(span, on, "left") if on else _join_one(b, span)
         win = b.select(*on, at, (F.col(at) + 1).alias("_from"),
                        (F.coalesce(F.col("_b"), F.col("_hmax")) * hist_us + hist_us - 1).alias("_to"))
-    win = anchors.join(win, [at] + on, "left")
+    # one small row per anchor, read by the broadcast size check and the join
+    from ..session import materialize
+    win = materialize(anchors.join(win, [at] + on, "left"))
     picked = interval_join(rows, win, ts, "_from", "_to", 24 * 3600 * 1000000, on=on)
     key = [F.col(ts).desc(), F.col(tie).desc()] if direction == "before" else [F.col(ts), F.col(tie)]
     return top_n_per_group(picked, [at] + on, key, n).drop("_from", "_to")

@@ -260,6 +260,10 @@ def replay(requests: DataFrame, labels: DataFrame, as_of_us: int, retention_hour
     fetch_s = F.greatest(F.lit(15), F.floor(dur_s / 600 / 15 + 1).cast("bigint") * 15)
     lab = (lab.withColumn("rate_window_s", rate_s.cast("bigint"))
            .withColumn("fetch_step_s", fetch_s.cast("bigint")))
+    # labels are few but may be derived from a large computation: materialize once
+    # so the join size checks below do not re-run it
+    from ..session import materialize
+    lab = materialize(lab)
     live = lab.where(~F.col("expired"))
     # dense error-ratio points per label, all labels at once
     win = live.where(F.col("metric") == "error_ratio").select(

@@ -62,3 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="telespark-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df):
+    """Cut the lineage of a derived table that several branches (or a size check
+    and the query itself) read: a reliable checkpoint into `spark.checkpoint.dir`
+    (shared storage on a cluster, so it survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

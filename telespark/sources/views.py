@@ -246,15 +246,10 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a derived table that several branches of a plan read.
-
-    A reliable checkpoint into `spark.checkpoint.dir` (shared storage on a cluster,
-    so it survives executor loss); without it, every branch of a self-join would
-    recompute the derivation.
-    """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """See telespark.session.materialize: without it, every branch of a self-join
+    would recompute the derivation."""
+    from ..session import materialize as _m
+    return _m(df)
 
 
 def spans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
