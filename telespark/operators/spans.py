@@ -49,10 +49,13 @@ def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
          .select("trace_id", "parent_id", "span_id", "start_us",
                  (F.col("start_us") + F.col("duration_us")).alias("end_us"),
                  F.floor(F.col("start_us") / chunk_us).cast("bigint").alias("chunk")))
-    local = (Window.partitionBy("trace_id", "parent_id", "chunk")
-             .orderBy("start_us", "span_id").rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("local_prev", F.max("end_us").over(local))
-    chunks = c.groupBy("trace_id", "parent_id", "chunk").agg(F.max("end_us").alias("chunk_end"))
+    part = Window.partitionBy("trace_id", "parent_id", "chunk")
+    local = part.orderBy("start_us", "span_id").rowsBetween(Window.unboundedPreceding, -1)
+    # one window pass (same partitioning) gives the running max and the chunk max
+    c = (c.withColumn("local_prev", F.max("end_us").over(local))
+         .withColumn("chunk_end", F.max("end_us").over(part)))
+    chunks = c.select("trace_id", "parent_id", "chunk", "chunk_end").dropDuplicates(
+        ["trace_id", "parent_id", "chunk"])
     across = (Window.partitionBy("trace_id", "parent_id").orderBy("chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.select("trace_id", "parent_id", "chunk",
@@ -83,21 +86,21 @@ def self_time_by_service(selfs: DataFrame) -> DataFrame:
     return g.withColumn("pct", F.when(total > 0, 100.0 * F.col("self_us") / total).otherwise(F.lit(0.0)))
 
 
-def fold_traces(selfs: DataFrame) -> DataFrame:
-    """One row per trace: root span, start, duration, span count, errors, root
-    status and service, and self-time per service as 'service=us;...' (by name).
-
-    One aggregation chain: (trace, service) partials carry the service's root
-    candidate, then (trace) picks the root and assembles the per-service list
-    (at most one entry per service)."""
+def trace_service_partials(selfs: DataFrame) -> DataFrame:
+    """Per (trace, service): the service's root candidate, self time, span and error
+    counts — the first stage of `fold_traces`, reusable by per-service totals."""
     root_key = F.struct(F.col("parent_id").isNotNull().alias("_has_parent"),
                         F.col("start_us").alias("_s"), F.col("span_id").alias("_i"))
     root = F.struct(root_key.alias("k"), F.struct(
         "span_id", "service", "start_us", "duration_us", "status",
         *([F.col("operation")] if "operation" in selfs.columns else [])).alias("v"))
-    per_svc = selfs.groupBy("trace_id", "service").agg(
+    return selfs.groupBy("trace_id", "service").agg(
         F.min(root).alias("_root"), F.sum("self_us").alias("s"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_error")).alias("e"))
+
+
+def fold_partials(per_svc: DataFrame) -> DataFrame:
+    """Second stage of `fold_traces`: one row per trace (<= #services inputs each)."""
     per_trace = per_svc.groupBy("trace_id").agg(
         F.min("_root").alias("_root"), F.sum("n").alias("spans"), F.sum("e").alias("errors"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("service", "s"))),
@@ -114,6 +117,22 @@ def fold_traces(selfs: DataFrame) -> DataFrame:
         "self_us_by_service")
 
 
+def fold_traces(selfs: DataFrame) -> DataFrame:
+    """One row per trace: root span, start, duration, span count, errors, root
+    status and service, and self-time per service as 'service=us;...' (by name).
+
+    One aggregation chain: (trace, service) partials carry the service's root
+    candidate, then (trace) picks the root and assembles the per-service list
+    (at most one entry per service)."""
+    return fold_partials(trace_service_partials(selfs))
+
+
+def service_self_from_partials(per_svc: DataFrame) -> DataFrame:
+    """trace_id, service, self_us, spans from the partials."""
+    return per_svc.select("trace_id", "service", F.col("s").cast("bigint").alias("self_us"),
+                          F.col("n").alias("spans"))
+
+
 def trace_service_self(selfs: DataFrame) -> DataFrame:
     """trace_id, service, self_us, spans (long form of the per-trace fold)."""
     return selfs.groupBy("trace_id", "service").agg(

@@ -44,9 +44,11 @@ def verify_dominance(selfs: DataFrame, labels: DataFrame, evidence: DataFrame,
     """Per evidence incident: top self-time service and share; latency faults must be
     dominated (>= min_share %) by the faulted service; others are reported ('info');
     evidence without a label is an ORPHAN."""
-    folded = S.fold_traces(selfs)
+    from ..session import materialize
+    partials = materialize(S.trace_service_partials(selfs))   # read by both branches below
+    folded = S.fold_partials(partials)
     traced = traces_in_incidents(folded, evidence, root_service).select("incident_id", "trace_id")
-    per_trace = S.trace_service_self(selfs).select("trace_id", "service", "self_us")
+    per_trace = S.service_self_from_partials(partials).select("trace_id", "service", "self_us")
     per = (traced.join(per_trace, "trace_id")
            .groupBy("incident_id", "service").agg(F.sum("self_us").alias("self_us")))
     # windows below run over <= #services rows per incident
@@ -172,6 +174,8 @@ def verify_signals(points: DataFrame, incidents: DataFrame, checks: DataFrame,
     or no during sample -> NO DATA. `during` skips the settle time at the start.
     The baseline is one aggregate per (metric, service) over the run's quiet window.
     """
+    from ..session import materialize
+    points = materialize(points)      # a small aggregate read by the baseline and the during side
     base = (points.where(F.col("step_us").between(baseline_start_us, baseline_end_us))
             .groupBy("metric", "service").agg(bounded_median("value").alias("before")))
     inc = incidents.select("incident_id", F.col("service").alias("inc_service"), "fault_type",

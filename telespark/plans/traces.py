@@ -28,13 +28,14 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
     if service not in SERVICES:
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
     limit = max(1, min(MAX_TRACES, int(limit)))
-    selfs = S.self_time(spans)
-    folded = S.fold_traces(selfs)
+    from ..session import materialize
+    partials = materialize(S.trace_service_partials(S.self_time(spans)))
+    folded = S.fold_partials(partials)
     members = S.traces_touching(spans, service) if membership == "any" else None
     sample = S.sample_traces(folded, start_us, end_us, limit, service, membership, members)
     kept = S.filter_traces(sample, min_duration_ms, errors_only)
-    per = (selfs.join(kept.select("trace_id"), "trace_id", "left_semi")
-           .groupBy("service").agg(F.sum("self_us").cast("bigint").alias("total_us")))
+    per = (partials.join(kept.select("trace_id"), "trace_id", "left_semi")
+           .groupBy("service").agg(F.sum("s").cast("bigint").alias("total_us")))
     total = F.sum("total_us").over(Window.partitionBy())
     self_tbl = per.withColumn("pct", F.when(total > 0, 100.0 * F.col("total_us") / total)
                               .otherwise(F.lit(0.0)))
