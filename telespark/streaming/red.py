@@ -102,3 +102,25 @@ def silent_services_stream(stream: DataFrame, silence: str = "5 minutes",
     ev = with_event_time(stream).withWatermark("ts", watermark).select("service", "ts_us", "ts")
     return ev.groupBy("service").applyInPandasWithState(
         step, SILENT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_red_rollup(spark, source_path: str, sink_path: str, checkpoint_path: str,
+                     schema, window: str = "15 seconds", watermark: str = "30 seconds",
+                     trigger: dict | None = None, max_files_per_trigger: int | None = None):
+    """End-to-end job: parquet request files arriving in `source_path` -> RED rollup
+    per event-time window -> parquet files appended to `sink_path`.
+
+    `checkpoint_path` must be on shared storage: offsets and aggregation state
+    live there, so a restarted driver or lost executor resumes exactly where it
+    stopped. `trigger` is passed to DataStreamWriter.trigger (e.g.
+    {"processingTime": "15 seconds"} or {"availableNow": True}).
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    out = red_rollup_stream(reader.parquet(source_path), window, watermark)
+    writer = (out.writeStream.format("parquet").outputMode("append")
+              .option("path", sink_path).option("checkpointLocation", checkpoint_path))
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()
