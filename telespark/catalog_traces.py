@@ -166,9 +166,9 @@ SELECT r.incident_id, CAST(r.raw_bytes AS BIGINT) AS raw_bytes, CAST(s.served_by
   CAST(r.raw_bytes // 4 AS BIGINT) AS raw_tokens, CAST(s.served_bytes // 4 AS BIGINT) AS served_tokens
 FROM raw r JOIN served s ON s.incident_id = r.incident_id""")
 def q_payload_reduction(spark, sf_dir):
-    selfs = _selfs(spark, sf_dir)
-    f = S.fold_traces(selfs)
-    out = scoring.payload_reduction(selfs, f, V.span_incidents(spark), "gateway")
+    spans = V.spans_table(spark, sf_dir)
+    f = S.fold_traces(S.self_time(spans))
+    out = scoring.payload_reduction(spans, f, V.span_incidents(spark), "gateway")
     return out.select("incident_id", "raw_bytes", "served_bytes", r6("reduction").alias("reduction"),
                       "raw_tokens", "served_tokens")
 

@@ -92,14 +92,15 @@ def _served_json(folded: DataFrame):
                     F.lit(',"self_us":"'), F.col("self_us_by_service"), F.lit('"}'))
 
 
-def payload_reduction(selfs: DataFrame, folded: DataFrame, incidents: DataFrame,
+def payload_reduction(spans: DataFrame, folded: DataFrame, incidents: DataFrame,
                       root_service: str = "gateway") -> DataFrame:
     """Bytes of the raw span documents vs the folded summaries, per incident window
-    (O-56); tokens estimated at 4 bytes each."""
+    (O-56); tokens estimated at 4 bytes each. The raw side needs only the span
+    table (no self-time)."""
     traced = traces_in_incidents(folded, incidents, root_service)
     served = traced.groupBy("incident_id").agg(
         F.sum(F.octet_length(_served_json(traced))).alias("served_bytes"))
-    raw_per_trace = selfs.groupBy("trace_id").agg(F.sum(F.octet_length(_raw_span_json(selfs))).alias("b"))
+    raw_per_trace = spans.groupBy("trace_id").agg(F.sum(F.octet_length(_raw_span_json(spans))).alias("b"))
     raw = (traced.select("incident_id", "trace_id").join(raw_per_trace, "trace_id")
            .groupBy("incident_id").agg(F.sum("b").alias("raw_bytes")))
     return (raw.join(served, "incident_id")

@@ -9,7 +9,7 @@ from ..config import DEFAULT_TRACES, MAX_TRACES, SERVICES
 from ..operators import spans as S
 from ..operators.joins import join_single_rows
 from ..operators.quantiles import exact_percentiles
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 START_WIDTH = 17        # digits of start_us in a path component
 ID_WIDTH = 20           # characters of span_id in a path component
@@ -86,7 +86,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
                      F.array(F.col("span_id")).alias("_anc")))
     children = base.where(~F.col("_start")).select(*cols, "parent_id", "_comp")
     ensure_checkpoint_dir(spans.sparkSession)
-    level = level.checkpoint()           # reliable checkpoint: survives executor loss
+    level = materialize(level)           # reliable checkpoint: survives executor loss
     levels = [level.drop("_anc")]
     depth = 0
     while depth < max_depth:
@@ -98,7 +98,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
                        F.concat(F.col("_pp"), F.lit("/"), F.col("_comp")).alias("path"),
                        F.concat(F.col("_anc"), F.array(F.col("span_id"))).alias("_anc")))
         depth += 1
-        nxt = nxt.checkpoint()
+        nxt = materialize(nxt)
         if nxt.isEmpty():
             break
         levels.append(nxt.drop("_anc"))

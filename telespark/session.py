@@ -69,4 +69,6 @@ def materialize(df):
     and the query itself) read: a reliable checkpoint into `spark.checkpoint.dir`
     (shared storage on a cluster, so it survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
+    # the write job after the eager count reuses the count job's shuffle outputs,
+    # so only the last stage runs twice; no cache is needed for it
     return df.checkpoint(eager=True)
