@@ -45,7 +45,8 @@ def _day(us: int) -> str:
 
 def write_partitioned(df: DataFrame, path: str, ts: str = "ts_us", mode: str = "append") -> None:
     """Parquet partitioned by UTC date `dt`, so time-bounded reads prune directories."""
-    dt = F.date_format(F.timestamp_micros(F.col(ts)), "yyyy-MM-dd")
+    from ..functions.time import utc_wall
+    dt = F.date_format(utc_wall(ts), "yyyy-MM-dd")        # UTC date, whatever the session zone
     df.withColumn("dt", dt).write.mode(mode).partitionBy("dt").parquet(path)
 
 
