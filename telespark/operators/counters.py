@@ -72,7 +72,9 @@ def rate_series(deltas: DataFrame, keys, start_us: int, end_us: int, step_us: in
         F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1"),
         F.min_by("value", "ts_us").alias("_v0"),
         F.sum(F.when(in_range_prev, F.col("delta")).otherwise(F.lit(0.0))).alias("_inc"))
-    g = g.where(F.col("_n") >= 2)
+    # two samples at distinct instants are needed (a zero sampled interval would
+    # divide by zero, which ANSI mode raises)
+    g = g.where((F.col("_n") >= 2) & (F.col("_t1") > F.col("_t0")))
     sampled = (F.col("_t1") - F.col("_t0")) / 1e6
     avg_gap = sampled / (F.col("_n") - 1)
     to_start = (F.col("_t0") - (F.col("step_us") - F.lit(range_us))) / 1e6

@@ -167,6 +167,8 @@ def sample_traces(folded: DataFrame, start_us: int, end_us: int, limit: int,
 
     `membership='root'` keeps traces whose root service is `service`; 'any' keeps
     traces listed in `members` (see `traces_touching`), a semi-join."""
+    if end_us <= start_us:
+        raise ValueError("the sampling window must have end > start")
     per = max(1, int(limit) // SUBWINDOWS)
     t = folded.where(F.col("start_us") >= start_us).where(F.col("start_us") < end_us)
     if service is not None:

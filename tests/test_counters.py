@@ -80,3 +80,10 @@ def test_gauge_lookback(spark):
     df = spark.createDataFrame(rows, "state string, ts_us bigint, value double")
     got = {r.state: r.value for r in C.gauge_at(df, ["state"], 400 * 1000000).collect()}
     assert got == {"used": 5.0}           # idle's sample is older than the 5-minute lookback
+
+
+def test_promql_duplicate_timestamps_do_not_divide_by_zero(spark):
+    rows = [("a", 10 * 1000000, 1.0), ("a", 10 * 1000000, 1.0)]
+    df = spark.createDataFrame(rows, "s string, ts_us bigint, value double")
+    d = C.counter_deltas(df, ["s"])
+    assert C.rate_series(d, ["s"], 0, 60 * 1000000, 30 * 1000000, 60 * 1000000, "promql").count() == 0
