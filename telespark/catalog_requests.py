@@ -52,10 +52,8 @@ SELECT service, count(*) AS requests,
 FROM requests WHERE {APP} GROUP BY service""")
 def q_latency_percentiles(spark, sf_dir):
     app = R.application(V.requests(spark, sf_dir))
-    p = R.latency_percentiles(app)
-    n = app.groupBy("service").agg(F.count(F.lit(1)).alias("requests"))
-    return n.join(p, "service").select("service", "requests", r6("p50").alias("p50"),
-                                       r6("p95").alias("p95"), r6("p99").alias("p99"))
+    p = R.latency_percentiles(app, count_col="requests")
+    return p.select("service", "requests", r6("p50").alias("p50"), r6("p95").alias("p95"), r6("p99").alias("p99"))
 
 
 @register("nearest_percentiles", with_views("requests") + ", app AS (SELECT * FROM requests WHERE "
@@ -83,9 +81,8 @@ def q_phase_p95(spark, sf_dir):
     base = app.where(F.col("ts_us").between(V.BASELINE_START_US, V.BASELINE_END_US)) \
         .withColumn("phase", F.lit("baseline"))
     rows = in_inc.select("phase", "service", "duration_ms").unionByName(base.select("phase", "service", "duration_ms"))
-    p = exact_percentiles(rows, ["phase", "service"], "duration_ms", {"p95": 0.95})
-    n = rows.groupBy("phase", "service").agg(F.count(F.lit(1)).alias("requests"))
-    return n.join(p, ["phase", "service"]).select("phase", "service", "requests", r6("p95").alias("p95"))
+    p = exact_percentiles(rows, ["phase", "service"], "duration_ms", {"p95": 0.95}, count_col="requests")
+    return p.select("phase", "service", "requests", r6("p95").alias("p95"))
 
 
 @register("series_summary", with_views("requests") + f""",

@@ -30,8 +30,9 @@ def _log_bucket(v: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
-                      method: str = "linear") -> DataFrame:
-    """One row per key group with one column per entry of `fractions` (name -> f).
+                      method: str = "linear", count_col: str | None = None) -> DataFrame:
+    """One row per key group with one column per entry of `fractions` (name -> f),
+    plus the group's value count as `count_col` when given.
 
     Nulls and NaN are ignored. Groups without values produce no row.
     """
@@ -55,12 +56,12 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
     q = pb.select(*keys, "_b", "_bc", "_before", "_n", F.explode(fr).alias("_q"))
     if method == "linear":
         rank = (F.col("_n") - 1).cast("double") * F.col("_q.f")
-        q = q.select(*keys, "_b", "_bc", "_before", F.col("_q.name").alias("_name"), rank.alias("_rank"))
+        q = q.select(*keys, "_b", "_bc", "_before", "_n", F.col("_q.name").alias("_name"), rank.alias("_rank"))
         q = q.select("*", F.explode(F.array_distinct(F.array(
             F.floor("_rank").cast("bigint"), F.ceil("_rank").cast("bigint")))).alias("_pos"))
     else:
         pos = F.least(F.col("_n") - 1, F.floor(F.col("_n").cast("double") * F.col("_q.f")))
-        q = q.select(*keys, "_b", "_bc", "_before", F.col("_q.name").alias("_name"),
+        q = q.select(*keys, "_b", "_bc", "_before", "_n", F.col("_q.name").alias("_name"),
                      F.lit(None).cast("double").alias("_rank"), pos.cast("bigint").alias("_pos"))
     located = q.where((F.col("_pos") >= F.col("_before"))
                       & (F.col("_pos") < F.col("_before") + F.col("_bc"))).drop("_bc")
@@ -83,6 +84,8 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
             aggs.append((lo + (hi - lo) * (r - F.floor(r))).alias(name))
         else:
             aggs.append(lo.alias(name))
+    if count_col:
+        aggs.append(F.max("_n").alias(count_col))
     return at.groupBy(*keys).agg(*aggs)
 
 

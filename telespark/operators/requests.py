@@ -47,11 +47,11 @@ def window_totals(requests: DataFrame, start_us: int, end_us: int) -> DataFrame:
 
 
 def latency_percentiles(requests: DataFrame, keys=("service",), method: str = "linear",
-                        fractions=None) -> DataFrame:
+                        fractions=None, count_col: str | None = None) -> DataFrame:
     """Exact window-wide p50/p95/p99 of duration_ms per key (one pass, not a mean of
     per-step quantiles). method 'linear' (numpy) or 'nearest' (sorted[min(n-1, int(n*f))])."""
     fractions = fractions or {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    return exact_percentiles(requests, list(keys), "duration_ms", fractions, method)
+    return exact_percentiles(requests, list(keys), "duration_ms", fractions, method, count_col)
 
 
 def status_histogram(requests: DataFrame, interval_us: int, start_us: int = 0) -> DataFrame:
