@@ -18,16 +18,20 @@ MAX_DEPTH = 256         # cycle / runaway guard
 
 def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
                  limit: int = DEFAULT_TRACES, min_duration_ms=None, errors_only: bool = False,
-                 membership: str = "root") -> dict:
+                 membership: str = "root", span_cap: int | None = None) -> dict:
     """Sampled traces started by `service` in [start, end), folded.
 
     Returns DataFrames: `summary` (sampled, returned, p50/p95/max duration ms),
     `self_time` (service, total_us, pct) and `traces` (at most `limit`, slowest first).
-    `sampled` counts the sample before the duration / error filters.
+    `sampled` counts the sample before the duration / error filters. `span_cap`
+    (off by default) folds only the earliest spans of each trace.
     """
     if service not in SERVICES:
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
     limit = max(1, min(MAX_TRACES, int(limit)))
+    if span_cap:
+        # fold only the earliest `span_cap` spans of each trace (store availability cap)
+        spans = S.cap_spans(spans, span_cap).drop("truncated")
     from ..session import materialize
     partials = materialize(S.trace_service_partials(S.self_time(spans)))
     folded = S.fold_partials(partials)
@@ -84,7 +88,10 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
     level = (base.where(F.col("_start"))
              .select(*cols, F.lit(0).alias("depth"), F.col("_comp").alias("path"),
                      F.array(F.col("span_id")).alias("_anc")))
-    children = base.where(~F.col("_start")).select(*cols, "parent_id", "_comp")
+    # children are kept hash-partitioned on the level join key, so every level
+    # shuffles only the (small) frontier, never the child spans again
+    children = (base.where(~F.col("_start")).select(*cols, "parent_id", "_comp")
+                .repartition("trace_id", "parent_id").persist())
     ensure_checkpoint_dir(spans.sparkSession)
     level = materialize(level)           # reliable checkpoint: survives executor loss
     levels = [level.drop("_anc")]
@@ -103,6 +110,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
             break
         levels.append(nxt.drop("_anc"))
         level = nxt
+    children.unpersist()
     base.unpersist()
     out = levels[0]
     for lv in levels[1:]:

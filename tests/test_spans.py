@@ -121,3 +121,12 @@ def test_offsets(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.trace_id, r.span_id): r.offset_us for r in S.span_offsets(S.self_time(df)).collect()}
     assert got == {(1, 1): 0, (1, 2): 30, (2, 5): 0, (2, 6): -20}
+
+
+def test_query_traces_span_cap(spark):
+    rows = [(1, 1, None, "gateway", 0, 1000, 200)] + [(1, i, 1, "inventory", i, 10, 500) for i in range(2, 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    full = query_traces(df, "gateway", 0, 100, limit=3)["traces"].first()
+    capped = query_traces(df, "gateway", 0, 100, limit=3, span_cap=3)["traces"].first()
+    assert full.spans == 7 and full.errors == 6
+    assert capped.spans == 3 and capped.errors == 2
