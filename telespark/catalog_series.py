@@ -262,3 +262,17 @@ def q_dashboard_panels(spark, sf_dir):
     d = dashboard_panels(V.requests(spark, sf_dir), S0, E0, HOUR,
                          pool_gauge=V.pool_gauge(spark, sf_dir), pipeline=V.pipeline_counters(spark, sf_dir))
     return d.select("panel", "series", r9("last").alias("last"), r9("mean").alias("mean"), r9("max").alias("max"))
+
+
+@register("rollup_daily_p95", with_views("requests") + f""",
+b AS (SELECT service, (ts_us // {DAY}) * {DAY} AS day_us, {le_case()} AS le, count(*) AS n
+      FROM requests WHERE {APP} GROUP BY 1, 2, 3),
+""" + hq_ctes("dq", "b", "service, day_us", {"p95": 0.95}) + """
+SELECT service, day_us, round(val, 6) AS p95 FROM dq""")
+def q_rollup_daily_p95(spark, sf_dir):
+    """Daily p95 per service merged from hourly streaming-style rollups."""
+    from .streaming.red import red_rollup, rollup_quantiles, with_event_time
+    hourly = red_rollup(with_event_time(V.requests(spark, sf_dir)), "1 hour")
+    daily = hourly.withColumn("day_us", F.floor(F.col("window_start_us") / DAY).cast("bigint") * DAY)
+    q = rollup_quantiles(daily, ["service", "day_us"], {"p95": 0.95})
+    return q.select("service", "day_us", r6("p95").alias("p95"))

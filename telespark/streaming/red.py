@@ -124,3 +124,19 @@ def start_red_rollup(spark, source_path: str, sink_path: str, checkpoint_path: s
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
+
+
+def rollup_quantiles(rollups: DataFrame, keys, qs: dict, bounds=BUCKET_BOUNDS_MS) -> DataFrame:
+    """Percentiles from RED rollups merged over `keys` (e.g. service and day): the
+    cumulative `le_*` counts and the request total add up across windows, are
+    turned into (le, cum) rows and fed to histogram_quantile."""
+    from ..operators.counters import histogram_quantile
+    keys = list(keys)
+    names = [f"le_{str(b).replace('.', '_')}" for b in bounds]
+    summed = rollups.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names],
+                                        F.sum("requests").alias("requests"))
+    pairs = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(c).alias("cum"))
+                      for b, c in zip(bounds, names)],
+                    F.struct(F.lit(float("inf")).alias("le"), F.col("requests").alias("cum")))
+    rows = summed.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.le", "p.cum")
+    return histogram_quantile(rows, keys, qs, cum_col="cum")
