@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_TRACES, MAX_SPANS_PER_TRACE, METRICS_RETENTION_HOURS,
                       TRACES_RETENTION_HOURS)
-from ..functions.predicates import is_hex
 from ..operators import spans as S
 from . import metrics as M
 from . import status as ST

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import app_routes, is_5xx, label_eq
 from ..operators import counters as C
-from ..operators import requests as R
 from ..operators import series as SR
 from .metrics import _le
 

@@ -117,7 +117,7 @@ def payload_reduction(spans: DataFrame, folded: DataFrame, incidents: DataFrame,
 
 from ..config import (RECOVERY_FACTOR, RECOVERY_FLOOR_MS, RECOVERY_PROBES,  # noqa: E402
                       REPLAY_TOLERANCE_POINTS, SETTLE_MARGIN_S, SETTLE_MAX_S)
-from ..functions.predicates import app_routes, is_5xx, is_ok  # noqa: E402
+from ..functions.predicates import is_5xx, is_ok  # noqa: E402
 from ..functions.scalars import fault_metric, id_suffix  # noqa: E402
 from ..operators import requests as R  # noqa: E402
 from ..operators import series as SR  # noqa: E402
