@@ -6,6 +6,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import spans as S
 from ..plans import scoring
@@ -73,3 +74,44 @@ def merge_index(old: DataFrame, new: DataFrame, files: DataFrame, labels: DataFr
     return (merged.join(labels.select("incident_id", "pos"), "incident_id", "left")
             .withColumn("pos", F.coalesce("pos", F.lit(99)))
             .orderBy("pos", "incident_id"))
+
+
+INDEX_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("jaeger_url", T.StringType()),
+    T.StructField("limit", T.IntegerType()),
+    T.StructField("incidents", T.ArrayType(T.StructType([
+        T.StructField("incident_id", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("root_service", T.StringType()),
+        T.StructField("window", T.StructType([T.StructField("start", T.StringType()),
+                                              T.StructField("end", T.StringType())])),
+        T.StructField("traces", T.IntegerType()),
+        T.StructField("spans", T.IntegerType())]))),
+])
+
+
+def read_evidence_index(spark: SparkSession, path: str) -> DataFrame:
+    """Evidence index documents -> one row per incident entry (window bounds as µs)."""
+    from ..functions.time import parse_iso_strict
+    doc = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
+    e = doc.select("run_id", "limit", F.posexplode("incidents").alias("pos", "e"))
+    return e.select("run_id", "limit", "pos", F.col("e.incident_id").alias("incident_id"),
+                    F.col("e.file").alias("file"), F.col("e.root_service").alias("root_service"),
+                    parse_iso_strict(F.col("e.window.start")).alias("window_start_us"),
+                    parse_iso_strict(F.col("e.window.end")).alias("window_end_us"),
+                    F.col("e.traces").alias("traces"), F.col("e.spans").alias("spans"))
+
+
+def write_evidence_index(entries: DataFrame, path: str, run_id: str, limit: int) -> None:
+    """Write the (small, per-run) index as one JSON document, entries in `pos` order."""
+    from ..functions.time import iso_utc
+    items = entries.select("pos", F.struct(
+        "incident_id", "file", "root_service",
+        F.struct(iso_utc(F.col("window_start_us"), millis=True).alias("start"),
+                 iso_utc(F.col("window_end_us"), millis=True).alias("end")).alias("window"),
+        "traces", "spans").alias("e"))
+    doc = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"])
+                    .alias("incidents")).select(F.lit(run_id).alias("run_id"), F.lit(int(limit)).alias("limit"),
+                                                "incidents")
+    doc.coalesce(1).write.mode("overwrite").json(path)

@@ -41,3 +41,33 @@ def test_merge_index(spark):
     files2 = files.union(spark.createDataFrame([("i9.json",)], "file string"))
     got2 = [r.incident_id for r in merge_index(old, new, files2, labels).collect()]
     assert got2[-1] == "r/i9"                                          # unknown incidents last
+
+
+def test_evidence_index_round_trip(spark, tmp_path):
+    import os
+    from telespark.sources.sinks import read_evidence_index, write_evidence_index
+    fix = os.path.join(os.path.dirname(__file__), "fixtures", "index.json")
+    idx = read_evidence_index(spark, fix)
+    rows = idx.orderBy("pos").collect()
+    assert [(r.incident_id, r.traces, r.spans) for r in rows] == [
+        ("run-x/i1", 15, 111), ("run-x/i2", 15, 82), ("run-x/i3", 15, 105), ("run-x/i4", 15, 111)]
+    assert rows[0].window_end_us - rows[0].window_start_us == 240 * 1000000
+    out = str(tmp_path / "index")
+    write_evidence_index(idx, out, "run-x", 15)
+    back = read_evidence_index(spark, out + "/*.json").orderBy("pos").collect()
+    assert [(r.incident_id, r.window_start_us, r.spans) for r in back] == \
+        [(r.incident_id, r.window_start_us, r.spans) for r in rows]
+
+
+def test_failure_share_matches_recorded_labels(spark, tmp_path):
+    import json
+    from telespark.sources.labels import failure_share, read_incidents
+    recorded = [("run-a/i2", 1424, 285), ("run-b/i2", 1421, 262), ("run-c/i2", 1421, 272)]
+    path = tmp_path / "labels.jsonl"
+    path.write_text("\n".join(json.dumps({"schema": 1, "run_id": i.split("/")[0], "incident_id": i,
+                                          "fault_type": "error_rate", "service": "orders",
+                                          "observed": {"requests_seen": s, "requests_failed": f}})
+                              for i, s, f in recorded) + "\n")
+    got = {r.incident_id: round(r.failed_pct, 2)
+           for r in failure_share(read_incidents(spark, str(path))).select("incident_id", "failed_pct").collect()}
+    assert got == {"run-a/i2": 20.01, "run-b/i2": 18.44, "run-c/i2": 19.14}
