@@ -58,6 +58,6 @@ SELECT service, CAST(sum(self_us) AS BIGINT) AS self_us, count(*) AS spans,
   round(100.0 * sum(self_us) / sum(sum(self_us)) OVER (), 6) AS pct
 FROM selfs GROUP BY service""")
 def q_self_time_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selfs = S.self_time(V.spans_table(spark, sf_dir))
+    selfs = S.self_time(V.spans_table(spark, sf_dir), resolve=False)
     out = S.self_time_by_service(selfs)
     return out.select("service", "self_us", "spans", r6("pct").alias("pct"))

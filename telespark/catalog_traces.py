@@ -30,7 +30,7 @@ def q_fold_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT trace_id, service, CAST(sum(self_us) AS BIGINT) AS self_us, count(*) AS spans
 FROM selfs GROUP BY 1, 2""")
 def q_trace_service_self(spark, sf_dir):
-    return S.trace_service_self(_selfs(spark, sf_dir))
+    return S.trace_service_self(S.self_time(V.spans_table(spark, sf_dir), resolve=False))
 
 
 @register("trace_duration_stats", with_views("folded") + """

@@ -68,9 +68,12 @@ def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
             .withColumnRenamed("parent_id", "span_id"))
 
 
-def self_time(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
-    """spans + parent_id, covered_us, self_us, is_error."""
-    r = resolve_parents(spans)
+def self_time(spans: DataFrame, chunk_us: int = CHUNK_US, resolve: bool = True) -> DataFrame:
+    """spans + parent_id, covered_us, self_us, is_error.
+
+    `resolve=False` skips the parent-existence join (one shuffle join fewer) and
+    leaves `parent_id` out: enough for self-time totals, not for root detection."""
+    r = resolve_parents(spans) if resolve else spans
     cov = child_coverage(spans, chunk_us)
     out = r.join(cov, ["trace_id", "span_id"], "left")
     return (out.withColumn("covered_us", F.coalesce("covered_us", F.lit(0)).cast("bigint"))

@@ -130,3 +130,11 @@ def test_query_traces_span_cap(spark):
     capped = query_traces(df, "gateway", 0, 100, limit=3, span_cap=3)["traces"].first()
     assert full.spans == 7 and full.errors == 6
     assert capped.spans == 3 and capped.errors == 2
+
+
+def test_self_time_without_resolution_matches(spark):
+    rows = [(1, 1, None, "gateway", 0, 100, 200), (1, 2, 1, "orders", 10, 30, 200), (1, 3, 77, "orders", 5, 30, 200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = {(r.trace_id, r.span_id): r.self_us for r in S.self_time(df).collect()}
+    b = {(r.trace_id, r.span_id): r.self_us for r in S.self_time(df, resolve=False).collect()}
+    assert a == b
