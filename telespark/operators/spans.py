@@ -71,25 +71,24 @@ def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
 def self_time(spans: DataFrame, chunk_us: int = CHUNK_US, resolve: bool = True) -> DataFrame:
     """spans + parent_id, covered_us, self_us, is_error.
 
-    Coverage rows are keyed by the referenced parent, so one full outer join of
-    spans with coverage both attaches each span's covered time and leaves the
-    referenced-but-missing parents unmatched. Those orphan references (usually a
-    handful; AQE broadcasts them at runtime) turn their children into roots, so
-    no separate parent-existence join over all spans is needed.
+    Coverage has a single consumer (the join that attaches covered time). For
+    `resolve`, references to missing parents are found separately on two narrow
+    columns — distinct (trace, parent reference) anti-joined with (trace, span id)
+    — usually a handful of rows that AQE broadcasts; their children are roots. No
+    join over full span rows is spent on parent resolution.
     `resolve=False` skips the orphan step and leaves `parent_id` out.
     """
     cov = child_coverage(spans, chunk_us)
-    marked = spans.withColumn("_is_span", F.lit(True))
-    j = marked.join(cov, ["trace_id", "span_id"], "full_outer")
-    out = j.where(F.col("_is_span"))
+    out = spans.join(cov, ["trace_id", "span_id"], "left")
     if resolve:
-        orphans = (j.where(F.col("_is_span").isNull())
+        refs = (spans.where(F.col("parent_span_id").isNotNull())
+                .select("trace_id", F.col("parent_span_id").alias("span_id")).distinct())
+        orphans = (refs.join(spans.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti")
                    .select("trace_id", F.col("span_id").alias("parent_span_id"))
                    .withColumn("_orphan", F.lit(True)))
         out = out.join(orphans, ["trace_id", "parent_span_id"], "left")
         out = out.withColumn("parent_id", F.when(F.col("_orphan").isNull(), F.col("parent_span_id"))
                              .cast(spans.schema["parent_span_id"].dataType)).drop("_orphan")
-    out = out.drop("_is_span")
     return (out.withColumn("covered_us", F.coalesce("covered_us", F.lit(0)).cast("bigint"))
             .withColumn("self_us", F.greatest(F.lit(0), F.col("duration_us") - F.col("covered_us")))
             .withColumn("is_error", _error_col(out)))
