@@ -49,3 +49,23 @@ def test_query_metrics_shapes(spark):
     assert rate["gateway"].points == rate["orders"].points          # dense grid
     ratio = query_metrics(df, "error_ratio", win, 3600 * M, service="orders")["series"].collect()
     assert [r.service for r in ratio] == ["orders"]
+
+
+def test_dashboard_with_heap_panel(spark):
+    from telespark.plans.dashboard import dashboard_panels
+    req = spark.createDataFrame([(i, i * 60 * M, "orders", "/orders", 500 if i % 4 == 0 else 200, 20.0 + i)
+                                 for i in range(120)], SCHEMA)
+    heap = spark.createDataFrame([(t * 60 * M, "heap", float(100 + t)) for t in range(0, 121, 5)],
+                                 "ts_us bigint, area string, value double")
+    got = {(r.panel, r.series): r for r in dashboard_panels(req, 0, 7200 * M, 3600 * M, heap=heap).collect()}
+    assert {p for p, _ in got} == {"request_rate", "p95_ms", "errors_5xx", "heap"}
+    assert got[("heap", "heap")].last == 220.0
+    assert got[("errors_5xx", "orders")].max > 0
+
+
+def test_status_degraded_without_data(spark):
+    from telespark.plans.status import telemetry_status
+    df = spark.createDataFrame([(1, 10 * M, "orders", "/orders", 200, 1.0)], SCHEMA)
+    st = telemetry_status(df, spark, 10 * 86400 * M, 24).first()
+    assert st.status == "degraded" and st.oldest_us is None
+    assert st.reporting == "" and st.not_reporting == "gateway,inventory,orders"
