@@ -40,7 +40,7 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
     kept = S.filter_traces(sample, min_duration_ms, errors_only)
     per = (partials.join(kept.select("trace_id"), "trace_id", "left_semi")
            .groupBy("service").agg(F.sum("s").cast("bigint").alias("total_us")))
-    total = F.sum("total_us").over(Window.partitionBy())
+    total = F.sum("total_us").over(Window.partitionBy())     # over <= #services rows
     self_tbl = per.withColumn("pct", F.when(total > 0, 100.0 * F.col("total_us") / total)
                               .otherwise(F.lit(0.0)))
     ms = kept.select((F.col("duration_us") / 1000.0).alias("duration_ms"))

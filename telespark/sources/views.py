@@ -141,6 +141,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = load_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     od = od.select("o_orderkey", epoch_us(od, "o_orderdate").alias("order_us"))
     j = li.join(od, li.l_orderkey == od.o_orderkey)
+    # numbering the lines of one order (a handful per order); same key as the join
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
