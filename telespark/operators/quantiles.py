@@ -4,10 +4,9 @@ Spark's `percentile` keeps a value->count map per group and merges it in a singl
 task; a service with a third of all requests would put a third of all distinct
 durations into one map. Here a percentile is found in two distributed passes:
 
-1. (keys, value) -> count, then each distinct value is assigned a log-scale bucket
-   (64 per octave); per-(keys, bucket) counts are tiny and their running sum gives
-   the bucket that holds every wanted rank.
-2. Only the distinct values of those few buckets are ranked exactly.
+1. Each value gets a log-scale bucket (64 per octave); per-(keys, bucket) counts
+   are tiny and their running sum gives the bucket that holds every wanted rank.
+2. Only the values of those few buckets are shuffled and ranked exactly.
 
 Two definitions are provided and never mixed:
   linear   position (n-1)*f, interpolated between neighbours (numpy / DuckDB
@@ -30,27 +29,38 @@ def _log_bucket(v: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
-                      method: str = "linear", count_col: str | None = None) -> DataFrame:
+                      method: str = "linear", count_col: str | None = None,
+                      passes: int = 2) -> DataFrame:
     """One row per key group with one column per entry of `fractions` (name -> f),
     plus the group's value count as `count_col` when given.
 
-    Nulls and NaN are ignored. Groups without values produce no row.
+    passes=2 (default): the input is read twice and only two small things are
+    shuffled — per-(group, bucket) counts, then the values of the few located
+    buckets. passes=1: (group, value) counts are shuffled once for all values;
+    use it when the input is an expensive derivation that should not be
+    computed twice. Nulls and NaN are ignored; groups without values produce no row.
     """
     if method not in ("linear", "nearest"):
         raise ValueError("method must be 'linear' or 'nearest'")
+    if passes not in (1, 2):
+        raise ValueError("passes must be 1 or 2")
     keys = list(keys)
     v = F.col(value).cast("double")
-    vals = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # 1. distinct values with multiplicity (the only shuffle of full size)
-    counts = (vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_b", _log_bucket(F.col("_v"))))
-    # 2. per-bucket counts and their running sum: tiny
+    vals = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            .withColumn("_b", _log_bucket(F.col("_v"))))
+    if passes == 1:
+        # distinct values with multiplicity (the only shuffle of full size)
+        counts = vals.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    else:
+        per_bucket = vals.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    # per-bucket counts and their running sum: tiny
     order = Window.partitionBy(*keys).orderBy("_b")
-    pb = (counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    pb = (per_bucket
           .withColumn("_before", F.coalesce(F.sum("_bc").over(
               order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
           .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*keys))))
-    # 3. the wanted positions that fall in each bucket (a filter, no join)
+    # the wanted positions that fall in each bucket (a filter, no join)
     fr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(f)).alias("f"))
                    for name, f in fractions.items()])
     q = pb.select(*keys, "_b", "_bc", "_before", "_n", F.explode(fr).alias("_q"))
@@ -65,7 +75,13 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
                      F.lit(None).cast("double").alias("_rank"), pos.cast("bigint").alias("_pos"))
     located = q.where((F.col("_pos") >= F.col("_before"))
                       & (F.col("_pos") < F.col("_before") + F.col("_bc"))).drop("_bc")
-    # 4. rank only the distinct values of the located buckets
+    if passes == 2:
+        # second read: keep only values of located buckets (a semi-join with at most
+        # groups x fractions x 2 rows), then count them
+        wanted = located.select(*keys, "_b").distinct()
+        counts = (vals.join(wanted, keys + ["_b"], "left_semi")
+                  .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    # rank only the distinct values of the located buckets
     sel = counts.join(located, keys + ["_b"])
     w = (Window.partitionBy(*keys, "_b", "_name", "_pos").orderBy("_v")
          .rowsBetween(Window.unboundedPreceding, 0))
@@ -73,7 +89,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
     inner = F.col("_pos") - F.col("_before")
     at = (sel.withColumn("_cum", cum)
           .where((inner >= F.col("_cum") - F.col("_c")) & (inner < F.col("_cum"))))
-    # 5. one row per group: interpolate between the neighbouring positions
+    # one row per group: interpolate between the neighbouring positions
     aggs = []
     for name in fractions:
         pick = F.col("_name") == name

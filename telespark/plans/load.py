@@ -28,4 +28,4 @@ def trailing_percentiles(requests: DataFrame, instants, n: int = TRAILING_OBSERV
         inst = spark.createDataFrame([(int(t),) for t in instants],
                                      T.StructType([T.StructField("at_us", T.LongType(), False)]))
     last = nearest_rows(requests, inst, n, "before")
-    return exact_percentiles(last, ["at_us"], "duration_ms", fractions, method)
+    return exact_percentiles(last, ["at_us"], "duration_ms", fractions, method, passes=1)

@@ -44,7 +44,7 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
     self_tbl = per.withColumn("pct", F.when(total > 0, 100.0 * F.col("total_us") / total)
                               .otherwise(F.lit(0.0)))
     ms = kept.select((F.col("duration_us") / 1000.0).alias("duration_ms"))
-    pct = exact_percentiles(ms, [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    pct = exact_percentiles(ms, [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, passes=1)
     counts = join_single_rows(sample.agg(F.count(F.lit(1)).alias("sampled")),
                               kept.agg(F.count(F.lit(1)).alias("returned"),
                                        F.max(F.col("duration_us") / 1000.0).alias("max_ms")))

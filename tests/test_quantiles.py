@@ -14,8 +14,8 @@ def nearest(values, f):
     return s[min(len(s) - 1, int(len(s) * f))]
 
 
-@pytest.mark.parametrize("method", ["linear", "nearest"])
-def test_against_definitions(spark, method):
+@pytest.mark.parametrize("method,passes", [("linear", 2), ("nearest", 2), ("linear", 1), ("nearest", 1)])
+def test_against_definitions(spark, method, passes):
     rng = random.Random(3)
     rows = []
     groups = {}
@@ -26,9 +26,10 @@ def test_against_definitions(spark, method):
         rows += [(g, v) for v in vals]
     rows += [(9, None), (9, float("nan"))]            # ignored -> no row for group 9
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", FR, method).collect()}
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", FR, method, count_col="n", passes=passes).collect()}
     assert set(got) == set(groups)
     for g, vals in groups.items():
+        assert got[g].n == len(vals)
         for name, f in FR.items():
             want = float(np.percentile(vals, f * 100)) if method == "linear" else nearest(vals, f)
             assert math.isclose(getattr(got[g], name), want, rel_tol=1e-12, abs_tol=1e-12), (g, name)
