@@ -46,10 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured `spark.checkpoint.dir`; set a scratch one only when unset.
+    """Use the configured `spark.checkpoint.dir`; set a scratch one only when unset
+    and the master is local.
 
-    On a cluster the setting points at shared storage and is left untouched. Only
-    local runs (tests, bench) without it get a fresh folder under the temp dir.
+    On a cluster the setting must point at shared storage (a machine-local folder
+    would not survive executor loss); without it this raises instead of guessing.
+    Only local runs (tests, bench) without it get a fresh folder under the temp dir.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -59,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to shared storage (e.g. an HDFS or object-store "
+                           "path): telespark cuts lineage with reliable checkpoints there")
     folder = tempfile.mkdtemp(prefix="telespark-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
