@@ -85,6 +85,7 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
         F.lpad(F.col("start_us").cast("string"), START_WIDTH, "0"), F.lit(":"),
         F.lpad(F.col("span_id").cast("string"), ID_WIDTH, "0"))).persist()
     cols = ["trace_id", "span_id", "offset_us", "duration_us", "self_us", "service", "status"]
+    cols += [c for c in ("operation", "tags") if c in spans.columns]      # carried for rendering
     level = (base.where(F.col("_start"))
              .select(*cols, F.lit(0).alias("depth"), F.col("_comp").alias("path"),
                      F.array(F.col("span_id")).alias("_anc")))
@@ -118,12 +119,25 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
     return out
 
 
+DETAIL_TAGS = ("db.statement", "exception.type", "exception.message", "error")
+
+
 def render_tree_lines(tree: DataFrame) -> DataFrame:
-    """Adds `line`: indented 'service +Nms dur=..ms self=..ms status=..' text."""
-    return tree.withColumn("line", F.concat(
-        F.repeat(F.lit("  "), F.col("depth")), F.col("service"),
-        F.lit(" +"), F.format_string("%.0f", F.col("offset_us") / 1000.0), F.lit("ms"),
-        F.lit(" dur="), F.format_string("%.1f", F.col("duration_us") / 1000.0), F.lit("ms"),
-        F.lit(" self="), F.format_string("%.1f", F.col("self_us") / 1000.0), F.lit("ms"),
-        F.when(F.col("status").isNotNull(), F.concat(F.lit(" status="), F.col("status").cast("string")))
-         .otherwise(F.lit(""))))
+    """Adds `line`: '<indent>service[/operation] +Nms dur=..ms self=..ms [status=..]
+    [tag=value ...]' with two spaces per level; detail tags (when a `tags` map is
+    present) are cut to 120 characters and shown only when non-empty."""
+    name = F.col("service")
+    if "operation" in tree.columns:
+        name = F.concat(name, F.when(F.col("operation").isNotNull(),
+                                     F.concat(F.lit("/"), F.col("operation"))).otherwise(F.lit("")))
+    parts = [F.concat(F.repeat(F.lit("  "), F.col("depth")), name),
+             F.concat(F.lit("+"), F.format_string("%.0f", F.col("offset_us") / 1000.0), F.lit("ms")),
+             F.concat(F.lit("dur="), F.format_string("%.1f", F.col("duration_us") / 1000.0), F.lit("ms")),
+             F.concat(F.lit("self="), F.format_string("%.1f", F.col("self_us") / 1000.0), F.lit("ms")),
+             F.when(F.col("status").isNotNull(), F.concat(F.lit("status="), F.col("status").cast("string")))]
+    if "tags" in tree.columns:
+        for key in DETAIL_TAGS:
+            v = F.col("tags")[key]
+            shown = v.isNotNull() & (v != "") & ((F.lit(key) != "error") | ~F.lower(v).isin("false", "0"))
+            parts.append(F.when(shown, F.concat(F.lit(key + "="), F.left(v, F.lit(120)))))
+    return tree.withColumn("line", F.concat_ws(" ", *parts))

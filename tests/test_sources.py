@@ -61,3 +61,13 @@ def test_partitioned_read_prunes(spark, tmp_path):
     plan = sel._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "dt#" in plan
     assert sorted(r.v for r in sel.collect()) == [4, 5, 6, 7, 8, 9, 10]
+
+
+def test_tree_lines_from_documents(spark):
+    from telespark.plans.traces import render_tree_lines, trace_tree
+    spans = read_traces(spark, os.path.join(FIX, "trace_doc.json"))
+    lines = [r.line for r in render_tree_lines(trace_tree(spans)).orderBy("path").collect()]
+    assert lines[0].startswith("gateway/POST /api/orders +0ms dur=0.5ms")
+    assert lines[1].startswith("  orders/POST /orders +0ms") and "status=502" in lines[1]
+    assert "error=" not in lines[1]                          # error=false is not shown
+    assert lines[2].startswith("    ?/SELECT") and "db.statement=select 1" in lines[2] and "error=true" in lines[2]
