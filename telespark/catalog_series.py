@@ -99,7 +99,9 @@ _HQ = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 def _hq_sql(group: str) -> str:
     qs = ", ".join(f"('{n}', CAST({q!r} AS DOUBLE))" for n, q in _HQ.items())
     cols = ", ".join(f"round(max(CASE WHEN name = '{n}' THEN val END), 6) AS {n}" for n in _HQ)
-    return f"""c AS (SELECT {group}, le, sum(n) OVER (PARTITION BY {group} ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM b),
+    from .plans.oracle_views import dense_buckets_sql
+    return dense_buckets_sql("bd", "b", group) + f""",
+c AS (SELECT {group}, le, sum(n) OVER (PARTITION BY {group} ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM bd),
 h AS (SELECT {group}, le, cum, coalesce(lag(cum) OVER w, 0) AS prev_cum, lag(le) OVER w AS prev_le,
         max(cum) OVER (PARTITION BY {group}) AS total FROM c WINDOW w AS (PARTITION BY {group} ORDER BY le)),
 qs AS (SELECT * FROM (VALUES {qs}) t(name, q)),
@@ -121,7 +123,7 @@ def q_histogram_quantile(spark, sf_dir):
     (`sum by (le, service)` then histogram_quantile)."""
     b = V.bucket_counts(V.requests(spark, sf_dir)).where(app_routes("route"))
     per_le = b.groupBy("service", "le").agg(F.sum("n").alias("n"))
-    cum = C.cumulative_buckets(per_le, ["service"])
+    cum = C.cumulative_buckets(per_le, ["service"], bounds=V.BUCKET_BOUNDS_MS)
     q = C.histogram_quantile(cum, ["service"], _HQ)
     return q.select("service", *[r6(n).alias(n) for n in _HQ])
 
@@ -134,7 +136,7 @@ b AS (SELECT service, step_us, le, sum(n) AS n FROM daily_buckets WHERE {APP} GR
 def q_histogram_p95_daily(spark, sf_dir):
     b = V.bucket_counts(V.requests(spark, sf_dir), step_us=DAY).where(app_routes("route"))
     per_le = b.groupBy("service", "step_us", "le").agg(F.sum("n").alias("n"))
-    cum = C.cumulative_buckets(per_le, ["service", "step_us"])
+    cum = C.cumulative_buckets(per_le, ["service", "step_us"], bounds=V.BUCKET_BOUNDS_MS)
     q = C.histogram_quantile(cum, ["service", "step_us"], _HQ)
     return q.select("service", "step_us", *[r6(n).alias(n) for n in _HQ])
 

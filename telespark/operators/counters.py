@@ -88,9 +88,21 @@ def rate_series(deltas: DataFrame, keys, start_us: int, end_us: int, step_us: in
     return g.select(*keys, "step_us", inc.alias("increase"), (inc / F.lit(range_s)).alias("rate"))
 
 
-def cumulative_buckets(bucket_obs: DataFrame, keys, le: str = "le", n: str = "n") -> DataFrame:
+def cumulative_buckets(bucket_obs: DataFrame, keys, le: str = "le", n: str = "n",
+                       bounds=None) -> DataFrame:
     """Per-bucket observations -> cumulative counts per le (running sum over <= #bounds
-    rows per group)."""
+    rows per group).
+
+    With `bounds`, every group gets every bound (and +Inf), empty ones with 0, as a
+    histogram store has them: the lower edge of the first populated bucket is then
+    the previous bound, not 0. The fan-out is #bounds per group, never per row.
+    """
+    keys = list(keys)
+    if bounds is not None:
+        grid = bucket_obs.select(*keys).distinct().select(
+            *keys, F.explode(F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))).alias(le))
+        bucket_obs = (grid.join(bucket_obs.select(*keys, le, n), keys + [le], "left")
+                      .withColumn(n, F.coalesce(F.col(n), F.lit(0))))
     w = Window.partitionBy(*keys).orderBy(le).rowsBetween(Window.unboundedPreceding, 0)
     return bucket_obs.withColumn("cum", F.sum(n).over(w))
 

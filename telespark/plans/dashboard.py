@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import app_routes, is_5xx, label_eq
 from ..operators import counters as C
 from ..operators import series as SR
+from ..sources.views import BUCKET_BOUNDS_MS
 from .metrics import _le
 
 US = 1_000_000
@@ -29,7 +30,8 @@ def panel_points(requests: DataFrame, start_us: int, end_us: int, step_us: int,
         F.lit("request_rate").alias("panel"), F.col("service").alias("series"), "step_us",
         (F.col("n") / step_s).alias("value"))
     b = st.groupBy("service", "step_us", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
-    p95 = C.histogram_quantile(C.cumulative_buckets(b, ["service", "step_us"]), ["service", "step_us"],
+    p95 = C.histogram_quantile(C.cumulative_buckets(b, ["service", "step_us"], bounds=BUCKET_BOUNDS_MS),
+                               ["service", "step_us"],
                                {"value": 0.95}).select(F.lit("p95_ms").alias("panel"),
                                                        F.col("service").alias("series"), "step_us", "value")
     # the 5xx panel excludes only the control plane

@@ -61,7 +61,7 @@ def metric_points(requests: DataFrame, metric: str, win: Window, service: str =
     grid = SR.step_grid(requests.sparkSession, present, win.start_us, win.end_us, fetch_us)
     if metric == "latency":
         b = st.groupBy("service", "step_us", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
-        cum = C.cumulative_buckets(b, ["service", "step_us"])
+        cum = C.cumulative_buckets(b, ["service", "step_us"], bounds=BUCKET_BOUNDS_MS)
         q = C.histogram_quantile(cum, ["service", "step_us"], {"value": percentile / 100.0})
         return grid.join(q, ["service", "step_us"], "left")
     g = st.groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("n"),
@@ -77,7 +77,7 @@ def headline_percentiles(requests: DataFrame, win: Window, service: str = "all")
     r = service_selector(R.application(requests), service)
     r = r.where((F.col("ts_us") > win.start_us) & (F.col("ts_us") <= win.end_us))
     b = r.groupBy("service", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
-    cum = C.cumulative_buckets(b, ["service"])
+    cum = C.cumulative_buckets(b, ["service"], bounds=BUCKET_BOUNDS_MS)
     return C.histogram_quantile(cum, ["service"], {f"p{p}": p / 100.0 for p in PERCENTILES})
 
 

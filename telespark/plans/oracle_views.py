@@ -179,12 +179,25 @@ def nearest_sql(table: str, keys: str, value: str, fractions: dict) -> str:
   SELECT *, row_number() OVER ({part} ORDER BY {value}) AS rn, count(*) OVER ({part}) AS n FROM {table}) z {grp}"""
 
 
+def dense_buckets_sql(name: str, src: str, group: str) -> str:
+    """CTE `{name}`: every group of `src` x every configured bound (+Inf), empty
+    buckets with n = 0 (as a histogram store keeps them)."""
+    gcols = [g.strip() for g in group.split(",")]
+    bv = ", ".join(f"(CAST({b!r} AS DOUBLE))" for b in BUCKET_BOUNDS_MS) + ", (CAST('Infinity' AS DOUBLE))"
+    on = " AND ".join(f"s.{g} = gg.{g}" for g in gcols)
+    return f"""{name} AS (SELECT {', '.join('gg.' + g for g in gcols)}, bb.le, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT {group} FROM {src}) gg CROSS JOIN (VALUES {bv}) bb(le)
+  LEFT JOIN {src} s ON {on} AND s.le = bb.le)"""
+
+
 def hq_ctes(name: str, src: str, group: str, qs: dict) -> str:
     """CTEs ending in `{name}` (group..., qname, val): Prometheus histogram_quantile
-    over `src` (group..., le, n) with non-cumulative per-bucket counts."""
+    over `src` (group..., le, n) with non-cumulative per-bucket counts; the buckets
+    are densified over the configured bounds first."""
     gq = ", ".join(f"h.{g.strip()}" for g in group.split(","))
     qv = ", ".join(f"('{n}', CAST({q!r} AS DOUBLE))" for n, q in qs.items())
-    return f"""{name}_c AS (SELECT {group}, le, sum(n) OVER (PARTITION BY {group} ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM {src}),
+    return dense_buckets_sql(f"{name}_dense", src, group) + f""",
+{name}_c AS (SELECT {group}, le, sum(n) OVER (PARTITION BY {group} ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM {name}_dense),
 {name}_h AS (SELECT {group}, le, cum, coalesce(lag(cum) OVER w, 0) AS prev_cum, lag(le) OVER w AS prev_le,
         max(cum) OVER (PARTITION BY {group}) AS total FROM {name}_c WINDOW w AS (PARTITION BY {group} ORDER BY le)),
 {name}_q AS (SELECT * FROM (VALUES {qv}) t(qname, q)),

@@ -87,3 +87,13 @@ def test_promql_duplicate_timestamps_do_not_divide_by_zero(spark):
     df = spark.createDataFrame(rows, "s string, ts_us bigint, value double")
     d = C.counter_deltas(df, ["s"])
     assert C.rate_series(d, ["s"], 0, 60 * 1000000, 30 * 1000000, 60 * 1000000, "promql").count() == 0
+
+
+def test_histogram_uses_previous_bound_for_empty_low_buckets(spark):
+    from telespark.sources.views import BUCKET_BOUNDS_MS
+    obs = spark.createDataFrame([("a", 250.0, 10)], "g string, le double, n bigint")   # all in (100, 250]
+    sparse = C.histogram_quantile(C.cumulative_buckets(obs, ["g"]), ["g"], {"p50": 0.5}).first().p50
+    dense = C.histogram_quantile(C.cumulative_buckets(obs, ["g"], bounds=BUCKET_BOUNDS_MS), ["g"],
+                                 {"p50": 0.5}).first().p50
+    assert sparse == 125.0            # without the empty buckets the lower edge would be 0
+    assert dense == 175.0             # the store's view: lower edge is the previous bound, 100
