@@ -437,7 +437,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def covers(texts: DataFrame, slices: int, hot_rows: int = HOT_ROWS, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """k, id, start, end (bytes): intervals to remove, of texts (k, id, text)."""
+    """k, id, start, end (bytes): intervals to remove, of texts (k, id, doc_id, text)."""
     counts = (texts.select("text").mapInArrow(_count_grams, "gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
               .select("gram", (F.col("n") > hot_rows).alias("hot")))
@@ -445,7 +445,8 @@ def covers(texts: DataFrame, slices: int, hot_rows: int = HOT_ROWS, run_bytes: i
     repeated = (listed.join(counts, "gram").groupBy("k", "id")
                 .agg(F.collect_set("gram").alias("grams"),
                      F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
-    runs = (texts.join(repeated, ["k", "id"]).select("k", "id", "text", "grams", "hot")
+    # all columns of `texts`, unused ones too: the join that cuts reuses this exchange
+    runs = (texts.join(repeated, ["k", "id"])
             .mapInArrow(_make_runs(slices, run_bytes), "slice int, kind int, data binary"))
     return runs.groupBy("slice").applyInArrow(_merge_slice, "k long, id long, start int, end int")
 
