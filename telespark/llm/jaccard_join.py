@@ -4,21 +4,28 @@ A document's set: hashes of its distinct `n`-word shingles over lower-cased word
 fewer words, the whole sequence is one shingle). Two documents link when
 den * |A and B| >= num * |A or B| (num/den the Jaccard bound as integers).
 
-1. One pass over the texts writes, per document, its set's size and fingerprint and a few
-   routing keys. Routing is a pigeonhole: linked sets differ in at most D elements, so if
-   hash ranges cut both into P > D parts, at most D parts differ. Every document sends the
-   hashes of its first D + 1 non-empty parts: one of them must be equal in a linked set. P is the power of two above D of the smaller
-   set; a set whose partners could have another P sends keys for both. A set that is too
-   sparse for that guarantee sends one extra key shared by all such sets.
-2. Documents with a common key are joined to the smallest of them (a star, no pairs);
-   connected components of the stars are blocks, and links never leave a block.
-3. Inside a block, equal sets are one representative. The representatives are dealt to
-   tiles of about `tile` sets (large blocks by size first), and each pair of tiles is one
-   group: it builds inverted lists of one tile and searches them for each set of the other. For a set of n elements
-   that needs T common ones, the T - 1 longest lists are set aside; the short ones are
-   merged by a heap, and every set found there is probed by binary search in the long
-   ones, until it reaches T or cannot. Sets already in one component are not probed
-   again, so a tile pair reports at most one link per set (a spanning forest).
+1. One pass over the texts writes, per document, its set's size and fingerprint and its
+   lowest shingle hashes, a fraction a little above the share A of its shingles that a
+   linked set may lack. Counting these over all documents shows which occur only once; a
+   document with more than A of those cannot be linked with anything. This ends the work
+   for nearly all documents, those that merely share a passage included. (The fraction
+   falls with the size, and every set sends what the test of its smallest possible partner
+   counts, so a partner's shingle is never missed.)
+2. The sets that are left, one per group of equal ones, are routed by a pigeonhole: linked
+   sets differ in at most D elements, so if hash ranges cut both into P > D parts, at most
+   D parts differ. Every set sends the hashes of its first D + 1 non-empty parts: one of
+   them must be equal in a linked set. P is the power of two above D of the smaller set; a
+   set whose partners could have another P sends keys for both. A set that is too sparse
+   for that guarantee sends one extra key shared by all such sets. Sets with a common key
+   are joined to the smallest of them (a star, no pairs); connected components of the
+   stars are blocks, and links never leave a block.
+3. Inside a block the sets are dealt to tiles of about `tile` sets (large blocks by size
+   first), and each pair of tiles is one group: it builds inverted lists of one tile and
+   searches them for each set of the other. For a set of n elements that needs T common
+   ones, the T - 1 longest lists are set aside; the short ones are merged by a heap, and
+   every set found there is probed by binary search in the long ones, until it reaches T
+   or cannot. Sets already in one component are not probed again, so a tile pair reports
+   at most one link per set (a spanning forest).
 4. Connected components of the links give the answer.
 
 A shingle is a 64-bit hash, equal sets are recognised by a 64-bit fingerprint.
@@ -113,30 +120,53 @@ def routing_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def spare(size: int, num: int, den: int) -> int:
+    """Most elements of a set of `size` that a linked set may lack."""
+    return size - -(-size * num // den)
+
+
+def _fraction(size: int, num: int, den: int) -> float:
+    """Share of its lowest hashes that a set is tested on; falls with the size."""
+    share = 1 - num / den
+    return min(1.0, 1.1 * share + 2 * math.sqrt(share / size))
+
+
+def _below(hashes: np.ndarray, fraction: float) -> int:
+    return len(hashes) if fraction >= 1 else int(
+        np.searchsorted(hashes, np.uint64(int(fraction * (1 << 53)) << 11)))
+
+
 def _profile(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(n)
         for batch in batches:
-            sizes, prints, keys = [], [], []
+            sizes, prints, tested, low = [], [], [], []
             for text in batch.column(2):
                 h = make.of(text.as_py())
                 sizes.append(len(h))
                 prints.append(set_print(h) if len(h) else None)
-                keys.append(routing_keys(h, num, den) if len(h) else np.empty(0, np.int64))
+                test = send = 0
+                if len(h):
+                    test = _below(h, _fraction(len(h), num, den))
+                    send = _below(h, _fraction(-(-len(h) * num // den), num, den))
+                tested.append(test)
+                low.append(h[:send].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_key", "size", "set", "keys"])
+                 pa.array(tested, pa.int32()), pa.array(low, pa.list_(pa.int64()))],
+                names=["id", "text_key", "size", "set", "tested", "low"])
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(n)
         for batch in batches:
+            sets = [make.of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([make.of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())],
-                names=["block", "set", "hashes"])
+                [batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()),
+                 pa.array([routing_keys(h, num, den) for h in sets], pa.list_(pa.int64()))],
+                names=["set", "hashes", "keys"])
     return run
 
 
@@ -274,40 +304,46 @@ def text_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text)
 
 
+def linkable(profile: DataFrame, num: int, den: int) -> DataFrame:
+    """id, text_key, set of the documents that step 1 cannot rule out."""
+    low = profile.select("row", "tested", F.posexplode("low").alias("at", "shingle"))
+    again = (low.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
+    shared = (low.where("at < tested").select("row", "shingle").join(again, "shingle")
+              .groupBy("row").agg(F.count(F.lit(1)).alias("shared")))
+    lacking = F.col("size") - F.ceil(F.col("size") * F.lit(num) / F.lit(den))
+    kept = profile.where("size > 0").join(shared, "row", "left")
+    return (kept.where(F.col("tested") - F.coalesce("shared", F.lit(0)) <= lacking)
+            .select("id", "text_key", "set"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                        num: int = 8, den: int = 10, tile: int = TILE) -> DataFrame:
     """row (unique number), id, text_key, size, set, component (its smallest `set`; null for
     empty sets): one row per document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", text_key(F.col("id"), F.col("text")).alias("text_key"), "text")
-    profile = stash(rows.mapInArrow(_profile(n, num, den),
-                                    "id long, text_key long, size long, set long, keys array<long>")
-                    .withColumn("row", F.monotonically_increasing_id()), "set-profiles")
-    keyed = profile.select("row", F.explode("keys").alias("key"))
-    shared = (keyed.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"))
-              .where("first < last").select("key", "first"))
-    stars = keyed.join(shared, "key").where("row <> first").select("row", "first").distinct()
-    stars = stash(stars, "stars")
-    blocks = components(stars, "row", "first")
-    # blocks of one set alone (exact copies) need no search
-    owner = stash(profile.select("row", "set", "id", "text_key").join(
-        blocks.select(F.col("node").alias("row"), F.col("root").alias("block")), "row"), "block-members")
-    mixed = owner.groupBy("block").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x < y")
-    reps = (owner.join(mixed.select("block"), "block").groupBy("block", "set")
-            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("m"))
-            .select("block", "set", F.col("m.id").alias("r_id"), F.col("m.text_key").alias("r_key")))
+    wide = stash(rows.mapInArrow(_profile(n, num, den), "id long, text_key long, size long, set long, "
+                                                        "tested int, low array<long>")
+                 .withColumn("row", F.monotonically_increasing_id()), "set-profiles")
     # one text per set: rows repeating (id, text) give the same set again
+    reps = (linkable(wide, num, den).groupBy("set")
+            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("m"))
+            .select("set", F.col("m.id").alias("r_id"), F.col("m.text_key").alias("r_key")))
     texts = rows.join(reps.hint("shuffle_hash"), (F.col("text_key") == F.col("r_key"))
                       & F.col("id").eqNullSafe(F.col("r_id")))
-    members = stash(texts.select("block", "set", "text").mapInArrow(
-        _sets(n), "block long, set long, hashes binary").dropDuplicates(["block", "set"]), "block-sets")
-    links = components(block_links(members, num, den, tile))
+    sets = stash(texts.select("set", "text").mapInArrow(
+        _sets(n, num, den), "set long, hashes binary, keys array<long>").dropDuplicates(["set"]), "sets")
+    keyed = sets.select("set", F.explode("keys").alias("key"))
+    shared = (keyed.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"))
+              .where("first < last").select("key", "first"))
+    stars = stash(keyed.join(shared, "key").where("set <> first").select("set", "first").distinct(), "stars")
+    blocks = components(stars, "set", "first").select(F.col("node").alias("set"), F.col("root").alias("block"))
+    links = components(block_links(sets.select("set", "hashes").join(blocks, "set"), num, den, tile))
     found = stash(links.select(F.col("node").alias("set"), F.col("root").alias("component")), "set-components")
-    out = profile.drop("keys").join(found, "set", "left")
-    for t in (stars, owner, members):
+    for t in (stars, sets):
         discard(t)
-    return out.select("row", "id", "text_key", "size", "set",
-                      F.coalesce("component", "set").alias("component"))
+    return (wide.drop("tested", "low").join(found, "set", "left")
+            .select("row", "id", "text_key", "size", "set", F.coalesce("component", "set").alias("component")))
 
 
 def component_ids(similar: DataFrame) -> DataFrame:
