@@ -51,7 +51,7 @@ WINDOW = 100
 GRAM = 32
 HOT_ROWS = 250_000
 SLICE_BYTES = 8 << 20          # of input text per slice; its repeated suffixes are less
-RUN_BYTES = 48 << 20           # of suffixes that a task holds before it sends a run
+RUN_BYTES = 16 << 20           # of suffixes that a task holds before it sends a run
 _LAST_ID = (1 << 63) - 1
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
