@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import small, stash
 
 WINDOW = 12
 MIN_SHARE = 0.8
@@ -94,14 +94,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """The documents that no item contaminates, all columns kept.
-
-    The flagged rows are broadcast only up to a million (16 bytes each)."""
+    """The documents that no item contaminates, all columns kept."""
     bad = stash(contaminations(docs, benchmark, doc_id, text_col).select("doc", "text_key").distinct(),
                 "contaminated")
-    if bad.count() <= BROADCAST_SEEDS:
-        bad = F.broadcast(bad)
     rows = docs.select(F.struct("*").alias("row"))
-    clean = rows.join(bad, F.col(f"row.{doc_id}").eqNullSafe(F.col("doc"))
+    clean = rows.join(small(bad), F.col(f"row.{doc_id}").eqNullSafe(F.col("doc"))
                       & (F.xxhash64(f"row.{text_col}") == F.col("text_key")), "left_anti")
     return clean.select("row.*")

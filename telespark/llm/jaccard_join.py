@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import Substrings, mix
-from .store import discard, stash
+from .store import discard, small, stash
 
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -164,9 +164,10 @@ def _sets(n: int, num: int, den: int):
         for batch in batches:
             sets = [make.of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()),
+                [batch.column(0), pa.array([len(h) for h in sets], pa.int64()),
+                 pa.array([h.tobytes() for h in sets], pa.binary()),
                  pa.array([routing_keys(h, num, den) for h in sets], pa.list_(pa.int64()))],
-                names=["set", "hashes", "keys"])
+                names=["set", "size", "hashes", "keys"])
     return run
 
 
@@ -264,37 +265,45 @@ def _search_tiles(num: int, den: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a, b = key[2].as_py(), key[3].as_py()
         tile = np.asarray(table.column("tile"))
-        sets = table.column("set").to_pylist()
+        sets = np.asarray(table.column("set"))
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        left = np.flatnonzero(tile == a).tolist()
-        right = left if a == b else np.flatnonzero(tile == b).tolist()
+        once = np.unique(sets, return_index=True)[1]     # rows repeating (id, text) come again
+        left = once[tile[once] == a].tolist()
+        right = left if a == b else once[tile[once] == b].tolist()
         found = search([hashes[i] for i in left], [hashes[i] for i in right], num, den, a == b)
-        return pa.table({"a": pa.array([sets[left[i]] for i, _ in found], pa.int64()),
-                         "b": pa.array([sets[right[j]] for _, j in found], pa.int64())})
+        return pa.table({"a": pa.array([int(sets[left[i]]) for i, _ in found], pa.int64()),
+                         "b": pa.array([int(sets[right[j]]) for _, j in found], pa.int64())})
     return run
 
 
-def block_links(members: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """a, b: links between the sets of each block (block, set, hashes).
+def tile_pairs(blocks: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
+    """block, table, t1, t2, set, tile: the groups each set (block, set, size) takes part in.
 
     A block of more than `tile` sets is cut by size: class c holds sizes within a factor
     den/num, linked sets are in one class or in neighbours, and table c searches classes c
     and c + 1. A table of m sets makes t = ceil(m / tile) tiles; a set goes to the t tasks
     of its tile's pairs."""
-    counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
+    counts = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
     step = math.log(den / num) * 1.001 if den > num else 1.0
-    size_class = F.floor(F.log(F.octet_length("hashes") / 8) / step).cast("int")
+    size_class = F.floor(F.log("size") / step).cast("int")
     tables = F.when(F.col("sets") <= tile, F.array(F.lit(-2))).otherwise(
         F.array(size_class - 1, size_class))
-    m = members.join(counts, "block").select("block", "set", "hashes", F.explode(tables).alias("table"))
-    tiles = (m.groupBy("block", "table").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles")))
+    m = blocks.join(counts, "block").select("block", "set", F.explode(tables).alias("table"))
+    tiles = m.groupBy("block", "table").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles"))
     m = (m.join(tiles, ["block", "table"])
          .withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))
-    m = m.select("block", "table", "set", "hashes", "tile", other.alias("other"))
-    m = m.select("block", "table", F.least("tile", "other").alias("t1"),
-                 F.greatest("tile", "other").alias("t2"), "set", "hashes", "tile")
-    return (m.groupBy("block", "table", "t1", "t2")
+    m = m.select("block", "table", "set", "tile", other.alias("other"))
+    return m.select("block", "table", F.least("tile", "other").alias("t1"),
+                    F.greatest("tile", "other").alias("t2"), "set", "tile")
+
+
+def block_links(sets: DataFrame, blocks: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
+    """a, b: links between the sets (set, size, hashes) of each block (block, set)."""
+    sizes = sets.select("set", "size")
+    pairs = small(stash(tile_pairs(sizes.join(blocks, "set"), num, den, tile), "tile-pairs"))
+    # only this exchange carries the hashes
+    return (sets.select("set", "hashes").join(pairs, "set").groupBy("block", "table", "t1", "t2")
             .applyInArrow(_search_tiles(num, den), "a long, b long"))
 
 
@@ -325,24 +334,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = stash(rows.mapInArrow(_profile(n, num, den), "id long, text_key long, size long, set long, "
                                                         "tested int, low array<long>")
                  .withColumn("row", F.monotonically_increasing_id()), "set-profiles")
-    # one text per set: rows repeating (id, text) give the same set again
-    reps = (linkable(wide, num, den).groupBy("set")
-            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("m"))
-            .select("set", F.col("m.id").alias("r_id"), F.col("m.text_key").alias("r_key")))
-    texts = rows.join(reps.hint("shuffle_hash"), (F.col("text_key") == F.col("r_key"))
+    # one text per set; where rows repeat (id, text), the set comes as often as they do
+    reps = stash(linkable(wide, num, den).groupBy("set")
+                 .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("m"))
+                 .select("set", F.col("m.id").alias("r_id"), F.col("m.text_key").alias("r_key")), "linkable")
+    profile = stash(wide.drop("tested", "low"), "set-prints")
+    discard(wide)
+    texts = rows.join(small(reps), (F.col("text_key") == F.col("r_key"))
                       & F.col("id").eqNullSafe(F.col("r_id")))
     sets = stash(texts.select("set", "text").mapInArrow(
-        _sets(n, num, den), "set long, hashes binary, keys array<long>").dropDuplicates(["set"]), "sets")
+        _sets(n, num, den), "set long, size long, hashes binary, keys array<long>"), "sets")
     keyed = sets.select("set", F.explode("keys").alias("key"))
     shared = (keyed.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"))
               .where("first < last").select("key", "first"))
     stars = stash(keyed.join(shared, "key").where("set <> first").select("set", "first").distinct(), "stars")
     blocks = components(stars, "set", "first").select(F.col("node").alias("set"), F.col("root").alias("block"))
-    links = components(block_links(sets.select("set", "hashes").join(blocks, "set"), num, den, tile))
+    links = components(block_links(sets, blocks, num, den, tile))
     found = stash(links.select(F.col("node").alias("set"), F.col("root").alias("component")), "set-components")
-    for t in (stars, sets):
+    for t in (stars, sets, reps):
         discard(t)
-    return (wide.drop("tested", "low").join(found, "set", "left")
+    return (profile.join(found, "set", "left")
             .select("row", "id", "text_key", "size", "set", F.coalesce("component", "set").alias("component")))
 
 
@@ -372,13 +383,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                  .select("g.id", "g.text_key", "drop", "all"), "dropped")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("t_"))
     rows = rows.withColumn("key_", text_key(F.col("id_"), F.col("t_")))
-    on = F.col("id_").eqNullSafe(F.col("g.id")) & (F.col("key_") == F.col("g.text_key"))
-    whole = gone.where("drop = all").alias("g")
-    left = rows.join(whole, on, "left_anti")
-    part = gone.where("drop < all").select("id", "text_key")
-    if part.isEmpty():
-        return left.select("doc.*")
-    # some of several equal rows stay: one row of each such (id, text), the rest untouched
-    part = part.alias("g")
-    some = left.join(part, on, "left_semi").dropDuplicates(["id_", "key_"])
-    return left.join(part, on, "left_anti").select("doc.*").unionByName(some.select("doc.*"))
+    marked = rows.join(small(gone), F.col("id_").eqNullSafe(F.col("id")) & (F.col("key_") == F.col("text_key")), "left")
+    left = marked.where(F.col("drop").isNull()).select("doc.*")
+    if gone.where("drop < all").isEmpty():
+        return left
+    # some of several equal rows stay: they are equal in (id, text), one of them does
+    some = marked.where("drop < all").dropDuplicates(["id_", "key_"])
+    return left.unionByName(some.select("doc.*"))

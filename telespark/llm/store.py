@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -40,3 +41,13 @@ def discard(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# narrow rows (up to 40 bytes): at most 40 MB
+BROADCAST_ROWS = 1_000_000
+
+
+def small(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored narrow table, marked for broadcast if it has at most `rows` rows; a larger
+    one is joined by a shuffle."""
+    return F.broadcast(stashed) if stashed.count() <= rows else stashed
