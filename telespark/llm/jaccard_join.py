@@ -40,7 +40,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,73 +195,79 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def _holds(lists: list, at: int) -> bool:
-    k = bisect_left(lists, at)
-    return k < len(lists) and lists[k] == at
+class _Index:
+    """Inverted lists as three arrays: token, where its list starts, positions (ascending)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.token, start = np.unique(tokens[order], return_index=True)
+        self.start = np.append(start, len(tokens))
+        self.owner = array("i", owner[order].tobytes())
+
+    def lists(self, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) in `owner` of the tokens' lists, shortest first."""
+        at = np.minimum(np.searchsorted(self.token, tokens), max(0, len(self.token) - 1))
+        at = at[self.token[at] == tokens] if len(self.token) else at[:0]
+        start, end = self.start[at], self.start[at + 1]
+        order = np.argsort(end - start, kind="stable")
+        return list(zip(start[order].tolist(), end[order].tolist()))
 
 
 def search(queries: list[np.ndarray], index: list[np.ndarray], num: int, den: int,
            same: bool) -> list[tuple[int, int]]:
     """DivideSkip: links (query, indexed) that join components, a spanning forest of the
     link graph between the two tiles. `same`: both are one tile."""
-    order = np.argsort([len(s) for s in index], kind="stable")
-    sizes = np.array([len(index[i]) for i in order], np.int64)
-    # inverted lists of positions in the order of size
-    posting: dict[int, list[int]] = {}
-    for at, i in enumerate(order.tolist()):
-        for token in index[i].tolist():
-            posting.setdefault(token, []).append(at)
+    place = np.argsort([len(s) for s in index], kind="stable").tolist()
+    sizes = [len(index[i]) for i in place]
+    inverted = _Index([index[i] for i in place])
+    owner = inverted.owner
     forest = Forest(len(index) + (0 if same else len(queries)))
     base = 0 if same else len(index)
-    links = []
-    size_list = sizes.tolist()
-    place = order.tolist()
+    links: list[tuple[int, int]] = []
+
+    def settle(q: int, n: int, at: int, seen: int, long: list[tuple[int, int]]) -> None:
+        """Probe the long lists for the set at `at`, found `seen` times in the short ones."""
+        if forest.find(base + q) == forest.find(place[at]):
+            return
+        want, left = needed(n, sizes[at], num, den), len(long)
+        for a, b in long:
+            if seen >= want or seen + left < want:
+                break
+            left -= 1
+            k = bisect_left(owner, at, a, b)
+            seen += k < b and owner[k] == at
+        if seen >= want:
+            forest.join(base + q, place[at])
+            links.append((q, place[at]))
+
     for q in sorted(range(len(queries)), key=lambda k: len(queries[k])):
-        tokens = queries[q]
-        n = len(tokens)
-        low = int(np.searchsorted(sizes, -(-n * num // den)))
-        high = int(np.searchsorted(sizes, n * den // num, side="right"))
+        n = len(queries[q])
+        low = bisect_left(sizes, -(-n * num // den))
+        high = bisect_right(sizes, n * den // num)
         if low >= high:
             continue
-        lists = sorted(filter(None, map(posting.get, tokens.tolist())), key=len)
-        least = needed(n, size_list[low], num, den)
+        lists = inverted.lists(queries[q])
+        least = needed(n, sizes[low], num, den)
         if len(lists) < least:
             continue
         # with T common elements at least one lies outside any T - 1 lists
         short, long = lists[:len(lists) - least + 1], lists[len(lists) - least + 1:]
-        node = base + q
-        counted, last, seen = 0, -1, 0
-        for at in heapq.merge(*(x[bisect_left(x, low):bisect_left(x, high)] for x in short)):
+        last, seen = -1, 0
+        for at in heapq.merge(*(owner[bisect_left(owner, low, a, b):bisect_left(owner, high, a, b)]
+                                for a, b in short)):
             if at == last:
                 seen += 1
                 continue
             if last >= 0:
-                counted += _settle(last, seen, long, n, size_list, place, forest, node, q, links, num, den)
+                settle(q, n, last, seen, long)
             last, seen = at, 1
         if last >= 0:
-            _settle(last, seen, long, n, size_list, place, forest, node, q, links, num, den)
+            settle(q, n, last, seen, long)
     return links
 
 
-def _settle(at, seen, long, n, sizes, place, forest, node, q, links, num, den) -> int:
-    """Probe the long lists for the set at `at`, found `seen` times in the short ones."""
-    other = place[at]
-    if forest.find(node) == forest.find(other):
-        return 0
-    want = needed(n, sizes[at], num, den)
-    left = len(long)
-    for x in long:
-        if seen >= want or seen + left < want:
-            break
-        left -= 1
-        seen += _holds(x, at)
-    if seen >= want:
-        forest.join(node, other)
-        links.append((q, other))
-        return 1
-    return 0
-
-
 def _search_tiles(num: int, den: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a, b = key[2].as_py(), key[3].as_py()
