@@ -19,8 +19,8 @@ den * |A and B| >= num * |A or B| (num/den the Jaccard bound as integers).
    for that guarantee sends one extra key shared by all such sets. Sets with a common key
    are joined to the smallest of them (a star, no pairs); connected components of the
    stars are blocks, and links never leave a block.
-3. Inside a block the sets are dealt to tiles of about `tile` sets (large blocks by size
-   first), and each pair of tiles is one group: it builds inverted lists of one tile and
+3. Inside a block the sets are dealt to tiles of about `tile` shingles (large blocks by
+   size first), and each pair of tiles is one group: it builds inverted lists of one tile and
    searches them for each set of the other. For a set of n elements that needs T common
    ones, the T - 1 longest lists are set aside; the short ones are merged by a heap, and
    every set found there is probed by binary search in the long ones, until it reaches T
@@ -59,7 +59,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-TILE = 4096
+TILE = 2_000_000             # shingles, 16 MB
 
 
 class Shingles:
@@ -273,7 +273,11 @@ def _search_tiles(num: int, den: int):
         a, b = key[2].as_py(), key[3].as_py()
         tile = np.asarray(table.column("tile"))
         sets = np.asarray(table.column("set"))
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        column = table.column("hashes").combine_chunks()
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:len(column) + 1]
+        data = column.buffers()[2]
+        hashes = [np.frombuffer(data, np.uint64, (b - a) // 8, a)      # views, no copies
+                  for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         once = np.unique(sets, return_index=True)[1]     # rows repeating (id, text) come again
         left = once[tile[once] == a].tolist()
         right = left if a == b else once[tile[once] == b].tolist()
@@ -286,17 +290,17 @@ def _search_tiles(num: int, den: int):
 def tile_pairs(blocks: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
     """block, table, t1, t2, set, tile: the groups each set (block, set, size) takes part in.
 
-    A block of more than `tile` sets is cut by size: class c holds sizes within a factor
+    A block of more than `tile` shingles is cut by size: class c holds sizes within a factor
     den/num, linked sets are in one class or in neighbours, and table c searches classes c
-    and c + 1. A table of m sets makes t = ceil(m / tile) tiles; a set goes to the t tasks
-    of its tile's pairs."""
-    counts = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
+    and c + 1. A table of m shingles makes t = ceil(m / tile) tiles; a set goes to the t
+    tasks of its tile's pairs."""
+    counts = blocks.groupBy("block").agg(F.sum("size").alias("shingles"))
     step = math.log(den / num) * 1.001 if den > num else 1.0
     size_class = F.floor(F.log("size") / step).cast("int")
-    tables = F.when(F.col("sets") <= tile, F.array(F.lit(-2))).otherwise(
+    tables = F.when(F.col("shingles") <= tile, F.array(F.lit(-2))).otherwise(
         F.array(size_class - 1, size_class))
-    m = blocks.join(counts, "block").select("block", "set", F.explode(tables).alias("table"))
-    tiles = m.groupBy("block", "table").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles"))
+    m = blocks.join(counts, "block").select("block", "set", "size", F.explode(tables).alias("table"))
+    tiles = m.groupBy("block", "table").agg(F.ceil(F.sum("size") / F.lit(tile)).alias("tiles"))
     m = (m.join(tiles, ["block", "table"])
          .withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))
