@@ -229,7 +229,7 @@ def brute_components(rows, n, num, den):
                   for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("n,num,den,tile", [(3, 90, 100, 4096), (5, 8, 10, 7), (1, 1, 2, 5)])
+@pytest.mark.parametrize("n,num,den,tile", [(3, 90, 100, jaccard_join.TILE), (5, 8, 10, 500), (1, 1, 2, 300)])
 def test_jaccard_join(spark, prose, n, num, den, tile):
     rng = random.Random(4)
     bases, passage = [prose(rng, k) for k in (3, 6, 12, 25, 60, 150) for _ in range(4)], prose(rng, 30)
