@@ -167,7 +167,7 @@ probes AS (SELECT * FROM (
   FROM incidents i JOIN door d ON d.ts_us > i.end_us) x WHERE rk <= 10),
 pp AS ({nearest_sql("probes", "incident_id", "duration_ms", {"probe_p95_ms": 0.95})}),
 agg AS (SELECT incident_id, count(*) AS probes,
-          count(*) FILTER (WHERE NOT coalesce(status >= 200 AND status < 400, false)) AS probe_failures,
+          count(*) FILTER (WHERE NOT coalesce(status = 200, false)) AS probe_failures,
           (max(ts_us) - max(at_us)) / 1e6 AS recovery_s FROM probes GROUP BY 1),
 busy AS (SELECT DISTINCT a.incident_id FROM incidents a JOIN incidents b
          ON b.incident_id <> a.incident_id AND a.end_us BETWEEN b.start_us AND b.end_us)

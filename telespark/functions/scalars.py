@@ -44,7 +44,7 @@ def expected_signal(checks_col) -> Column:
 
 def format_value(col, digits: int = 3) -> Column:
     """Fixed decimals, 'n/a' for null (report rendering)."""
-    return F.coalesce(F.format_number(_c(col), digits), F.lit("n/a"))
+    return F.coalesce(F.when(_c(col).isNotNull(), F.format_string(f"%.{digits}f", _c(col).cast("double"))), F.lit("n/a"))
 
 
 def round_half_even(col, digits: int = 1) -> Column:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 def top_n_per_group(df: DataFrame, group, order: list[Column], n: int, salt: int = 16,
                     rank_col: str = "rank") -> DataFrame:
     group = list(group)
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt))
+    # maps cannot be hashed; the other columns tell rows apart well enough for a salt
+    hashed = [F.col(c) for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    h = F.pmod(F.xxhash64(F.lit(0), *hashed), F.lit(salt))
     lvl1 = (df.withColumn("_salt", h)
             .withColumn("_r1", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)))
             .where(F.col("_r1") <= n).drop("_r1", "_salt"))

@@ -81,7 +81,7 @@ def _raw_span_json(selfs: DataFrame):
     return F.concat(F.lit('{"traceID":"'), s("trace_id"), F.lit('","spanID":"'), s("span_id"),
                     F.lit('","operationName":"'), F.col("service"), F.lit('","startTime":'), s("start_us"),
                     F.lit(',"duration":'), s("duration_us"), F.lit(',"references":['), ref,
-                    F.lit('],"tags":[{"key":"http.response.status_code","value":'), s("status"),
+                    F.lit('],"tags":[{"key":"http.response.status_code","value":'), F.coalesce(s("status"), F.lit("null")),
                     F.lit("}]}"))
 
 
@@ -117,7 +117,7 @@ def payload_reduction(spans: DataFrame, folded: DataFrame, incidents: DataFrame,
 
 from ..config import (RECOVERY_FACTOR, RECOVERY_FLOOR_MS, RECOVERY_PROBES,  # noqa: E402
                       REPLAY_TOLERANCE_POINTS, SETTLE_MARGIN_S, SETTLE_MAX_S)
-from ..functions.predicates import is_5xx, is_ok  # noqa: E402
+from ..functions.predicates import is_5xx  # noqa: E402
 from ..functions.scalars import fault_metric, id_suffix  # noqa: E402
 from ..operators import requests as R  # noqa: E402
 from ..operators import series as SR  # noqa: E402
@@ -332,7 +332,7 @@ def verify_recovery(requests: DataFrame, incidents: DataFrame, baseline_start_us
     p95 = exact_percentiles(got, ["incident_id"], "duration_ms", {"probe_p95_ms": 0.95}, "nearest", passes=1)
     agg = got.groupBy("incident_id", "at_us").agg(
         F.count(F.lit(1)).alias("probes"),
-        F.count_if(~is_ok("status")).alias("probe_failures"),
+        F.count_if(~F.col("status").eqNullSafe(F.lit(200))).alias("probe_failures"),
         ((F.max("ts_us") - F.col("at_us")) / US).alias("recovery_s"))
     # still active: another incident covering this one's end
     ends = incidents.select(F.col("incident_id").alias("_self"), F.col("end_us").alias("_end"))

@@ -67,13 +67,12 @@ def merge_index(old: DataFrame, new: DataFrame, files: DataFrame, labels: DataFr
 
     Old entries survive only if their file still exists; new entries win by
     incident_id; rows follow the label order (labels: incident_id, pos), unknown
-    incidents last (position 99).
+    incidents last (position null).
     """
     kept = old.join(files.select("file").distinct(), "file", "left_semi")
     merged = kept.join(new.select("incident_id"), "incident_id", "left_anti").unionByName(new)
     return (merged.join(labels.select("incident_id", "pos"), "incident_id", "left")
-            .withColumn("pos", F.coalesce("pos", F.lit(99)))
-            .orderBy("pos", "incident_id"))
+            .orderBy(F.col("pos").asc_nulls_last(), "incident_id"))
 
 
 INDEX_SCHEMA = T.StructType([
