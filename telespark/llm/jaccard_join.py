@@ -137,10 +137,17 @@ def _below(hashes: np.ndarray, fraction: float) -> int:
         np.searchsorted(hashes, np.uint64(int(fraction * (1 << 53)) << 11)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The sets of a whole batch take several times its texts: a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _profile(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(n)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, prints, tested, low = [], [], [], []
             for text in batch.column(2):
                 h = make.of(text.as_py())
@@ -162,7 +169,7 @@ def _profile(n: int, num: int, den: int):
 def _sets(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(n)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [make.of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(h) for h in sets], pa.int64()),
@@ -202,9 +209,11 @@ class _Index:
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
-        self.token, start = np.unique(tokens[order], return_index=True)
-        self.start = np.append(start, len(tokens))
-        self.owner = array("i", owner[order].tobytes())
+        tokens, owner = tokens[order], owner[order]
+        del order
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[:len(tokens)])
+        self.token, self.start = tokens[start], np.append(start, len(tokens))
+        self.owner = array("i", owner.tobytes())
 
     def lists(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """(start, end) in `owner` of the tokens' lists, shortest first."""
@@ -273,11 +282,11 @@ def _search_tiles(num: int, den: int):
         a, b = key[2].as_py(), key[3].as_py()
         tile = np.asarray(table.column("tile"))
         sets = np.asarray(table.column("set"))
-        column = table.column("hashes").combine_chunks()
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:len(column) + 1]
-        data = column.buffers()[2]
-        hashes = [np.frombuffer(data, np.uint64, (b - a) // 8, a)      # views, no copies
-                  for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        hashes = []
+        for chunk in table.column("hashes").chunks:                    # views, no copies
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:][:len(chunk) + 1].tolist()
+            hashes += [np.frombuffer(chunk.buffers()[2], np.uint64, (end - start) // 8, start)
+                       for start, end in zip(ends[:-1], ends[1:])]
         once = np.unique(sets, return_index=True)[1]     # rows repeating (id, text) come again
         left = once[tile[once] == a].tolist()
         right = left if a == b else once[tile[once] == b].tolist()

@@ -8,6 +8,7 @@ split size), a stored table never changes.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,30 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
+# rows Spark hands to Python at once: of whole texts, its own 10,000 can be a GB
+ARROW_ROWS = 1_000
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
+    """At most `rows` rows in an Arrow batch while a job runs; the session's setting returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: the lineage
     ends there, and a lost executor only costs its own tasks."""
     spark = df.sparkSession
     path = folder(spark, label)
-    df.write.parquet(path)
+    with arrow_rows(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out
