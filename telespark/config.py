@@ -9,8 +9,7 @@ SERVICES = ("gateway", "orders", "inventory")
 METRICS = ("latency", "request_rate", "error_rate", "error_ratio", "db_pool")
 PERCENTILES = (50, 95, 99)
 
-# Application routes only: a route that is exactly /health, or starts with /chaos,
-# is operator traffic. Matched fully anchored.
+# Regular expression of the routes no metric counts; it must match a route in full.
 APP_ROUTE_EXCLUSION = "/health|/chaos.*"
 
 # --- fixed values: storage bounds and budgets ---------------------------------------
