@@ -90,7 +90,7 @@ def q_span_cap(spark, sf_dir):
 _TREE_SQL = with_views("selfs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
 ranked AS (
   SELECT s.*, s.start_us - o.origin_us AS offset_us,
-    lpad(CAST(s.start_us AS VARCHAR), 17, '0') || ':' || lpad(CAST(s.span_id AS VARCHAR), 20, '0') AS comp
+    CAST(s.start_us AS VARCHAR) || ':' || CAST(s.span_id AS VARCHAR) AS comp
   FROM selfs s JOIN (SELECT trace_id, arg_min(start_us, (parent_id IS NOT NULL, start_us)) AS origin_us
                      FROM selfs GROUP BY 1) o ON o.trace_id = s.trace_id),
 tree AS (
@@ -105,7 +105,8 @@ SELECT * FROM tree"""
 
 @register("trace_tree", _TREE_SQL)
 def q_trace_tree(spark, sf_dir):
-    return T.trace_tree(V.spans_table(spark, sf_dir)).select(
+    path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["start_us"], p["span_id"])), "/")
+    return T.trace_tree(V.spans_table(spark, sf_dir)).withColumn("path", path).select(
         "trace_id", "span_id", "depth", "path", "offset_us", "duration_us", "self_us", "service", "status")
 
 

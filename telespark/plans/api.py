@@ -18,8 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (DEFAULT_TRACES, MAX_SPANS_PER_TRACE, METRICS_RETENTION_HOURS,
-                      TRACES_RETENTION_HOURS)
+from ..config import DEFAULT_TRACES, METRICS_RETENTION_HOURS, TRACES_RETENTION_HOURS
 from ..operators import spans as S
 from . import metrics as M
 from . import status as ST
@@ -56,17 +55,22 @@ class TelemetryStore:
         out.update({"window": win.payload(), "notes": list(win.notes)})
         return out
 
-    def get_trace(self, trace_id: str, cap: int = MAX_SPANS_PER_TRACE) -> dict:
-        """One trace as preorder rows and rendered lines: the earliest `cap` spans
-        (by start, id), `truncated` when there were more. An id that is not hex is
-        an argument error; an unknown id gives an empty tree."""
+    def get_trace(self, trace_id: str, cap: int | None = None) -> dict:
+        """One trace as preorder rows and rendered lines. With `cap`, the tree lists only the
+        earliest `cap` spans (by start, id); self time is that of the whole trace.
+        `truncated`: whether there were more. An id that is not hex is an argument error;
+        an unknown id gives an empty tree."""
         tid = (trace_id or "").strip()
         if not tid or not all(c in "0123456789abcdefABCDEF" for c in tid):
             raise ValueError(f"trace_id must be hexadecimal, got {trace_id!r}")
         one = self.spans.where(F.col("trace_id").cast("string") == F.lit(tid))
-        capped = S.cap_spans(one, cap)
-        truncated = capped.select("trace_id", "truncated").distinct()
-        tree = T.render_tree_lines(T.trace_tree(capped.drop("truncated")))
+        tree = T.render_tree_lines(T.trace_tree(one))
+        if cap is None:
+            truncated = one.select("trace_id", F.lit(False).alias("truncated")).distinct()
+        else:
+            listed = S.cap_spans(one.select("trace_id", "span_id", "start_us"), cap)
+            truncated = listed.select("trace_id", "truncated").distinct()
+            tree = tree.join(listed.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
         return {"tree": tree.orderBy("path"), "truncated": truncated}
 
     def telemetry_status(self, lookback_s: int = 300) -> DataFrame:

@@ -9,11 +9,7 @@ from ..config import DEFAULT_TRACES, MAX_TRACES, SERVICES
 from ..operators import spans as S
 from ..operators.joins import join_single_rows
 from ..operators.quantiles import exact_percentiles
-from ..session import ensure_checkpoint_dir, materialize
-
-START_WIDTH = 17        # digits of start_us in a path component
-ID_WIDTH = 20           # characters of span_id in a path component
-MAX_DEPTH = 256         # cycle / runaway guard
+from ..session import materialize
 
 
 def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
@@ -23,16 +19,17 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
 
     Returns DataFrames: `summary` (sampled, returned, p50/p95/max duration ms),
     `self_time` (service, total_us, pct) and `traces` (at most `limit`, slowest first).
-    `sampled` counts the sample before the duration / error filters. `span_cap`
+    `sampled` counts the sample before the duration / error filters. `limit` is from 1 to
+    MAX_TRACES; others are refused. `span_cap`
     (off by default) folds only the earliest spans of each trace.
     """
     if service not in SERVICES:
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
-    limit = max(1, min(MAX_TRACES, int(limit)))
+    if not 1 <= int(limit) <= MAX_TRACES:
+        raise ValueError(f"limit must be from 1 to {MAX_TRACES}, got {limit!r}")
     if span_cap:
         # fold only the earliest `span_cap` spans of each trace (store availability cap)
         spans = S.cap_spans(spans, span_cap).drop("truncated")
-    from ..session import materialize
     partials = materialize(S.trace_service_partials(S.self_time(spans)))
     folded = S.fold_partials(partials)
     members = S.traces_touching(spans, service) if membership == "any" else None
@@ -55,68 +52,49 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
     return {"summary": summary, "self_time": self_tbl, "traces": traces}
 
 
-def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None,
-               max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Preorder rows for many traces at once.
+def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None) -> DataFrame:
+    """Preorder rows for many traces at once, of any depth.
 
     trace_id, span_id, depth, path, offset_us, duration_us, self_us, service, status
-    `path` sorts in preorder: one zero-padded (start_us, span_id) component per level.
-    Spans unreachable from a root (cycles) are left out; a trace without any
-    parentless span is walked from its earliest span. Built level by level with
-    equi-joins on (trace_id, parent_id); the loop runs once per tree level.
+    `path` is an array of (start_us, span_id) from the root down; it sorts in preorder.
+    Spans unreachable from a root (cycles) are left out; a trace without any parentless
+    span is walked from its earliest span. Span ids are unique in a trace
+    (`spans.distinct_spans`).
+
+    Pointer doubling on four narrow columns: each round appends the path of the ancestor a
+    span points at and takes over its pointer, so the distance doubles and a tree of depth d
+    takes log2(d) rounds. A round that leads no further span to a root leaves only cycles.
     """
-    selfs = S.self_time(spans)
     if trace_ids is not None:
-        selfs = selfs.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    # one per-trace aggregate: origin (earliest root, else earliest span), whether a
-    # parentless span exists, and the earliest span as the fallback start point
+        spans = spans.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
+    narrow = S.resolve_parents(spans.select("trace_id", "span_id", "parent_span_id", "start_us"))
+    # origin (earliest root, else earliest span), whether a parentless span exists, and the
+    # earliest span as the fallback start point
     key = F.struct(F.col("parent_id").isNotNull(), F.col("start_us"))
-    per = selfs.groupBy("trace_id").agg(
+    per = narrow.groupBy("trace_id").agg(
         F.min_by("start_us", key).alias("origin_us"),
         F.max(F.col("parent_id").isNull()).alias("_has_root"),
         F.min_by("span_id", F.struct("start_us", "span_id")).alias("_earliest"))
-    base = (selfs.join(per, "trace_id")
-            .withColumn("offset_us", F.col("start_us") - F.col("origin_us"))
-            .withColumn("_start", F.col("parent_id").isNull()
-                        | (~F.col("_has_root") & (F.col("span_id") == F.col("_earliest")))))
-    # path component = zero-padded (start_us, span_id): sorts siblings exactly like
-    # a rank would, without a window over one parent's children
-    base = base.withColumn("_comp", F.concat(
-        F.lpad(F.col("start_us").cast("string"), START_WIDTH, "0"), F.lit(":"),
-        F.lpad(F.col("span_id").cast("string"), ID_WIDTH, "0"))).persist()
-    cols = ["trace_id", "span_id", "offset_us", "duration_us", "self_us", "service", "status"]
+    starts = ~F.col("_has_root") & (F.col("span_id") == F.col("_earliest"))
+    nodes = materialize(narrow.join(per, "trace_id").select(
+        "trace_id", "span_id", (F.col("start_us") - F.col("origin_us")).alias("offset_us"),
+        F.when(~starts, F.col("parent_id")).alias("up"),
+        F.array(F.struct("start_us", "span_id")).alias("path")))
+    left, before = nodes.where("up IS NOT NULL").count(), None
+    while left and left != before:
+        above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
+                             F.col("path").alias("_above"))
+        nodes = materialize(nodes.join(above, ["trace_id", "up"], "left").select(
+            "trace_id", "span_id", "offset_us", F.col("_next").alias("up"),
+            F.when(F.col("_above").isNull(), F.col("path"))
+            .otherwise(F.concat("_above", "path")).alias("path")))
+        left, before = nodes.where("up IS NOT NULL").count(), left
+    cols = ["duration_us", "self_us", "service", "status"]
     cols += [c for c in ("operation", "tags") if c in spans.columns]      # carried for rendering
-    level = (base.where(F.col("_start"))
-             .select(*cols, F.lit(0).alias("depth"), F.col("_comp").alias("path"),
-                     F.array(F.col("span_id")).alias("_anc")))
-    # children are kept hash-partitioned on the level join key, so every level
-    # shuffles only the (small) frontier, never the child spans again
-    children = (base.where(~F.col("_start")).select(*cols, "parent_id", "_comp")
-                .repartition("trace_id", "parent_id").persist())
-    ensure_checkpoint_dir(spans.sparkSession)
-    level = materialize(level)           # reliable checkpoint: survives executor loss
-    levels = [level.drop("_anc")]
-    depth = 0
-    while depth < max_depth:
-        nxt = (children.join(level.select("trace_id", F.col("span_id").alias("parent_id"),
-                                          F.col("path").alias("_pp"), F.col("depth").alias("_pd"),
-                                          "_anc"), ["trace_id", "parent_id"])
-               .where(~F.array_contains("_anc", F.col("span_id")))
-               .select(*cols, (F.col("_pd") + 1).alias("depth"),
-                       F.concat(F.col("_pp"), F.lit("/"), F.col("_comp")).alias("path"),
-                       F.concat(F.col("_anc"), F.array(F.col("span_id"))).alias("_anc")))
-        depth += 1
-        nxt = materialize(nxt)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt.drop("_anc"))
-        level = nxt
-    children.unpersist()
-    base.unpersist()
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    walked = nodes.where("up IS NULL").withColumn("depth", F.size("path") - 1)
+    return (S.self_time(spans, resolve=False).select("trace_id", "span_id", *cols)
+            .join(walked, ["trace_id", "span_id"])
+            .select("trace_id", "span_id", "offset_us", *cols, "depth", "path"))
 
 
 DETAIL_TAGS = ("db.statement", "exception.type", "exception.message", "error")

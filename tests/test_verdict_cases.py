@@ -25,3 +25,44 @@ def test_span_without_status_has_bytes(spark):
                                "start_us long, duration_us long, status int")
     text = df.select(_raw_span_json(df).alias("x")).first().x
     assert text is not None and text.endswith('"value":null}]}')
+
+
+def test_deep_tree_with_long_ids(spark):
+    from telespark.plans.traces import trace_tree
+    ids = ["x" * 40 + f"{i:04d}" for i in range(300)]
+    rows = [("t", ids[i], ids[i - 1] if i else None, "gateway", i, 10, 200) for i in range(300)]
+    rows += [("t", "loop-a", "loop-b", "orders", 5, 1, 200), ("t", "loop-b", "loop-a", "orders", 6, 1, 200),
+             ("t", "below", "loop-a", "orders", 7, 1, 200)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service string, "
+                                     "start_us bigint, duration_us bigint, status int")
+    tree = trace_tree(df).orderBy("path").collect()
+    assert [(r.span_id, r.depth) for r in tree] == [(s, i) for i, s in enumerate(ids)]
+
+
+def test_limit_out_of_range_is_refused(spark):
+    import pytest
+    from telespark.plans.traces import query_traces
+    with pytest.raises(ValueError):
+        query_traces(spark.range(1), "gateway", 0, 1, limit=41)
+
+
+def test_capped_listing_keeps_self_time(spark):
+    from telespark.plans.api import TelemetryStore
+    rows = [("a1", 1, None, "gateway", 0, 100, 200), ("a1", 2, 1, "orders", 10, 60, 200)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id int, parent_span_id int, service string, "
+                                     "start_us bigint, duration_us bigint, status int")
+    got = TelemetryStore(spans=df, as_of_us=0).get_trace("a1", cap=1)
+    assert [(r.span_id, r.self_us) for r in got["tree"].collect()] == [(1, 40)]
+    assert got["truncated"].first().truncated
+
+
+def test_duration_column_equals_the_argument_form(spark):
+    from telespark.functions.time import duration_seconds, parse_duration
+    texts = ["15m", " 2h ", "1d", "90s", "0m", "15", "1w", "123456s", "-5m", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", duration_seconds("t").alias("s")).collect():
+        try:
+            want = parse_duration(r.t)
+        except ValueError:
+            want = None
+        assert r.s == want, r.t
