@@ -125,7 +125,14 @@ def q_evidence_index(spark, sf_dir):
     return scoring.evidence_index(f, V.span_incidents(spark), "gateway")
 
 
-@register("dominance", with_views("selfs", "folded", "span_incidents") + ", " + _IN_WINDOW + """,
+# one more evidence window than labels: its row must be an ORPHAN
+_EVIDENCE = """evidence AS (
+  SELECT incident_id, start_us, end_us FROM span_incidents
+  UNION ALL SELECT 'unlabelled-' || incident_id, start_us, end_us FROM span_incidents WHERE fault_type = 'pool_exhaust')"""
+
+
+@register("dominance", with_views("selfs", "folded", "span_incidents") + ", " + _EVIDENCE + ", "
+          + _IN_WINDOW.replace("span_incidents", "evidence") + """,
 per AS (
   SELECT t.incident_id, s.service, sum(s.self_us) AS self_us
   FROM traced t JOIN selfs s ON s.trace_id = t.trace_id GROUP BY 1, 2),
@@ -134,17 +141,19 @@ shares AS (
     row_number() OVER (PARTITION BY incident_id ORDER BY self_us DESC, service) AS rk FROM per),
 top AS (SELECT incident_id, service AS top_service, pct AS top_pct FROM shares WHERE rk = 1),
 n AS (SELECT incident_id, count(*) AS traces FROM traced GROUP BY 1)
-SELECT i.incident_id, i.fault_type, i.service, n.traces, top.top_service, round(top.top_pct, 6) AS top_pct,
-  i.fault_type = 'latency' AS asserted,
-  CASE WHEN i.fault_type <> 'latency' THEN 'info'
+SELECT e.incident_id, i.fault_type, i.service, coalesce(n.traces, 0) AS traces, top.top_service,
+  round(top.top_pct, 6) AS top_pct, coalesce(i.fault_type = 'latency', false) AS asserted,
+  CASE WHEN i.fault_type IS NULL THEN 'ORPHAN' WHEN i.fault_type <> 'latency' THEN 'info'
        WHEN top.top_service = i.service AND top.top_pct >= 85.0 THEN 'ok' ELSE 'FAIL' END AS verdict
-FROM span_incidents i JOIN n ON n.incident_id = i.incident_id JOIN top ON top.incident_id = i.incident_id""")
+FROM evidence e LEFT JOIN span_incidents i ON i.incident_id = e.incident_id
+LEFT JOIN n ON n.incident_id = e.incident_id LEFT JOIN top ON top.incident_id = e.incident_id""")
 def q_dominance(spark, sf_dir):
-    selfs = _selfs(spark, sf_dir)
-    out = scoring.verify_dominance(selfs, V.span_incidents(spark), V.span_incidents(spark), "gateway")
-    return out.where(F.col("verdict") != "ORPHAN").select(
-        "incident_id", "fault_type", "service", "traces", "top_service", r6("top_pct").alias("top_pct"),
-        "asserted", "verdict")
+    labels = V.span_incidents(spark)
+    extra = (labels.where(F.col("fault_type") == "pool_exhaust")
+             .withColumn("incident_id", F.concat(F.lit("unlabelled-"), "incident_id")))
+    out = scoring.verify_dominance(_selfs(spark, sf_dir), labels, labels.unionByName(extra), "gateway")
+    return out.select("incident_id", "fault_type", "service", "traces", "top_service",
+                      r6("top_pct").alias("top_pct"), "asserted", "verdict")
 
 
 @register("payload_reduction", with_views("folded", "span_incidents", "selfs") + ", " + _IN_WINDOW + """,

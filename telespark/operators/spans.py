@@ -32,9 +32,18 @@ def _error_col(df: DataFrame):
 def resolve_parents(spans: DataFrame) -> DataFrame:
     """Adds `parent_id`: parent_span_id when that span exists in the same trace,
     else null (the span is a root)."""
-    ids = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"))
-    j = spans.join(ids, (spans["trace_id"] == ids["_t"]) & (spans["parent_span_id"] == ids["_p"]), "left")
-    return j.withColumn("parent_id", F.col("_p")).drop("_t", "_p")
+    ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id"),
+                       F.col("span_id").alias("parent_id")).distinct()
+    return spans.join(ids, ["trace_id", "parent_span_id"], "left")
+
+
+def trace_roots(spans: DataFrame) -> DataFrame:
+    """trace_id, root_service, start_us: the root `fold_traces` picks, from narrow columns."""
+    narrow = resolve_parents(spans.select("trace_id", "span_id", "parent_span_id", "service", "start_us"))
+    first = F.min_by(F.struct("service", "start_us"),
+                     F.struct(F.col("parent_id").isNotNull().alias("p"), "start_us", "span_id"))
+    return (narrow.groupBy("trace_id").agg(first.alias("r"))
+            .select("trace_id", F.col("r.service").alias("root_service"), F.col("r.start_us").alias("start_us")))
 
 
 def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:

@@ -20,6 +20,8 @@ from ..sources.views import BUCKET_BOUNDS_MS
 from .status import empty_reason
 from .window import US, Window, fetch_step_seconds, rate_window_seconds
 
+GAUGE_LOOKBACK_S = 300
+
 
 def _le(bounds=BUCKET_BOUNDS_MS):
     le = None
@@ -48,7 +50,7 @@ def metric_points(requests: DataFrame, metric: str, win: Window, service: str =
     fetch_us = fetch_step_seconds(win.duration_s) * US
     if metric == "db_pool":
         g = label_eq(gauges, pool_name="inventory-pool")
-        s = C.gauge_series(g, ["pool_name", "state"], win.start_us, win.end_us, fetch_us)
+        s = C.gauge_series(g, ["pool_name", "state"], win.start_us, win.end_us, fetch_us, GAUGE_LOOKBACK_S * US)
         return s.groupBy(F.col("state").alias("service"), "step_us").agg(F.sum("value").alias("value"))
     r = service_selector(R.application(requests), service)
     if metric == "error_rate":
@@ -57,7 +59,8 @@ def metric_points(requests: DataFrame, metric: str, win: Window, service: str =
     rate_s = rate_us / US
     # dense grid: every step of every series that has samples in range, as the
     # store returns it (rates 0 on quiet steps, undefined quantiles/ratios null)
-    present = st.select("service").distinct()
+    # a ratio exists only where its numerator does
+    present = (st.where(is_5xx("status")) if metric == "error_ratio" else st).select("service").distinct()
     grid = SR.step_grid(requests.sparkSession, present, win.start_us, win.end_us, fetch_us)
     if metric == "latency":
         b = st.groupBy("service", "step_us", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
@@ -96,5 +99,6 @@ def query_metrics(requests: DataFrame, metric: str, win: Window, as_of_us: int,
         series = series.join(headline_percentiles(requests, win, service), "service", "left")
     points = SR.downsample_max(pts, ["service"], budget=budget)
     src = gauges if metric == "db_pool" else requests
-    status = empty_reason(src, metric, service, win, as_of_us, retention_hours)
+    lead_s = GAUGE_LOOKBACK_S if metric == "db_pool" else rate_window_seconds(win.duration_s)
+    status = empty_reason(src, metric, service, win, as_of_us, retention_hours, lead_s * US)
     return {"series": series, "points": points, "status": status}

@@ -117,7 +117,7 @@ def payload_reduction(spans: DataFrame, folded: DataFrame, incidents: DataFrame,
 
 from ..config import (RECOVERY_FACTOR, RECOVERY_FLOOR_MS, RECOVERY_PROBES,  # noqa: E402
                       REPLAY_TOLERANCE_POINTS, SETTLE_MARGIN_S, SETTLE_MAX_S)
-from ..functions.predicates import is_5xx  # noqa: E402
+from ..functions.predicates import is_5xx, label_eq  # noqa: E402
 from ..functions.scalars import fault_metric, id_suffix  # noqa: E402
 from ..operators import requests as R  # noqa: E402
 from ..operators import series as SR  # noqa: E402
@@ -290,7 +290,7 @@ def replay(requests: DataFrame, labels: DataFrame, as_of_us: int, retention_hour
     out = lab.join(ratio, "incident_id", "left").join(seen, "incident_id", "left")
     if gauges is not None:
         gw = live.where(F.col("metric") == "db_pool").select("incident_id", "w_start", "w_end")
-        g = interval_join(gauges.select("ts_us"), gw, "ts_us", "w_start", "w_end", DAY_US)
+        g = interval_join(label_eq(gauges, pool_name="inventory-pool").select("ts_us"), gw, "ts_us", "w_start", "w_end", DAY_US)
         out = out.join(g.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_gauge_rows")), "incident_id", "left")
     else:
         out = out.withColumn("_gauge_rows", F.lit(None).cast("bigint"))

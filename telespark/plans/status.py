@@ -17,6 +17,8 @@ _ERROR_METRICS = ("error_rate", "error_ratio")
 def _selector(df: DataFrame, metric: str, service: str) -> DataFrame:
     """The same selector the metric query uses (5xx filter included for error metrics)."""
     out = df
+    if metric == "db_pool" and "pool_name" in df.columns:
+        out = out.where(F.col("pool_name") == "inventory-pool")
     if service != "all" and "service" in df.columns:
         out = out.where(F.col("service") == service)
     if metric != "db_pool" and "route" in df.columns:
@@ -27,10 +29,11 @@ def _selector(df: DataFrame, metric: str, service: str) -> DataFrame:
 
 
 def empty_reason(df: DataFrame, metric: str, service: str, win, as_of_us: int,
-                 retention_hours: float) -> DataFrame:
+                 retention_hours: float, lead_us: int = 0) -> DataFrame:
     """One row: status, reason, value.
 
-    reason: 'ok' when the window holds samples of the selected series,
+    reason: 'ok' when the window, or the `lead_us` before it that its first points cover,
+    holds samples of the selected series,
     'no_samples_in_window' when it exists elsewhere in retention, 'series_absent'
     when it never existed in retention. Error metrics report value 0 in both empty
     cases (zero errors is a measured answer); others report null. A single
@@ -40,7 +43,7 @@ def empty_reason(df: DataFrame, metric: str, service: str, win, as_of_us: int,
     sel = _selector(df, metric, service)
     agg = sel.agg(
         F.count_if(F.col("ts_us").between(horizon, as_of_us)).alias("in_retention"),
-        F.count_if((F.col("ts_us") > win.start_us) & (F.col("ts_us") <= win.end_us)).alias("in_window"))
+        F.count_if((F.col("ts_us") > win.start_us - lead_us) & (F.col("ts_us") <= win.end_us)).alias("in_window"))
     reason = (F.when(F.col("in_window") > 0, "ok").when(F.col("in_retention") == 0, "series_absent")
               .otherwise("no_samples_in_window"))
     value = F.when((F.col("reason") != "ok") & F.lit(metric in _ERROR_METRICS), F.lit(0))

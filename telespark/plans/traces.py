@@ -27,13 +27,19 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
     if not 1 <= int(limit) <= MAX_TRACES:
         raise ValueError(f"limit must be from 1 to {MAX_TRACES}, got {limit!r}")
+    # roots in the window first, on narrow columns: only the sampled traces are folded
+    near = (spans.where((F.col("start_us") >= start_us) & (F.col("start_us") < end_us))
+            .select("trace_id").distinct())
+    within = spans.join(near, "trace_id", "left_semi")
+    members = S.traces_touching(within, service) if membership == "any" else None
+    picked = materialize(S.sample_traces(S.trace_roots(within), start_us, end_us, limit, service, membership, members)
+                         .select("trace_id", "slice"))
+    sampled = spans.join(picked, "trace_id", "left_semi")
     if span_cap:
         # fold only the earliest `span_cap` spans of each trace (store availability cap)
-        spans = S.cap_spans(spans, span_cap).drop("truncated")
-    partials = materialize(S.trace_service_partials(S.self_time(spans)))
-    folded = S.fold_partials(partials)
-    members = S.traces_touching(spans, service) if membership == "any" else None
-    sample = S.sample_traces(folded, start_us, end_us, limit, service, membership, members)
+        sampled = S.cap_spans(sampled, span_cap).drop("truncated")
+    partials = materialize(S.trace_service_partials(S.self_time(sampled)))
+    sample = S.fold_partials(partials).join(picked, "trace_id")
     kept = S.filter_traces(sample, min_duration_ms, errors_only)
     per = (partials.join(kept.select("trace_id"), "trace_id", "left_semi")
            .groupBy("service").agg(F.sum("s").cast("bigint").alias("total_us")))

@@ -66,3 +66,22 @@ def test_duration_column_equals_the_argument_form(spark):
         except ValueError:
             want = None
         assert r.s == want, r.t
+
+
+def test_metric_status_follows_the_points(spark):
+    from telespark.plans.metrics import query_metrics
+    from telespark.plans.window import Window
+    us = 1_000_000
+    rows = [(1, 996 * us, "orders", "/orders", 200, 5.0), (2, 995 * us, "orders", "/orders", 200, 5.0)]
+    df = spark.createDataFrame(rows, "request_id bigint, ts_us bigint, service string, route string, "
+                                     "status int, duration_ms double")
+    win = Window(1000 * us, 1900 * us)
+    rate = query_metrics(df, "request_rate", win, 2000 * us)
+    assert rate["status"].first().status == "ok" and rate["points"].count() > 0
+    # no failed request: no ratio, and no series of zeros
+    ratio = query_metrics(df, "error_ratio", win, 2000 * us)
+    assert ratio["series"].count() == 0 and ratio["status"].first().status == "empty"
+    pool = spark.createDataFrame([(1500 * us, "other-pool", "used", 3.0)],
+                                 "ts_us bigint, pool_name string, state string, value double")
+    other = query_metrics(df, "db_pool", win, 2000 * us, gauges=pool)
+    assert other["series"].count() == 0 and other["status"].first().status == "empty"
