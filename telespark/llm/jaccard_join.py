@@ -19,8 +19,8 @@ den * |A and B| >= num * |A or B| (num/den the Jaccard bound as integers).
    for that guarantee sends one extra key shared by all such sets. Sets with a common key
    are joined to the smallest of them (a star, no pairs); connected components of the
    stars are blocks, and links never leave a block.
-3. Inside a block the sets are dealt to tiles of about `tile` shingles (large blocks by
-   size first), and each pair of tiles is one group: it builds inverted lists of one tile and
+3. Inside a block the sets lie by size in tiles of about `tile` shingles, and each pair of
+   tiles whose sizes can be linked is one group: it builds inverted lists of one tile and
    searches them for each set of the other. For a set of n elements that needs T common
    ones, the T - 1 longest lists are set aside; the short ones are merged by a heap, and
    every set found there is probed by binary search in the long ones, until it reaches T
@@ -47,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -279,7 +279,7 @@ def search(queries: list[np.ndarray], index: list[np.ndarray], num: int, den: in
 
 def _search_tiles(num: int, den: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = key[2].as_py(), key[3].as_py()
+        a, b = key[1].as_py(), key[2].as_py()
         tile = np.asarray(table.column("tile"))
         sets = np.asarray(table.column("set"))
         hashes = []
@@ -297,25 +297,27 @@ def _search_tiles(num: int, den: int):
 
 
 def tile_pairs(blocks: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """block, table, t1, t2, set, tile: the groups each set (block, set, size) takes part in.
-
-    A block of more than `tile` shingles is cut by size: class c holds sizes within a factor
-    den/num, linked sets are in one class or in neighbours, and table c searches classes c
-    and c + 1. A table of m shingles makes t = ceil(m / tile) tiles; a set goes to the t
-    tasks of its tile's pairs."""
-    counts = blocks.groupBy("block").agg(F.sum("size").alias("shingles"))
-    step = math.log(den / num) * 1.001 if den > num else 1.0
-    size_class = F.floor(F.log("size") / step).cast("int")
-    tables = F.when(F.col("shingles") <= tile, F.array(F.lit(-2))).otherwise(
-        F.array(size_class - 1, size_class))
-    m = blocks.join(counts, "block").select("block", "set", "size", F.explode(tables).alias("table"))
-    tiles = m.groupBy("block", "table").agg(F.ceil(F.sum("size") / F.lit(tile)).alias("tiles"))
-    m = (m.join(tiles, ["block", "table"])
-         .withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))
-    m = m.select("block", "table", "set", "tile", other.alias("other"))
-    return m.select("block", "table", F.least("tile", "other").alias("t1"),
-                    F.greatest("tile", "other").alias("t2"), "set", "tile")
+    """block, t1, t2, set, tile: the groups each set (block, set, size) takes part in.
+
+    A block's sets lie one after the other by size (equal sizes dealt by hash) and are cut
+    every `tile` shingles. A set meets the tiles that hold the sizes a linked set may have,
+    from num/den to den/num of its own: it goes to one group for each of them."""
+    fine = 1_000_000                             # sizes on a whole-number logarithmic scale
+    reach = math.ceil(math.log(den / num) * fine) + 1
+    by_size = Window.partitionBy("block").orderBy("size")
+    near = Window.partitionBy("block").orderBy((F.log("size") * fine).cast("long"))
+    sizes = (blocks.groupBy("block", "size").agg(F.sum("size").alias("n"))
+             .withColumn("start", F.sum("n").over(by_size) - F.col("n"))
+             .withColumn("low", F.col("start") + F.col("n") - F.sum("n").over(near.rangeBetween(-reach, 0)))
+             .withColumn("high", F.col("start") + F.sum("n").over(near.rangeBetween(0, reach)) - 1))
+
+    def cut(place: Column) -> Column:
+        return F.floor(place / F.lit(tile)).cast("int")
+    m = (blocks.join(sizes, ["block", "size"])
+         .withColumn("tile", cut(F.col("start") + F.pmod(F.xxhash64("set"), F.col("n"))))
+         .select("block", "set", "tile", F.explode(F.sequence(cut(F.col("low")), cut(F.col("high")))).alias("other")))
+    return m.select("block", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"),
+                    "set", "tile")
 
 
 def block_links(sets: DataFrame, blocks: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
@@ -323,7 +325,7 @@ def block_links(sets: DataFrame, blocks: DataFrame, num: int, den: int, tile: in
     sizes = sets.select("set", "size")
     pairs = small(stash(tile_pairs(sizes.join(blocks, "set"), num, den, tile), "tile-pairs"))
     # only this exchange carries the hashes
-    return (sets.select("set", "hashes").join(pairs, "set").groupBy("block", "table", "t1", "t2")
+    return (sets.select("set", "hashes").join(pairs, "set").groupBy("block", "t1", "t2")
             .applyInArrow(_search_tiles(num, den), "a long, b long"))
 
 
