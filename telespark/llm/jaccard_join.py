@@ -337,9 +337,19 @@ def text_key(id_: Column, text: Column) -> Column:
 
 def linkable(profile: DataFrame, num: int, den: int) -> DataFrame:
     """id, text_key, set of the documents that step 1 cannot rule out."""
-    low = profile.select("row", "tested", F.posexplode("low").alias("at", "shingle"))
-    again = (low.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
-    shared = (low.where("at < tested").select("row", "shingle").join(again, "shingle")
+    # linked sets are in one size class or in neighbours; class c has bit c modulo 64
+    width = math.log(den / num) * 1.001 if den > num else 1.0
+    size_class = F.floor(F.log("size") / width)
+
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    low = (profile.where("size > 0")
+           .select("row", "tested", size_class.alias("c"), F.posexplode("low").alias("at", "shingle")))
+    again = (low.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit(F.col("c"))).alias("classes"))
+             .where("n > 1").select("shingle", "classes", (F.col("n") > F.bit_count("classes")).alias("twice")))
+    near = F.col("classes").bitwiseAND(bit(F.col("c") - 1).bitwiseOR(bit(F.col("c") + 1))) != 0
+    shared = (low.where("at < tested").select("row", "shingle", F.col("c").cast("tinyint").alias("c"))
+              .join(again, "shingle").where(F.col("twice") | near)
               .groupBy("row").agg(F.count(F.lit(1)).alias("shared")))
     lacking = F.col("size") - F.ceil(F.col("size") * F.lit(num) / F.lit(den))
     kept = profile.where("size > 0").join(shared, "row", "left")
