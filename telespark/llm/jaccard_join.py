@@ -348,7 +348,7 @@ def linkable(profile: DataFrame, num: int, den: int) -> DataFrame:
     again = (low.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit(F.col("c"))).alias("classes"))
              .where("n > 1").select("shingle", "classes", (F.col("n") > F.bit_count("classes")).alias("twice")))
     near = F.col("classes").bitwiseAND(bit(F.col("c") - 1).bitwiseOR(bit(F.col("c") + 1))) != 0
-    shared = (low.where("at < tested").select("row", "shingle", F.col("c").cast("tinyint").alias("c"))
+    shared = (low.where("at < tested").select("row", "shingle", F.pmod("c", F.lit(64)).cast("tinyint").alias("c"))
               .join(again, "shingle").where(F.col("twice") | near)
               .groupBy("row").agg(F.count(F.lit(1)).alias("shared")))
     lacking = F.col("size") - F.ceil(F.col("size") * F.lit(num) / F.lit(den))

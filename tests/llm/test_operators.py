@@ -246,6 +246,15 @@ def test_jaccard_join(spark, prose, n, num, den, tile):
     assert got == brute_components(rows, n, num, den)
 
 
+def test_linkable_takes_sets_of_any_size(spark):
+    # at 90/100 size class 128 begins at 729,149 shingles
+    rows = [(1, 1, 1, 800_000, 1, 2, [7, 8]), (2, 2, 2, 880_000, 2, 2, [7, 8]),      # neighbouring classes
+            (3, 3, 3, 2_000_000_000, 3, 1, [9]), (4, 4, 4, 5, 4, 1, [10]), (5, 5, 5, 800_000, 5, 80_001, list(range(100, 80_101)))]
+    df = spark.createDataFrame(rows, "row long, id long, text_key long, size long, set long, tested int, low array<long>")
+    assert sorted(r.id for r in jaccard_join.linkable(df, 90, 100).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in jaccard_join.linkable(df, 9999, 10000).collect()) == [1, 2, 3]
+
+
 def test_keep_one(spark):
     rows = EDGE + [(20, "p q r s t u"), (21, "p q r s t u"), (21, "p q r s t u"), (22, "alone here now we are")]
     df = docs(spark, rows)
