@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts are cut into lower-cased words (letters and digits). A seed is the hash of the
+Texts are cut into lower-cased words (letters and digits); in scripts written without
+spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese and others) every character is a
+word. A seed is the hash of the
 words at a mask's positions; the words between do not matter, so a substitution there
 does not hide the seed. The two masks below (weight 5, span 7) together hit every
 12-word window with up to two substituted words, wherever these are (a test goes through
@@ -13,9 +15,12 @@ The seed table of the benchmark is broadcast only up to BROADCAST_SEEDS rows (32
 each); a larger benchmark is joined by shuffling the document seeds on their hash.
 Documents never shuffle in the first case: only hits do.
 
-Defined results: null or wordless texts contaminate nothing and are clean; items of
-fewer than `WINDOW` words are too short to tell a leak from chance and are not searched;
-null ids are ids of their own, rows with one doc_id are reported together; repeated items
+Items of fewer than `WINDOW` words are searched exactly: the hash of the item's whole word
+sequence is joined with the hashes of the documents' windows of as many words (only of the
+lengths that the benchmark has), and the words are compared. There is no least length: an
+item of one word contaminates every document with that word.
+
+Defined results: null or wordless texts contaminate nothing and are clean; null ids are ids of their own, rows with one doc_id are reported together; repeated items
 are reported by each id; empty tables give no rows; other columns are ignored, whatever
 their names.
 """
@@ -31,10 +36,17 @@ WINDOW = 12
 MIN_SHARE = 0.8
 MASKS = ((0, 1, 2, 5, 6), (0, 2, 4, 5, 6))
 SPAN = 7
+# blocks of scripts without spaces between words, for a regular expression's brackets
+UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u1950-\u19FF\u1A20-\u1AAF\u1B00-\u1B7F"
+            r"\u3005-\u3007\u3040-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA000-\uA4CF"
+            r"\uA980-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}")
 BROADCAST_SEEDS = 1_000_000
 
 
 def words(text: Column) -> Column:
+    # one cheap look first: most texts have no character of these scripts
+    text = F.when(text.rlike(r"[\u0E00-\x{10FFFF}]"),
+                  F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
@@ -60,15 +72,41 @@ def _best_window(same: Column) -> Column:
     return F.when(F.size(same) >= WINDOW, F.array_max(sums)).otherwise(F.lit(0))
 
 
+def _sequence(hashes: Column) -> Column:
+    return F.xxhash64(F.size(hashes), hashes)
+
+
+def _short_hits(d: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """doc, text_key, item, best, at: the places of the items of fewer than WINDOW words;
+    None if there are no such items."""
+    short = items.where(F.size("item_words") < WINDOW).select(
+        "item", "item_words", _sequence(F.col("item_words")).alias("sequence"))
+    lengths = [r[0] for r in short.select(F.size("item_words")).distinct().collect()]   # below WINDOW
+    if not lengths:
+        return None
+    few = short.count() <= broadcast_rows
+    rows = d.where(F.size("hashes") >= min(lengths)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.size("hashes") - min(lengths))).alias("at"))
+    windows = F.array(*(F.slice("hashes", F.col("at") + 1, n) for n in lengths))
+    # at the end of a text the longer ones are cut off: those are shorter windows
+    rows = rows.select("doc", "text_key", "at", F.explode(F.array_distinct(windows)).alias("window"))
+    hits = rows.withColumn("sequence", _sequence(F.col("window"))).join(
+        F.broadcast(short) if few else short, "sequence")
+    return hits.where(F.col("window") == F.col("item_words")).select(
+        "doc", "text_key", "item", F.size("window").alias("best"), "at")
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                    broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc, text_key, item, best (agreeing words in the best window), start (word where
-    the best diagonal begins in the document): one row per document text and item."""
-    items = stash(benchmark.select(F.col(item_id).alias("item"),
+    """doc, text_key, item, best (agreeing words in the best window; of an
+    item of fewer than WINDOW words, all its words), start (word where the best diagonal
+    begins in the document): one row per document text and item."""
+    every = stash(benchmark.select(F.col(item_id).alias("item"),
                                    _word_hashes(F.col(item_text)).alias("item_words"))
-                  .where(F.size("item_words") >= WINDOW)
+                  .where(F.size("item_words") > 0)
                   .withColumn("item_row", F.monotonically_increasing_id()), "benchmark-items")
+    items = every.where(F.size("item_words") >= WINDOW)
     seeds = stash(_seeds(items, "item_words", "item_at")
                   .select("seed", "item_row", "item_at", F.size("item_words").alias("item_n")),
                   "benchmark-seeds")
@@ -87,8 +125,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     j = j.withColumn("same", F.zip_with("stretch", other, lambda a, b: F.when(a == b, 1).otherwise(0)))
     j = j.withColumn("best", _best_window(F.col("same")))
     need = -int(-MIN_SHARE * WINDOW // 1)
-    return (j.where(F.col("best") >= need).groupBy("doc", "text_key", "item")
-            .agg(F.max(F.struct("best", -F.greatest(F.lit(0), F.col("diagonal")))).alias("m"))
+    found = j.where(F.col("best") >= need).select(
+        "doc", "text_key", "item", "best", F.greatest(F.lit(0), F.col("diagonal")).alias("at"))
+    short = _short_hits(d, every, broadcast_seeds)
+    if short is not None:
+        found = found.unionByName(short)
+    return (found.groupBy("doc", "text_key", "item")
+            .agg(F.max(F.struct("best", -F.col("at"))).alias("m"))
             .select("doc", "text_key", "item", F.col("m.best").alias("best"), (-F.col("m.col2")).alias("start")))
 
 

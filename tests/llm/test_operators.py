@@ -346,6 +346,23 @@ def test_contaminations(spark, prose, limit):
     assert decontaminate.contaminations(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
+def test_short_and_unspaced_items(spark, limit):
+    eleven = "who wrote the first long novel in that old river town"
+    items = [(1, eleven), (2, "Paris"), (3, "今天天气很好我们去公园散步"), (4, "東京タワーはどこ"), (5, "ภาษาไทยง่าย"), (6, "Paris"),
+             (7, "in that"), (None, "only null"), (8, " .,"), (9, None)]
+    rows = [(10, f"Q: {eleven.upper()}? A: paris."), (11, eleven.replace("novel", "story")), (12, "parish in that"),
+            (13, "前言今天天气很好,我们去公园走步后记"), (14, "今天天气不好"), (15, "x東京タワーはどこですか"), (16, "東京タワー"),
+            (17, "เรียนภาษาไทยง่ายมาก"), (18, "only null only null"), (19, None), (20, ""), (21, eleven[4:])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminations(docs(spark, rows), bench, broadcast_seeds=limit).collect()
+    assert sorted((r.doc, str(r.item), r.best, r.start) for r in got) == sorted([
+        (10, "1", 11, 1), (10, "2", 1, 13), (10, "6", 1, 13), (10, "7", 2, 7), (11, "7", 2, 6), (12, "7", 2, 1),
+        (13, "3", 11, 2), (15, "4", 8, 1), (17, "5", 10, 4), (18, "None", 2, 0), (21, "7", 2, 5)])
+    clean = decontaminate.decontaminate(docs(spark, rows), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [14, 16, 19, 20]
+
+
 # --- 9 lines ------------------------------------------------------------------------
 
 def test_line_dedup(spark):
