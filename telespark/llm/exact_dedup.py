@@ -2,7 +2,9 @@
 
 Every scan partition becomes one run of (key, smallest row, count), sorted by key.
 Runs then meet in binomial rounds: `fan_in` (a power of two) neighbouring runs are
-exchanged and merged into one, keeping per key the smallest identifier and the sum
+exchanged and become one. No level relies on the order of its runs: aggregation and
+exchange do not keep it, so each level sorts its group again (in Spark, then by key and
+identifier in the task) instead of a multiway merge of sorted runs, keeping per key the smallest identifier and the sum
 of the counts, until one run is left. The key space is cut into ranges ("slices")
 that merge independently, so no task ever holds more than `slice_rows` distinct
 keys, and a text that a third of all rows share is one row per run from the first
@@ -50,8 +52,8 @@ def _slice_of(key: Column, slices: int) -> Column:
 
 
 def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
-    """Merge the sorted runs of one (slice, parent run): the stable sort merges the
-    runs it finds, then the first row of a key is its smallest identifier."""
+    """The runs of one (slice, parent run) as one: a full sort by key and identifier, then
+    the first row of a key is its smallest identifier."""
     rows = table.num_rows
     flat = b"".join(table.column("key").to_pylist())
     keys = np.frombuffer(flat, dtype=f"S{_KEY_BYTES}", count=rows)
@@ -76,7 +78,7 @@ def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
-    """One exchange: `fan_in` neighbouring runs become one."""
+    """One exchange and sort: `fan_in` neighbouring runs become one."""
     bits = int(math.log2(fan_in))
     up = runs.withColumn("parent", F.shiftright("run", bits))
     parts = shuffle_partitions(runs.sparkSession)
