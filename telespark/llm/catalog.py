@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, factorisation, jaccard_join, line_dedup, packing, secrets,
-               sharding, suffix_dedup, warc)
+from . import (codebooks, decontaminate, exact_dedup, factorisation, infill, jaccard_join, line_dedup,
+               packing, personal, secrets, sharding, suffix_dedup, warc)
+from .store import stash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -135,3 +136,75 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_register("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal.detect(_table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    base = F.filter("findings", lambda x: x["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("row.doc_id", *(count(kind) for kind in personal.BASE),
+                      F.sha2(personal.joined(base).cast("binary"), 256).alias("base_sha256"),
+                      personal.joined(F.col("findings")).alias("spans"))
+
+
+@_register("op12_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, len(l) AS n,
+  CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(l) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(l) + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+       WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+f AS (SELECT doc_id, t, n, form, array_to_string(l[1:least(a, b)], '') AS p,
+  array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1:], '') AS s FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    digest = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256")
+    out = infill.restored(made, ["row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest])
+    return out.select("row.*", F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"))
+
+
+def _codebook_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """The rounds one after another, every part against every entry."""
+    nearest = """a{k} AS MATERIALIZED (SELECT id, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+  SELECT x.id, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+  FROM x JOIN b{k} b ON x.part = b.part) GROUP BY id, part)"""
+    means = """b{next} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT x.part, a.entry, i, CAST(sum(x.v[i]) AS DOUBLE) AS s, count(*) AS n
+    FROM x JOIN a{k} a ON x.id = a.id AND x.part = a.part, unnest(range(1, len(x.v) + 1)) AS u(i) GROUP BY ALL)
+  GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"""
+    steps = []
+    for k in range(rounds):
+        steps += [nearest.format(k=k), means.format(k=k, next=k + 1)]
+    steps.append(nearest.format(k=rounds))
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS w,
+  row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT id, part, w[part * (len(w) // 4) + 1:(part + 1) * (len(w) // 4)] AS v
+  FROM e, unnest(range(0, 4)) AS u(part)),
+b0 AS MATERIALIZED (SELECT part, id AS entry, v FROM x WHERE id < 256),
+{', '.join(steps)},
+r AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY id),
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS print FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  print AS codebooks_sha256 FROM e JOIN r ON e.id = r.id, s"""
+
+
+@_register("op13_vector_codes", _codebook_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = codebooks.prepared(_table(spark, sf_dir, "embeddings"), keep=[F.col("vec_id"), F.col("label")])
+    books = codebooks.train(vectors)
+    coded = stash(codebooks.compress(vectors, books).select("row.vec_id", "row.label", "codes", "error"), "codes")
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codebooks.with_group_sum(coded, "label", "error", "label_error").select(
+        "vec_id", code.alias("code"), "error", "label_error",
+        F.lit(codebooks.fingerprint(books)).alias("codebooks_sha256"))
