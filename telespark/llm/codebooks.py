@@ -125,11 +125,10 @@ class Codebook:
 def _matrix(column: pa.Array, parts: int) -> np.ndarray:
     """Rows x parts x components of an Arrow column of lists of equal length."""
     flat = np.asarray(column.flatten(), np.int64)
-    rows = flat.reshape(len(column), -1)
-    fill = -rows.shape[1] % parts if len(column) else 0
-    if fill:
-        rows = np.concatenate([rows, np.zeros((len(rows), fill), np.int64)], axis=1)
-    return rows.reshape(len(column), parts, -1) if len(column) else rows.reshape(0, parts, 0)
+    n = len(column)
+    size = len(flat) // n if n else 0
+    rows = np.pad(flat.reshape(n, size), ((0, 0), (0, -size % parts)))
+    return rows.reshape(n, parts, rows.shape[1] // parts)
 
 
 def _sums(books: list[np.ndarray]):

@@ -66,7 +66,7 @@ AGAINST = {
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CHAIN = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _RUN = re.compile(r"[0-9]++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -105,6 +105,8 @@ def emails(text: str) -> Iterator[Span]:
 def addresses(text: str) -> Iterator[Span]:
     """Every four parts in a row of a dotted chain of numbers."""
     for m in _DOTTED.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         runs = [r.span() for r in _RUN.finditer(text, *m.span())]
         for i in range(0, len(runs) - 3, 4):
             parts = (text[a:b].lstrip("0") for a, b in runs[i:i + 4])
