@@ -11,6 +11,7 @@ from .operators.quantiles import exact_percentiles
 from .plans import traces as T
 from .plans import scoring
 from .plans.oracle_views import with_views
+from .session import materialize
 from .sources import views as V
 
 # fixed window for the trace queries: the span time domain of the fixture
@@ -58,9 +59,11 @@ SELECT trace_id, slice, start_us, duration_us, spans, errors FROM (
     FROM folded WHERE start_us >= {_S0} AND start_us < {_S1} AND root_service = 'gateway') a) b
 WHERE rn <= 6""")
 def q_sample_traces(spark, sf_dir):
-    f = S.fold_traces(_selfs(spark, sf_dir))
-    return S.sample_traces(f, _S0, _S1, 20, "gateway").select(
-        "trace_id", "slice", "start_us", "duration_us", "spans", "errors")
+    """The traces are picked by their roots; only those are folded."""
+    spans = V.spans_table(spark, sf_dir)
+    picked = materialize(S.sampled_ids(spans, _S0, _S1, 20, "gateway"))
+    folded = S.fold_traces(S.self_time(spans.join(picked, "trace_id", "left_semi")))
+    return folded.join(picked, "trace_id").select("trace_id", "slice", "start_us", "duration_us", "spans", "errors")
 
 
 @register("trace_top", with_views("folded") + """
@@ -121,8 +124,7 @@ _IN_WINDOW = """traced AS (
 SELECT incident_id, 'gateway' AS root_service, count(*) AS traces, CAST(sum(spans) AS BIGINT) AS spans
 FROM traced GROUP BY incident_id""")
 def q_evidence_index(spark, sf_dir):
-    f = S.fold_traces(_selfs(spark, sf_dir))
-    return scoring.evidence_index(f, V.span_incidents(spark), "gateway")
+    return scoring.evidence_index(V.spans_table(spark, sf_dir), V.span_incidents(spark), "gateway")
 
 
 # one more evidence window than labels: its row must be an ORPHAN
@@ -151,34 +153,29 @@ def q_dominance(spark, sf_dir):
     labels = V.span_incidents(spark)
     extra = (labels.where(F.col("fault_type") == "pool_exhaust")
              .withColumn("incident_id", F.concat(F.lit("unlabelled-"), "incident_id")))
-    out = scoring.verify_dominance(_selfs(spark, sf_dir), labels, labels.unionByName(extra), "gateway")
+    out = scoring.verify_dominance(V.spans_table(spark, sf_dir), labels, labels.unionByName(extra), "gateway")
     return out.select("incident_id", "fault_type", "service", "traces", "top_service",
                       r6("top_pct").alias("top_pct"), "asserted", "verdict")
 
 
 @register("payload_reduction", with_views("folded", "span_incidents", "selfs") + ", " + _IN_WINDOW + """,
 raw AS (
-  SELECT t.incident_id, sum(strlen(
-    '{"traceID":"' || CAST(s.trace_id AS VARCHAR) || '","spanID":"' || CAST(s.span_id AS VARCHAR)
-    || '","operationName":"' || s.service || '","startTime":' || CAST(s.start_us AS VARCHAR)
-    || ',"duration":' || CAST(s.duration_us AS VARCHAR) || ',"references":['
-    || coalesce('{"refType":"CHILD_OF","spanID":"' || CAST(s.parent_span_id AS VARCHAR) || '"}', '')
-    || '],"tags":[{"key":"http.response.status_code","value":' || CAST(s.status AS VARCHAR) || '}]}')) AS raw_bytes
+  SELECT t.incident_id, sum(strlen(CAST(to_json({'traceID': CAST(s.trace_id AS VARCHAR), 'spanID': CAST(s.span_id AS VARCHAR),
+    'operationName': s.service, 'startTime': s.start_us, 'duration': s.duration_us,
+    'references': CASE WHEN s.parent_span_id IS NULL THEN [] ELSE
+      [{'refType': 'CHILD_OF', 'spanID': CAST(s.parent_span_id AS VARCHAR)}] END,
+    'tags': [{'key': 'http.response.status_code', 'value': s.status}]}) AS VARCHAR))) AS raw_bytes
   FROM traced t JOIN selfs s ON s.trace_id = t.trace_id GROUP BY 1),
 served AS (
-  SELECT incident_id, sum(strlen(
-    '{"trace_id":"' || CAST(trace_id AS VARCHAR) || '","duration_us":' || CAST(duration_us AS VARCHAR)
-    || ',"spans":' || CAST(spans AS VARCHAR) || ',"errors":' || CAST(errors AS VARCHAR)
-    || ',"self_us":"' || self_us_by_service || '"}')) AS served_bytes
+  SELECT incident_id, sum(strlen(CAST(to_json({'trace_id': CAST(trace_id AS VARCHAR), 'duration_us': duration_us, 'spans': spans,
+    'errors': errors, 'self_us': self_us_by_service}) AS VARCHAR))) AS served_bytes
   FROM traced GROUP BY 1)
 SELECT r.incident_id, CAST(r.raw_bytes AS BIGINT) AS raw_bytes, CAST(s.served_bytes AS BIGINT) AS served_bytes,
   round(r.raw_bytes / s.served_bytes, 6) AS reduction,
   CAST(r.raw_bytes // 4 AS BIGINT) AS raw_tokens, CAST(s.served_bytes // 4 AS BIGINT) AS served_tokens
 FROM raw r JOIN served s ON s.incident_id = r.incident_id""")
 def q_payload_reduction(spark, sf_dir):
-    spans = V.spans_table(spark, sf_dir)
-    f = S.fold_traces(S.self_time(spans))
-    out = scoring.payload_reduction(spans, f, V.span_incidents(spark), "gateway")
+    out = scoring.payload_reduction(V.spans_table(spark, sf_dir), V.span_incidents(spark), "gateway")
     return out.select("incident_id", "raw_bytes", "served_bytes", r6("reduction").alias("reduction"),
                       "raw_tokens", "served_tokens")
 

@@ -1,15 +1,16 @@
 """Span folding: parents, self-time, per-trace summaries, sampling, trees.
 
 Input spans: trace_id, span_id, parent_span_id, service, start_us, duration_us,
-status [, error, operation]. Everything is integer microseconds.
+status [, error, operation, route or tags]. Everything is integer microseconds.
 
 Self-time of a span = duration - |union of its direct children's intervals|,
 floored at 0; children are not clipped to the parent. The union is a running-max
 scan over the children ordered by (start, span_id): a child contributes
-max(0, end - max(start, max end of all earlier siblings)). The scan is split in
-two levels so a parent with a huge fan-out is not one task: level 1 scans inside
-(trace, parent, start-time chunk); level 2 carries the max end of earlier chunks
-(one row per chunk) forward.
+max(0, end - max(start, max end of all earlier siblings)). The children of a parent
+are one window partition. Parents with more children than a task should hold are
+scanned as a prefix scan: their children are dealt to ranges of (parent, start,
+span_id) with bounds sampled from the data, each range has its own running max, one
+row per (parent, range) carries the max end of the ranges before it.
 """
 
 from __future__ import annotations
@@ -19,9 +20,17 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_SPANS_PER_TRACE, SUBWINDOWS
 from ..functions.predicates import is_error_span
+from ..session import materialize
 from .topn import top_n_per_group
 
-CHUNK_US = 1_000_000  # level-1 scan chunk: children starting in the same second
+SPLIT_CHILDREN = 500_000    # children of one parent that one task scans
+SPAN_COLUMNS = ("trace_id", "span_id", "parent_span_id", "service", "start_us", "duration_us", "status",
+                "error", "operation", "route", "tags")
+
+
+def span_columns(df: DataFrame) -> DataFrame:
+    """The span columns of a table that may carry derived ones."""
+    return df.select(*[c for c in SPAN_COLUMNS if c in df.columns])
 
 
 def _error_col(df: DataFrame):
@@ -46,38 +55,66 @@ def trace_roots(spans: DataFrame) -> DataFrame:
             .select("trace_id", F.col("r.service").alias("root_service"), F.col("r.start_us").alias("start_us")))
 
 
-def child_coverage(spans: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+def _added(prev):
+    """What a child adds to the union of its earlier siblings, whose ends reach `prev`."""
+    length = F.col("end_us") - F.col("start_us")
+    return F.when(prev.isNull(), length).otherwise(
+        F.greatest(F.lit(0), F.col("end_us") - F.greatest(F.col("start_us"), prev)))
+
+
+def _scan_ranges(children: DataFrame, n: int, split_children: int) -> DataFrame:
+    """(trace_id, parent_id, covered_us) of parents with very many children (`n` in all).
+
+    The stored table keeps the range of every row: bounds are sampled once. A parent
+    lies in neighbouring ranges, so there are at most ranges + parents rows to carry.
+    """
+    key = ["trace_id", "parent_id"]
+    most = int(children.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2, min(n // split_children + 1, most))
+    ranged = materialize(children.repartitionByRange(ranges, *key, "start_us", "span_id")
+                         .withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*key, "_range").orderBy("start_us", "span_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (ranged.groupBy(*key, "_range").agg(F.max("end_us").alias("_end"))
+               .select(*key, "_range", F.max("_end").over(before).alias("_carried")))
+    rows = ranged.withColumn("_prev", F.max("end_us").over(inside)).join(carried, key + ["_range"])
+    prev = F.greatest("_prev", "_carried")       # greatest skips nulls
+    return rows.groupBy(*key).agg(F.sum(_added(prev)).alias("covered_us"))
+
+
+def child_coverage(spans: DataFrame, split_children: int = SPLIT_CHILDREN) -> DataFrame:
     """(trace_id, span_id, covered_us): union length of each parent's children.
 
     Grouped on the referenced parent id directly: children of a parent that is not
     in the trace produce a coverage row that later attaches to no span, so no
     parent resolution is needed here.
     """
-    c = (spans.where(F.col("parent_span_id").isNotNull())
-         .withColumnRenamed("parent_span_id", "parent_id")
-         .select("trace_id", "parent_id", "span_id", "start_us",
-                 (F.col("start_us") + F.col("duration_us")).alias("end_us"),
-                 F.floor(F.col("start_us") / chunk_us).cast("bigint").alias("chunk")))
-    part = Window.partitionBy("trace_id", "parent_id", "chunk")
-    local = part.orderBy("start_us", "span_id").rowsBetween(Window.unboundedPreceding, -1)
-    # one window pass (same partitioning) gives the running max and the chunk max
-    c = (c.withColumn("local_prev", F.max("end_us").over(local))
-         .withColumn("chunk_end", F.max("end_us").over(part)))
-    chunks = c.select("trace_id", "parent_id", "chunk", "chunk_end").dropDuplicates(
-        ["trace_id", "parent_id", "chunk"])
-    across = (Window.partitionBy("trace_id", "parent_id").orderBy("chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.select("trace_id", "parent_id", "chunk",
-                           F.max("chunk_end").over(across).alias("carried"))
-    c = c.join(chunks, ["trace_id", "parent_id", "chunk"])
-    prev = F.greatest(F.col("local_prev"), F.col("carried"))   # greatest skips nulls
-    contrib = F.greatest(F.lit(0), F.col("end_us") - F.greatest(F.col("start_us"), prev))
-    contrib = F.when(prev.isNull(), F.col("end_us") - F.col("start_us")).otherwise(contrib)
-    return (c.groupBy("trace_id", "parent_id").agg(F.sum(contrib).alias("covered_us"))
-            .withColumnRenamed("parent_id", "span_id"))
-
-
-def self_time(spans: DataFrame, chunk_us: int = CHUNK_US, resolve: bool = True) -> DataFrame:
+    key = ["trace_id", "parent_id"]
+    children = (spans.where(F.col("parent_span_id").isNotNull())
+                .select("trace_id", F.col("parent_span_id").alias("parent_id"), "span_id", "start_us",
+                        (F.col("start_us") + F.col("duration_us")).alias("end_us")))
+
+    def scan(rows):
+        # the window and the sum share one exchange on (trace, parent)
+        prev = F.max("end_us").over(Window.partitionBy(*key).orderBy("start_us", "span_id")
+                                    .rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_prev", prev).groupBy(*key).agg(F.sum(_added(F.col("_prev"))).alias("covered_us"))
+
+    many = None
+    if children.count() > split_children:
+        big = children.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_children)
+        many = big.agg(F.sum("_n")).first()[0]
+    if many:
+        big = materialize(big.select(*key))
+        out = scan(children.join(big, key, "left_anti")).unionByName(
+            _scan_ranges(children.join(big, key, "left_semi"), many, split_children))
+    else:
+        out = scan(children)
+    return out.withColumnRenamed("parent_id", "span_id")
+
+
+def self_time(spans: DataFrame, split_children: int = SPLIT_CHILDREN, resolve: bool = True) -> DataFrame:
     """spans + parent_id, covered_us, self_us, is_error.
 
     Coverage has a single consumer (the join that attaches covered time). For
@@ -87,7 +124,7 @@ def self_time(spans: DataFrame, chunk_us: int = CHUNK_US, resolve: bool = True)
     join over full span rows is spent on parent resolution.
     `resolve=False` skips the orphan step and leaves `parent_id` out.
     """
-    cov = child_coverage(spans, chunk_us)
+    cov = child_coverage(spans, split_children)
     out = spans.join(cov, ["trace_id", "span_id"], "left")
     if resolve:
         refs = (spans.where(F.col("parent_span_id").isNotNull())
@@ -116,9 +153,11 @@ def trace_service_partials(selfs: DataFrame) -> DataFrame:
     counts — the first stage of `fold_traces`, reusable by per-service totals."""
     root_key = F.struct(F.col("parent_id").isNotNull().alias("_has_parent"),
                         F.col("start_us").alias("_s"), F.col("span_id").alias("_i"))
+    named = [F.col(c) for c in ("operation", "route") if c in selfs.columns]
+    if "tags" in selfs.columns and "route" not in selfs.columns:
+        named.append(F.col("tags")["http.route"].alias("route"))
     root = F.struct(root_key.alias("k"), F.struct(
-        "span_id", "service", "start_us", "duration_us", "status",
-        *([F.col("operation")] if "operation" in selfs.columns else [])).alias("v"))
+        "span_id", "service", "start_us", "duration_us", "status", *named).alias("v"))
     return selfs.groupBy("trace_id", "service").agg(
         F.min(root).alias("_root"), F.sum("self_us").alias("s"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_error")).alias("e"))
@@ -126,6 +165,7 @@ def trace_service_partials(selfs: DataFrame) -> DataFrame:
 
 def fold_partials(per_svc: DataFrame) -> DataFrame:
     """Second stage of `fold_traces`: one row per trace (<= #services inputs each)."""
+    named = [c for c in ("operation", "route") if c in per_svc.schema["_root"].dataType["v"].dataType.names]
     per_trace = per_svc.groupBy("trace_id").agg(
         F.min("_root").alias("_root"), F.sum("n").alias("spans"), F.sum("e").alias("errors"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("service", "s"))),
@@ -139,12 +179,15 @@ def fold_partials(per_svc: DataFrame) -> DataFrame:
         F.col("_root.v.duration_us").alias("duration_us"),
         "spans", "errors",
         F.col("_root.v.status").alias("root_status"),
-        "self_us_by_service")
+        "self_us_by_service",
+        *[F.col(f"_root.v.{c}").alias(f"root_{c}") for c in named])
 
 
 def fold_traces(selfs: DataFrame) -> DataFrame:
     """One row per trace: root span, start, duration, span count, errors, root
-    status and service, and self-time per service as 'service=us;...' (by name).
+    status and service, and self-time per service as 'service=us;...' (by name);
+    root_operation and root_route where the spans carry an operation and a route (a
+    column, or the `http.route` tag).
 
     One aggregation chain: (trace, service) partials carry the service's root
     candidate, then (trace) picks the root and assembles the per-service list
@@ -213,6 +256,21 @@ def sample_traces(folded: DataFrame, start_us: int, end_us: int, limit: int,
                            rank_col="_rn").drop("_rn")
 
 
+def sampled_ids(spans: DataFrame, start_us: int, end_us: int, limit: int, service: str | None = None,
+                membership: str = "root") -> DataFrame:
+    """trace_id, slice of the traces that `sample_traces` picks, found before anything is
+    folded: spans that start in the window (a scan filter) name the traces, the roots of
+    those follow from narrow columns."""
+    inside = (F.col("start_us") >= start_us) & (F.col("start_us") < end_us)
+    first = spans.where(inside)
+    if service is not None and membership == "root":
+        first = first.where(F.col("service") == service)      # the root span is one of these
+    within = spans.join(first.select("trace_id"), "trace_id", "left_semi")
+    members = traces_touching(within, service) if service is not None and membership == "any" else None
+    return sample_traces(trace_roots(within), start_us, end_us, limit, service, membership, members).select(
+        "trace_id", "slice")
+
+
 def top_traces(folded: DataFrame, limit: int) -> DataFrame:
     """Slowest `limit` traces, ties broken by trace_id (TakeOrderedAndProject)."""
     return folded.orderBy(F.col("duration_us").desc(), F.col("trace_id")).limit(int(limit))

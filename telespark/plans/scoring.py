@@ -2,8 +2,8 @@
 Q-8 recovery, Q-9 annotated series, evidence index and payload reduction.
 
 Incidents are a small label table (incident_id, service, fault_type, start_us,
-end_us); rows are matched to them with `interval_join` (bucketed equi-join, the
-label side broadcast only after its size is checked).
+end_us [, confirmed_start_us, confirmed_end_us]); rows are matched to them with
+`interval_join` (bucketed equi-join).
 """
 
 from __future__ import annotations
@@ -12,44 +12,84 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DOMINANCE_ASSERTED, DOMINANCE_MIN_SHARE
+from ..functions.time import scoring_end, scoring_start
 from ..operators import spans as S
 from ..operators.joins import interval_join
 
 DAY_US = 86400 * 1000000
 
 
-def _windows(incidents: DataFrame) -> DataFrame:
-    return incidents.select("incident_id", F.col("start_us").alias("win_start_us"),
-                            F.col("end_us").alias("win_end_us"))
+def evidence_windows(incidents: DataFrame) -> DataFrame:
+    """incident_id, win_start_us, win_end_us: the confirmed bounds where a label has them."""
+    start = scoring_start() if "confirmed_start_us" in incidents.columns else F.col("start_us")
+    end = scoring_end() if "confirmed_end_us" in incidents.columns else F.col("end_us")
+    return incidents.select("incident_id", start.alias("win_start_us"), end.alias("win_end_us"))
 
 
-def traces_in_incidents(folded: DataFrame, incidents: DataFrame, root_service: str | None,
-                        bucket_us: int = DAY_US) -> DataFrame:
-    """(incident_id, folded trace columns) for traces whose root starts inside a window."""
-    f = folded if root_service is None else folded.where(F.col("root_service") == root_service)
-    j = interval_join(f, _windows(incidents), "start_us", "win_start_us", "win_end_us", bucket_us)
-    return j.drop("win_start_us", "win_end_us")
+SCAN_RANGES = 64      # ranges of a scan filter; more windows share one from first to last
 
 
-def evidence_index(folded: DataFrame, incidents: DataFrame, root_service: str = "gateway") -> DataFrame:
+def scan_bounds(windows: DataFrame, ts: str = "start_us"):
+    """A filter with literal bounds that every row inside a window passes, so that it
+    reaches the scan (partitions, row groups): one range per window, or one for all
+    where there are more than SCAN_RANGES."""
+    some = windows.where("win_start_us <= win_end_us").select("win_start_us", "win_end_us").limit(SCAN_RANGES + 1).collect()
+    if len(some) > SCAN_RANGES:
+        some = windows.agg(F.min("win_start_us"), F.max("win_end_us")).collect()
+    out = F.lit(False)
+    for lo, hi in some:
+        out = out | F.col(ts).between(lo, hi)
+    return out
+
+
+def traces_in_windows(spans: DataFrame, incidents: DataFrame, root_service: str | None,
+                      bucket_us: int = DAY_US) -> DataFrame:
+    """incident_id, trace_id, start_us: traces whose root starts inside a window.
+
+    Nothing is folded to find them: the root span itself is a span of the root service
+    that starts in a window, which the scan can filter; the roots of the traces named so
+    follow from narrow columns, and only ids come back. (A semi-join on plain filtered
+    ids, not on their distinct values: for that Spark puts a bloom filter of the ids
+    under the exchange of the spans where both sides are large.) Stored, since callers
+    join it more than once.
+    """
+    from ..session import materialize
+    windows = evidence_windows(incidents)
+    first = spans.where(scan_bounds(windows))
+    if root_service is not None:
+        first = first.where(F.col("service") == root_service)
+    within = spans.join(first.select("trace_id"), "trace_id", "left_semi")
+    roots = S.trace_roots(within)
+    if root_service is not None:
+        roots = roots.where(F.col("root_service") == root_service)
+    j = interval_join(roots, windows, "start_us", "win_start_us", "win_end_us", bucket_us)
+    return materialize(j.select("incident_id", "trace_id", "start_us"))
+
+
+def spans_of(spans: DataFrame, traced: DataFrame) -> DataFrame:
+    """The spans of the traces in `traced`, each once."""
+    return S.span_columns(spans).join(traced.select("trace_id"), "trace_id", "left_semi")
+
+
+def evidence_index(spans: DataFrame, incidents: DataFrame, root_service: str = "gateway",
+                   traced: DataFrame | None = None) -> DataFrame:
     """incident_id, root_service, traces, spans (O-08)."""
-    t = traces_in_incidents(folded, incidents, root_service)
-    return (t.groupBy("incident_id")
-            .agg(F.count(F.lit(1)).alias("traces"), F.sum("spans").cast("bigint").alias("spans"))
+    traced = traces_in_windows(spans, incidents, root_service) if traced is None else traced
+    sizes = spans_of(spans, traced).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+    return (traced.join(sizes, "trace_id").groupBy("incident_id")
+            .agg(F.count(F.lit(1)).alias("traces"), F.sum("n").cast("bigint").alias("spans"))
             .select("incident_id", F.lit(root_service).alias("root_service"), "traces", "spans"))
 
 
-def verify_dominance(selfs: DataFrame, labels: DataFrame, evidence: DataFrame,
+def verify_dominance(spans: DataFrame, labels: DataFrame, evidence: DataFrame,
                      root_service: str = "gateway", min_share: float = DOMINANCE_MIN_SHARE) -> DataFrame:
     """Per evidence incident: top self-time service and share; latency faults must be
     dominated (>= min_share %) by the faulted service; others are reported ('info');
-    evidence without a label is an ORPHAN."""
-    from ..session import materialize
-    partials = materialize(S.trace_service_partials(selfs))   # read by both branches below
-    folded = S.fold_partials(partials)
-    traced = traces_in_incidents(folded, evidence, root_service).select("incident_id", "trace_id")
-    per_trace = S.service_self_from_partials(partials).select("trace_id", "service", "self_us")
-    per = (traced.join(per_trace, "trace_id")
+    evidence without a label is an ORPHAN. Windows are the confirmed bounds where the
+    evidence has them. Self-time is only taken of the traces in a window."""
+    traced = traces_in_windows(spans, evidence, root_service)
+    per_trace = S.trace_service_self(S.self_time(spans_of(spans, traced), resolve=False))
+    per = (traced.select("incident_id", "trace_id").join(per_trace, "trace_id")
            .groupBy("incident_id", "service").agg(F.sum("self_us").alias("self_us")))
     # windows below run over <= #services rows per incident
     tot = F.sum("self_us").over(Window.partitionBy("incident_id"))
@@ -74,41 +114,43 @@ def verify_dominance(selfs: DataFrame, labels: DataFrame, evidence: DataFrame,
     return out.withColumn("verdict", verdict)
 
 
-def _raw_span_json(selfs: DataFrame):
-    s = lambda c: F.col(c).cast("string")
-    ref = F.coalesce(F.concat(F.lit('{"refType":"CHILD_OF","spanID":"'), s("parent_span_id"), F.lit('"}')),
-                     F.lit(""))
-    return F.concat(F.lit('{"traceID":"'), s("trace_id"), F.lit('","spanID":"'), s("span_id"),
-                    F.lit('","operationName":"'), F.col("service"), F.lit('","startTime":'), s("start_us"),
-                    F.lit(',"duration":'), s("duration_us"), F.lit(',"references":['), ref,
-                    F.lit('],"tags":[{"key":"http.response.status_code","value":'), F.coalesce(s("status"), F.lit("null")),
-                    F.lit("}]}"))
+_WHOLE = {"ignoreNullFields": "false"}
+
+
+def _raw_span_json(spans: DataFrame):
+    """A span as a trace store serves it; the operation is the service's name where the
+    spans have none."""
+    def text(c):
+        return F.col(c).cast("string")
+    ref = F.struct(F.lit("CHILD_OF").alias("refType"), text("parent_span_id").alias("spanID"))
+    name = F.coalesce("operation", "service") if "operation" in spans.columns else F.col("service")
+    return F.to_json(F.struct(
+        text("trace_id").alias("traceID"), text("span_id").alias("spanID"), name.alias("operationName"),
+        F.col("start_us").alias("startTime"), F.col("duration_us").alias("duration"),
+        F.filter(F.array(ref), lambda r: r["spanID"].isNotNull()).alias("references"),
+        F.array(F.struct(F.lit("http.response.status_code").alias("key"), F.col("status").alias("value"))).alias("tags")),
+        _WHOLE)
 
 
-def _served_json(folded: DataFrame):
-    s = lambda c: F.col(c).cast("string")
-    return F.concat(F.lit('{"trace_id":"'), s("trace_id"), F.lit('","duration_us":'), s("duration_us"),
-                    F.lit(',"spans":'), s("spans"), F.lit(',"errors":'), s("errors"),
-                    F.lit(',"self_us":"'), F.col("self_us_by_service"), F.lit('"}'))
+def _served_json():
+    return F.to_json(F.struct(F.col("trace_id").cast("string").alias("trace_id"), "duration_us", "spans", "errors",
+                              F.col("self_us_by_service").alias("self_us")), _WHOLE)
 
 
-def payload_reduction(spans: DataFrame, folded: DataFrame, incidents: DataFrame,
-                      root_service: str = "gateway") -> DataFrame:
+def payload_reduction(spans: DataFrame, incidents: DataFrame, root_service: str = "gateway") -> DataFrame:
     """Bytes of the raw span documents vs the folded summaries, per incident window
-    (O-56); tokens estimated at 4 bytes each. The raw side needs only the span
-    table (no self-time)."""
-    traced = traces_in_incidents(folded, incidents, root_service)
-    served = traced.groupBy("incident_id").agg(
-        F.sum(F.octet_length(_served_json(traced))).alias("served_bytes"))
-    raw_per_trace = spans.groupBy("trace_id").agg(F.sum(F.octet_length(_raw_span_json(spans))).alias("b"))
-    raw = (traced.select("incident_id", "trace_id").join(raw_per_trace, "trace_id")
-           .groupBy("incident_id").agg(F.sum("b").alias("raw_bytes")))
-    return (raw.join(served, "incident_id")
-            .select("incident_id", F.col("raw_bytes").cast("bigint").alias("raw_bytes"),
-                    F.col("served_bytes").cast("bigint").alias("served_bytes"),
-                    (F.col("raw_bytes") / F.col("served_bytes")).alias("reduction"),
-                    F.floor(F.col("raw_bytes") / 4).cast("bigint").alias("raw_tokens"),
-                    F.floor(F.col("served_bytes") / 4).cast("bigint").alias("served_tokens")))
+    (O-56); tokens estimated at 4 bytes each. Only the traces in a window are folded."""
+    traced = traces_in_windows(spans, incidents, root_service).select("incident_id", "trace_id")
+    inside = spans_of(spans, traced)
+    served = S.fold_traces(S.self_time(inside)).select("trace_id", F.octet_length(_served_json()).alias("s"))
+    raw = inside.groupBy("trace_id").agg(F.sum(F.octet_length(_raw_span_json(inside))).alias("b"))
+    per = (traced.join(raw, "trace_id").join(served, "trace_id").groupBy("incident_id")
+           .agg(F.sum("b").alias("raw_bytes"), F.sum("s").alias("served_bytes")))
+    return per.select("incident_id", F.col("raw_bytes").cast("bigint").alias("raw_bytes"),
+                      F.col("served_bytes").cast("bigint").alias("served_bytes"),
+                      (F.col("raw_bytes") / F.col("served_bytes")).alias("reduction"),
+                      F.floor(F.col("raw_bytes") / 4).cast("bigint").alias("raw_tokens"),
+                      F.floor(F.col("served_bytes") / 4).cast("bigint").alias("served_tokens"))
 
 
 # ---------------------------------------------------------------------------

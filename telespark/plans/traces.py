@@ -18,7 +18,8 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
     """Sampled traces started by `service` in [start, end), folded.
 
     Returns DataFrames: `summary` (sampled, returned, p50/p95/max duration ms),
-    `self_time` (service, total_us, pct) and `traces` (at most `limit`, slowest first).
+    `self_time` (service, total_us, pct, largest first) and `traces` (at most `limit`,
+    slowest first, with the root's operation and route where the spans carry them).
     `sampled` counts the sample before the duration / error filters. `limit` is from 1 to
     MAX_TRACES; others are refused. `span_cap`
     (off by default) folds only the earliest spans of each trace.
@@ -27,13 +28,7 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
     if not 1 <= int(limit) <= MAX_TRACES:
         raise ValueError(f"limit must be from 1 to {MAX_TRACES}, got {limit!r}")
-    # roots in the window first, on narrow columns: only the sampled traces are folded
-    near = (spans.where((F.col("start_us") >= start_us) & (F.col("start_us") < end_us))
-            .select("trace_id").distinct())
-    within = spans.join(near, "trace_id", "left_semi")
-    members = S.traces_touching(within, service) if membership == "any" else None
-    picked = materialize(S.sample_traces(S.trace_roots(within), start_us, end_us, limit, service, membership, members)
-                         .select("trace_id", "slice"))
+    picked = materialize(S.sampled_ids(spans, start_us, end_us, limit, service, membership))
     sampled = spans.join(picked, "trace_id", "left_semi")
     if span_cap:
         # fold only the earliest `span_cap` spans of each trace (store availability cap)
@@ -45,7 +40,7 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
            .groupBy("service").agg(F.sum("s").cast("bigint").alias("total_us")))
     total = F.sum("total_us").over(Window.partitionBy())     # over <= #services rows
     self_tbl = per.withColumn("pct", F.when(total > 0, 100.0 * F.col("total_us") / total)
-                              .otherwise(F.lit(0.0)))
+                              .otherwise(F.lit(0.0))).orderBy(F.col("total_us").desc(), "service")
     ms = kept.select((F.col("duration_us") / 1000.0).alias("duration_ms"))
     pct = exact_percentiles(ms, [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, passes=1)
     counts = join_single_rows(sample.agg(F.count(F.lit(1)).alias("sampled")),

@@ -20,6 +20,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -72,7 +73,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Cut the lineage of a derived table that several branches (or a size check
     and the query itself) read: a reliable checkpoint into `spark.checkpoint.dir`
-    (shared storage on a cluster, so it survives executor loss)."""
+    (shared storage on a cluster, so it survives executor loss). With
+    spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes its files once no
+    DataFrame refers to them."""
     ensure_checkpoint_dir(df.sparkSession)
     # the write job after the eager count reuses the count job's shuffle outputs,
     # so only the last stage runs twice; no cache is needed for it

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import spans as S
 from ..plans import scoring
 
 
@@ -37,8 +36,9 @@ def existing_incidents(spark: SparkSession, path: str, run_id: str) -> list:
 
 def export_traces(spans: DataFrame, incidents: DataFrame, path: str, run_id: str,
                   root_service: str = "gateway", force: bool = False) -> DataFrame:
-    """Write the spans of every trace whose root starts inside an incident window,
-    partitioned by (run_id, incident_id). Returns the evidence index.
+    """Write the spans of every trace whose root starts inside an incident window (the
+    confirmed bounds where a label has them), partitioned by (run_id, incident_id).
+    Returns the evidence index.
 
     Refuses when any partition of this run exists, unless `force`; with `force`
     only the partitions being written are replaced (dynamic overwrite), so an
@@ -50,16 +50,14 @@ def export_traces(spans: DataFrame, incidents: DataFrame, path: str, run_id: str
     if have and not force:
         raise EvidenceExists(f"{len(have)} export(s) already under {path} for {run_id}: {have}; "
                              f"pass force=True to replace them")
-    selfs = S.self_time(spans)
-    folded = S.fold_traces(selfs)
-    traced = scoring.traces_in_incidents(folded, incidents, root_service).select("incident_id", "trace_id")
-    rows = spans.join(traced, "trace_id").withColumn("run_id", F.lit(run_id))
+    traced = scoring.traces_in_windows(spans, incidents, root_service)
+    rows = spans.join(traced.select("incident_id", "trace_id"), "trace_id").withColumn("run_id", F.lit(run_id))
     writer = rows.write.partitionBy("run_id", "incident_id")
     if force:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode("append").parquet(path)
-    return scoring.evidence_index(folded, incidents, root_service)
+    return scoring.evidence_index(spans, incidents, root_service, traced)
 
 
 def merge_index(old: DataFrame, new: DataFrame, files: DataFrame, labels: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def test_hand_cases(spark):
     assert folded[1].self_us_by_service == "gateway=0;inventory=60;orders=60"
 
 
-@pytest.mark.parametrize("chunk_us", [1, 7, 1_000_000])
-def test_random_against_merge(spark, chunk_us):
-    rng = random.Random(7 + chunk_us)
+@pytest.mark.parametrize("split_children", [1, 7, 1_000_000])
+def test_random_against_merge(spark, split_children):
+    rng = random.Random(7 + split_children)
     rows = []
     for t in range(60):
         n = rng.randint(1, 14)
@@ -68,7 +68,7 @@ def test_random_against_merge(spark, chunk_us):
             rows.append((t, i, parent, rng.choice(["gateway", "orders", "inventory"]),
                          rng.randint(0, 60), rng.randint(0, 40), 200))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.trace_id, r.span_id): r.self_us for r in S.self_time(df, chunk_us=chunk_us).collect()}
+    got = {(r.trace_id, r.span_id): r.self_us for r in S.self_time(df, split_children=split_children).collect()}
     assert got == brute_self(rows)
 
 
