@@ -157,7 +157,7 @@ def q_replay(spark, sf_dir):
     return out.withColumn("labelled_pct", r6("labelled_pct")).withColumn("measured_max", r6("measured_max"))
 
 
-@register("recovery", with_views("requests_faulted", "incidents") + f""",
+_RECOVERY = f"""
 door AS (SELECT * FROM requests_faulted WHERE {APP} AND service = 'gateway'),
 bdoor AS (SELECT * FROM door WHERE ts_us BETWEEN {BS} AND {BE}),
 base AS ({nearest_sql("bdoor", "", "duration_ms", {"baseline_p95_ms": 0.95})}),
@@ -174,15 +174,47 @@ busy AS (SELECT DISTINCT a.incident_id FROM incidents a JOIN incidents b
 SELECT i.incident_id, coalesce(agg.probes, 0) AS probes, coalesce(agg.probe_failures, 0) AS probe_failures,
   pp.probe_p95_ms, greatest(400.0, 4.0 * base.baseline_p95_ms) AS probe_ceiling_ms,
   busy.incident_id IS NULL AS inert,
-  (busy.incident_id IS NULL AND coalesce(agg.probe_failures, 0) = 0
+  (coalesce(agg.probes, 0) >= 10 AND busy.incident_id IS NULL AND coalesce(agg.probe_failures, 0) = 0
    AND coalesce(pp.probe_p95_ms <= greatest(400.0, 4.0 * base.baseline_p95_ms), false)) AS recovered,
+  CASE WHEN coalesce(agg.probes, 0) < 10 THEN 'too few probes' WHEN recovered THEN 'recovered' ELSE 'not recovered' END AS state,
   agg.recovery_s
 FROM incidents i LEFT JOIN agg ON agg.incident_id = i.incident_id LEFT JOIN pp ON pp.incident_id = i.incident_id
-LEFT JOIN busy ON busy.incident_id = i.incident_id, base""")
+LEFT JOIN busy ON busy.incident_id = i.incident_id, base"""
+
+
+@register("recovery", with_views("requests_faulted", "incidents") + "," + _RECOVERY)
 def q_recovery(spark, sf_dir):
     return SC.verify_recovery(V.requests_faulted(spark, sf_dir), V.incidents(spark), BS, BE)
 
 
+@register("recovery_short_tail", with_views("requests_faulted", "incidents") + """,
+door_ts AS (SELECT ts_us, row_number() OVER (ORDER BY ts_us DESC, request_id DESC) AS rk FROM requests_faulted
+            WHERE route NOT LIKE '/chaos%' AND route <> '/health' AND service = 'gateway'),
+tails AS (SELECT incident_id, service, fault_type, start_us, CASE incident_id WHEN 'run-fx/i1' THEN (SELECT ts_us FROM door_ts WHERE rk = 4)
+            WHEN 'run-fx/i2' THEN (SELECT max(ts_us) FROM door_ts) ELSE end_us END AS end_us FROM incidents),"""
+          + _RECOVERY.replace("FROM incidents", "FROM tails").replace("JOIN incidents", "JOIN tails"))
+def q_recovery_short_tail(spark, sf_dir):
+    """Incidents that end three requests before the last one of the front door, and at it."""
+    req = V.requests_faulted(spark, sf_dir)
+    door = R.application(req).where(F.col("service") == "gateway")
+    last = [r.ts_us for r in door.orderBy(F.col("ts_us").desc(), F.col("request_id").desc()).select("ts_us").limit(4).collect()]
+    end = (F.when(F.col("incident_id") == "run-fx/i1", F.lit(last[3])).when(F.col("incident_id") == "run-fx/i2", F.lit(last[0]))
+           .otherwise(F.col("end_us")))
+    return SC.verify_recovery(req, V.incidents(spark).withColumn("end_us", end), BS, BE)
+
+
+@register("annotated_requests", with_views("requests_faulted", "incidents") + f""",
+ann AS (SELECT incident_id, (start_us // 1000) * 1000 AS a_start, (end_us // 1000) * 1000 AS a_end FROM incidents),
+pts AS (SELECT service, ts_us // {HOUR} * {HOUR} AS step_us FROM requests_faulted WHERE {APP})
+SELECT p.service, p.step_us, coalesce((SELECT string_agg(a.incident_id, ',' ORDER BY a.incident_id) FROM ann a
+  WHERE p.step_us BETWEEN a.a_start AND a.a_end), '') AS incidents FROM pts p""")
+def q_annotated_requests(spark, sf_dir):
+    """Every request as a point at its hour, equal points kept, with the incidents that cover it."""
+    pts = R.application(V.requests_faulted(spark, sf_dir)).select(
+        "service", (F.floor(F.col("ts_us") / HOUR) * HOUR).cast("bigint").alias("step_us"))
+    return SC.annotate(pts, V.incidents(spark))
+
+
 @register("annotated_series", with_views("requests_faulted", "incidents") + f""",
 grid AS (SELECT s.service, {S0} + r.range * {HOUR} AS step_us
          FROM (VALUES {_SVC_VALUES}) s(service), range(0, {(E0 - S0) // HOUR + 1}) r),

@@ -278,3 +278,14 @@ def q_rollup_daily_p95(spark, sf_dir):
     daily = hourly.withColumn("day_us", F.floor(F.col("window_start_us") / DAY).cast("bigint") * DAY)
     q = rollup_quantiles(daily, ["service", "day_us"], {"p95": 0.95})
     return q.select("service", "day_us", r6("p95").alias("p95"))
+
+
+@register("silent_stretches", with_views("requests") + f""",
+nxt AS (SELECT service, ts_us, lead(ts_us) OVER (PARTITION BY service ORDER BY ts_us) AS later
+        FROM requests WHERE service IS NOT NULL AND ts_us <= {E0})
+SELECT service, ts_us AS last_seen_us, ts_us + 300000000 AS silent_after_us FROM nxt
+WHERE coalesce(later, {E0}) - ts_us > 300000000""")
+def q_silent_stretches(spark, sf_dir):
+    """Every stretch of more than five minutes without a request of a service."""
+    from .streaming.red import silent_stretches
+    return silent_stretches(V.requests(spark, sf_dir), E0)

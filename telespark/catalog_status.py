@@ -75,18 +75,11 @@ SELECT g.service, g.step_us,
   CASE WHEN coalesce(w.n, 0) > 0 THEN CAST(w.n AS DOUBLE) / 86400.0 ELSE 0.0 END AS value
 FROM grid g LEFT JOIN win w ON w.service = g.service AND w.step_us = g.step_us LEFT JOIN ret t ON t.service = g.service""")
 def q_empty_reason(spark, sf_dir):
-    """error_rate per service and day with its emptiness reason: one aggregate of the
-    selector over the retention and one per window, joined to the expected grid."""
-    sel = V.requests(spark, sf_dir).where(app_routes("route") & is_5xx("status")).select("service", "ts_us")
-    ret = sel.groupBy("service").agg(F.count(F.lit(1)).alias("_ret"))
-    win = (SR.assign_steps(sel, S0, E0, DAY, DAY).where(F.col("step_us") > S0)
-           .groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("_win")))
-    grid = SR.step_grid(spark, _expected(spark), S0 + DAY, E0, DAY)
-    j = grid.join(win, ["service", "step_us"], "left").join(ret, "service", "left")
-    reason = (F.when(F.coalesce("_win", F.lit(0)) > 0, "ok")
-              .when(F.coalesce("_ret", F.lit(0)) == 0, "series_absent").otherwise("no_samples_in_window"))
-    value = F.when(F.coalesce("_win", F.lit(0)) > 0, F.col("_win") / 86400.0).otherwise(F.lit(0.0))
-    return j.select("service", "step_us", reason.alias("reason"), value.alias("value"))
+    """error_rate per service and day with its emptiness reason."""
+    out = ST.empty_reasons(V.requests(spark, sf_dir), "error_rate", _expected(spark), S0 + DAY, E0, DAY,
+                           E0, (E0 - S0) / HOUR)
+    rate = F.when(F.col("status") == "ok", F.col("in_window") / 86400.0).otherwise(F.col("value"))
+    return out.select("service", "step_us", "reason", rate.cast("double").alias("value"))
 
 
 @register("prom_or", with_views("requests") + f""",

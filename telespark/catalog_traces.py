@@ -209,3 +209,47 @@ SELECT service, CAST(total_us AS BIGINT) AS total_us, round(100.0 * total_us / s
 def q_query_traces_self_time(spark, sf_dir):
     res = T.query_traces(V.spans_table(spark, sf_dir), "gateway", _S0, _S1, limit=20)
     return res["self_time"].select("service", "total_us", r6("pct").alias("pct"))
+
+
+@register("fold_operations", with_views("folded") + """
+SELECT trace_id, root_service, CASE WHEN root_service = 'gateway' THEN 'POST /api/' || (trace_id % 5) ELSE root_service || '.handle' END
+    AS root_operation,
+  CASE WHEN root_service = 'gateway' THEN '/api/' || (trace_id % 5) END AS root_route, duration_us, spans FROM folded""")
+def q_fold_operations(spark, sf_dir):
+    """Which endpoint started a trace: operation and route of its root."""
+    front = F.col("service") == "gateway"
+    route = F.concat(F.lit("/api/"), (F.col("trace_id") % 5).cast("string"))
+    spans = (V.spans_table(spark, sf_dir)
+             .withColumn("operation", F.when(front, F.concat(F.lit("POST "), route)).otherwise(F.concat("service", F.lit(".handle"))))
+             .withColumn("route", F.when(front, route)))
+    return S.fold_traces(S.self_time(spans)).select("trace_id", "root_service", "root_operation", "root_route", "duration_us", "spans")
+
+
+@register("evidence_confirmed", with_views("folded", "span_incidents") + """
+SELECT i.incident_id, 'gateway' AS root_service, count(*) AS traces, CAST(sum(f.spans) AS BIGINT) AS spans
+FROM folded f JOIN span_incidents i ON f.start_us BETWEEN CASE i.fault_type WHEN 'latency' THEN i.start_us + 864000000000 ELSE i.start_us END
+  AND CASE i.fault_type WHEN 'latency' THEN i.end_us - 432000000000 ELSE i.end_us END
+WHERE f.root_service = 'gateway' GROUP BY i.incident_id""")
+def q_evidence_confirmed(spark, sf_dir):
+    """Evidence of the confirmed bounds where a label has them (ten days later, five earlier)."""
+    slow = F.col("fault_type") == "latency"
+    labels = (V.span_incidents(spark).withColumn("confirmed_start_us", F.when(slow, F.col("start_us") + 10 * V.DAY_US))
+              .withColumn("confirmed_end_us", F.when(slow, F.col("end_us") - 5 * V.DAY_US)))
+    return scoring.evidence_index(V.spans_table(spark, sf_dir), labels, "gateway")
+
+
+@register("query_traces_any", with_views("folded", "spans") + f""",
+touching AS (SELECT DISTINCT trace_id FROM spans WHERE service = 'inventory'),
+sample AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY slice ORDER BY start_us DESC, trace_id) AS rn FROM (
+      SELECT *, least(2, floor((start_us - {_S0}) * 3 / {_S1 - _S0})) AS slice
+      FROM folded WHERE start_us >= {_S0} AND start_us < {_S1} AND trace_id IN (SELECT trace_id FROM touching)) a) b
+  WHERE rn <= 13)
+SELECT trace_id, start_us, duration_us, spans, errors, root_service, self_us_by_service FROM sample
+WHERE errors > 0 AND duration_us >= 80000""")
+def q_query_traces_any(spark, sf_dir):
+    """Slow failed traces among those that touch a service anywhere (membership 'any')."""
+    res = T.query_traces(V.spans_table(spark, sf_dir), "inventory", _S0, _S1, limit=40, min_duration_ms=80,
+                         errors_only=True, membership="any")
+    return res["traces"].select("trace_id", "start_us", "duration_us", "spans", "errors", "root_service", "self_us_by_service")

@@ -1,11 +1,13 @@
-"""Interval (range) joins and broadcast guards.
+"""Interval (range) joins.
 
 Rows are matched to [start, end] intervals (inclusive) through an equi-join on a
 coarse time bucket: each interval is exploded into the buckets it overlaps (a
 fan-out of length/bucket, bounded by the interval table, never by the data), each
 row computes its single bucket, and the exact bound is rechecked after the join.
-The interval side is broadcast only after its row count is checked; beyond the
-limit it is a shuffle join, salted so a hot bucket is split over `salt` tasks.
+An interval side of at most BROADCAST_BYTES, measured by one aggregate, is
+broadcast (Spark cannot tell the size of rows that come from the driver or a
+checkpoint, and would shuffle the rows first); with a larger one both sides are
+shuffled and adaptive execution splits the rows of a hot bucket over tasks.
 """
 
 from __future__ import annotations
@@ -13,59 +15,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 200_000
 
+BROADCAST_BYTES = 32 * 1024 * 1024
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when `df` has at most `limit` rows (reads at most limit+1 rows)."""
-    return len(df.limit(limit + 1).collect()) <= limit
 
-
-def guarded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only when the row count is proven small."""
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if its rows, written out, have at most BROADCAST_BYTES."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def interval_join(rows: DataFrame, intervals: DataFrame, ts: str = "ts_us",
                   start: str = "start_us", end: str = "end_us",
-                  bucket_us: int = 86400 * 1000000, how: str = "inner",
-                  salt: int = 8, max_broadcast_rows: int = BROADCAST_MAX_ROWS, on=()) -> DataFrame:
+                  bucket_us: int = 86400 * 1000000, how: str = "inner", on=()) -> DataFrame:
     """rows x intervals where intervals.start <= rows.ts <= intervals.end (and the
     `on` columns are equal; they appear once in the output).
 
     Other column names of the two sides must be disjoint: the caller renames
-    first. `how` is 'inner' or 'left' (rows kept without a match).
+    first. `how` is 'inner' or 'left' (rows kept without a match). Columns of any
+    type are carried, intervals that end before they start match nothing.
     """
     on = list(on)
-    if on:
-        intervals = intervals.select(*[F.col(k).alias(f"_on_{k}") for k in on],
-                                     *[c for c in intervals.columns if c not in on])
-    b = F.floor(F.col(ts) / bucket_us).cast("bigint")
-    iv = intervals.withColumn("_bk", F.explode(F.sequence(
-        F.floor(F.col(start) / bucket_us).cast("bigint"),
-        F.floor(F.col(end) / bucket_us).cast("bigint"))))
-    iv_b, small = guarded_broadcast(iv, max_broadcast_rows)
-    if small:
-        left = rows.withColumn("_bk", b)
-        cond = (left["_bk"] == iv_b["_bk"]) & left[ts].between(iv_b[start], iv_b[end])
-        for k in on:
-            cond = cond & (left[k] == iv_b[f"_on_{k}"])
-        out = left.join(iv_b, cond, how)
-        return out.drop(left["_bk"]).drop(iv_b["_bk"]).drop(*[f"_on_{k}" for k in on])
-    # shuffle path: split each bucket over `salt` tasks; intervals replicated per salt
-    # deterministic salt (a retried task must route every row the same way)
-    left = rows.withColumn("_bk", b).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salt)).cast("int"))
-    iv_s = iv.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    cond = ((left["_bk"] == iv_s["_bk"]) & (left["_salt"] == iv_s["_salt"])
-            & left[ts].between(iv_s[start], iv_s[end]))
+
+    def bucket(c):
+        return F.floor(F.col(c) / bucket_us).cast("bigint")
+
+    iv = (intervals.where(F.col(start) <= F.col(end))
+          .select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in intervals.columns if c not in on],
+                  F.explode(F.sequence(bucket(start), bucket(end))).alias("_iv_bk")))
+    cond = (F.col("_bk") == F.col("_iv_bk")) & F.col(ts).between(F.col(start), F.col(end))
     for k in on:
-        cond = cond & (left[k] == iv_s[f"_on_{k}"])
-    out = left.join(iv_s, cond, how)
-    return (out.drop(left["_bk"]).drop(iv_s["_bk"]).drop(left["_salt"]).drop(iv_s["_salt"])
-            .drop(*[f"_on_{k}" for k in on]))
+        cond = cond & (F.col(k) == F.col(f"_on_{k}"))
+    out = rows.withColumn("_bk", bucket(ts)).join(broadcast_if_small(iv), cond, how)
+    return out.drop("_bk", "_iv_bk", *[f"_on_{k}" for k in on])
 
 
 def join_single_rows(*frames: DataFrame) -> DataFrame:
@@ -119,7 +101,7 @@ def nearest_rows(rows: DataFrame, anchors: DataFrame, n: int, direction: str = "
         w2 = Window.partitionBy(*on).orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
         b = (tgt.unionByName(hh).withColumn("_b", F.last("_hv", ignorenulls=True).over(w2))
              .where(F.col("_kind") == 1).select(*on, at, "_b"))
-        b = b.join(span, on, "left") if on else b.join(span.withColumn("_one", F.lit(1)), how="left")             if False else (b.join(span, on, "left") if on else _join_one(b, span))
+        b = b.join(span, on, "left") if on else _join_one(b, span)
         win = b.select(*on, at, F.when(F.col("_b").isNull(), F.col("_hmin") * hist_us)
                        .otherwise((F.col("_b") + 1) * hist_us).alias("_from"), F.col(at).alias("_to"))
     else:
@@ -136,7 +118,7 @@ def nearest_rows(rows: DataFrame, anchors: DataFrame, n: int, direction: str = "
         b = b.join(span, on, "left") if on else _join_one(b, span)
         win = b.select(*on, at, (F.col(at) + 1).alias("_from"),
                        (F.coalesce(F.col("_b"), F.col("_hmax")) * hist_us + hist_us - 1).alias("_to"))
-    # one small row per anchor, read by the broadcast size check and the join
+    # one small row per anchor
     from ..session import materialize
     win = materialize(anchors.join(win, [at] + on, "left"))
     picked = interval_join(rows, win, ts, "_from", "_to", 24 * 3600 * 1000000, on=on)

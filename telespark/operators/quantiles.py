@@ -2,11 +2,15 @@
 
 Spark's `percentile` keeps a value->count map per group and merges it in a single
 task; a service with a third of all requests would put a third of all distinct
-durations into one map. Here a percentile is found in two distributed passes:
+durations into one map. Here a percentile is found by radix descent:
 
 1. Each value gets a log-scale bucket (64 per octave); per-(keys, bucket) counts
    are tiny and their running sum gives the bucket that holds every wanted rank.
-2. Only the values of those few buckets are shuffled and ranked exactly.
+2. While a located bucket holds more than `leaf_rows` values and more than one
+   distinct value, its range is cut into 4,096 equal parts and these are counted:
+   the part that holds the rank takes the bucket's place. A log bucket has at most
+   2^46 distinct doubles, so four rounds end at single values whatever the data.
+3. Only the values of those few leaves are shuffled and ranked exactly.
 
 Two definitions are provided and never mixed:
   linear   position (n-1)*f, interpolated between neighbours (numpy / DuckDB
@@ -19,8 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _BUCKETS_PER_OCTAVE = 64
 _OFFSET = 80000  # larger than |floor(log2(v) * 64)| for every finite double
+_PARTS = 4096
+LEAF_ROWS = 1_000_000      # values of a leaf, ranked by one task
+BROADCAST_ROWS = 100_000   # located buckets, some 100 bytes each
 
 
 def _log_bucket(v: Column) -> Column:
@@ -28,16 +37,49 @@ def _log_bucket(v: Column) -> Column:
     return (F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0))).cast("bigint")
 
 
+def _in_buckets(vals: DataFrame, located: DataFrame, keys, how: str) -> DataFrame:
+    """Values joined with the located buckets that hold them."""
+    side = located.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"),
+                          *[c for c in located.columns if c not in keys and c != "_b"])
+    cond = (F.col("_b") == F.col("_kb")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    for i, k in enumerate(keys):
+        cond = cond & (F.col(k) == F.col(f"_k{i}"))
+    if located.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return vals.join(side, cond, how).drop("_kb", *[f"_k{i}" for i in range(len(keys))])
+
+
+def refine(vals: DataFrame, located: DataFrame, keys, leaf_rows: int) -> DataFrame:
+    """Descend until every located bucket holds at most `leaf_rows` values or one value only.
+
+    located: keys, _b, _name, _pos, _rank, _n, _before (values below it), _bc (its values),
+    _lo, _hi; stored."""
+    wide = (F.col("_bc") > leaf_rows) & (F.col("_lo") < F.col("_hi"))
+    place = [*keys, "_b", "_name", "_pos", "_rank", "_n", "_before"]
+    below = Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    while not located.where(wide).isEmpty():
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        part = F.least(F.lit(_PARTS - 1), F.floor(share * _PARTS)).cast("int")
+        parts = (_in_buckets(vals, located.where(wide).drop("_bc"), keys, "inner").withColumn("_part", part)
+                 .groupBy(*place, "_part").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        # at most _PARTS rows per place
+        parts = parts.withColumn("_below", F.col("_before") + F.coalesce(F.sum("_bc").over(below), F.lit(0)))
+        found = (parts.where((F.col("_pos") >= F.col("_below")) & (F.col("_pos") < F.col("_below") + F.col("_bc")))
+                 .withColumn("_before", F.col("_below")).select(*located.columns))
+        located = materialize(located.where(~wide).unionByName(found))
+    return located
+
+
 def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
                       method: str = "linear", count_col: str | None = None,
-                      passes: int = 2) -> DataFrame:
+                      passes: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per key group with one column per entry of `fractions` (name -> f),
     plus the group's value count as `count_col` when given.
 
-    passes=2 (default): the input is read twice and only two small things are
+    passes=2 (default): the input is read twice or more, and only small things are
     shuffled — per-(group, bucket) counts, then the values of the few located
-    buckets. passes=1: (group, value) counts are shuffled once for all values;
-    use it when the input is an expensive derivation that should not be
+    leaves. passes=1: (group, value) counts are shuffled once for all values and
+    stored; use it when the input is an expensive derivation that should not be
     computed twice. Nulls and NaN are ignored; groups without values produce no row.
     """
     if method not in ("linear", "nearest"):
@@ -50,11 +92,11 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
             .withColumn("_b", _log_bucket(F.col("_v"))))
     if passes == 1:
         # distinct values with multiplicity (the only shuffle of full size)
-        counts = vals.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+        vals = materialize(vals.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")))
     else:
-        per_bucket = vals.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+        vals = vals.withColumn("_c", F.lit(1).cast("bigint"))
     # per-bucket counts and their running sum: tiny
+    per_bucket = vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     order = Window.partitionBy(*keys).orderBy("_b")
     pb = (per_bucket
           .withColumn("_before", F.coalesce(F.sum("_bc").over(
@@ -63,26 +105,25 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions: dict,
     # the wanted positions that fall in each bucket (a filter, no join)
     fr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(f)).alias("f"))
                    for name, f in fractions.items()])
-    q = pb.select(*keys, "_b", "_bc", "_before", "_n", F.explode(fr).alias("_q"))
+    rest = [*keys, "_b", "_bc", "_lo", "_hi", "_before", "_n"]
+    q = pb.select(*rest, F.explode(fr).alias("_q"))
     if method == "linear":
         rank = (F.col("_n") - 1).cast("double") * F.col("_q.f")
-        q = q.select(*keys, "_b", "_bc", "_before", "_n", F.col("_q.name").alias("_name"), rank.alias("_rank"))
+        q = q.select(*rest, F.col("_q.name").alias("_name"), rank.alias("_rank"))
         q = q.select("*", F.explode(F.array_distinct(F.array(
             F.floor("_rank").cast("bigint"), F.ceil("_rank").cast("bigint")))).alias("_pos"))
     else:
         pos = F.least(F.col("_n") - 1, F.floor(F.col("_n").cast("double") * F.col("_q.f")))
-        q = q.select(*keys, "_b", "_bc", "_before", "_n", F.col("_q.name").alias("_name"),
+        q = q.select(*rest, F.col("_q.name").alias("_name"),
                      F.lit(None).cast("double").alias("_rank"), pos.cast("bigint").alias("_pos"))
-    located = q.where((F.col("_pos") >= F.col("_before"))
-                      & (F.col("_pos") < F.col("_before") + F.col("_bc"))).drop("_bc")
-    if passes == 2:
-        # second read: keep only values of located buckets (a semi-join with at most
-        # groups x fractions x 2 rows), then count them
-        wanted = located.select(*keys, "_b").distinct()
-        counts = (vals.join(wanted, keys + ["_b"], "left_semi")
-                  .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    # rank only the distinct values of the located buckets
-    sel = counts.join(located, keys + ["_b"])
+    located = materialize(q.where((F.col("_pos") >= F.col("_before"))
+                                  & (F.col("_pos") < F.col("_before") + F.col("_bc"))))
+    located = refine(vals, located, keys, leaf_rows)
+    # keep only the values of located leaves (a semi-join with at most groups x fractions x 2
+    # rows), count them, and rank the distinct ones
+    counts = (_in_buckets(vals, located.select(*keys, "_b", "_lo", "_hi"), keys, "left_semi")
+              .groupBy(*keys, "_b", "_v").agg(F.sum("_c").alias("_c")))
+    sel = _in_buckets(counts, located, keys, "inner")
     w = (Window.partitionBy(*keys, "_b", "_name", "_pos").orderBy("_v")
          .rowsBetween(Window.unboundedPreceding, 0))
     cum = F.sum("_c").over(w)

@@ -17,7 +17,7 @@ from ..operators import counters as C
 from ..operators import requests as R
 from ..operators import series as SR
 from ..sources.views import BUCKET_BOUNDS_MS
-from .status import empty_reason
+from .status import points_reason
 from .window import US, Window, fetch_step_seconds, rate_window_seconds
 
 GAUGE_LOOKBACK_S = 300
@@ -91,7 +91,7 @@ def query_metrics(requests: DataFrame, metric: str, win: Window, as_of_us: int,
 
     series: service, [p50, p95, p99,] min, max, avg, points, peak_at_us
     points: service, bucket, bucket_start_us, value (<= budget per service)
-    status: status ('ok'|'empty'), reason, value (0 for an empty error metric)
+    status: status ('ok'|'empty', by the points), reason, value (0 for an empty error metric)
     """
     pts = metric_points(requests, metric, win, service, percentile, gauges)
     series = SR.summarize(pts, ["service"])
@@ -99,6 +99,5 @@ def query_metrics(requests: DataFrame, metric: str, win: Window, as_of_us: int,
         series = series.join(headline_percentiles(requests, win, service), "service", "left")
     points = SR.downsample_max(pts, ["service"], budget=budget)
     src = gauges if metric == "db_pool" else requests
-    lead_s = GAUGE_LOOKBACK_S if metric == "db_pool" else rate_window_seconds(win.duration_s)
-    status = empty_reason(src, metric, service, win, as_of_us, retention_hours, lead_s * US)
+    status = points_reason(pts, src, metric, service, as_of_us, retention_hours)
     return {"series": series, "points": points, "status": status}

@@ -365,7 +365,9 @@ def verify_recovery(requests: DataFrame, incidents: DataFrame, baseline_start_us
                     front_door: str = "gateway") -> DataFrame:
     """After each incident: the next `probes` front-door requests must all succeed
     and their nearest-index p95 must be <= max(400 ms, 4 x baseline p95), and no
-    other incident may still be active at the end ("inert")."""
+    other incident may still be active at the end ("inert"). With fewer requests
+    after it nothing is shown yet: state 'too few probes' instead of 'recovered' or
+    'not recovered'."""
     door = R.application(requests).where(F.col("service") == front_door)
     base = exact_percentiles(door.where(F.col("ts_us").between(baseline_start_us, baseline_end_us)),
                              [], "duration_ms", {"baseline_p95_ms": 0.95}, "nearest")
@@ -387,12 +389,14 @@ def verify_recovery(requests: DataFrame, incidents: DataFrame, baseline_start_us
     out = join_single_rows(out, base)
     ceiling = F.greatest(F.lit(RECOVERY_FLOOR_MS), F.lit(RECOVERY_FACTOR) * F.col("baseline_p95_ms"))
     inert = ~F.coalesce(F.col("_busy"), F.lit(False))
-    recovered = (inert & (F.coalesce("probe_failures", F.lit(0)) == 0)
+    enough = F.coalesce("probes", F.lit(0)) >= probes
+    recovered = (inert & enough & (F.coalesce("probe_failures", F.lit(0)) == 0)
                  & F.coalesce(F.col("probe_p95_ms") <= ceiling, F.lit(False)))
+    state = F.when(~enough, "too few probes").when(recovered, "recovered").otherwise("not recovered")
     return out.select("incident_id", F.coalesce("probes", F.lit(0)).alias("probes"),
                       F.coalesce("probe_failures", F.lit(0)).alias("probe_failures"),
                       "probe_p95_ms", ceiling.alias("probe_ceiling_ms"), inert.alias("inert"),
-                      recovered.alias("recovered"), "recovery_s")
+                      recovered.alias("recovered"), state.alias("state"), "recovery_s")
 
 
 # ---------------------------------------------------------------------------
@@ -414,12 +418,13 @@ def annotations(incidents: DataFrame) -> DataFrame:
 def annotate(points: DataFrame, incidents: DataFrame, required_tags=("chaos",),
              ts: str = "step_us") -> DataFrame:
     """Each point with the ids of the incidents covering it whose tags include all
-    `required_tags` ('id1,id2', '' when none)."""
+    `required_tags` ('id1,id2', '' when none). The ids are found once per instant, so
+    equal points stay separate rows and columns of any type are carried."""
     ann = annotations(incidents)
     req = F.array(*[F.lit(t) for t in required_tags])
     ann = ann.where(F.size(F.array_except(req, F.col("tags"))) == 0).select(
         F.col("incident_id").alias("_inc"), (F.col("time_ms") * 1000).alias("_a_start"),
         (F.col("time_end_ms") * 1000).alias("_a_end"))
-    j = interval_join(points, ann, ts, "_a_start", "_a_end", DAY_US, how="left")
-    keys = [c for c in points.columns]
-    return j.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_inc")), ",").alias("incidents"))
+    j = interval_join(points.select(ts).distinct(), ann, ts, "_a_start", "_a_end", DAY_US)
+    ids = j.groupBy(ts).agg(F.array_join(F.array_sort(F.collect_list("_inc")), ",").alias("incidents"))
+    return points.join(ids, ts, "left").select(*points.columns, F.coalesce("incidents", F.lit("")).alias("incidents"))

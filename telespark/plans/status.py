@@ -28,29 +28,59 @@ def _selector(df: DataFrame, metric: str, service: str) -> DataFrame:
     return out
 
 
+def _reasons(agg: DataFrame, metric: str) -> DataFrame:
+    """status, reason, value from the counts in_window and in_retention."""
+    reason = (F.when(F.col("in_window") > 0, "ok").when(F.col("in_retention") == 0, "series_absent")
+              .otherwise("no_samples_in_window"))
+    value = F.when((F.col("reason") != "ok") & F.lit(metric in _ERROR_METRICS), F.lit(0))
+    return (agg.withColumn("reason", reason)
+            .withColumn("status", F.when(F.col("reason") == "ok", "ok").otherwise("empty"))
+            .withColumn("value", value))
+
+
 def empty_reason(df: DataFrame, metric: str, service: str, win, as_of_us: int,
-                 retention_hours: float, lead_us: int = 0) -> DataFrame:
+                 retention_hours: float) -> DataFrame:
     """One row: status, reason, value.
 
-    reason: 'ok' when the window, or the `lead_us` before it that its first points cover,
-    holds samples of the selected series,
+    reason: 'ok' when the window holds samples of the selected series,
     'no_samples_in_window' when it exists elsewhere in retention, 'series_absent'
     when it never existed in retention. Error metrics report value 0 in both empty
     cases (zero errors is a measured answer); others report null. A single
     aggregate with two conditional counts.
     """
     horizon = as_of_us - int(retention_hours * 3600 * US)
-    sel = _selector(df, metric, service)
-    agg = sel.agg(
+    agg = _selector(df, metric, service).agg(
         F.count_if(F.col("ts_us").between(horizon, as_of_us)).alias("in_retention"),
-        F.count_if((F.col("ts_us") > win.start_us - lead_us) & (F.col("ts_us") <= win.end_us)).alias("in_window"))
-    reason = (F.when(F.col("in_window") > 0, "ok").when(F.col("in_retention") == 0, "series_absent")
-              .otherwise("no_samples_in_window"))
-    value = F.when((F.col("reason") != "ok") & F.lit(metric in _ERROR_METRICS), F.lit(0))
-    return (agg.withColumn("reason", reason)
-            .withColumn("status", F.when(F.col("reason") == "ok", "ok").otherwise("empty"))
-            .withColumn("value", value)
-            .select("status", "reason", "value", "in_window", "in_retention"))
+        F.count_if((F.col("ts_us") > win.start_us) & (F.col("ts_us") <= win.end_us)).alias("in_window"))
+    return _reasons(agg, metric).select("status", "reason", "value", "in_window", "in_retention")
+
+
+def points_reason(points: DataFrame, df: DataFrame, metric: str, service: str, as_of_us: int,
+                  retention_hours: float) -> DataFrame:
+    """The status of a metric query: empty when its points hold no value, whatever the
+    samples (a sample after the last point, or a histogram without counts, gives none)."""
+    horizon = as_of_us - int(retention_hours * 3600 * US)
+    seen = _selector(df, metric, service).agg(
+        F.count_if(F.col("ts_us").between(horizon, as_of_us)).alias("in_retention"))
+    valued = points.agg(F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("in_window"))
+    return _reasons(join_single_rows(seen, valued), metric).select("status", "reason", "value", "in_window", "in_retention")
+
+
+def empty_reasons(df: DataFrame, metric: str, expected: DataFrame, start_us: int, end_us: int, step_us: int,
+                  as_of_us: int, retention_hours: float) -> DataFrame:
+    """service, step_us, status, reason, value, in_window, in_retention: `empty_reason` of every
+    expected service in every window (step - step_us, step] at once: one aggregate over the
+    retention, one over the windows."""
+    horizon = as_of_us - int(retention_hours * 3600 * US)
+    sel = _selector(df, metric, "all")
+    kept = (sel.where(F.col("ts_us").between(horizon, as_of_us)).groupBy("service")
+            .agg(F.count(F.lit(1)).alias("in_retention")))
+    inside = (SR.assign_steps(sel.select("service", "ts_us"), start_us, end_us, step_us, step_us)
+              .groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("in_window")))
+    grid = SR.step_grid(df.sparkSession, expected, start_us, end_us, step_us)
+    agg = (grid.join(inside, ["service", "step_us"], "left").join(kept, "service", "left")
+           .fillna(0, ["in_window", "in_retention"]))
+    return _reasons(agg, metric)
 
 
 def reporting_services(df: DataFrame, instants_start_us: int, instants_end_us: int, step_us: int,

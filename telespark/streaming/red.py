@@ -8,9 +8,8 @@ recompute is the truth for rows the watermark dropped).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.predicates import app_routes, is_5xx
 from ..sources.views import BUCKET_BOUNDS_MS
@@ -54,54 +53,77 @@ def sliding_panels_stream(stream: DataFrame, window: str = "5 minutes", slide: s
     return red_rollup_stream(stream, window, watermark, slide)
 
 
-SILENT_SCHEMA = T.StructType([
-    T.StructField("service", T.StringType()),
-    T.StructField("last_seen_us", T.LongType()),
-    T.StructField("silent_after_us", T.LongType()),
-])
-_STATE_SCHEMA = T.StructType([T.StructField("last_seen_us", T.LongType())])
+SILENCE_US = 300 * 1000000
+_SLOT_US = 60 * 1000000
 
 
-def silent_services_stream(stream: DataFrame, silence: str = "5 minutes",
-                           watermark: str = "1 minute", silence_us: int = 300 * 1000000) -> DataFrame:
+def _stretches(sessions: DataFrame, silence_us: int) -> DataFrame:
+    return sessions.select("service", "last_seen_us", (F.col("last_seen_us") + F.lit(silence_us)).alias("silent_after_us"))
+
+
+def silent_services_stream(stream: DataFrame, watermark: str = "1 minute", silence_us: int = SILENCE_US) -> DataFrame:
     """Emit (service, last_seen_us, silent_after_us) for every stretch in which a
-    service sent nothing for longer than `silence` of event time.
+    service sent nothing for longer than `silence_us` of event time.
+
+    A service's rows form sessions with that gap (sessions that touch are one, so a row
+    exactly `silence_us` later still belongs); a session is emitted once the watermark
+    reaches its end, whether a later row closed it or nothing came at all. State is one session per service, kept by Spark's own session store, so the output
+    does not depend on how the stream was cut into micro-batches.
+    """
+    ev = with_event_time(stream.where(F.col("service").isNotNull())).withWatermark("ts", watermark)
+    gap = f"{silence_us} microseconds"
+    return _stretches(ev.groupBy(F.session_window("ts", gap).alias("w"), "service")
+                      .agg(F.max("ts_us").alias("last_seen_us")), silence_us)
+
+
+def silent_stretches(requests: DataFrame, as_of_us: int, silence_us: int = SILENCE_US) -> DataFrame:
+    """Batch twin of `silent_services_stream` over the rows up to `as_of_us`: a stretch
+    still open then counts once it is longer than the silence.
+
+    Rows are first reduced to their first and last instant per service and slot (a slot
+    is no longer than the silence, so it holds no stretch); sessions are made of those,
+    so that a service with most of the rows is a few rows per hour.
+    """
+    slot = min(_SLOT_US, silence_us + 1)
+    slots = (requests.where(F.col("service").isNotNull() & (F.col("ts_us") <= as_of_us))
+             .groupBy("service", F.floor(F.col("ts_us") / slot).alias("slot"))
+             .agg(F.min("ts_us").alias("ts_us"), F.max("ts_us").alias("last")))
+    gap = F.concat((F.col("last") - F.col("ts_us") + F.lit(silence_us)).cast("string"), F.lit(" microseconds"))
+    sessions = (with_event_time(slots).groupBy(F.session_window("ts", gap).alias("w"), "service")
+                .agg(F.max("last").alias("last_seen_us")))
+    return _stretches(sessions, silence_us).where(F.col("silent_after_us") < as_of_us)
+
+
+LATE_SCHEMA = "query_id string, batch_id long, watermark string, input_rows long, dropped_rows long"
+
+
+def late_account(query) -> DataFrame:
+    """Rows per micro-batch that the watermark dropped, from the progress a query has
+    kept (spark.sql.streaming.numRecentProgressUpdates batches); one row per batch."""
+    rows = {}
+    for p in query.recentProgress:
+        dropped = sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
+        key = (str(p["id"]), int(p["batchId"]))
+        old = rows.get(key, (None, 0, 0))
+        rows[key] = (p.get("eventTime", {}).get("watermark", old[0]), max(old[1], int(p["numInputRows"])), max(old[2], dropped))
+    return SparkSession.active().createDataFrame([(*k, *v) for k, v in sorted(rows.items())], LATE_SCHEMA)
+
+
+def repair_rollup(rollup: DataFrame, requests: DataFrame, window: str = "15 seconds", slide: str | None = None) -> DataFrame:
+    """A streamed rollup with the windows that lost late rows replaced by the batch
+    recompute of `requests`, every row that arrived; `repaired` marks them.
 
-    Per-service state holds the last event time (one row per service, bounded by
-    the label set). A gap inside arriving data is reported when the data arrives;
-    a trailing silence is reported by the event-time timeout once the watermark
-    passes last_seen + silence. Either way the output does not depend on how the
-    stream was cut into micro-batches.
+    Only windows the stream has emitted up to its last closed one are compared (later
+    ones are still open). A window with late rows only was never emitted: it is added.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def rows(service, lasts):
-        return pd.DataFrame({"service": [service] * len(lasts),
-                             "last_seen_us": pd.Series(lasts, dtype="int64"),
-                             "silent_after_us": pd.Series([x + silence_us for x in lasts], dtype="int64")})
-
-    def step(key, pdfs, state):
-        (service,) = key
-        if state.hasTimedOut:
-            last = int(state.get[0])
-            state.remove()
-            yield rows(service, [last])
-            return
-        times = sorted(int(t) for pdf in pdfs for t in pdf["ts_us"])
-        prev = int(state.get[0]) if state.exists else None
-        gaps = []
-        for t in times:
-            if prev is not None and t - prev > silence_us:
-                gaps.append(prev)
-            prev = t if prev is None else max(prev, t)
-        state.update((prev,))
-        state.setTimeoutTimestamp(prev // 1000 + silence_us // 1000)
-        yield rows(service, gaps)
-
-    ev = with_event_time(stream).withWatermark("ts", watermark).select("service", "ts_us", "ts")
-    return ev.groupBy("service").applyInPandasWithState(
-        step, SILENT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    key = ["window_start_us", "window_end_us", "service"]
+    done = rollup.agg(F.max("window_end_us").alias("_done"))
+    truth = red_rollup(with_event_time(requests), window, slide)
+    truth = truth.join(done, truth["window_end_us"] <= F.col("_done")).drop("_done")
+    had = rollup.select(*key, F.col("requests").alias("_n"))
+    out = truth.join(had, key, "left")
+    # rows only get lost: equal counts are equal windows
+    return out.withColumn("repaired", ~F.col("_n").eqNullSafe(F.col("requests"))).drop("_n")
 
 
 def start_red_rollup(spark, source_path: str, sink_path: str, checkpoint_path: str,

@@ -3,7 +3,8 @@ import os
 from pyspark.sql import functions as F
 
 from telespark.sources import views as V
-from telespark.streaming.red import red_rollup, red_rollup_stream, silent_services_stream, with_event_time
+from telespark.streaming.red import (late_account, red_rollup, red_rollup_stream, repair_rollup, silent_services_stream,
+                                     silent_stretches, with_event_time)
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +128,38 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert dropped == 1
     early = spark.table("late").where(F.col("window_start_us") == 0).first()
     assert early.requests == 1 and early.errors_5xx == 1            # late1 kept, late2 dropped
+    account = {r.batch_id: r.dropped_rows for r in late_account(q).collect()}
+    assert sum(account.values()) == 1
+    # the batch run over every row that arrived puts it right
+    fixed = repair_rollup(spark.table("late"), spark.read.schema(schema).parquet(os.path.join(src, "*")), "15 minutes")
+    by = {(r.window_start_us, r.repaired): (r.requests, r.errors_5xx) for r in fixed.collect()}
+    assert by[0, True] == (2, 2)
+    emitted = {r.window_start_us: (r.requests, r.errors_5xx) for r in spark.table("late").collect()}
+    assert {k: v for (k, repaired), v in by.items() if not repaired} == {k: v for k, v in emitted.items() if k}
+
+
+def test_silence_ties_and_batch_twin(spark, tmp_path):
+    """Exactly five minutes is no silence, a microsecond more is; stream and batch agree."""
+    s = 300 * 1000000
+    times = {"a": [0, s, 2 * s + 1, 5 * s], "b": [10, 11, 12, 12 + s, 20 * s], "c": [7, 50 * s], "d": [30 * s]}
+    rows = [(t, svc) for svc, ts in times.items() for t in ts] + [(5, None)]
+    want = {(svc, t) for svc, ts in times.items() for t, u in zip(ts, ts[1:] + [40 * s]) if u - t > s and t < 40 * s}
+    df = spark.createDataFrame(rows, "ts_us long, service string")
+    got = silent_stretches(df, 40 * s)
+    assert {(r.service, r.last_seen_us) for r in got.collect()} == want == {
+        (r.service, r.last_seen_us) for r in silent_stretches(df, 40 * s, silence_us=s).collect()}
+    assert all(r.silent_after_us == r.last_seen_us + s for r in got.collect())
+    # in time order, in one file per row; the last row moves the watermark on
+    src = str(tmp_path / "ev")
+    for i, r in enumerate(sorted(rows, key=lambda r: r[0])):
+        spark.createDataFrame([r], df.schema).write.parquet(os.path.join(src, f"f{i:02d}"))
+        os.utime(os.path.join(src, f"f{i:02d}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "f*"))
+    out = silent_services_stream(stream, watermark="0 seconds")
+    assert "Python" not in out._jdf.queryExecution().toString()
+    q = (out.writeStream.format("memory").queryName("ties").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    streamed = {(r.service, r.last_seen_us) for r in spark.table("ties").collect()}
+    assert streamed == {(r.service, r.last_seen_us) for r in silent_stretches(df, 50 * s).collect()}
+    assert silent_stretches(df.limit(0), s).count() == 0

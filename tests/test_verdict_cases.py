@@ -85,3 +85,41 @@ def test_metric_status_follows_the_points(spark):
                                  "ts_us bigint, pool_name string, state string, value double")
     other = query_metrics(df, "db_pool", win, 2000 * us, gauges=pool)
     assert other["series"].count() == 0 and other["status"].first().status == "empty"
+
+
+REQ = "request_id long, ts_us long, service string, route string, status int, duration_ms double"
+
+
+def test_status_at_a_ragged_end(spark):
+    """A window of 64 s: its last point is before the only request, so nothing is shown."""
+    from telespark.plans.metrics import query_metrics
+    from telespark.plans.window import Window
+    end = 10_000 * 1_000_000
+    df = spark.createDataFrame([(1, end - 2_000_000, "orders", "/orders", 200, 5.0)], REQ)
+    out = query_metrics(df, "request_rate", Window(end - 64_000_000, end), end)
+    assert out["points"].count() == 0 and out["series"].count() == 0
+    s = out["status"].first()
+    assert (s.status, s.reason) == ("empty", "no_samples_in_window")
+
+
+def test_recovery_needs_all_probes(spark):
+    from telespark.plans import scoring as SC
+    rows = [(i, i * 1_000_000, "gateway", "/api", 200, 10.0) for i in range(100)]
+    df = spark.createDataFrame(rows, REQ)
+    inc = spark.createDataFrame([("a", "orders", "latency", 40_000_000, 50_000_000), ("b", "orders", "latency", 60_000_000, 97_000_000),
+                                 ("c", "orders", "latency", 60_000_000, 99_000_000)],
+                                "incident_id string, service string, fault_type string, start_us long, end_us long")
+    got = {r.incident_id: (r.probes, r.recovered, r.state) for r in SC.verify_recovery(df, inc.where("incident_id <> 'c'"), 0, 30_000_000).collect()}
+    assert got == {"a": (10, True, "recovered"), "b": (2, False, "too few probes")}
+    got = {r.incident_id: r.state for r in SC.verify_recovery(df, inc.where("incident_id = 'c'"), 0, 30_000_000).collect()}
+    assert got == {"c": "too few probes"}
+
+
+def test_annotate_keeps_equal_points_and_maps(spark):
+    from pyspark.sql import functions as F
+    from telespark.plans import scoring as SC
+    inc = spark.createDataFrame([("r/i1", "orders", "latency", 0, 10_000)],
+                                "incident_id string, service string, fault_type string, start_us long, end_us long")
+    pts = spark.createDataFrame([(5_000, 1.0), (5_000, 1.0), (50_000, 1.0), (None, 2.0)], "step_us long, value double")
+    got = SC.annotate(pts.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), inc).collect()
+    assert sorted((r.step_us or -1, r.incidents) for r in got) == [(-1, ""), (5_000, "r/i1"), (5_000, "r/i1"), (50_000, "")]
