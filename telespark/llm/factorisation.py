@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import tidy
+
 WORD_SLOTS = 1 << 14
 STEPS = 8                    # steps of a structure statistic
 FACTORS = 8
 MAX_TRAIN_ROWS = 6_000
 THRESHOLD = 0.3
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 100_000
 
 # upper ends of the steps, one row per statistic (parameters of the features)
 STATISTICS = {
@@ -177,7 +179,7 @@ def train(labelled: DataFrame, text_col: str = "text", chars_col: str = "n_chars
             .select(F.col(text_col).alias("t"), F.col(chars_col).cast("long").alias("n"),
                     F.col(label_col).cast("int").alias("y"), F.xxhash64(order_col).alias("o"))
             .orderBy("o", "t", "y").limit(max_rows))
-    rows = some.select("t", "n", "y").mapInArrow(_vectors, "i array<int>, x array<float>, y int").toArrow()
+    rows = some.select("t", "n", "y").mapInArrow(tidy(_vectors), "i array<int>, x array<float>, y int").toArrow()
     return fit([(np.asarray(i, np.int64), np.asarray(x, np.float64), y) for i, x, y in
                 zip(rows["i"].to_pylist(), rows["x"].to_pylist(), rows["y"].to_pylist())])
 
@@ -200,7 +202,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column] | None = None, text_
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(text_col).alias("t"),
                        F.col(chars_col).cast("long").alias("n"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_score(model), schema)
+    return rows.mapInArrow(tidy(_score(model)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

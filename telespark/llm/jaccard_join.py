@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import Substrings, mix
-from .store import discard, small, stash
+from .store import discard, small, stash, tidy
 
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -363,8 +363,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty sets): one row per document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", text_key(F.col("id"), F.col("text")).alias("text_key"), "text")
-    wide = stash(rows.mapInArrow(_profile(n, num, den), "id long, text_key long, size long, set long, "
-                                                        "tested int, low array<long>")
+    wide = stash(rows.mapInArrow(tidy(_profile(n, num, den)), "id long, text_key long, size long, set long, "
+                                                              "tested int, low array<long>")
                  .withColumn("row", F.monotonically_increasing_id()), "set-profiles")
     # one text per set; where rows repeat (id, text), the set comes as often as they do
     reps = stash(linkable(wide, num, den).groupBy("set")
@@ -375,7 +375,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.join(small(reps), (F.col("text_key") == F.col("r_key"))
                       & F.col("id").eqNullSafe(F.col("r_id")))
     sets = stash(texts.select("set", "text").mapInArrow(
-        _sets(n, num, den), "set long, size long, hashes binary, keys array<long>"), "sets")
+        tidy(_sets(n, num, den)), "set long, size long, hashes binary, keys array<long>"), "sets")
     keyed = sets.select("set", F.explode("keys").alias("key"))
     shared = (keyed.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"))
               .where("first < last").select("key", "first"))

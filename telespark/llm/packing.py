@@ -20,7 +20,10 @@ rows are separate documents; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +31,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import held, stash, tidy
 
 # pre-tokenisation of the byte-level BPE vocabulary (fixed value of that file format)
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# character classes of the two regex engines agree up to here; other texts take the plain way
-_SIMPLE = "[^\\x00-\\u024f]"
+# the same for texts of characters up to here, for the standard engine, which is faster
+# but has no classes by category; other texts take the plain way
+_LAST_SIMPLE = 0x24F
 CACHE_WORDS = 300_000
 _END = (0).to_bytes(4, "little")
 
 
+def _class(test) -> str:
+    """Ranges of a character class up to _LAST_SIMPLE."""
+    codes = [c for c in range(_LAST_SIMPLE + 1) if test(chr(c))]
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def simple_pattern() -> re.Pattern:
+    letter = _class(lambda c: unicodedata.category(c)[0] == "L")
+    number = _class(lambda c: unicodedata.category(c)[0] == "N")
+    space = _class(lambda c: c in "\t\n\v\f\r \x85\xa0")
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+                      rf"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -45,34 +65,42 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Token ids as little-endian bytes. Pieces of the pre-tokeniser are encoded on their
-    own and remembered (at most CACHE_WORDS); the ids of a text are their concatenation."""
+    own and remembered; the ids of a text are their concatenation. The memory has two
+    generations of at most CACHE_WORDS / 2 pieces: a full one becomes the old one, and
+    what is met again comes back from there, so that frequent pieces stay."""
 
     def __init__(self, path: str):
-        import regex
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks fill the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(PIECE_PATTERN).findall
-        self.odd = regex.compile(_SIMPLE).search
+        self.pieces = simple_pattern().findall
+        self.odd = re.compile(f"[^\\x00-\\u{_LAST_SIMPLE:04x}]").search
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in done]
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in done]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > CACHE_WORDS // 2:
+            self.old, self.known = self.known, {}
+        new = set(words).difference(self.known)
+        back = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in back)
+        rest = list(new - back)
+        self.known.update(zip(rest, self._plain(rest)))
 
     def encode(self, text: str) -> bytes:
         if self.odd(text) or any(s in text for s in self.special):
             return self._plain([text])[0]
         words = self.pieces(text)
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._plain(new)))
-        return b"".join(map(known.__getitem__, words))
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,7 +111,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenise(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = held(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32", "ids")}
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -196,12 +224,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     sequence_id, offset."""
     path = tokenizer or default_tokenizer()
     pieces = stash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                   .mapInArrow(_tokenise(path, capacity, with_ids), _PIECES)
+                   .mapInArrow(tidy(_tokenise(path, capacity, with_ids), f"encoder {path}"), _PIECES)
                    .withColumn("part", F.spark_partition_id())
                    .withColumn("row", F.monotonically_increasing_id()), "pieces")
     # at most `capacity` rows
     stock = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(plan(stock, capacity))
     return (ranked(pieces).select("id", "piece", "start", "length", "ids_crc32", "ids", "rank")
-            .mapInArrow(_assign(places), _PIECES + ", sequence_id long, offset long")
+            .mapInArrow(tidy(_assign(places)), _PIECES + ", sequence_id long, offset long")
             .withColumnRenamed("id", id_col))

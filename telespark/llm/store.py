@@ -7,9 +7,12 @@ split size), a stored table never changes.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +73,42 @@ def small(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored narrow table, marked for broadcast if it has at most `rows` rows; a larger
     one is joined by a shuffle."""
     return F.broadcast(stashed) if stashed.count() <= rows else stashed
+
+
+# --- memory of Python workers -----------------------------------------------------------
+# Spark keeps worker processes from task to task and from job to job.
+
+_held: dict = {}
+
+
+def held(key: str, make: Callable):
+    """An object that a worker process keeps for the next task of the same operator."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def begin_task(key: str | None) -> None:
+    """What another operator's tasks left in this process goes."""
+    for other in [k for k in _held if k != key]:
+        del _held[other]
+
+
+def end_task() -> None:
+    """Free pages go back to the system: an idle worker keeps none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable, key: str | None = None) -> Callable:
+    """A function for mapInArrow that leaves its worker process small when a task ends;
+    only what it holds under `key` stays."""
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(key)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+    return tasks

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Substrings
+from .store import begin_task, end_task, stash, tidy
 
 WINDOW = 100
 GRAM = 32
@@ -368,25 +369,39 @@ def covered(prefixes: np.ndarray, position: np.ndarray, before: bytes) -> np.nda
     return np.concatenate(out) if out else np.empty(0, _INTERVAL)
 
 
-def _merge_slice(key: tuple, table: pa.Table) -> pa.Table:
+def _merge_task(key: tuple, table: pa.Table) -> pa.Table:
+    begin_task(None)
+    try:
+        return _merge_slice(table)
+    finally:
+        end_task()
+
+
+def _merge_slice(table: pa.Table) -> pa.Table:
     kinds = table.column("kind").to_pylist()
     data = table.column("data").to_pylist()
     parts = [np.frombuffer(_unpack(d)[0], _INTERVAL) for kind, d in zip(kinds, data) if kind == _COVER]
-    runs = [decode_run(d) for kind, d in zip(kinds, data) if kind == _RUN]
+    rows = [np.frombuffer(_unpack(d)[0], _WINDOW_ROW) for kind, d in zip(kinds, data) if kind == _WINDOWS]
+    runs = []
+    for at, kind in enumerate(kinds):
+        if kind == _RUN:
+            runs.append(decode_run(data[at]))
+        data[at] = None
     if runs:
         order, prefixes = merge_runs([(r[0], r[1]) for r in runs])
         position = np.empty(len(order), _POSITION)
-        run = np.array([o[0] for o in order], np.int64)
-        at = np.array([o[1] for o in order], np.int64)
-        before: list = [None] * len(order)
-        for i, r in enumerate(runs):
+        run = np.fromiter((o[0] for o in order), np.int64, len(order))
+        at = np.fromiter((o[1] for o in order), np.int64, len(order))
+        del order
+        runs = [r[2:] for r in runs]            # the suffixes are done with
+        before: list = [None] * len(at)
+        for i, (places, sides) in enumerate(runs):
             mine = np.flatnonzero(run == i)
-            position[mine] = r[2][at[mine]]
-            ends = np.cumsum(r[2]["before"].astype(np.int64))
-            for slot, end, size in zip(mine.tolist(), ends[at[mine]].tolist(), r[2]["before"][at[mine]].tolist()):
-                before[slot] = r[3][end - size:end]
+            position[mine] = places[at[mine]]
+            ends = np.cumsum(places["before"].astype(np.int64))
+            for slot, end, size in zip(mine.tolist(), ends[at[mine]].tolist(), places["before"][at[mine]].tolist()):
+                before[slot] = sides[end - size:end]
         parts.append(covered(np.array(prefixes), position, b"".join(before)))
-    rows = [np.frombuffer(_unpack(d)[0], _WINDOW_ROW) for kind, d in zip(kinds, data) if kind == _WINDOWS]
     if rows:
         w = np.concatenate(rows)
         # the last byte of a print may be zero, which "S16" pads alike: 16 bytes are compared
@@ -403,26 +418,30 @@ def _merge_slice(key: tuple, table: pa.Table) -> pa.Table:
 
 # --- documents ----------------------------------------------------------------------
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends")):
-            data = _bytes(text.as_py())
-            spans = merged(sorted(zip(starts.as_py() or (), ends.as_py() or ())))
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(data[at:a])
-                at = b
-            left = b"".join([*kept, data[at:]])
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(len(data) - len(left))
-            out["n_spans"].append(len(spans))
-            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            out["kept"].append(left)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")),
-             pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())],
-            names=["doc_id", *out])
+def _cut(with_kept: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends")):
+                data = _bytes(text.as_py())
+                spans = merged(sorted(zip(starts.as_py() or (), ends.as_py() or ())))
+                view, at, kept = memoryview(data), 0, []
+                for a, b in [*spans, (len(data), len(data))]:
+                    kept.append(view[at:a])
+                    at = b
+                digest = hashlib.sha256()
+                for part in kept:
+                    digest.update(part)
+                out["n_bytes"].append(len(data))
+                out["n_removed"].append(sum(b - a for a, b in spans))
+                out["n_spans"].append(len(spans))
+                out["kept_sha256"].append(digest.hexdigest())
+                out["kept"].append(b"".join(kept) if with_kept else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")),
+                 pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())],
+                names=["doc_id", *out])
+    return run
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -438,22 +457,23 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def covers(texts: DataFrame, slices: int, hot_rows: int = HOT_ROWS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """k, id, start, end (bytes): intervals to remove, of texts (k, id, doc_id, text)."""
-    counts = (texts.select("text").mapInArrow(_count_grams, "gram long, n long")
+    counts = (texts.select("text").mapInArrow(tidy(_count_grams), "gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
               .select("gram", (F.col("n") > hot_rows).alias("hot")))
-    listed = texts.select("k", "id", "text").mapInArrow(_list_grams, "k long, id long, gram long")
+    listed = texts.select("k", "id", "text").mapInArrow(tidy(_list_grams), "k long, id long, gram long")
     repeated = (listed.join(counts, "gram").groupBy("k", "id")
                 .agg(F.collect_set("gram").alias("grams"),
                      F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
     # all columns of `texts`, unused ones too: the join that cuts reuses this exchange
     runs = (texts.join(repeated, ["k", "id"])
-            .mapInArrow(_make_runs(slices, run_bytes), "slice int, kind int, data binary"))
-    return runs.groupBy("slice").applyInArrow(_merge_slice, "k long, id long, start int, end int")
+            .mapInArrow(tidy(_make_runs(slices, run_bytes)), "slice int, kind int, data binary"))
+    return runs.groupBy("slice").applyInArrow(_merge_task, "k long, id long, start int, end int")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             hot_rows: int = HOT_ROWS, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
+             hot_rows: int = HOT_ROWS, run_bytes: int = RUN_BYTES, with_kept: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, if asked for).
+    Stored: the tasks take texts in small batches, whatever the session's setting."""
     id_ = F.col(id_col).cast("long")
     texts = docs.select(F.xxhash64(id_, F.col(text_col)).alias("k"),
                         F.coalesce(id_, F.lit(_LAST_ID)).alias("id"), id_.alias("doc_id"),
@@ -461,7 +481,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     found = covers(texts, max(1, math.ceil(size / SLICE_BYTES)), hot_rows, run_bytes)
     lists = found.groupBy("k", "id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return (texts.join(lists, ["k", "id"], "left").select("doc_id", "text", "starts", "ends")
-            .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, "
-                              "kept_sha256 string, kept binary")
-            .withColumnRenamed("doc_id", id_col))
+    out = (texts.join(lists, ["k", "id"], "left").select("doc_id", "text", "starts", "ends")
+           .mapInArrow(tidy(_cut(with_kept)), "doc_id long, n_bytes long, n_removed long, n_spans long, "
+                                              "kept_sha256 string, kept binary"))
+    return stash(out if with_kept else out.drop("kept"), "removals").withColumnRenamed("doc_id", id_col)

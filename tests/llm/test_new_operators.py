@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from telespark.llm import catalog, codebooks, infill, personal
+from telespark.llm import catalog, codebooks, infill, packing, personal, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -264,3 +264,37 @@ def test_op13_query(spark):
     assert sorted((r.vec_id, r.code, r.error, r.label_error) for r in got) == sorted(
         (i, "".join(f"{c:02x}" for c in code), error, sums[label]) for i, code, error, label in want)
     assert {r.codebooks_sha256 for r in got} == {hashlib.sha256(text.encode()).hexdigest()}
+
+
+# --- memory of workers, pieces of the tokenizer -------------------------------------
+
+def test_simple_pattern_equals_the_vocabulary_pattern():
+    import regex
+    plain, simple = regex.compile(packing.PIECE_PATTERN).findall, packing.simple_pattern().findall
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x250)] + list(" '  \n\t") * 20 + list("stmdrevl'") * 10
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))
+        assert simple(text) == plain(text), repr(text)
+
+
+def test_encoder_generations(monkeypatch, prose):
+    """A memory of a few pieces that turns over all the time gives the tokenizer's ids."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    rng = random.Random(9)
+    for _ in range(60):
+        text = rng.choice(["", "\n", "  "]).join(w + rng.choice([" ", ", ", "'s ", "1 "]) for w in prose(rng, 40)) + rng.choice(["", "漢字"])
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+        assert len(encoder.known) <= 10 + 200
+
+
+def test_worker_keeps_one_operator(monkeypatch):
+    monkeypatch.setattr(store, "_held", {})
+    made = []
+    one = store.tidy(lambda batches: iter([store.held("a", lambda: made.append("a") or 1)]), "a")
+    other = store.tidy(lambda batches: iter([2]))
+    assert [*one([]), *one([])] == [1, 1] and made == ["a"]
+    assert [*other([])] == [2] and store._held == {}
+    assert [*one([])] == [1] and made == ["a", "a"]
