@@ -113,12 +113,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("op9_line_dedup", r"""
-WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-pages AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-l AS (SELECT DISTINCT source, text, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
-      FROM (SELECT source, text, unnest(lines) AS x FROM d)),
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines, row_number() OVER () AS page FROM documents),
+pages AS (SELECT source, count(text) AS n FROM d GROUP BY source),
+l AS (SELECT DISTINCT source, page, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+      FROM (SELECT source, page, unnest(lines) AS x FROM d)),
 bad AS (SELECT l.source, line FROM l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
-        WHERE line <> '' GROUP BY l.source, line, p.n HAVING count(*) >= 5 AND count(*) > p.n * 0.01),
+        WHERE line <> '' GROUP BY l.source, line, p.n HAVING count(*) >= 2 AND count(*) > p.n * 0.01),
 drops AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 c AS (SELECT doc_id, lines, text, coalesce(drops.bad, []) AS bad FROM d LEFT JOIN drops ON d.source IS NOT DISTINCT FROM drops.source),
 k AS (SELECT doc_id, text, lines,

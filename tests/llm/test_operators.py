@@ -372,12 +372,23 @@ def test_line_dedup(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("host", F.lit("x"))
     out = {r.row.doc_id: r.line_dedup for r in line_dedup.drop_lines(df.repartition(3), max_ratio=0.5).collect()}
     assert out[3].text == "body 3\n" and (out[3].n_lines, out[3].n_dropped) == (5, 3)
-    assert out[21].text == "menu\nonly 1"          # four pages are too few
+    assert out[21].text == "only 1"                # on all four pages of the host
     assert out[30].text == "menu" and out[31].text is None and out[31].n_lines == 0 and out[32].text == ""
-    assert out[40].text == "same\nsame"             # eight copies are one page
+    assert out[40].text == ""                      # every copy is a page
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_rows(spark):
+    """A menu on 600 copies of 1,000 pages goes, a line on five pages stays; a host of three pages
+    loses its menu, one of a single page nothing."""
+    rows = [(i, "big", "menu\ncopy" if i < 600 else f"body {i}" + ("\nfive" if i < 605 else "")) for i in range(1000)]
+    rows += [(2000 + i, "small", f"menu\nbody {i}") for i in range(3)] + [(3000, "one", "menu\nmenu"), (3001, "one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    out = {r.row.doc_id: r.line_dedup for r in line_dedup.drop_lines(df).collect()}
+    assert out[0].text == "" and out[602].text == "body 602\nfive" and out[700].text == "body 700"
+    assert out[2001].text == "body 1" and out[3000].text == "menu\nmenu"
+
+
 # --- 10 packing ---------------------------------------------------------------------
 
 def test_plan_is_minimal_on_small_cases():
