@@ -58,7 +58,7 @@ def q_incident_observed(spark, sf_dir):
                     r6("failed_pct").alias("failed_pct"))
 
 
-@register("signal_verdicts", with_views("requests_faulted", "incidents", "checks", "pool_gauge") + f""",
+_SIGNALS = f"""
 st AS (SELECT service, duration_ms, status, {S0} + CAST(ceil((ts_us - {S0}) / {DAY}) AS BIGINT) * {DAY} AS step_us
        FROM requests_faulted WHERE {APP} AND ts_us > {S0 - DAY} AND ts_us <= {E0}),
 pts AS (
@@ -90,7 +90,10 @@ SELECT regexp_extract(incident_id, '[^/]*$') AS incident, inc_service AS service
        WHEN expect = 'rise' THEN CASE WHEN during - before >= min_delta THEN 'YES' ELSE 'NO' END
        WHEN expect = 'fall' THEN CASE WHEN before - during >= min_delta THEN 'YES' ELSE 'NO' END
        ELSE CASE WHEN abs(during - before) <= tolerance THEN 'FLAT' ELSE 'MOVED' END END AS verdict
-FROM o""")
+FROM o"""
+
+
+@register("signal_verdicts", with_views("requests_faulted", "incidents", "checks", "pool_gauge") + "," + _SIGNALS)
 def q_signal_verdicts(spark, sf_dir):
     """Daily points (p95, error ratio, request rate) of the faulted requests, baseline
     median vs the extreme during each incident, one verdict per check."""
@@ -101,6 +104,30 @@ def q_signal_verdicts(spark, sf_dir):
                     r6("during").alias("during"), "samples", "unit", "verdict")
 
 
+# two runs: i1 and i2, then i3 and i4 from the end of i2 on
+_RUN = "CASE WHEN i.incident_id IN ('run-fx/i1', 'run-fx/i2') THEN 'a' ELSE 'b' END AS run_id"
+
+
+@register("signal_verdicts_by_run", with_views("requests_faulted", "incidents", "checks", "pool_gauge") + f""",
+runs AS (SELECT 'a' AS run_id, {S0} AS started_us UNION ALL SELECT 'b', {S0 + 11 * DAY}),
+quiet AS (SELECT r.run_id, r.started_us + 15000000 AS q_start, min(i.start_us) - 15000000 AS q_end
+          FROM runs r JOIN (SELECT start_us, {_RUN} FROM incidents i) i ON i.run_id = r.run_id GROUP BY r.run_id, r.started_us),"""
+          + _SIGNALS.replace(f"base AS (SELECT metric, service, median(value) AS before FROM pts WHERE step_us BETWEEN {BS} AND {BE} GROUP BY 1, 2)",
+                             "base AS (SELECT q.run_id, metric, service, median(value) AS before FROM pts JOIN quiet q "
+                             "ON step_us BETWEEN q_start AND q_end GROUP BY 1, 2, 3)")
+          .replace("SELECT c.*, i.service AS inc_service", f"SELECT c.*, {_RUN}, i.service AS inc_service")
+          .replace("b.metric = cw.metric AND", "b.run_id = cw.run_id AND b.metric = cw.metric AND"))
+def q_signal_verdicts_by_run(spark, sf_dir):
+    """The checks against the quiet window of each incident's own run."""
+    inc = V.incidents(spark).withColumn(
+        "run_id", F.when(F.col("incident_id").isin("run-fx/i1", "run-fx/i2"), "a").otherwise("b"))
+    runs = spark.createDataFrame([("a", S0), ("b", S0 + 11 * DAY)], "run_id string, started_us long")
+    pts = SC.signal_points(V.requests_faulted(spark, sf_dir), S0, E0, DAY, DAY, gauges=V.pool_gauge(spark, sf_dir))
+    v = SC.verify_signals(pts, inc, V.checks(spark), baselines=SC.baseline_windows(runs, inc))
+    return v.select("incident", "service", "fault", "metric", "expect", r6("before").alias("before"),
+                    r6("during").alias("during"), "samples", "unit", "verdict")
+
+
 _H = AS_OF - RETENTION_H * 3600 * 1000000
 
 

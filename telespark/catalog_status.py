@@ -197,3 +197,20 @@ def q_query_metrics_db_pool(spark, sf_dir):
     out = M.query_metrics(V.requests_faulted(spark, sf_dir), "db_pool", Window(_I3[3], _I3[4]), _AS_OF,
                           service="inventory", gauges=V.pool_gauge(spark, sf_dir), retention_hours=24 * 30)
     return _series_out(out["series"])
+
+
+_RAGGED = 64 * 1000000
+
+
+@register("query_metrics_status", with_views("requests") + f""",
+ends AS (SELECT max(ts_us) + 2000000 AS e FROM requests WHERE {APP} AND service = 'orders'),
+rate AS (SELECT count(*) AS n FROM requests, ends WHERE {APP} AND service = 'orders'
+         AND ts_us > e - {_RAGGED} - 30000000 AND ts_us <= e - {_RAGGED} + 60000000)
+SELECT CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, CASE WHEN n > 0 THEN 'ok' ELSE 'no_samples_in_window' END AS reason
+FROM rate""")
+def q_query_metrics_status(spark, sf_dir):
+    """The status of a window of 64 s whose last request lies after its last point."""
+    req = V.requests(spark, sf_dir)
+    end = (R.application(req).where(F.col("service") == "orders").agg(F.max("ts_us")).first()[0] or 0) + 2000000
+    out = M.query_metrics(req, "request_rate", Window(end - _RAGGED, end), end, service="orders", retention_hours=24 * 30)
+    return out["status"].select("status", "reason")

@@ -209,32 +209,40 @@ def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int,
 
 
 def verify_signals(points: DataFrame, incidents: DataFrame, checks: DataFrame,
-                   baseline_start_us: int, baseline_end_us: int) -> DataFrame:
+                   baseline_start_us: int | None = None, baseline_end_us: int | None = None,
+                   baselines: DataFrame | None = None) -> DataFrame:
     """Per incident x check: baseline median vs the extreme during the incident.
 
     rise: YES when max - before >= min_delta, else NO; fall: before - min; flat:
     the worst excursion |v - before| <= tolerance -> FLAT, else MOVED; no baseline
     or no during sample -> NO DATA. `during` skips the settle time at the start.
-    The baseline is one aggregate per (metric, service) over the run's quiet window.
+    The baseline is one aggregate per (metric, service) over the quiet window: one window
+    for all, or with `baselines` (see `baseline_windows`) that of each incident's run.
     """
     from ..session import materialize
     points = materialize(points)      # a small aggregate read by the baseline and the during side
-    base = (points.where(F.col("step_us").between(baseline_start_us, baseline_end_us))
-            .groupBy("metric", "service").agg(bounded_median("value").alias("before")))
+    run = [] if baselines is None else ["run_id"]
+    key = [*run, "metric", "service"]
+    if baselines is None:
+        quiet = points.where(F.col("step_us").between(baseline_start_us, baseline_end_us))
+    else:
+        quiet = interval_join(points, baselines.select("run_id", "baseline_start_us", "baseline_end_us"), "step_us",
+                              "baseline_start_us", "baseline_end_us")
+    base = quiet.groupBy(*key).agg(bounded_median("value").alias("before"))
     inc = incidents.select("incident_id", F.col("service").alias("inc_service"), "fault_type",
-                           "start_us", "end_us")
+                           "start_us", "end_us", *run)
     cw = (checks.join(inc, "incident_id")
           .withColumn("from_us", F.col("start_us") + settle_us()).withColumnRenamed("end_us", "to_us")
           .drop("start_us"))
-    win = cw.select("incident_id", "name", "metric", "service", "from_us", "to_us")
+    win = cw.select("incident_id", "name", "metric", "service", "from_us", "to_us", *run)
     during = interval_join(points.where(F.col("value").isNotNull()), win, "step_us", "from_us", "to_us",
                            DAY_US, on=["metric", "service"])
-    during = during.join(base, ["metric", "service"], "left")
+    during = during.join(base, key, "left")
     dev = F.when(F.col("before").isNotNull(), F.abs(F.col("value") - F.col("before"))).otherwise(F.col("value"))
     agg = during.groupBy("incident_id", "name").agg(
         F.count(F.lit(1)).alias("samples"), F.max("value").alias("_max"), F.min("value").alias("_min"),
         F.max_by("value", F.struct(dev, -F.col("step_us"))).alias("_worst"))
-    out = (cw.join(base, ["metric", "service"], "left").join(agg, ["incident_id", "name"], "left")
+    out = (cw.join(base, key, "left").join(agg, ["incident_id", "name"], "left")
            .withColumn("samples", F.coalesce("samples", F.lit(0))))
     during_v = (F.when(F.col("expect") == "rise", F.col("_max"))
                 .when(F.col("expect") == "fall", F.col("_min")).otherwise(F.col("_worst")))
