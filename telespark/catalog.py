@@ -42,7 +42,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing the modules registers their queries
-    from . import catalog_traces, catalog_requests, catalog_series, catalog_incidents, catalog_status  # noqa: F401
+    from . import (catalog_incidents, catalog_requests, catalog_series, catalog_sources, catalog_status,  # noqa: F401
+                   catalog_traces)
 
 
 def r6(col):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,55 @@ def existing_incidents(spark: SparkSession, path: str, run_id: str) -> list:
                   if st.isDirectory() and st.getPath().getName().startswith("incident_id="))
 
 
+def _leaves(fs, folder, depth: int):
+    """Partition folders `depth` levels below."""
+    for st in fs.listStatus(folder):
+        if st.isDirectory() and "=" in st.getPath().getName():
+            yield from [st.getPath()] if depth == 1 else _leaves(fs, st.getPath(), depth - 1)
+
+
+def _rename(fs, source, target) -> None:
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise IOError(f"cannot move {source} to {target}")
+
+
+def publish_partitions(rows: DataFrame, path: str, by: list[str]) -> list[str]:
+    """Write `rows` partitioned by the columns `by` under `path`: all partitions or none.
+
+    The job writes to a hidden folder under `path`, which readers skip; a failed job leaves
+    what is there untouched. Then each partition is moved into place by a rename, the one
+    it replaces is set aside first; if a move fails, those done are undone. (Where a rename
+    is a copy, as in some object stores, the moves take as long as copying.) Returns the
+    partitions written, relative to `path`.
+    """
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    staging = f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moved = []
+    try:
+        rows.write.partitionBy(*by).parquet(f"{staging}/new")
+        root = fs.makeQualified(at(f"{staging}/new")).toString()
+        names = [p.toString()[len(root) + 1:] for p in _leaves(fs, at(f"{staging}/new"), len(by))]
+        try:
+            for name in names:
+                new, old, target = (at(p) for p in (f"{staging}/new/{name}", f"{staging}/old/{name}", f"{path}/{name}"))
+                if fs.exists(target):
+                    _rename(fs, target, old)
+                    moved.append((old, target))
+                _rename(fs, new, target)
+                moved.append((target, new))
+        except Exception:
+            for source, target in reversed(moved):       # back the way they came
+                _rename(fs, source, target)
+            raise
+        return names
+    finally:
+        fs.delete(at(staging), True)
+
+
 def export_traces(spans: DataFrame, incidents: DataFrame, path: str, run_id: str,
                   root_service: str = "gateway", force: bool = False) -> DataFrame:
     """Write the spans of every trace whose root starts inside an incident window (the
@@ -41,9 +91,9 @@ def export_traces(spans: DataFrame, incidents: DataFrame, path: str, run_id: str
     Returns the evidence index.
 
     Refuses when any partition of this run exists, unless `force`; with `force`
-    only the partitions being written are replaced (dynamic overwrite), so an
-    incident that yields no traces keeps its earlier export and is never replaced
-    by an empty one.
+    only the partitions being written are replaced, so an incident that yields no
+    traces keeps its earlier export and is never replaced by an empty one. The
+    partitions appear when all of them are written (see `publish_partitions`).
     """
     spark = spans.sparkSession
     have = existing_incidents(spark, path, run_id)
@@ -52,11 +102,7 @@ def export_traces(spans: DataFrame, incidents: DataFrame, path: str, run_id: str
                              f"pass force=True to replace them")
     traced = scoring.traces_in_windows(spans, incidents, root_service)
     rows = spans.join(traced.select("incident_id", "trace_id"), "trace_id").withColumn("run_id", F.lit(run_id))
-    writer = rows.write.partitionBy("run_id", "incident_id")
-    if force:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
+    publish_partitions(rows, path, ["run_id", "incident_id"])
     return scoring.evidence_index(spans, incidents, root_service, traced)
 
 

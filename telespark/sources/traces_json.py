@@ -79,3 +79,42 @@ def read_traces(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     """
     docs = spark.read.schema(TRACE_DOC_SCHEMA).option("multiLine", multi_line).json(path)
     return flatten_traces(docs)
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def decode_traces(lines: DataFrame, text_col: str = "value") -> dict:
+    """Trace documents as text, one per row, decoded against the schema.
+
+    Returns `spans` (see `flatten_traces`) and `rejected` (text, reason): a text that is
+    no JSON or does not fit the schema is 'malformed', one without a `data` array 'no data'.
+    Nothing is lost: every row is in one of the two; null and blank texts are rejected.
+    """
+    schema = T.StructType([*TRACE_DOC_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    doc = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = lines.select(F.col(text_col).alias("text"), doc.alias("doc"))
+    reason = (F.when(F.col("doc").isNull() | (F.trim("text") == "") | F.col(f"doc.{_CORRUPT}").isNotNull(), "malformed")
+              .when(F.col("doc.data").isNull(), "no data"))
+    rows = rows.withColumn("reason", reason)
+    return {"spans": flatten_traces(rows.where(F.col("reason").isNull()).select("doc.data")),
+            "rejected": rows.where(F.col("reason").isNotNull()).select("text", "reason")}
+
+
+def encode_traces(spans: DataFrame) -> DataFrame:
+    """trace_id, value: one document per trace, the form `decode_traces` reads (a trace's
+    spans meet in one row, as they do in the document)."""
+    name = F.coalesce("operation", "service") if "operation" in spans.columns else F.col("service")
+    ref = F.struct(F.lit("CHILD_OF").alias("refType"), F.col("parent_span_id").cast("string").alias("spanID"))
+    tag = F.struct(F.lit("http.response.status_code").alias("key"), F.col("status").cast("string").alias("value"))
+    span = F.struct(F.col("span_id").cast("string").alias("spanID"), name.alias("operationName"),
+                    F.col("service").alias("processID"), F.col("start_us").alias("startTime"),
+                    F.col("duration_us").alias("duration"),
+                    F.filter(F.array(ref), lambda r: r["spanID"].isNotNull()).alias("references"),
+                    F.filter(F.array(tag), lambda t: t["value"].isNotNull()).alias("tags"))
+    per = spans.groupBy("trace_id").agg(F.array_sort(F.collect_list(span)).alias("spans"),
+                                        F.collect_set("service").alias("names"))
+    processes = F.map_from_entries(F.transform("names", lambda n: F.struct(n, F.struct(n.alias("serviceName")))))
+    doc = F.struct(F.array(F.struct(F.col("trace_id").cast("string").alias("traceID"), processes.alias("processes"),
+                                    F.col("spans").alias("spans"))).alias("data"))
+    return per.select("trace_id", F.to_json(doc).alias("value"))

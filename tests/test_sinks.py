@@ -71,3 +71,42 @@ def test_failure_share_matches_recorded_labels(spark, tmp_path):
     got = {r.incident_id: round(r.failed_pct, 2)
            for r in failure_share(read_incidents(spark, str(path))).select("incident_id", "failed_pct").collect()}
     assert got == {"run-a/i2": 20.01, "run-b/i2": 18.44, "run-c/i2": 19.14}
+
+
+def test_publish_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A failed job and a failed move leave the old partitions, and nothing half-written."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from telespark.sources import sinks
+    path = str(tmp_path / "out")
+
+    def rows(version, n=3):
+        return spark.createDataFrame([("r/1", f"i {k}", version) for k in range(n)], "run string, inc string, v int")
+
+    def state():
+        df = spark.read.parquet(path)
+        return {(r.run, r.inc): r.v for r in df.collect()}, sorted(x for x in os.listdir(path) if x.startswith("."))
+    assert len(sinks.publish_partitions(rows(1), path, ["run", "inc"])) == 3
+    first = state()
+    assert first == ({("r/1", f"i {k}"): 1 for k in range(3)}, [])
+    bad = rows(2).withColumn("v", F.when(F.col("inc") == "i 2", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_partitions(bad, path, ["run", "inc"])
+    assert state() == first
+    real, calls = sinks._rename, []
+
+    def failing(fs, source, target):
+        calls.append(1)
+        if len(calls) == 4:
+            raise IOError("no move")
+        real(fs, source, target)
+    monkeypatch.setattr(sinks, "_rename", failing)
+    with pytest.raises(IOError, match="no move"):
+        sinks.publish_partitions(rows(3), path, ["run", "inc"])
+    assert state() == first
+    monkeypatch.setattr(sinks, "_rename", real)
+    sinks.publish_partitions(rows(4, 2), path, ["run", "inc"])
+    assert state()[0] == {("r/1", "i 0"): 4, ("r/1", "i 1"): 4, ("r/1", "i 2"): 1}

@@ -71,3 +71,21 @@ def test_tree_lines_from_documents(spark):
     assert lines[1].startswith("  orders/POST /orders +0ms") and "status=502" in lines[1]
     assert "error=" not in lines[1]                          # error=false is not shown
     assert lines[2].startswith("    ?/SELECT") and "db.statement=select 1" in lines[2] and "error=true" in lines[2]
+
+
+def test_decode_traces_quarantine(spark):
+    """Every text is decoded or rejected; names with quotes survive."""
+    from telespark.sources.traces_json import decode_traces, encode_traces
+    spans = spark.createDataFrame([(1, 1, None, 'gate"way', 10, 5, 200), (1, 2, 1, "orders", 11, 2, None)],
+                                  "trace_id long, span_id long, parent_span_id long, service string, start_us long, "
+                                  "duration_us long, status int")
+    good = encode_traces(spans).first().value
+    texts = [good, good[:-3], "", None, "[1, 2]", "{}", '{"data": null}', '{"data": []}', '{"data": [{"traceID": "9", "spans": 3}]}']
+    out = decode_traces(spark.createDataFrame([(t,) for t in texts], "value string"))
+    got = sorted((r.span_id, r.service, r.parent_span_id, r.status) for r in out["spans"].collect())
+    assert got == [("1", 'gate"way', None, 200), ("2", "orders", "1", None)]
+    rejected = {r.text: r.reason for r in out["rejected"].collect()}
+    assert rejected[good[:-3]] == rejected[""] == rejected[None] == "malformed"
+    assert rejected["{}"] == rejected['{"data": null}'] == "no data"
+    assert good not in rejected and '{"data": []}' not in rejected
+    assert out["rejected"].count() >= 6
