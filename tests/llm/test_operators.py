@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import random
+import math
 import re
 import zipfile
 import zlib
@@ -119,6 +120,76 @@ def test_exact_dedup(spark, fan_in, slice_rows):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [0, 1, 3, 6])
+def test_fan_in_is_a_power_of_two(spark, fan_in):
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs(spark, EDGE), fan_in=fan_in)
+
+
+def _packed_runs(runs):
+    tables = [exact_dedup._make_run((pa.scalar(0), pa.scalar(i)), pa.table({
+        "key": pa.array([r[0] for r in run], pa.binary()), "id": pa.array([r[1] for r in run], pa.int64()),
+        "rid": pa.array([r[2] for r in run], pa.int64()), "n": pa.array([r[3] for r in run], pa.int64())}))
+        for i, run in enumerate(runs)]
+    return pa.concat_tables(tables)
+
+
+def _random_runs(rng, runs, rows, keys):
+    out, rid = [], 0
+    for _ in range(runs):
+        run = []
+        for key in rng.choice(keys, rows, replace=False):
+            # keys that end in zero bytes, null and equal identifiers
+            name = int(key).to_bytes(8, "big") + b"\0" * 40
+            run.append((name, None if rng.random() < 0.1 else int(rng.integers(-5, 5)), rid, int(rng.integers(1, 9))))
+            rid += 1
+        out.append(run)
+    return out
+
+
+def test_packed_runs_merge():
+    rng = np.random.default_rng(5)
+    runs = _random_runs(rng, 7, 300, 500)
+    want = {}
+    for key, id_, rid, n in (r for run in runs for r in run):
+        best, total = want.get(key, ((True, 0, rid), 0))
+        want[key] = (min(best, (id_ is None, id_ or 0, rid)) if total else (id_ is None, id_ or 0, rid), total + n)
+    table = _packed_runs(runs)
+    root = exact_dedup._merge_root((pa.scalar(0), pa.scalar(0)), table).to_pylist()
+    assert [r["key"] for r in root] == sorted(want)
+    assert all(((r["id"] is None, r["id"] or 0, r["rid"]), r["n"]) == want[r["key"]] for r in root)
+    # the same through two levels
+    key = (pa.scalar(0), pa.scalar(0))
+    halves = pa.concat_tables([exact_dedup._merge_runs(key, table.slice(0, 4)),
+                               exact_dedup._merge_runs(key, table.slice(4))])
+    assert exact_dedup._merge_root(key, halves).to_pylist() == root
+
+
+def test_merge_is_linear_in_rows():
+    class Key:
+        seen = 0
+
+        def __init__(self, v):
+            self.v = v
+
+        def __lt__(self, other):
+            Key.seen += 1
+            return self.v < other.v
+
+        def __eq__(self, other):
+            Key.seen += 1
+            return self.v == other.v
+
+    def comparisons(rows):
+        rng, Key.seen = np.random.default_rng(rows), 0
+        runs = [[(Key(int(v)), 0, 0, 0, 1) for v in sorted(rng.integers(0, 1 << 40, rows))] for _ in range(8)]
+        assert sum(e[4] for e in exact_dedup.merge_heads(map(iter, runs))) == 8 * rows
+        return Key.seen / (8 * rows)
+
+    small, large = comparisons(250), comparisons(8_000)
+    assert large < 1.05 * small and large < 4 * (math.log2(8) + 1)
+
+
 # --- 4 classifier -------------------------------------------------------------------
 
 def test_factorisation_identity():
