@@ -1,9 +1,10 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass one scatters every record into one of `buckets` buckets by a seeded hash of its
-row number in the scan; a bucket holds about `bucket_bytes` of text. (A hash of the
-id would put a third of all rows into one bucket when a third of the ids are equal
-or null.) Pass two puts each bucket through Spark's `shuffle`, a seeded Fisher-Yates
+row number in the scan; a bucket holds about `bucket_bytes` of its records' strings and
+binaries. (A hash of the id would put a third of all rows into one bucket when a third
+of the ids are equal or null.) The number of partitions follows the number of buckets,
+so a task gathers about four of them, however many there are in all. Pass two puts each bucket through Spark's `shuffle`, a seeded Fisher-Yates
 over the bucket's array, and writes it. The shards are then consecutive stretches of
 the written buckets.
 
@@ -29,6 +30,7 @@ from .store import shuffle_partitions, stash
 # an offset row has two longs; a million of them (16 MB) may be broadcast
 BROADCAST_BUCKETS = 1_000_000
 _BLOCK = 4096
+_BUCKETS_A_TASK = 4
 
 
 def record_size(text):
@@ -36,12 +38,24 @@ def record_size(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
+def gathered_size(docs: DataFrame):
+    """Bytes of a record as pass two gathers it: its strings and binaries, 16 for any other column."""
+    size = F.lit(0).cast("long")
+    for field in docs.schema:
+        if field.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        else:
+            size = size + 16
+    return size
+
+
 def scatter(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
     """Pass one: bucket, rid, record; the rows of a bucket in one partition, by rid."""
     rows = (docs.select(F.struct("*").alias("record"))
             .withColumn("rid", F.monotonically_increasing_id())
             .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(buckets))))
-    return (rows.repartition(shuffle_partitions(docs.sparkSession), "bucket")
+    parts = max(math.ceil(buckets / _BUCKETS_A_TASK), shuffle_partitions(docs.sparkSession))
+    return (rows.repartition(parts, "bucket")
             .sortWithinPartitions("bucket", "rid"))
 
 
@@ -65,10 +79,10 @@ def _offsets(written: DataFrame) -> DataFrame:
             .select("bucket", (F.col("before") + F.col("block_before")).alias("before")))
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = 8, text_col: str = "text",
+def shuffle_to_shards(docs: DataFrame, shards: int = 8,
                       seed: int = 20240229, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Every record once: record (struct of the input's columns), shard, slot."""
-    total, size = docs.agg(F.count(F.lit(1)), F.sum(record_size(F.col(text_col)))).first()
+    total, size = docs.agg(F.count(F.lit(1)), F.sum(gathered_size(docs))).first()
     buckets = max(1, math.ceil((size or 0) / bucket_bytes))
     written = stash(shuffle_buckets(scatter(docs, buckets, seed), seed), "shuffled-buckets")
     offsets = _offsets(written)
