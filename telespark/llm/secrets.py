@@ -5,6 +5,8 @@ its text. The ledger is a table of (blob, rule, rule_version, spans), one row pe
 that has been scanned, with findings or without. A scan looks up which (blob, rule
 version) pairs of the given versions the ledger lacks, scans only those, each blob once
 however many versions share it, and appends them. Findings are joined back to all paths.
+Only ledger rows of the given blobs are grouped, however long the ledger is. A pair that
+was appended twice (by two drivers at once, or a repeated update) counts once.
 
 The positions of all matches come from two functions: `regexp_extract_all` gives the
 matches, `split` by the same pattern the text between them; running sums of both lengths
@@ -109,12 +111,12 @@ def open_ledger(spark: SparkSession, path: str | None) -> DataFrame:
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """New ledger rows for the (blob, rule version) pairs the ledger lacks."""
-    seen = ledger.groupBy("blob").agg(
-        F.collect_set(F.struct("rule", "rule_version")).alias("seen"))
     wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"))
                        for r in rules))
     # one version per blob: the smallest path (paths that repeat are scanned again, then dropped)
     one = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    seen = (ledger.join(one.select("blob"), "blob", "left_semi").groupBy("blob")
+            .agg(F.collect_set(F.struct("rule", "rule_version")).alias("seen")))
     todo = (one.join(seen, "blob", "left")
             .withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast(
                 "array<struct<rule:string,rule_version:int>>"))))
@@ -146,14 +148,14 @@ def update_ledger(docs: DataFrame, path: str, rules=RULES, path_col: str = "doc_
 def findings(docs: DataFrame, ledger: DataFrame, rules=RULES, path_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """path, blob, findings (array of kind, start, end by start and rule order): one row
-    per version."""
+    per version. Equal spans of a kind are one, so rows the ledger holds twice add nothing."""
     order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("rule") == r.name) & (F.col("rule_version") == r.version))
     per_blob = (ledger.where(current & (F.size("spans") > 0))
                 .select("blob", "rule", F.explode("spans").alias("s"))
-                .groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(
+                .groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
                     F.col("s.start").alias("start"), order[F.col("rule")].alias("rank"),
                     F.col("s.end").alias("end"), F.col("rule").alias("kind")))).alias("findings")))
     index = versions_of(docs, path_col, text_col).select("path", "blob")
