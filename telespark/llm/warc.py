@@ -1,8 +1,12 @@
 """Web archives in ZIP packages: writer, directory reader and range reader.
 
 A package is a ZIP file with a stored (uncompressed) member `archive/data.warc.gz`, one
-gzip member per record, and a stored `indexes/index.cdxj`, one JSON line per record with
-its offset and length. The reader never extracts a package: it reads the tail of the
+gzip member per record, and a stored `indexes/index.cdx.gz`: per record a line "key
+timestamp {json}" in key order, the key being the address with its host reversed, the
+JSON naming file (relative to `archive/`), offset and length. The reader also takes
+packages written elsewhere: plain or gzipped indexes, with or without keys, numbers with
+or without quotes, names with or without their folder, plain records, records without
+page id, length or digest, and digests by SHA-1 (base 32). The reader never extracts a package: it reads the tail of the
 file, follows the end-of-directory record (or the ZIP64 one), parses the central
 directory, finds the data of stored members behind their local headers, reads the index
 and then only the byte range of each record. Index lines are spread over all tasks
@@ -25,6 +29,7 @@ rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -33,7 +38,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -46,9 +51,10 @@ MIN_REVISIT = 100
 PACKAGE_BYTES = 128 << 20
 PACKAGE_RECORDS = 100_000
 _WARC = "archive/data.warc.gz"
-_INDEX = "indexes/index.cdxj"
+_INDEX = "indexes/index.cdx.gz"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
+_STAMP = "20240101000000"
 _NEIGHBOURS = 4 << 20       # ranges this close are read by one task
 
 # --- records ------------------------------------------------------------------------
@@ -97,24 +103,50 @@ def _headers(raw: bytes) -> tuple[dict[str, str], int]:
 
 
 def decode_record(data: bytes) -> dict:
-    """The fields of one gzipped record; raises if a response's payload does not match
-    its digest or a length is wrong."""
-    raw = zlib.decompress(data, 31)
+    """The fields of one record, gzipped or plain; raises if a payload does not match its
+    digest or a length is wrong. A revisit's length and digest are what its headers say, null
+    where they say nothing; the digest of a payload that is there is always its SHA-256."""
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, at = _headers(raw)
     block = raw[at:at + int(head["content-length"])]
     if len(block) != int(head["content-length"]) or raw[at + len(block):] != b"\r\n\r\n":
         raise ValueError("record length does not match its header")
-    http, body = _headers(block)
-    payload, length = block[body:], int(http["content-length"])
-    digest = head["warc-payload-digest"].removeprefix("sha256:")
-    kind = head["warc-type"]
-    if kind == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("payload does not match its digest")
+    http, body = ({}, 0)
+    if head.get("content-type", "").startswith("application/http"):
+        http, body = _headers(block)
+    payload, kind = block[body:], head["warc-type"]
+    length = int(http["content-length"]) if "content-length" in http else None
+    method, _, value = head.get("warc-payload-digest", "").partition(":")
+    digest = value.lower() if method == "sha256" else None
+    if kind != "revisit":
+        found = hashlib.sha256(payload).hexdigest()
+        sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if length not in (None, len(payload)) or digest not in (None, found) or (
+                method == "sha1" and value.upper() != sha1):
+            raise ValueError("payload does not match its length or digest")
+        length, digest = len(payload), found
     page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
     return {"page_id": None if page is None else int(page), "url": head.get("warc-target-uri"),
             "payload_bytes": length, "payload_digest": digest, "record_type": kind,
             "refers_to": None if refers is None else int(refers),
-            "payload": payload if kind == "response" else None}
+            "payload": payload if kind != "revisit" else None}
+
+
+def url_key(url: str | None) -> str:
+    """An address as an index key: host reversed, then the path, lower-case; what has no
+    host is kept, without blanks; "-" if there is none."""
+    if not url:
+        return "-"
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:                      # broken brackets or port
+        host = None
+    if not host:
+        return quote(url.lower(), safe=":/?#[]@!$&()*+,;=%~")
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return (quote(",".join(reversed(host.split("."))), safe=",-_:[]%") + (f":{port}" if port else "") + ")"
+            + quote(path.lower(), safe="/?@!$&()*+,;=%~:"))
 
 
 # --- writing ------------------------------------------------------------------------
@@ -131,14 +163,16 @@ class _Package:
         self.member = self.zip.open(_WARC, "w", force_zip64=True)
         self.size, self.index = 0, []
 
-    def add(self, data: bytes) -> None:
+    def add(self, data: bytes, url: str | None, digest: str) -> None:
         self.member.write(data)
-        self.index.append(json.dumps({"filename": _WARC, "offset": self.size, "length": len(data)}))
+        entry = {"url": url, "mime": "text/html", "status": "200", "digest": f"sha256:{digest}",
+                 "length": str(len(data)), "offset": str(self.size), "filename": _WARC.removeprefix("archive/")}
+        self.index.append(f"{url_key(url)} {_STAMP} {json.dumps(entry)}\n")
         self.size += len(data)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
-        self.zip.writestr(_INDEX, "".join(x + "\n" for x in self.index))
+        self.zip.writestr(_INDEX, gzip.compress("".join(sorted(self.index)).encode(), 1, mtime=0))
         self.zip.close()
         self.out.close()
         return self.uri, len(self.index), self.size
@@ -151,7 +185,7 @@ def _write(uri: str, package_bytes: int):
             for i in range(batch.num_rows):
                 page_id, url, payload, digest, refers = (batch.column(c)[i].as_py() for c in range(5))
                 package = package or _Package(uri)
-                package.add(encode_record(page_id, url, payload, digest, refers))
+                package.add(encode_record(page_id, url, payload, digest, refers), url, digest)
                 if package.size >= package_bytes or len(package.index) >= PACKAGE_RECORDS:
                     done.append(package.close())
                     package = None
@@ -229,22 +263,37 @@ def data_offset(source, member: dict) -> int:
     return member["offset"] + 30 + names + extras
 
 
+def index_entries(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of an index, gzipped or plain: lines of JSON, behind a
+    key and a timestamp or alone; blank lines and headers ("!...") are passed over."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    for line in data.splitlines():
+        line = line.strip()
+        if not line or line.startswith(b"!"):
+            continue
+        entry = json.loads(line if line.startswith(b"{") else line.split(None, 2)[2])
+        yield entry["filename"], int(entry["offset"]), int(entry["length"])
+
+
 def record_ranges(source) -> Iterator[tuple[int, int]]:
     """(offset, length) in the file of every record the package's indexes list."""
     members = {m["name"]: m for m in directory(source)}
     starts = {name: data_offset(source, m) for name, m in members.items()
               if name.startswith("archive/") and m["method"] == 0}
     for name, m in members.items():
-        if not name.startswith("indexes/"):
+        if not name.startswith("indexes/") or not name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
             continue
         at = data_offset(source, m)
         source.seek(at)
         data = source.read(m["size"])
         if m["method"] == 8:
             data = zlib.decompress(data, -15)
-        for line in data.splitlines():
-            entry = json.loads(line)
-            yield starts[entry["filename"]] + entry["offset"], entry["length"]
+        for filename, offset, length in index_entries(data):
+            start = starts.get(filename, starts.get(f"archive/{filename}"))
+            if start is None:
+                raise ValueError(f"no stored member {filename}")
+            yield start + offset, length
 
 
 def _open(uri: str):

@@ -1,9 +1,12 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy,
 on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import base64
+import gzip
 import hashlib
 import io
 import itertools
+import json
 import random
 import math
 import re
@@ -102,6 +105,57 @@ def test_zip64_directory(monkeypatch):
         warc.decode_record(warc.gzip.compress(bytes(bad)))
 
 
+def _foreign_package(path, name, index):
+    """A package as other tools write them: a record without page id, digests by SHA-1."""
+    payload, at, records = b"<p>elsewhere</p>", 0, []
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload
+    for kind, block, mime in (("response", http, "application/http; msgtype=response"),
+                              ("resource", payload, "text/html"),
+                              ("revisit", http[:-len(payload)], "application/http; msgtype=response")):
+        raw = (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://example.com/\r\n"
+               f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: {mime}\r\n"
+               f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+        records.append(raw if name == "other.warc" else gzip.compress(raw))
+    lines = []
+    for r in records:
+        lines.append(f'com,example)/ 20240101000000 {{"url": "http://example.com/{{a b}}", "offset": "{at}", '
+                     f'"length": "{len(r)}", "filename": "{name}"}}\n')
+        at += len(r)
+    text = ("!OpenWayback-CDXJ 1.0\n" + "".join(lines)).encode()
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/" + name, b"".join(records))
+        # two gzip members, as block-compressed indexes have
+        half = text.index(b"\n", len(text) // 2) + 1
+        z.writestr(index, gzip.compress(text[:half]) + gzip.compress(text[half:]) if index.endswith("gz") else text)
+        z.writestr("indexes/index.idx", "com,example)/ 20240101000000\tindex.cdx.gz\t0\t10\t1\n")
+    return payload
+
+
+@pytest.mark.parametrize("name,index", [("other.warc.gz", "indexes/index.cdx.gz"), ("other.warc", "indexes/index.cdxj")])
+def test_packages_written_elsewhere(spark, tmp_path, name, index):
+    payload = _foreign_package(tmp_path / "a.wacz", name, index)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "path string")
+    got = {r.record_type: r for r in warc.read_packages(manifest).collect()}
+    assert set(got) == {"response", "resource", "revisit"}
+    for kind in ("response", "resource"):
+        assert bytes(got[kind].payload) == payload and got[kind].payload_bytes == len(payload)
+        assert got[kind].payload_digest == hashlib.sha256(payload).hexdigest()
+    assert (got["revisit"].payload, got["revisit"].payload_bytes, got["revisit"].page_id) == (None, None, None)
+
+
+def test_index_is_in_the_public_form(spark):
+    rows = [(i, u, "x" * 10) for i, u in enumerate(("http://b.example.com/Z?q=1 2", None, "u", "http://[broken/"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_packages(warc.page_records(df), warc.folder(spark, "warc")).collect()
+    lines = []
+    for m in manifest:
+        with zipfile.ZipFile(m.path.removeprefix("file:")) as z:
+            lines += gzip.decompress(z.read("indexes/index.cdx.gz")).decode().splitlines()
+    assert {x.split(" ", 2)[0] for x in lines} == {"com,example,b)/z?q=1%202", "-", "u", "http://[broken/"}
+    assert all(set(json.loads(x.split(" ", 2)[2])) >= {"url", "filename", "offset", "length", "digest"} for x in lines)
+
+
 # --- 3 exact dedup ------------------------------------------------------------------
 
 @pytest.mark.parametrize("fan_in,slice_rows", [(2, 500_000), (8, 3)])
@@ -373,6 +427,17 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert [(x.start, x.end) for x in got.findings] == [(1, 31)]
 
 
+def test_pairs_appended_twice_count_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = docs(spark, SECRETS)
+    once = [r for r in secrets.scan(rows, ledger_path=path).collect()]
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}-copy")
+    spark.read.parquet(f"{path}-copy").write.mode("append").parquet(path)      # every pair a second time
+    assert secrets.update_ledger(rows, path) == 0
+    again = secrets.findings(rows, secrets.open_ledger(spark, path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, once)) and any(r.findings for r in once)
+
+
 # --- 8 decontamination --------------------------------------------------------------
 
 def test_masks_hit_every_window_with_two_substitutions():
