@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nan_to_null
+from .panes import step_counts
 from .series import assign_steps
 
 DAY_US = 86400 * 1000000
@@ -59,13 +60,13 @@ def rate_series(deltas: DataFrame, keys, start_us: int, end_us: int, step_us: in
             samples.
     """
     keys = list(keys)
-    st = assign_steps(deltas, start_us, end_us, step_us, range_us)
     range_s = range_us / 1e6
     if mode == "exact":
-        return (st.groupBy(*keys, "step_us").agg(F.sum("delta").alias("increase"))
+        return (step_counts(deltas, keys, {"increase": F.sum("delta")}, start_us, end_us, step_us, range_us)
                 .withColumn("rate", F.col("increase") / F.lit(range_s)))
     if mode != "promql":
         raise ValueError("mode must be 'exact' or 'promql'")
+    st = assign_steps(deltas, start_us, end_us, step_us, range_us)
     in_range_prev = F.col("prev_ts_us") > (F.col("step_us") - F.lit(range_us))
     g = st.groupBy(*keys, "step_us").agg(
         F.count(F.lit(1)).alias("_n"),

@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import app_routes, is_5xx, is_ok
+from .panes import step_counts
 from .quantiles import exact_percentiles
-from .series import assign_steps
 
 
 def application(requests: DataFrame) -> DataFrame:
     return requests.where(app_routes("route"))
 
 
+def red_aggs() -> dict:
+    """The RED counts by name; they add up over panes and windows."""
+    return {"requests": F.count(F.lit(1)), "errors_5xx": F.count_if(is_5xx("status"))}
+
+
 def red_counts(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"),
-                                 F.count_if(is_5xx("status")).alias("errors_5xx"))
+    return df.groupBy(*keys).agg(*[a.alias(n) for n, a in red_aggs().items()])
 
 
 def with_rates(counts: DataFrame, range_s: float) -> DataFrame:
@@ -36,8 +40,8 @@ def red_series(requests: DataFrame, start_us: int, end_us: int, step_us: int, ra
                service_col: str = "service") -> DataFrame:
     """Per (service, step): requests, errors_5xx and the three rates over (t-range, t],
     application routes only; numerator and denominator share the exclusion."""
-    stepped = assign_steps(application(requests), start_us, end_us, step_us, range_us)
-    return with_rates(red_counts(stepped, [service_col, "step_us"]), range_us / 1e6)
+    counts = step_counts(application(requests), [service_col], red_aggs(), start_us, end_us, step_us, range_us)
+    return with_rates(counts, range_us / 1e6)
 
 
 def window_totals(requests: DataFrame, start_us: int, end_us: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import METRICS, PERCENTILES, POINT_BUDGET, SERVICES
 from ..functions.predicates import is_5xx, label_eq, service_selector
 from ..operators import counters as C
+from ..operators import panes as P
 from ..operators import requests as R
 from ..operators import series as SR
 from ..sources.views import BUCKET_BOUNDS_MS
@@ -55,21 +56,22 @@ def metric_points(requests: DataFrame, metric: str, win: Window, service: str =
     r = service_selector(R.application(requests), service)
     if metric == "error_rate":
         r = r.where(is_5xx("status"))
-    st = SR.assign_steps(r, win.start_us, win.end_us, fetch_us, rate_us)
     rate_s = rate_us / US
+    if metric == "latency":
+        r, grain, aggs = r.withColumn("le", _le()), ["service", "le"], {"n": F.count(F.lit(1))}
+    else:
+        grain, aggs = ["service"], {"n": F.count(F.lit(1)), "e": F.count_if(is_5xx("status"))}
+    st = P.step_counts(r, grain, aggs, win.start_us, win.end_us, fetch_us, rate_us)
     # dense grid: every step of every series that has samples in range, as the
     # store returns it (rates 0 on quiet steps, undefined quantiles/ratios null)
     # a ratio exists only where its numerator does
-    present = (st.where(is_5xx("status")) if metric == "error_ratio" else st).select("service").distinct()
+    present = (st.where(F.col("e") > 0) if metric == "error_ratio" else st).select("service").distinct()
     grid = SR.step_grid(requests.sparkSession, present, win.start_us, win.end_us, fetch_us)
     if metric == "latency":
-        b = st.groupBy("service", "step_us", _le().alias("le")).agg(F.count(F.lit(1)).alias("n"))
-        cum = C.cumulative_buckets(b, ["service", "step_us"], bounds=BUCKET_BOUNDS_MS)
+        cum = C.cumulative_buckets(st, ["service", "step_us"], bounds=BUCKET_BOUNDS_MS)
         q = C.histogram_quantile(cum, ["service", "step_us"], {"value": percentile / 100.0})
         return grid.join(q, ["service", "step_us"], "left")
-    g = st.groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("n"),
-                                             F.count_if(is_5xx("status")).alias("e"))
-    g = grid.join(g, ["service", "step_us"], "left").fillna(0, ["n", "e"])
+    g = grid.join(st, ["service", "step_us"], "left").fillna(0, ["n", "e"])
     value = {"request_rate": F.col("n") / rate_s, "error_rate": F.col("n") / rate_s,
              "error_ratio": F.when(F.col("n") > 0, 100.0 * F.col("e") / F.col("n"))}[metric]
     return g.select("service", "step_us", value.alias("value"))

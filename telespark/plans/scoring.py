@@ -193,7 +193,7 @@ def signal_points(requests: DataFrame, start_us: int, end_us: int, step_us: int,
     with `gauges` also pool_<state> = `sum by (state)` of the latest sample per step."""
     st = SR.assign_steps(R.application(requests), start_us, end_us, step_us, range_us)
     p95 = exact_percentiles(st, ["service", "step_us"], "duration_ms", {"value": 0.95})
-    red = R.with_rates(R.red_counts(st, ["service", "step_us"]), range_us / US)
+    red = R.red_series(requests, start_us, end_us, step_us, range_us)
     long = red.select("service", "step_us", F.explode(F.array(
         F.struct(F.lit("error_ratio").alias("metric"), F.col("error_ratio").alias("value")),
         F.struct(F.lit("request_rate").alias("metric"), F.col("request_rate").alias("value")))).alias("m"))

@@ -9,6 +9,7 @@ from ..config import OLDEST_GRID_S, REPORTING_LOOKBACK_S, SERVICES
 from ..functions.predicates import app_routes, is_5xx
 from ..operators import series as SR
 from ..operators.joins import join_single_rows
+from ..operators.panes import step_counts
 
 US = 1_000_000
 _ERROR_METRICS = ("error_rate", "error_ratio")
@@ -75,8 +76,7 @@ def empty_reasons(df: DataFrame, metric: str, expected: DataFrame, start_us: int
     sel = _selector(df, metric, "all")
     kept = (sel.where(F.col("ts_us").between(horizon, as_of_us)).groupBy("service")
             .agg(F.count(F.lit(1)).alias("in_retention")))
-    inside = (SR.assign_steps(sel.select("service", "ts_us"), start_us, end_us, step_us, step_us)
-              .groupBy("service", "step_us").agg(F.count(F.lit(1)).alias("in_window")))
+    inside = step_counts(sel, ["service"], {"in_window": F.count(F.lit(1))}, start_us, end_us, step_us, step_us)
     grid = SR.step_grid(df.sparkSession, expected, start_us, end_us, step_us)
     agg = (grid.join(inside, ["service", "step_us"], "left").join(kept, "service", "left")
            .fillna(0, ["in_window", "in_retention"]))
@@ -88,9 +88,9 @@ def reporting_services(df: DataFrame, instants_start_us: int, instants_end_us: i
     """(step_us, service) for every service with a sample in (t - lookback, t] at each
     instant t of the grid; blank names dropped."""
     named = df.where(F.col("service").isNotNull() & (F.trim(F.col("service")) != ""))
-    st = SR.assign_steps(named.select("service", "ts_us"), instants_start_us, instants_end_us,
-                         step_us, lookback_s * US)
-    return st.select("step_us", "service").distinct()
+    st = step_counts(named, ["service"], {"n": F.count(F.lit(1))}, instants_start_us, instants_end_us,
+                     step_us, lookback_s * US)
+    return st.select("step_us", "service")
 
 
 def silent_services(reporting: DataFrame, spark, instants_start_us: int, instants_end_us: int,

@@ -8,6 +8,8 @@ recompute is the truth for rows the watermark dropped).
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +30,30 @@ def _red_aggs(bounds=BUCKET_BOUNDS_MS):
     return aggs
 
 
+def _micros(spark, interval: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {interval}"))).first()[0]
+
+
 def red_rollup(events: DataFrame, window: str = "15 seconds", slide: str | None = None) -> DataFrame:
     """Per event-time window and service: requests, 5xx and cumulative bucket counts,
     application routes only. Works on a batch or a streaming DataFrame (give the
-    streaming one a watermark first)."""
-    w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return (events.where(app_routes("route"))
-            .groupBy(w.alias("w"), "service").agg(*_red_aggs())
-            .select(F.unix_micros(F.col("w.start")).alias("window_start_us"),
-                    F.unix_micros(F.col("w.end")).alias("window_end_us"), "service",
-                    *[c for c in ["requests", "errors_5xx"] + [f"le_{str(b).replace('.', '_')}" for b in BUCKET_BOUNDS_MS]]))
+    streaming one a watermark first).
+
+    Sliding windows are put together from tumbling panes of the common divisor of window
+    and slide: a row is counted once, and only pane rows (one per pane and service) go to
+    the window/slide windows that hold them. In a stream these are two chained stateful
+    aggregations; the second sees a pane once the watermark has closed it.
+    """
+    names = ["requests", "errors_5xx"] + [f"le_{str(b).replace('.', '_')}" for b in BUCKET_BOUNDS_MS]
+    pane = window
+    if slide:
+        pane = f"{gcd(_micros(events.sparkSession, window), _micros(events.sparkSession, slide))} microseconds"
+    out = events.where(app_routes("route")).groupBy(F.window("ts", pane).alias("w"), "service").agg(*_red_aggs())
+    if slide:
+        out = (out.groupBy(F.window(F.window_time("w"), window, slide).alias("w"), "service")
+               .agg(*[F.sum(n).alias(n) for n in names]))
+    return out.select(F.unix_micros(F.col("w.start")).alias("window_start_us"),
+                      F.unix_micros(F.col("w.end")).alias("window_end_us"), "service", *names)
 
 
 def red_rollup_stream(stream: DataFrame, window: str = "15 seconds", watermark: str = "30 seconds",
