@@ -266,6 +266,59 @@ def q_dashboard_panels(spark, sf_dir):
     return d.select("panel", "series", r9("last").alias("last"), r9("mean").alias("mean"), r9("max").alias("max"))
 
 
+_HALF = HOUR // 2
+_STEPS_30M = f"SELECT {S0} + r.range * {_HALF} AS t FROM range(0, {(E0 - S0) // _HALF + 1}) r"
+
+
+@register("dashboard_ranges", with_views("requests", "pool_gauge", "pool_pending", "jvm_memory") + f""",
+steps AS ({_STEPS_30M}),
+short AS (SELECT s.t AS step_us, q.* FROM steps s JOIN requests q ON q.ts_us > s.t - {HOUR} AND q.ts_us <= s.t),
+long AS (SELECT s.t AS step_us, q.* FROM steps s JOIN requests q ON q.ts_us > s.t - {5 * HOUR} AND q.ts_us <= s.t
+         WHERE {APP}),
+cnt AS (SELECT service, step_us, count(*) AS n FROM short WHERE {APP} GROUP BY 1, 2),
+grid AS (SELECT p.service, s.t AS step_us FROM (SELECT DISTINCT service FROM cnt) p, steps s),
+rate AS (SELECT 'request_rate' AS panel, g.service AS series, g.step_us, coalesce(c.n, 0) / 3600.0 AS value
+         FROM grid g LEFT JOIN cnt c ON c.service = g.service AND c.step_us = g.step_us),
+hb AS (SELECT service, step_us, {le_case()} AS le, count(*) AS n FROM long GROUP BY 1, 2, 3),
+""" + hq_ctes("pq", "hb", "service, step_us", {"value": 0.95}) + f""",
+errs AS (SELECT 'errors_5xx' AS panel, service AS series, step_us, count(*) / 3600.0 AS value FROM short
+         WHERE coalesce(route, '') NOT LIKE '/chaos%' AND status BETWEEN 500 AND 599 GROUP BY 1, 2, 3),
+pool AS (SELECT 'pool' AS panel, state AS series, t AS step_us, sum(value) AS value FROM (
+           SELECT s.t, g.pool_name, g.state, arg_max(g.value, g.ts_us) AS value FROM steps s
+           JOIN pool_gauge g ON g.ts_us > s.t - 300000000 AND g.ts_us <= s.t GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3),
+pend AS (SELECT 'pool' AS panel, 'pending' AS series, s.t AS step_us, arg_max(g.value, g.ts_us) AS value
+         FROM steps s JOIN pool_pending g ON g.ts_us > s.t - 300000000 AND g.ts_us <= s.t GROUP BY 3),
+heap AS (SELECT 'heap' AS panel, service AS series, t AS step_us, sum(value) AS value FROM (
+           SELECT s.t, g.service, g.pool, arg_max(g.value, g.ts_us) AS value FROM steps s
+           JOIN jvm_memory g ON g.ts_us > s.t - 300000000 AND g.ts_us <= s.t
+           WHERE g.area = 'heap' GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3),
+allp AS (SELECT * FROM rate UNION ALL SELECT 'p95_ms', service, step_us, val FROM pq UNION ALL SELECT * FROM errs
+         UNION ALL SELECT * FROM pool UNION ALL SELECT * FROM pend UNION ALL SELECT * FROM heap)
+SELECT panel, series, round(arg_max(value, step_us), 9) AS last, round(avg(value), 6) AS mean,
+  round(max(value), 9) AS max
+FROM allp WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2""")
+def q_dashboard_ranges(spark, sf_dir):
+    """The dashboard with ranges apart from the step (rates over 1 h, p95 over 5 h, every
+    30 min: the proportions of 1 m and 5 m at 30 s), pending requests and heap by service."""
+    from .plans.dashboard import dashboard_panels
+    d = dashboard_panels(V.requests(spark, sf_dir), S0, E0, _HALF, pool_gauge=V.pool_gauge(spark, sf_dir),
+                         pending=V.pool_pending(spark, sf_dir), heap=V.jvm_memory(spark, sf_dir),
+                         rate_range_us=HOUR, quantile_range_us=5 * HOUR)
+    return d.select("panel", "series", r9("last").alias("last"), r6("mean").alias("mean"), r9("max").alias("max"))
+
+
+@register("sliding_rollup", with_views("requests") + f""",
+w AS (SELECT r.range * {2 * HOUR} + (SELECT (min(ts_us) // {2 * HOUR}) * {2 * HOUR} - {4 * HOUR} FROM requests) AS a
+      FROM range(0, (SELECT (max(ts_us) - min(ts_us)) // {2 * HOUR} + 5 FROM requests)) r)
+SELECT a AS window_start_us, a + {5 * HOUR} AS window_end_us, service, count(*) AS requests,
+  count(*) FILTER (WHERE status BETWEEN 500 AND 599) AS errors_5xx, {_LE_COLS}
+FROM w JOIN requests ON ts_us >= a AND ts_us < a + {5 * HOUR} WHERE {APP} GROUP BY 1, 2, 3""")
+def q_sliding_rollup(spark, sf_dir):
+    """Batch twin of the sliding streaming rollup: windows of 5 h every 2 h, from panes of 1 h."""
+    from .streaming.red import red_rollup, with_event_time
+    return red_rollup(with_event_time(V.requests(spark, sf_dir)), "5 hours", "2 hours")
+
+
 @register("rollup_daily_p95", with_views("requests") + f""",
 b AS (SELECT service, (ts_us // {DAY}) * {DAY} AS day_us, {le_case()} AS le, count(*) AS n
       FROM requests WHERE {APP} GROUP BY 1, 2, 3),

@@ -64,6 +64,39 @@ def q_telemetry_status(spark, sf_dir):
         "reporting", "not_reporting", "oldest_us", "status")
 
 
+# spans lie in 1995..2001; moved by whole days so that a part of them is in the retention
+TRACE_SHIFT = 8400 * DAY
+
+
+def _svc_list(table: str, ts: str, back: int, shift: int = 0) -> str:
+    return (f"SELECT DISTINCT service FROM {table} WHERE {ts} + {shift} > {E0 - back} AND {ts} + {shift} <= {E0} "
+            "AND service IS NOT NULL AND trim(service) <> ''")
+
+
+@register("telemetry_status_stores", with_views("requests", "spans") + f""",
+rep AS ({_svc_list("requests", "ts_us", DAY)}),
+trep AS ({_svc_list("spans", "start_us", DAY, TRACE_SHIFT)}),
+e AS (SELECT service FROM (VALUES {_SVC_VALUES}) e(service)),
+old AS (SELECT min(ts_us) AS m FROM requests WHERE ts_us BETWEEN {E0 - 10 * DAY} AND {E0}),
+told AS (SELECT min(start_us + {TRACE_SHIFT}) AS t FROM spans WHERE start_us + {TRACE_SHIFT} BETWEEN {E0 - 2 * DAY} AND {E0}),
+one AS (SELECT coalesce((SELECT string_agg(service, ',' ORDER BY service) FROM rep), '') AS reporting,
+  coalesce((SELECT string_agg(service, ',' ORDER BY service) FROM e WHERE service NOT IN (SELECT service FROM rep)), '') AS not_reporting,
+  {E0 - 10 * DAY} + CAST(ceil((m - {E0 - 10 * DAY}) / 300000000) AS BIGINT) * 300000000 AS oldest_us,
+  CASE WHEN m IS NULL THEN 'degraded' ELSE 'ok' END AS metrics_status,
+  CASE WHEN t IS NULL THEN 'degraded' ELSE 'ok' END AS traces_status, t AS traces_oldest_us,
+  CAST(48 AS DOUBLE) AS traces_retention_hours, 'always_on' AS traces_sampling,
+  coalesce((SELECT string_agg(service, ',' ORDER BY service) FROM trep), '') AS traces_reporting,
+  coalesce((SELECT string_agg(service, ',' ORDER BY service) FROM e WHERE service NOT IN (SELECT service FROM trep)), '') AS traces_not_reporting
+FROM old, told)
+SELECT *, CASE WHEN metrics_status = 'ok' AND traces_status = 'ok' THEN 'ok' ELSE 'degraded' END AS status,
+  CASE WHEN metrics_status <> 'ok' OR traces_status <> 'ok' THEN '{ST.STORE_NOTE}' END AS note FROM one""")
+def q_telemetry_status_stores(spark, sf_dir):
+    """Coverage of both stores, each with its own retention."""
+    spans = V.spans_table(spark, sf_dir).withColumn("start_us", F.col("start_us") + TRACE_SHIFT)
+    return ST.telemetry_status(V.requests(spark, sf_dir), spark, E0, 240, lookback_s=86400, spans=spans,
+                               trace_retention_hours=48)
+
+
 @register("empty_reason", with_views("requests") + f""",
 grid AS (SELECT e.service, {S0} + r.range * {DAY} AS step_us FROM (VALUES {_SVC_VALUES}) e(service), range(1, 31) r),
 sel AS (SELECT service, ts_us FROM requests WHERE {APP} AND status BETWEEN 500 AND 599),

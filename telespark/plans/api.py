@@ -73,6 +73,9 @@ class TelemetryStore:
             tree = tree.join(listed.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
         return {"tree": tree.orderBy("path"), "truncated": truncated}
 
-    def telemetry_status(self, lookback_s: int = 300) -> DataFrame:
+    def telemetry_status(self, lookback_s: int = 300, traces: bool = False) -> DataFrame:
+        """Coverage of the request table; with `traces`, of the span table too."""
         return ST.telemetry_status(self.requests, self.requests.sparkSession, self.as_of_us,
-                                   self.metrics_retention_hours, lookback_s)
+                                   self.metrics_retention_hours, lookback_s,
+                                   spans=self.spans if traces else None,
+                                   trace_retention_hours=self.traces_retention_hours)

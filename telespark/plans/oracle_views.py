@@ -130,6 +130,20 @@ POOL_GAUGE = """pool_gauge AS (
   UNION ALL
   SELECT 'inventory-pool', 'idle', ts_us, CAST(10 - used AS DOUBLE) FROM u)"""
 
+POOL_PENDING = """pool_pending AS (
+  SELECT 'inventory-pool' AS pool_name, 1704067200000000 + (h + 1) * 3600000000 AS ts_us,
+    CAST(greatest(n - 10, 0) AS DOUBLE) AS value
+  FROM (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, count(*) AS n
+        FROM requests WHERE service = 'inventory' GROUP BY 1))"""
+
+JVM_MEMORY = """jvm_memory AS (
+  WITH p AS (SELECT service, 1704067200000000 + ((ts_us - 1704067200000000) // 3600000000 + 1) * 3600000000 AS ts_us,
+               count(*) AS n, sum(CAST(round(duration_ms) AS BIGINT)) AS d
+             FROM requests GROUP BY 1, 2)
+  SELECT service, 'heap' AS area, 'eden' AS pool, ts_us, CAST(n * 1048576 AS DOUBLE) AS value FROM p
+  UNION ALL SELECT service, 'heap', 'old', ts_us, CAST(d * 1024 AS DOUBLE) FROM p
+  UNION ALL SELECT service, 'nonheap', 'metaspace', ts_us, 67108864.0 FROM p)"""
+
 PIPELINE = """pipeline_counters AS (
   WITH p AS (SELECT (ts_us - 1704067200000000) // 3600000000 AS h, count(*) AS accepted,
                count(*) FILTER (WHERE NOT (route LIKE '/chaos%' OR route = '/health')) AS sent,
@@ -147,10 +161,12 @@ def with_views(*names: str) -> str:
     """`WITH` prefix holding the named views (dependencies included, in order)."""
     deps = {"requests_faulted": ["requests"], "counters": ["requests"],
             "selfs": ["spans"], "folded": ["spans", "selfs"], "pool_gauge": ["requests"],
+            "pool_pending": ["requests"], "jvm_memory": ["requests"],
             "pipeline_counters": ["requests"], "bucket_counts": ["requests"]}
     bodies = {"requests": REQUESTS, "requests_faulted": REQUESTS_FAULTED, "spans": SPANS,
               "counters": COUNTERS, "incidents": INCIDENTS, "span_incidents": SPAN_INCIDENTS,
               "checks": CHECKS, "selfs": SELF_TIME, "folded": FOLD, "pool_gauge": POOL_GAUGE,
+              "pool_pending": POOL_PENDING, "jvm_memory": JVM_MEMORY,
               "pipeline_counters": PIPELINE, "bucket_counts": bucket_counts_sql()}
     order = []
 

@@ -112,19 +112,57 @@ def oldest_queryable(df: DataFrame, as_of_us: int, retention_hours: float,
                      * F.lit(g)).alias("oldest_us"))
 
 
+def _services_in(df: DataFrame, ts: str, as_of_us: int, lookback_s: int) -> DataFrame:
+    named = df.where((F.col(ts) > as_of_us - lookback_s * US) & (F.col(ts) <= as_of_us))
+    return named.where(F.col("service").isNotNull() & (F.trim(F.col("service")) != "")).select("service").distinct()
+
+
+def _names(df: DataFrame, alias: str) -> DataFrame:
+    return df.agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias(alias))
+
+
+def trace_store_status(spans: DataFrame, spark, as_of_us: int, retention_hours: float,
+                       lookback_s: int = REPORTING_LOOKBACK_S, expected=SERVICES) -> DataFrame:
+    """One row on the span table: traces_status ('ok' with a span in retention, else
+    'degraded'), traces_oldest_us (its first span in retention), traces_retention_hours,
+    traces_reporting and traces_not_reporting (services by spans started in the lookback).
+    Every span kept is stored, so `traces_sampling` is always_on."""
+    horizon = as_of_us - int(retention_hours * 3600 * US)
+    seen = spans.where(F.col("start_us").between(horizon, as_of_us))
+    rep = _services_in(spans, "start_us", as_of_us, lookback_s)
+    exp = spark.createDataFrame([(s,) for s in expected], "service string")
+    row = join_single_rows(seen.agg(F.min("start_us").alias("traces_oldest_us")), _names(rep, "traces_reporting"),
+                           _names(exp.join(rep, "service", "left_anti"), "traces_not_reporting"))
+    return row.select(
+        F.when(F.col("traces_oldest_us").isNull(), "degraded").otherwise("ok").alias("traces_status"),
+        "traces_oldest_us", F.lit(float(retention_hours)).alias("traces_retention_hours"),
+        F.lit("always_on").alias("traces_sampling"), "traces_reporting", "traces_not_reporting")
+
+
+STORE_NOTE = ("at least one store holds no data in its retention; queries against it are empty "
+              "for that reason, not because nothing happened")
+
+
 def telemetry_status(df: DataFrame, spark, as_of_us: int, retention_hours: float,
-                     lookback_s: int = REPORTING_LOOKBACK_S, expected=SERVICES) -> DataFrame:
-    """One row: status, reporting, not_reporting (comma lists, by name), oldest_us."""
-    rep = (df.where((F.col("ts_us") > as_of_us - lookback_s * US) & (F.col("ts_us") <= as_of_us))
-           .where(F.col("service").isNotNull() & (F.trim(F.col("service")) != ""))
-           .select("service").distinct())
+                     lookback_s: int = REPORTING_LOOKBACK_S, expected=SERVICES,
+                     spans: DataFrame | None = None, trace_retention_hours: float | None = None) -> DataFrame:
+    """One row: status, reporting, not_reporting (comma lists, by name), oldest_us.
+
+    With `spans` the row also holds `trace_store_status` and `metrics_status`; `status` is
+    then ok only if both stores are, and `note` says so otherwise (null when ok)."""
+    rep = _services_in(df, "ts_us", as_of_us, lookback_s)
     exp = spark.createDataFrame([(s,) for s in expected], "service string")
     missing = exp.join(rep, "service", "left_anti")
-    rep_l = rep.agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("reporting"))
-    mis_l = missing.agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("not_reporting"))
     old = oldest_queryable(df, as_of_us, retention_hours)
-    out = join_single_rows(rep_l, mis_l, old)   # three single-row aggregates
-    return out.withColumn("status", F.when(F.col("oldest_us").isNull(), "degraded").otherwise("ok"))
+    out = join_single_rows(_names(rep, "reporting"), _names(missing, "not_reporting"), old)   # three single-row aggregates
+    out = out.withColumn("status", F.when(F.col("oldest_us").isNull(), "degraded").otherwise("ok"))
+    if spans is None:
+        return out
+    traces = trace_store_status(spans, spark, as_of_us, trace_retention_hours or retention_hours, lookback_s, expected)
+    both = join_single_rows(out.withColumnRenamed("status", "metrics_status"), traces)
+    both = both.withColumn("status", F.when((F.col("metrics_status") == "ok") & (F.col("traces_status") == "ok"), "ok")
+                           .otherwise("degraded"))
+    return both.withColumn("note", F.when(F.col("status") != "ok", F.lit(STORE_NOTE)))
 
 
 def prom_or(left: DataFrame, right: DataFrame, labels) -> DataFrame:

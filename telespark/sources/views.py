@@ -226,6 +226,33 @@ def pool_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pool_name", F.col("s.state").alias("state"), "ts_us", F.col("s.v").cast("double").alias("value"))
 
 
+def pool_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests waiting for a connection of the pool, scraped at every hour end that had
+    inventory requests: those above the pool size. pool_name, ts_us, value (DOUBLE)."""
+    r = requests(spark, sf_dir).where(F.col("service") == "inventory")
+    hour = F.floor((F.col("ts_us") - EPOCH_2024_US) / HOUR_US).cast("bigint")
+    per = r.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(F.lit("inventory-pool").alias("pool_name"),
+                      (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
+                      F.greatest(F.col("n") - POOL_SIZE, F.lit(0)).cast("double").alias("value"))
+
+
+def jvm_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory gauge per service, area and pool at every hour end that had requests: one
+    MiB per request in pool `eden`, the sum of durations in KiB in `old`, both of area
+    `heap`, and a fixed 64 MiB outside the heap. service, area, pool, ts_us, value (DOUBLE)."""
+    hour = F.floor((F.col("ts_us") - EPOCH_2024_US) / HOUR_US).cast("bigint")
+    per = requests(spark, sf_dir).groupBy("service", hour.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round("duration_ms").cast("bigint")).alias("d"))
+    pools = F.explode(F.array(
+        F.struct(F.lit("heap").alias("area"), F.lit("eden").alias("pool"), (F.col("n") * 1048576).alias("v")),
+        F.struct(F.lit("heap").alias("area"), F.lit("old").alias("pool"), (F.col("d") * 1024).alias("v")),
+        F.struct(F.lit("nonheap").alias("area"), F.lit("metaspace").alias("pool"), F.lit(67108864).cast("bigint").alias("v"))))
+    return per.select("service", (F.lit(EPOCH_2024_US) + (F.col("h") + 1) * HOUR_US).alias("ts_us"),
+                      pools.alias("p")).select("service", "p.area", "p.pool", "ts_us",
+                                               F.col("p.v").cast("double").alias("value"))
+
+
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collector counters scraped hourly (cumulative, from each series' first hour):
     accepted = every request's span, sent = those exported (not control traffic),
