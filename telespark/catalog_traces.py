@@ -113,6 +113,20 @@ def q_trace_tree(spark, sf_dir):
         "trace_id", "span_id", "depth", "path", "offset_us", "duration_us", "self_us", "service", "status")
 
 
+@register("trace_preorder", _TREE_SQL.replace("SELECT * FROM tree", """,
+ranks AS (SELECT s.trace_id, s.span_id, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY start_us, span_id) AS k FROM selfs s),
+walk AS (
+  SELECT t.trace_id, t.span_id, [r.k] AS way, t.depth FROM tree t JOIN ranks r USING (trace_id, span_id) WHERE t.depth = 0
+  UNION ALL
+  SELECT s.trace_id, s.span_id, list_append(w.way, r.k), w.depth + 1
+  FROM walk w JOIN selfs s ON s.trace_id = w.trace_id AND s.parent_id = w.span_id
+  JOIN ranks r ON r.trace_id = s.trace_id AND r.span_id = s.span_id)
+SELECT trace_id, span_id, depth, row_number() OVER (PARTITION BY trace_id ORDER BY way) - 1 AS position FROM walk"""))
+def q_trace_preorder(spark, sf_dir):
+    """Depth and place in the preorder of every span, by subtree sizes."""
+    return T.trace_preorder(V.spans_table(spark, sf_dir)).select("trace_id", "span_id", "depth", "position")
+
+
 # --- traces against incident windows (span time domain) ---------------------------
 
 _IN_WINDOW = """traced AS (

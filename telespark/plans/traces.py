@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_TRACES, MAX_TRACES, SERVICES
 from ..operators import spans as S
 from ..operators.joins import join_single_rows
+from ..operators.prefix import SPLIT_ROWS, sum_before
 from ..operators.quantiles import exact_percentiles
 from ..session import materialize
 
@@ -66,21 +67,9 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None) -> DataFram
     span points at and takes over its pointer, so the distance doubles and a tree of depth d
     takes log2(d) rounds. A round that leads no further span to a root leaves only cycles.
     """
-    if trace_ids is not None:
-        spans = spans.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    narrow = S.resolve_parents(spans.select("trace_id", "span_id", "parent_span_id", "start_us"))
-    # origin (earliest root, else earliest span), whether a parentless span exists, and the
-    # earliest span as the fallback start point
-    key = F.struct(F.col("parent_id").isNotNull(), F.col("start_us"))
-    per = narrow.groupBy("trace_id").agg(
-        F.min_by("start_us", key).alias("origin_us"),
-        F.max(F.col("parent_id").isNull()).alias("_has_root"),
-        F.min_by("span_id", F.struct("start_us", "span_id")).alias("_earliest"))
-    starts = ~F.col("_has_root") & (F.col("span_id") == F.col("_earliest"))
-    nodes = materialize(narrow.join(per, "trace_id").select(
-        "trace_id", "span_id", (F.col("start_us") - F.col("origin_us")).alias("offset_us"),
-        F.when(~starts, F.col("parent_id")).alias("up"),
-        F.array(F.struct("start_us", "span_id")).alias("path")))
+    spans = _of_traces(spans, trace_ids)
+    nodes = materialize(_linked(spans).select(
+        "trace_id", "span_id", "offset_us", "up", F.array(F.struct("start_us", "span_id")).alias("path")))
     left, before = nodes.where("up IS NOT NULL").count(), None
     while left and left != before:
         above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
@@ -90,12 +79,94 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None) -> DataFram
             F.when(F.col("_above").isNull(), F.col("path"))
             .otherwise(F.concat("_above", "path")).alias("path")))
         left, before = nodes.where("up IS NOT NULL").count(), left
+    walked = nodes.where("up IS NULL").withColumn("depth", F.size("path") - 1)
+    return _with_details(spans, walked, "path")
+
+
+def _of_traces(spans: DataFrame, trace_ids: DataFrame | None) -> DataFrame:
+    if trace_ids is None:
+        return spans
+    return spans.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
+
+
+def _linked(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, start_us, offset_us, up: every span with the span above it, null
+    for those a walk starts from (parentless spans; the earliest span where none is)."""
+    narrow = S.resolve_parents(spans.select("trace_id", "span_id", "parent_span_id", "start_us"))
+    # origin (earliest root, else earliest span), whether a parentless span exists, and the
+    # earliest span as the fallback start point
+    key = F.struct(F.col("parent_id").isNotNull(), F.col("start_us"))
+    per = narrow.groupBy("trace_id").agg(
+        F.min_by("start_us", key).alias("origin_us"),
+        F.max(F.col("parent_id").isNull()).alias("_has_root"),
+        F.min_by("span_id", F.struct("start_us", "span_id")).alias("_earliest"))
+    starts = ~F.col("_has_root") & (F.col("span_id") == F.col("_earliest"))
+    return narrow.join(per, "trace_id").select(
+        "trace_id", "span_id", "start_us", (F.col("start_us") - F.col("origin_us")).alias("offset_us"),
+        F.when(~starts, F.col("parent_id")).alias("up"))
+
+
+def _with_details(spans: DataFrame, walked: DataFrame, order: str) -> DataFrame:
     cols = ["duration_us", "self_us", "service", "status"]
     cols += [c for c in ("operation", "tags") if c in spans.columns]      # carried for rendering
-    walked = nodes.where("up IS NULL").withColumn("depth", F.size("path") - 1)
     return (S.self_time(spans, resolve=False).select("trace_id", "span_id", *cols)
             .join(walked, ["trace_id", "span_id"])
-            .select("trace_id", "span_id", "offset_us", *cols, "depth", "path"))
+            .select("trace_id", "span_id", "offset_us", *cols, "depth", order))
+
+
+def _subtrees(nodes: DataFrame) -> DataFrame:
+    """trace_id, span_id, size (spans in its subtree), depth of the spans that reach a root.
+
+    `nodes` has trace_id, span_id, up. Each round a span adds the sizes of the spans whose
+    pointer is at it, then takes over the pointer of the span above: after k rounds `size`
+    counts the descendants less than 2^k below, `depth` the steps to the pointer. A round
+    that leads no further span to a root leaves only cycles and what hangs from them.
+    """
+    key = ["trace_id", "span_id"]
+    nodes = materialize(nodes.select(*key, "up", F.lit(1).cast("bigint").alias("size"),
+                                     F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")))
+    left, before = nodes.where("up IS NOT NULL").count(), None
+    while left and left != before:
+        below = (nodes.where("up IS NOT NULL").groupBy("trace_id", F.col("up").alias("span_id"))
+                 .agg(F.sum("size").alias("_below")))
+        above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
+                             F.col("depth").alias("_steps"))
+        nodes = materialize(nodes.join(below, key, "left").join(above, ["trace_id", "up"], "left").select(
+            *key, F.col("_next").alias("up"),
+            (F.col("size") + F.coalesce("_below", F.lit(0))).alias("size"),
+            (F.col("depth") + F.coalesce("_steps", F.lit(0))).alias("depth")))
+        left, before = nodes.where("up IS NOT NULL").count(), left
+    return nodes.where("up IS NULL").drop("up")
+
+
+def trace_preorder(spans: DataFrame, trace_ids: DataFrame | None = None,
+                   split_siblings: int = SPLIT_ROWS) -> DataFrame:
+    """`trace_tree` with a number in place of the path: `position` is the place of a span in
+    the preorder of its trace (from 0, siblings by start and id, gapless over the spans
+    that are reached).
+
+    A row keeps its width at any depth, so memory is linear in the spans. In a preorder a
+    span comes after its parent and the whole subtrees of its earlier siblings: subtree
+    sizes come first, then the steps are added up along the way to the root. Both take
+    log2(depth) rounds of pointer doubling, each a few small jobs, so `trace_tree` is faster
+    on traces that are not wide or deep; very deep chains are still slow.
+    """
+    key = ["trace_id", "span_id"]
+    spans = _of_traces(spans, trace_ids)
+    linked = materialize(_linked(spans))
+    walked = linked.join(_subtrees(linked), key)
+    placed = sum_before(walked, ["trace_id", "up"], ["start_us", "span_id"], "size", "_earlier", split_siblings)
+    nodes = materialize(placed.select(
+        *key, "up", "offset_us", "depth",
+        (F.col("_earlier") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("position")))
+    # every span left is a descendant of a root, so the pointers run out
+    while nodes.where("up IS NOT NULL").limit(1).count():
+        above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
+                             F.col("position").alias("_above"))
+        nodes = materialize(nodes.join(above, ["trace_id", "up"], "left").select(
+            *key, F.col("_next").alias("up"), "offset_us", "depth",
+            (F.col("position") + F.coalesce("_above", F.lit(0))).alias("position")))
+    return _with_details(spans, nodes.drop("up"), "position")
 
 
 DETAIL_TAGS = ("db.statement", "exception.type", "exception.message", "error")
