@@ -24,7 +24,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 # the same for texts of characters up to here, for the standard engine, which is faster
 # but has no classes by category; other texts take the plain way
 _LAST_SIMPLE = 0x24F
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 JOINED = 64
+GROUP_CHARS = 200_000
 _END = (0).to_bytes(4, "little")
 
 
@@ -77,6 +78,10 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = simple_pattern().findall
         self.odd = re.compile(f"[^\\x00-\\u{_LAST_SIMPLE:04x}]").search
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.token_bytes[k] = len(token)             # a character stands for a byte
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -84,10 +89,11 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _learn(self, words: list[str], new: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS // 2:
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if new and len(self.known) > CACHE_WORDS // 2:
             self.old, self.known = self.known, {}
-            new = set(words)
+            new = words
         old = self.old
         self.known.update([(w, old[w]) for w in new if w in old])
         rest = [w for w in new if w not in old]
@@ -97,22 +103,42 @@ class Encoder:
         other = [w for w in rest if w not in self.known]
         self.known.update(zip(other, self._plain(other)))
 
-    def _joined(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of pieces that are cheaper to encode JOINED at a time."""
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of pieces that are cheaper to encode JOINED at a time: a piece ends where
+        the bytes of the tokens reach its own end."""
         texts = ["".join(words[k:k + JOINED]) for k in range(0, len(words), JOINED)]
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            ids, piece = array("I", e.ids).tobytes(), e.word_ids
-            ends = [4 * k for k in range(1, len(piece)) if piece[k] != piece[k - 1]] + [len(ids)]
-            yield from (ids[a:b] for a, b in zip([0, *ends], ends))
+        every = array("I")
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            every.extend(e.ids)
+        reached = np.cumsum(self.token_bytes[np.frombuffer(every, np.uint32)])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        last = np.searchsorted(reached, ends)
+        if len(words) and not (reached[-1] == ends[-1] and np.array_equal(reached[last], ends)):
+            return self._plain(words)
+        data, stops = every.tobytes(), (4 * (last + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of every text, in order. Texts of GROUP_CHARS characters in all are cut
+        into pieces before their new pieces are encoded, all at once."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        cuts = [None if self.odd(t) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
+        self._learn(set().union(*filter(None, cuts)))
+        get = self.known.__getitem__
+        for text, words in zip(texts, cuts):
+            yield self._plain([text])[0] if words is None else b"".join(map(get, words))
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text) or any(s in text for s in self.special):
-            return self._plain([text])[0]
-        words = self.pieces(text)
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(words, new)
-        return b"".join(map(self.known.__getitem__, words))
+        return next(self.encode_all([text]))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -126,8 +152,9 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
         encoder = held(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32", "ids")}
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encoder.encode(text.as_py() or "") + _END
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for id_, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
+                data = ids + _END
                 for i, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     part = data[4 * start:4 * (start + length)]
                     out["id"].append(id_)

@@ -290,6 +290,18 @@ def test_encoder_generations(monkeypatch, prose):
         assert len(encoder.known) <= 10 + 200
 
 
+def test_encoder_learns_by_groups(monkeypatch, prose):
+    """Texts share the calls of the tokenizer and keep their ids and order; a group ends at a size."""
+    monkeypatch.setattr(packing, "GROUP_CHARS", 2_000)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    rng, learned, learn = random.Random(10), [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: learned.append(len(words)) or learn(words))
+    texts = [" ".join(prose(rng, 12)) + rng.choice(["", " caf\u00e9 na\u00efve", " \u6f22\u5b57", "\n"]) for _ in range(200)] + [""]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 1 < len(learned) < 50
+
+
 def test_worker_keeps_one_operator(monkeypatch):
     monkeypatch.setattr(store, "_held", {})
     made = []
