@@ -11,7 +11,6 @@ from .operators.quantiles import exact_percentiles
 from .plans import traces as T
 from .plans import scoring
 from .plans.oracle_views import with_views
-from .session import materialize
 from .sources import views as V
 
 # fixed window for the trace queries: the span time domain of the fixture
@@ -60,10 +59,8 @@ SELECT trace_id, slice, start_us, duration_us, spans, errors FROM (
 WHERE rn <= 6""")
 def q_sample_traces(spark, sf_dir):
     """The traces are picked by their roots; only those are folded."""
-    spans = V.spans_table(spark, sf_dir)
-    picked = materialize(S.sampled_ids(spans, _S0, _S1, 20, "gateway"))
-    folded = S.fold_traces(S.self_time(spans.join(picked, "trace_id", "left_semi")))
-    return folded.join(picked, "trace_id").select("trace_id", "slice", "start_us", "duration_us", "spans", "errors")
+    picked, sampled = S.sampled_spans(V.spans_table(spark, sf_dir), _S0, _S1, 20, "gateway")
+    return S.fold_traces(S.self_time(sampled)).join(picked, "trace_id").select("trace_id", "slice", "start_us", "duration_us", "spans", "errors")
 
 
 @register("trace_top", with_views("folded") + """

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_SPANS_PER_TRACE, SUBWINDOWS
 from ..functions.predicates import is_error_span
-from ..session import materialize
+from ..session import materialize, stored, tasks_for
 from .topn import top_n_per_group
 
 SPLIT_CHILDREN = 500_000    # children of one parent that one task scans
@@ -271,6 +271,15 @@ def sampled_ids(spans: DataFrame, start_us: int, end_us: int, limit: int, servic
         "trace_id", "slice")
 
 
+def sampled_spans(spans: DataFrame, start_us: int, end_us: int, limit: int, service: str | None = None,
+                  membership: str = "root") -> tuple[DataFrame, DataFrame]:
+    """`sampled_ids` (at most max(3, limit) rows, marked for broadcast) and the spans of those
+    traces, both stored: what follows reads the sampled traces only."""
+    with tasks_for(spans.sparkSession, spans.count()):
+        picked = F.broadcast(stored(sampled_ids(spans, start_us, end_us, limit, service, membership)))
+        return picked, stored(spans.join(picked, "trace_id", "left_semi"))
+
+
 def top_traces(folded: DataFrame, limit: int) -> DataFrame:
     """Slowest `limit` traces, ties broken by trace_id (TakeOrderedAndProject)."""
     return folded.orderBy(F.col("duration_us").desc(), F.col("trace_id")).limit(int(limit))

@@ -29,8 +29,7 @@ def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
         raise ValueError(f"unknown service {service!r}; known: {list(SERVICES)}")
     if not 1 <= int(limit) <= MAX_TRACES:
         raise ValueError(f"limit must be from 1 to {MAX_TRACES}, got {limit!r}")
-    picked = materialize(S.sampled_ids(spans, start_us, end_us, limit, service, membership))
-    sampled = spans.join(picked, "trace_id", "left_semi")
+    picked, sampled = S.sampled_spans(spans, start_us, end_us, limit, service, membership)
     if span_cap:
         # fold only the earliest `span_cap` spans of each trace (store availability cap)
         sampled = S.cap_spans(sampled, span_cap).drop("truncated")
