@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import spans as S
 from ..operators.joins import join_single_rows
 from ..operators.prefix import SPLIT_ROWS, sum_before
 from ..operators.quantiles import exact_percentiles
-from ..session import materialize
+from ..session import materialize, stored, tasks_for
 
 
 def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
@@ -67,19 +69,23 @@ def trace_tree(spans: DataFrame, trace_ids: DataFrame | None = None) -> DataFram
     takes log2(d) rounds. A round that leads no further span to a root leaves only cycles.
     """
     spans = _of_traces(spans, trace_ids)
-    nodes = materialize(_linked(spans).select(
-        "trace_id", "span_id", "offset_us", "up", F.array(F.struct("start_us", "span_id")).alias("path")))
-    left, before = nodes.where("up IS NOT NULL").count(), None
-    while left and left != before:
-        above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
-                             F.col("path").alias("_above"))
-        nodes = materialize(nodes.join(above, ["trace_id", "up"], "left").select(
-            "trace_id", "span_id", "offset_us", F.col("_next").alias("up"),
-            F.when(F.col("_above").isNull(), F.col("path"))
-            .otherwise(F.concat("_above", "path")).alias("path")))
-        left, before = nodes.where("up IS NOT NULL").count(), left
-    walked = nodes.where("up IS NULL").withColumn("depth", F.size("path") - 1)
-    return _with_details(spans, walked, "path")
+    with tasks_for(spans.sparkSession, spans.count()):
+        tables = [stored(_linked(spans).select(
+            "trace_id", "span_id", "offset_us", "up", F.array(F.struct("start_us", "span_id")).alias("path")))]
+        left, before = tables[0].where("up IS NOT NULL").count(), None
+        while left and left != before:
+            # spans that reached a root stay where they were stored; only the others go on
+            *earlier, last = tables
+            nodes = reduce(DataFrame.unionByName, [t.where("up IS NULL") for t in earlier], last)
+            above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
+                                 F.col("path").alias("_above"))
+            tables.append(stored(last.where("up IS NOT NULL").join(above, ["trace_id", "up"], "left").select(
+                "trace_id", "span_id", "offset_us", F.col("_next").alias("up"),
+                F.when(F.col("_above").isNull(), F.col("path"))
+                .otherwise(F.concat("_above", "path")).alias("path"))))
+            left, before = tables[-1].where("up IS NOT NULL").count(), left
+    walked = reduce(DataFrame.unionByName, [t.where("up IS NULL") for t in tables])
+    return _with_details(spans, walked.drop("up").withColumn("depth", F.size("path") - 1), "path")
 
 
 def _of_traces(spans: DataFrame, trace_ids: DataFrame | None) -> DataFrame:
