@@ -12,7 +12,7 @@ from ..operators import spans as S
 from ..operators.joins import join_single_rows
 from ..operators.prefix import SPLIT_ROWS, sum_before
 from ..operators.quantiles import exact_percentiles
-from ..session import materialize, stored, tasks_for
+from ..session import discard, materialize, stored, tasks_for
 
 
 def query_traces(spans: DataFrame, service: str, start_us: int, end_us: int,
@@ -127,19 +127,22 @@ def _subtrees(nodes: DataFrame) -> DataFrame:
     counts the descendants less than 2^k below, `depth` the steps to the pointer. A round
     that leads no further span to a root leaves only cycles and what hangs from them.
     """
-    key = ["trace_id", "span_id"]
-    nodes = materialize(nodes.select(*key, "up", F.lit(1).cast("bigint").alias("size"),
-                                     F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")))
+    key, up = ["trace_id", "span_id"], nodes.schema["up"].dataType
+    nodes = stored(nodes.select(*key, "up", F.lit(1).cast("bigint").alias("size"),
+                                F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")))
     left, before = nodes.where("up IS NOT NULL").count(), None
     while left and left != before:
-        below = (nodes.where("up IS NOT NULL").groupBy("trace_id", F.col("up").alias("span_id"))
-                 .agg(F.sum("size").alias("_below")))
+        # a span's own row and the sizes sent to it meet in one aggregate
+        sent = nodes.where("up IS NOT NULL").select("trace_id", F.col("up").alias("span_id"), F.lit(None).cast(up).alias("up"),
+                                                    "size", F.lit(0).alias("depth"))
+        grown = nodes.unionByName(sent).groupBy(*key).agg(
+            F.max("up").alias("up"), F.sum("size").alias("size"), F.max("depth").alias("depth"))
         above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
                              F.col("depth").alias("_steps"))
-        nodes = materialize(nodes.join(below, key, "left").join(above, ["trace_id", "up"], "left").select(
-            *key, F.col("_next").alias("up"),
-            (F.col("size") + F.coalesce("_below", F.lit(0))).alias("size"),
+        done, nodes = nodes, stored(grown.join(above, ["trace_id", "up"], "left").select(
+            *key, F.col("_next").alias("up"), "size",
             (F.col("depth") + F.coalesce("_steps", F.lit(0))).alias("depth")))
+        discard(done)
         left, before = nodes.where("up IS NOT NULL").count(), left
     return nodes.where("up IS NULL").drop("up")
 
@@ -158,20 +161,25 @@ def trace_preorder(spans: DataFrame, trace_ids: DataFrame | None = None,
     """
     key = ["trace_id", "span_id"]
     spans = _of_traces(spans, trace_ids)
-    linked = materialize(_linked(spans))
-    walked = linked.join(_subtrees(linked), key)
-    placed = sum_before(walked, ["trace_id", "up"], ["start_us", "span_id"], "size", "_earlier", split_siblings)
-    nodes = materialize(placed.select(
-        *key, "up", "offset_us", "depth",
-        (F.col("_earlier") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("position")))
-    # every span left is a descendant of a root, so the pointers run out
-    while nodes.where("up IS NOT NULL").limit(1).count():
-        above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
-                             F.col("position").alias("_above"))
-        nodes = materialize(nodes.join(above, ["trace_id", "up"], "left").select(
-            *key, F.col("_next").alias("up"), "offset_us", "depth",
-            (F.col("position") + F.coalesce("_above", F.lit(0))).alias("position")))
-    return _with_details(spans, nodes.drop("up"), "position")
+    with tasks_for(spans.sparkSession, spans.count()):
+        linked = stored(_linked(spans))
+        sizes = _subtrees(linked)
+        placed = sum_before(linked.join(sizes, key), ["trace_id", "up"], ["start_us", "span_id"], "size", "_earlier",
+                            split_siblings)
+        tables = [stored(placed.select(
+            *key, "up", "offset_us", "depth",
+            (F.col("_earlier") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("position")))]
+        # every span left is a descendant of a root, so the pointers run out
+        while tables[-1].where("up IS NOT NULL").limit(1).count():
+            *earlier, last = tables
+            nodes = reduce(DataFrame.unionByName, [t.where("up IS NULL") for t in earlier], last)
+            above = nodes.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"),
+                                 F.col("position").alias("_above"))
+            tables.append(stored(last.where("up IS NOT NULL").join(above, ["trace_id", "up"], "left").select(
+                *key, F.col("_next").alias("up"), "offset_us", "depth",
+                (F.col("position") + F.coalesce("_above", F.lit(0))).alias("position"))))
+    walked = reduce(DataFrame.unionByName, [t.where("up IS NULL") for t in tables])
+    return _with_details(spans, walked.drop("up"), "position")
 
 
 DETAIL_TAGS = ("db.statement", "exception.type", "exception.message", "error")
