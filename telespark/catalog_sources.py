@@ -38,7 +38,7 @@ def q_decode_traces(spark, sf_dir):
 SELECT DISTINCT CAST(trace_id AS VARCHAR) AS trace_id, 'malformed' AS reason FROM spans WHERE trace_id % 50 = 0""")
 def q_rejected_documents(spark, sf_dir):
     """The texts that do not decode, with the reason."""
-    out = decode_traces(_documents(spark, sf_dir))["rejected"]
+    out = decode_traces(_documents(spark, sf_dir), spans=False)["rejected"]
     return out.select(F.regexp_extract("text", '"traceID":"([^"]*)"', 1).alias("trace_id"), "reason")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import KEEP_TAGS
+from ..session import stored, tasks_for
 
 _REF = T.StructType([T.StructField("refType", T.StringType()), T.StructField("spanID", T.StringType())])
 _TAG = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
@@ -32,7 +33,9 @@ def flatten_traces(docs: DataFrame) -> DataFrame:
     """Trace documents (TRACE_DOC_SCHEMA rows) -> one row per span (D3)."""
     t = docs.select(F.explode("data").alias("t")).select(
         F.col("t.traceID").alias("trace_id"), F.col("t.processes").alias("processes"),
-        F.explode("t.spans").alias("s"))
+        # tags become a map inside the generator, which runs once a span
+        F.explode(F.transform("t.spans", lambda s: F.struct(
+            *[s[c].alias(c) for c in _SPAN.names if c != "tags"], _last_wins_map(s["tags"]).alias("tags")))).alias("s"))
     spans = t.select(
         "trace_id",
         F.col("s.spanID").alias("span_id"),
@@ -40,13 +43,14 @@ def flatten_traces(docs: DataFrame) -> DataFrame:
         F.coalesce(F.element_at("processes", F.col("s.processID"))["serviceName"], F.lit("?")).alias("service"),
         F.col("s.startTime").alias("start_us"), F.col("s.duration").alias("duration_us"),
         F.coalesce(F.col("s.references"), F.array().cast(T.ArrayType(_REF))).alias("_refs"),
-        F.col("s.tags").alias("_tags"))
-    spans = spans.withColumn("tags", _last_wins_map("_tags"))
+        F.col("s.tags").alias("tags"))
     status = F.expr("try_cast(tags['http.response.status_code'] AS INT)")
     err = F.lower(F.coalesce(F.col("tags")["error"], F.lit("")))
     spans = (spans.withColumn("status", status)
              .withColumn("error", ~err.isin("", "false", "0", "null"))
              .withColumn("route", F.col("tags")["http.route"]))
+    # the documents are parsed once; the joins below read columns of the stored spans
+    spans = stored(spans)
     # parent: first CHILD_OF reference whose span exists in this trace (join on ids)
     refs = (spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_child"),
                          F.posexplode("_refs").alias("_pos", "_r"))
@@ -56,18 +60,19 @@ def flatten_traces(docs: DataFrame) -> DataFrame:
     first = (refs.join(ids, ["_t", "_ref"])
              .groupBy("_t", "_child").agg(F.min_by("_ref", "_pos").alias("parent_span_id"))
              .withColumnRenamed("_t", "trace_id").withColumnRenamed("_child", "span_id"))
+    with tasks_for(spans.sparkSession, spans.count()):
+        first = stored(first)
     out = spans.join(first, ["trace_id", "span_id"], "left")
-    return out.drop("_refs", "_tags")
+    return out.drop("_refs")
 
 
-def _last_wins_map(tags_col: str):
+def _last_wins_map(tags):
     """Array of {key, value} -> map of the allowed keys; a repeated key keeps its last value."""
-    arr = F.coalesce(F.col(tags_col), F.array().cast(T.ArrayType(_TAG)))
-    allowed = F.filter(arr, lambda x: x["key"].isin(*KEEP_TAGS))
-    idx = F.transform(allowed, lambda x, i: F.struct(x["key"].alias("k"), x["value"].alias("v"), i.alias("i")))
-    # keep an entry only if no later entry has the same key
-    last = F.filter(idx, lambda e: ~F.exists(idx, lambda o: (o["k"] == e["k"]) & (o["i"] > e["i"])))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    arr = F.coalesce(tags, F.array().cast(T.ArrayType(_TAG)))
+    allowed = F.reverse(F.filter(arr, lambda x: x["key"].isin(*KEEP_TAGS)))
+    # the one-element array names the reversed list, so that it is made once: its first entry of a key stays
+    return F.transform(F.array(allowed), lambda r: F.map_from_entries(F.reverse(F.filter(
+        r, lambda x, i: F.array_position(r["key"], x["key"]) == i + 1))))[0]
 
 
 def read_traces(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -84,21 +89,25 @@ def read_traces(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 _CORRUPT = "_corrupt_record"
 
 
-def decode_traces(lines: DataFrame, text_col: str = "value") -> dict:
+def decode_traces(lines: DataFrame, text_col: str = "value", spans: bool = True) -> dict:
     """Trace documents as text, one per row, decoded against the schema.
 
     Returns `spans` (see `flatten_traces`) and `rejected` (text, reason): a text that is
     no JSON or does not fit the schema is 'malformed', one without a `data` array 'no data'.
     Nothing is lost: every row is in one of the two; null and blank texts are rejected.
+    The spans are decoded and stored at once; `spans=False` leaves them out.
     """
     schema = T.StructType([*TRACE_DOC_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
     doc = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    rows = lines.select(F.col(text_col).alias("text"), doc.alias("doc"))
+    # as a generated column a document is parsed once for all that is asked of it
+    rows = lines.select(F.col(text_col).alias("text"), F.explode(F.array(doc)).alias("doc"))
     reason = (F.when(F.col("doc").isNull() | (F.trim("text") == "") | F.col(f"doc.{_CORRUPT}").isNotNull(), "malformed")
               .when(F.col("doc.data").isNull(), "no data"))
     rows = rows.withColumn("reason", reason)
-    return {"spans": flatten_traces(rows.where(F.col("reason").isNull()).select("doc.data")),
-            "rejected": rows.where(F.col("reason").isNotNull()).select("text", "reason")}
+    out = {"rejected": rows.where(F.col("reason").isNotNull()).select("text", "reason")}
+    if spans:
+        out["spans"] = flatten_traces(rows.where(F.col("reason").isNull()).select("doc.data"))
+    return out
 
 
 def encode_traces(spans: DataFrame) -> DataFrame:
